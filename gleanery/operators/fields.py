@@ -19,8 +19,8 @@ from gleanery.functions.records import GRANULARITIES, Model
 from gleanery.functions.templates import (
     format_template, parse_values, references, render_references,
 )
-from gleanery.operators.html import element_attribute, element_text
-from gleanery.operators.select import find_nodes, is_absolute, selector, subtree
+from gleanery.operators.html import element_attribute, element_text, let, subtree
+from gleanery.operators.select import find_nodes, is_absolute, selector
 
 # The steps a definition may name, at most one of each kind.
 METHODS = {
@@ -66,12 +66,38 @@ class Value:
     kind: str
     many: bool = False
     error: Column | None = None
+    row: Column | None = None  # values and error as one expression, evaluated together
 
-    def failing(self, test: Column, reason: str) -> Value:
+    def with_error(self, test: Column, reason: str) -> Value:
         problem = F.when(test, F.lit(reason))
         error = problem if self.error is None else F.coalesce(self.error, problem)
         return Value(self.values, self.kind, self.many, error)
 
+    def packed(self) -> Column:
+        if self.row is not None:
+            return self.row
+        error = F.lit(None).cast("string") if self.error is None else self.error
+        return F.struct(self.values.alias("values"), error.alias("error"))
+
+    def scalar(self) -> Column:
+        """The first entry, or null where a step failed."""
+        return let(
+            self.packed(), lambda r: F.when(r["error"].isNull(), F.get(r["values"], F.lit(0)))
+        )
+
+
+def bind(value: Value, then: Callable[[Value], Value]) -> Value:
+    """Evaluate ``value`` once and go on with it; the result's type is known here."""
+    shape: list[Value] = []
+
+    def body(r: Column) -> Column:
+        out = then(Value(r["values"], value.kind, value.many, r["error"]))
+        shape.append(out)
+        return out.packed()
+
+    result = let(value.packed(), body)
+    return Value(result["values"], shape[0].kind, shape[0].many, result["error"], result)
+
 
 @dataclass(frozen=True)
 class Context:
@@ -138,16 +164,20 @@ def _some(arguments: list, what: str) -> list:
 
 
 def _run(operation: dict, target: Value, ctx: Context) -> Value:
-    """One operation over a target list."""
+    """One operation over a target list, each step reading the one before."""
     if operation.get("click"):
         raise DefinitionError("clicking needs a live browser and is not supported")
     many = bool(operation.get("is_multiple", False))
-    value = target
-    for kind, step in _STEPS.items():
-        method, arguments = choose_method(operation, kind)
-        if method:
-            value = step(value, method, arguments, ctx, many)
-    return value
+    chosen = [(step, *choose_method(operation, kind)) for kind, step in _STEPS.items()]
+    return _run_steps([c for c in chosen if c[1]], target, ctx, many)
+
+
+def _run_steps(steps: list, value: Value, ctx: Context, many: bool) -> Value:
+    if not steps:
+        return value
+    step, method, arguments = steps[0]
+    out = step(value, method, arguments, ctx, many)
+    return out if len(steps) == 1 else bind(out, lambda v: _run_steps(steps[1:], v, ctx, many))
 
 
 def _find(value: Value, method, arguments, ctx: Context, many: bool) -> Value:
@@ -155,16 +185,19 @@ def _find(value: Value, method, arguments, ctx: Context, many: bool) -> Value:
         raise DefinitionError(f"{method} needs an element, not {value.kind}")
     render = lambda text: render_references(text, ctx.resolve)
     paths = selector(method, _only(arguments, method), render, ctx.index)
-    within = ctx.page if is_absolute(paths) else F.get(value.values, F.lit(0))
-    if within is None:
-        raise DefinitionError("an absolute path needs the page")
-    hits = find_nodes(within, paths)
+    within = value.values
+    if is_absolute(paths):
+        if ctx.page is None:
+            raise DefinitionError("an absolute path needs the page")
+        within = F.array(ctx.page)
+    hits = lambda e: find_nodes(e, paths) if many else F.slice(find_nodes(e, paths), 1, 1)
+    found = F.flatten(
+        F.transform(within, lambda e: F.transform(hits(e), lambda n: subtree(e, n)))
+    )
+    out = Value(F.coalesce(found, _no_values("element")), "element", many, value.error)
     if many:
-        found = F.transform(hits, lambda n: subtree(within, n))
-        return Value(F.coalesce(found, _no_values("element")), "element", True, value.error)
-    first = F.transform(F.slice(hits, 1, 1), lambda n: subtree(within, n))
-    out = Value(F.coalesce(first, _no_values("element")), "element", False, value.error)
-    return out.failing(F.size(out.values) == 0, f"no element for {method}")
+        return out
+    return bind(out, lambda v: v.with_error(F.size(v.values) == 0, f"no element for {method}"))
 
 
 def _extract(value: Value, method, arguments, ctx: Context, many: bool) -> Value:
@@ -199,9 +232,13 @@ def _parse(value: Value, method, arguments, ctx: Context, many: bool) -> Value:
         parsed = parse_values(value.values, templates, ctx.resolve)
         return Value(parsed, "text", many, value.error)
     parsed = F.transform(value.values, lambda v: dates.strptime(v, templates))
-    failed = F.exists(F.arrays_zip(value.values.alias("a"), parsed.alias("b")),
-                      lambda z: z["a"].isNotNull() & z["b"].isNull())
-    return Value(parsed, "date", many, value.error).failing(failed, "no date format fits")
+
+    def check(v: Value) -> Value:
+        pairs = F.arrays_zip(value.values.alias("a"), v.values.alias("b"))
+        failed = F.exists(pairs, lambda z: z["a"].isNotNull() & z["b"].isNull())
+        return v.with_error(failed, "no date format fits")
+
+    return bind(Value(parsed, "date", many, value.error), check)
 
 
 def _format(value: Value, method, arguments, ctx: Context, many: bool) -> Value:
@@ -211,7 +248,7 @@ def _format(value: Value, method, arguments, ctx: Context, many: bool) -> Value:
             raise DefinitionError("strftime needs a date")
         out = F.transform(value.values, lambda v: dates.strftime(v["ts"], template))
         result = Value(out, "text", many, value.error)
-        return result.failing(F.exists(value.values, lambda v: v.isNull()), "no date to format")
+        return result.with_error(F.exists(value.values, lambda v: v.isNull()), "no date to format")
     as_text = dates.serialize_granular if value.kind == "date" else (lambda v: v)
     out = F.transform(
         value.values, lambda v: format_template(template, as_text(v), ctx.resolve)
@@ -236,7 +273,7 @@ def _transform(value: Value, method, arguments, ctx: Context, many: bool) -> Val
         out = Value(F.array(joined), "text", False, value.error)
     else:
         out = Value(split_values(value.values, _only(rendered, method)), "text", True, value.error)
-    return out.failing(null_entry, f"{method} of a missing value")
+    return out.with_error(null_entry, f"{method} of a missing value")
 
 
 def split_values(values: Column, delimiter: Column) -> Column:
@@ -265,11 +302,12 @@ _STEPS: dict[str, Callable] = {
 
 def _threaded(value: Value) -> Value:
     """A lone null threads to the next operation as no value."""
-    lone = (F.size(value.values) == 1) & F.get(value.values, F.lit(0)).isNull()
-    return Value(
-        F.when(lone, _no_values(value.kind)).otherwise(value.values),
-        value.kind, value.many, value.error,
-    )
+    def thread(v: Value) -> Value:
+        lone = (F.size(v.values) == 1) & F.get(v.values, F.lit(0)).isNull()
+        kept = F.when(lone, _no_values(v.kind)).otherwise(v.values)
+        return Value(kept, v.kind, v.many, v.error)
+
+    return bind(value, thread)
 
 
 def run_series(operations: list[dict], ctx: Context) -> Value:
@@ -280,40 +318,47 @@ def run_series(operations: list[dict], ctx: Context) -> Value:
     """
     parent = Value(enlist(ctx.element), "element")
     page = None if ctx.page is None else Value(enlist(ctx.page), "element")
-    latest = prior = parent
-    for operation in operations:
-        scope = choose_scope(operation)
-        target = {"latest": latest, "prior": prior, "parent": parent, "page": page}[scope]
-        if target is None:
-            raise DefinitionError("scope page needs the page")
-        target = Value(target.values, target.kind, target.many, latest.error)
-        prior = latest
-        many = bool(operation.get("is_multiple", False))
-        chosen = target if many else Value(
-            F.slice(target.values, F.greatest(F.size(target.values), F.lit(1)), F.lit(1)),
-            target.kind, False, target.error,
+
+    def advance(todo: list[dict], latest: Value, prior: Value) -> Value:
+        if not todo:
+            return latest
+        target = _series_target(choose_scope(todo[0]), latest, prior, parent, page)
+        result = _series_step(todo[0], target, latest, ctx)
+        return bind(result, lambda v: advance(todo[1:], v, latest))
+
+    return bind(parent, lambda v: advance(list(operations), v, v))
+
+
+def _series_target(scope: str, latest: Value, prior: Value, parent: Value, page) -> Value:
+    target = {"latest": latest, "prior": prior, "parent": parent, "page": page}[scope]
+    if target is None:
+        raise DefinitionError("scope page needs the page")
+    return Value(target.values, target.kind, target.many, latest.error)
+
+
+def _series_step(operation: dict, target: Value, latest: Value, ctx: Context) -> Value:
+    if operation.get("is_multiple", False):
+        return _threaded(_run(operation, target, ctx))
+    last = Value(F.slice(target.values, -1, 1), target.kind, False, target.error)
+    result = _threaded(_run(operation, last, ctx))
+    skip = F.size(target.values) == 0
+
+    def settle(r: Value) -> Value:
+        kept = latest.values if latest.kind == r.kind else _no_values(r.kind)
+        before = F.lit(None).cast("string") if latest.error is None else latest.error
+        return Value(
+            F.when(skip, kept).otherwise(r.values), r.kind, r.many,
+            F.when(skip, before).otherwise(r.error),
         )
-        result = _threaded(_run(operation, chosen, ctx))
-        if not many and scope in ("latest", "prior"):
-            skip = F.size(target.values) == 0
-            kept = latest.values if latest.kind == result.kind else _no_values(result.kind)
-            error = result.error
-            if error is not None:
-                before = F.lit(None).cast("string") if latest.error is None else latest.error
-                error = F.when(skip, before).otherwise(error)
-            result = Value(
-                F.when(skip, kept).otherwise(result.values), result.kind,
-                result.many or latest.many, error,
-            )
-        latest = result
-    return latest
+
+    return bind(result, settle)
 
 
 def compile_field(definition, ctx: Context) -> Value:
     """A field definition (literal, operation or series) as a value."""
     if isinstance(definition, dict):
         target = Value(enlist(ctx.element), "element")
-        return _threaded(_run(definition, target, ctx))
+        return _threaded(bind(target, lambda v: _run(definition, v, ctx)))
     if isinstance(definition, list):
         return run_series(definition, ctx)
     text = None if definition is None else str(definition)
@@ -383,6 +428,11 @@ def derive_fields(
         nonlocal df, batch
         if batch:
             df = df.withColumns(batch)
+            results = [c for c in batch if c.startswith("__result_")]
+            if results:
+                df = df.withColumns(
+                    {c.removeprefix("__result_"): F.col(c)["value"] for c in results}
+                )
             batch = {}
 
     order = ["source_url"] + [n for n in model.names() if n != "source_url"]
@@ -394,7 +444,7 @@ def derive_fields(
             kinds[name] = "text"
             missing.append(name)
             continue
-        if _names_used(content[name]) & set(batch):
+        if _names_used(content[name]) & {c.removeprefix("__result_") for c in batch}:
             flush()
         ctx = Context(
             F.col(element), F.col(page) if page else None, dict(kinds),
@@ -407,26 +457,33 @@ def derive_fields(
                           F.lit(str(problem)))
         if value.many and not keep_lists:
             raise DefinitionError(f"{name} is a list: add a join, or allow lists")
-        out = value.values if value.many else F.get(value.values, F.lit(0))
-        if value.error is not None:
-            batch[f"__error_{name}"] = value.error
+        packed = let(value.packed(), lambda r: _result(r, value.many))
+        if value.error is None:
+            batch[name] = packed["value"]
+        else:
+            batch[f"__result_{name}"] = packed
             errors.append(name)
-            out = F.when(value.error.isNull(), out)
-        batch[name] = out
         kinds[name] = value.kind
     flush()
     reasons = [
-        F.struct(F.lit(n).alias("field"), F.col(f"__error_{n}").alias("reason")) for n in errors
+        F.struct(F.lit(n).alias("field"), F.col(f"__result_{n}")["error"].alias("reason")) for n in errors
     ] + [F.struct(F.lit(n).alias("field"), F.lit("no definition").alias("reason")) for n in missing]
     found = (
         F.filter(F.array(*reasons), lambda e: e["reason"].isNotNull())
         if reasons
         else F.array().cast("array<struct<field:string,reason:string>>")
     )
-    df = df.withColumn("_errors", found).drop(*[f"__error_{n}" for n in errors])
+    df = df.withColumn("_errors", found).drop(*[f"__result_{n}" for n in errors])
     return _typed(df, model, kinds)
 
 
+def _result(r: Column, many: bool) -> Column:
+    value = r["values"] if many else F.get(r["values"], F.lit(0))
+    return F.struct(
+        F.when(r["error"].isNull(), value).alias("value"), r["error"].alias("error")
+    )
+
+
 def _typed(df: DataFrame, model: Model, kinds: dict[str, str]) -> DataFrame:
     """Dates become plain timestamps once every reference to them is resolved."""
     changes = {}

@@ -9,6 +9,7 @@ Everything after this pass is native column work.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -147,9 +148,13 @@ def with_nodes(pages: DataFrame, html: str = "html", name: str = "nodes") -> Dat
     return spread(pages).withColumn(name, page_nodes(F.col(html))).drop(html)
 
 
-def document(nodes: Column) -> Column:
-    """The page as an element: the whole node array, headed by the document node."""
-    return nodes
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use it many times in ``body``.
+
+    An expression repeated inside a higher-order function runs again for every
+    entry; a bound variable does not.
+    """
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
 def subtree(within: Column, node: Column) -> Column:

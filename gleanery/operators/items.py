@@ -42,9 +42,7 @@ def limit_pages(pages: DataFrame, page: str, limit: int) -> DataFrame:
 
 def page_value(definition, nodes: str = "nodes") -> Column:
     """A single value read from the whole page."""
-    value = compile_field(definition, Context(F.col(nodes), F.col(nodes), {}))
-    out = F.get(value.values, F.lit(0))
-    return out if value.error is None else F.when(value.error.isNull(), out)
+    return compile_field(definition, Context(F.col(nodes), F.col(nodes), {})).scalar()
 
 
 def any_needs_page(content: dict) -> bool:

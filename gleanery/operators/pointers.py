@@ -97,12 +97,13 @@ def search_terms(objects: DataFrame, payload: str = "payload_id") -> DataFrame:
         found = F.when(F.col("_p").isNotNull(), F.col("_o")).otherwise(F.col("_raw"))
         return joined.withColumn(name, found).drop("_raw", "_p", "_o")
 
-    # The root entry's value is itself a pointer.
-    roots = objects.filter("path = 'root'").select(payload, F.col("obj").alias("_root"))
-    wrapped = roots.withColumn(
-        "_base", F.concat(F.lit('{"root":'), F.col("_root"), F.lit("}"))
+    # The root entry's value is a pointer, or the community itself.
+    root = F.col("obj")
+    base = F.when(root.startswith("{"), F.concat(F.lit('{"root":'), root, F.lit("}"))).otherwise(
+        F.to_json(F.struct(root.alias("root")))
     )
-    df = hop(wrapped, "root", "_base", "community")
+    roots = objects.filter("path = 'root'").select(payload, base.alias("_base"))
+    df = hop(roots, "root", "_base", "community")
     for field in ("problem", "org", "geo"):
         df = hop(df, field, "community", field)
     df = hop(df, "levels", "geo", "levels")

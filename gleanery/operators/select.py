@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gleanery.operators.html import collapse, element_text, subtree
+from gleanery.operators.html import collapse, element_text, let, subtree
 
 Condition = Callable[[Column, Column], Column]  # (nodes, node) -> boolean
 
@@ -80,32 +80,35 @@ def whole_text(test: Callable[[Column], Column]) -> Condition:
 
 def _passes(step: Step, nodes: Column, node: Column, upto: int | None = None) -> Column:
     ok = _is_element(node) if step.tag == "*" else node["tag"] == step.tag
-    for i, condition in enumerate(step.conditions[:upto]):
+    for number, condition in enumerate(step.conditions[:upto]):
         if callable(condition):
             ok = ok & condition(nodes, node)
         else:
-            place = F.size(
-                F.filter(
-                    nodes,
-                    lambda m, i=i: (m["parent"] == node["parent"])
-                    & (m["pre"] <= node["pre"])
-                    & _passes(step, nodes, m, i),
-                )
-            )
-            ok = ok & (place == condition)
+            ok = ok & (_place(step, nodes, node, number) == condition)
     return ok
 
 
+def _place(step: Step, nodes: Column, node: Column, upto: int) -> Column:
+    """Place of a node among its siblings that pass the earlier conditions."""
+    siblings = F.filter(
+        nodes,
+        lambda m: (m["parent"] == node["parent"])
+        & (m["pre"] <= node["pre"])
+        & _passes(step, nodes, m, upto),
+    )
+    return F.size(siblings)
+
+
 def _apply(step: Step, nodes: Column, current: Column | None) -> Column:
     """Nodes reached by one step; ``current`` None means the context element."""
-    if step.axis == "parent":
-        return F.filter(nodes, lambda n: F.exists(current, lambda c: c["parent"] == n["pre"]))
     if current is None:
         root = F.get(nodes, F.lit(0))["pre"]
         if step.axis == "child":
             return F.filter(nodes, lambda n: (n["parent"] == root) & _passes(step, nodes, n))
         return F.filter(nodes, lambda n: (n["pre"] > root) & _passes(step, nodes, n))
-    if step.axis == "child":
+    if step.axis == "parent":
+        related = lambda n: F.exists(current, lambda c: c["parent"] == n["pre"])
+    elif step.axis == "child":
         related = lambda n: F.exists(current, lambda c: c["pre"] == n["parent"])
     else:
         related = lambda n: F.exists(
@@ -114,22 +117,29 @@ def _apply(step: Step, nodes: Column, current: Column | None) -> Column:
     return F.filter(nodes, lambda n: _passes(step, nodes, n) & related(n))
 
 
+def _walk(nodes: Column, path: Path) -> Column:
+    def run(steps: list[Step], current: Column | None, finish) -> Column:
+        if not steps:
+            return finish(current)
+        return let(_apply(steps[0], nodes, current), lambda c: run(steps[1:], c, finish))
+
+    if path.index is None:
+        return run(path.steps, None, lambda c: c)
+    return run(
+        path.steps,
+        None,
+        lambda c: let(F.slice(c, path.index, 1), lambda hit: run(path.after, hit, lambda x: x)),
+    )
+
+
 def find_nodes(nodes: Column, paths: list[Path]) -> Column:
     """All matching nodes below the element ``nodes``, in document order."""
-    results = []
-    for path in paths:
-        current = None
-        for step in path.steps:
-            current = _apply(step, nodes, current)
-        if path.index is not None:
-            current = F.slice(current, path.index, 1)
-            for step in path.after:
-                current = _apply(step, nodes, current)
-        results.append(current)
-    if len(results) == 1:
-        return results[0]
-    hits = F.flatten(F.array(*[F.transform(r, lambda n: n["pre"]) for r in results]))
-    return F.filter(nodes, lambda n: F.array_contains(hits, n["pre"]))
+    if len(paths) == 1:
+        return _walk(nodes, paths[0])
+    places = F.flatten(
+        F.array(*[F.transform(_walk(nodes, path), lambda n: n["pre"]) for path in paths])
+    )
+    return let(places, lambda p: F.filter(nodes, lambda n: F.array_contains(p, n["pre"])))
 
 
 # --- selector texts to steps -------------------------------------------------
@@ -294,12 +304,13 @@ def is_absolute(paths: list[Path]) -> bool:
 
 def find_all(element: Column, method: str, text: str, render=F.lit, index=None) -> Column:
     """All matching elements, each as its subtree."""
-    hits = find_nodes(element, selector(method, text, render, index))
-    return F.transform(hits, lambda n: subtree(element, n))
+    paths = selector(method, text, render, index)
+    return let(element, lambda e: F.transform(find_nodes(e, paths), lambda n: subtree(e, n)))
 
 
 def find_first(element: Column, method: str, text: str, render=F.lit, index=None) -> Column:
     """First matching element, null when there is none."""
-    hits = find_nodes(element, selector(method, text, render, index))
-    first = F.get(hits, F.lit(0))
-    return F.when(first.isNotNull(), subtree(element, first))
+    paths = selector(method, text, render, index)
+    first = lambda e: F.slice(find_nodes(e, paths), 1, 1)
+    found = let(element, lambda e: F.transform(first(e), lambda n: subtree(e, n)))
+    return F.get(found, F.lit(0))

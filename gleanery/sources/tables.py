@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleanery.functions.records import AGENT, Model
 
@@ -94,7 +95,7 @@ def payload_entries(payloads: DataFrame, body: str = "body", key: str = "payload
 # --- site definitions ---------------------------------------------------------
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _definition_json(text: pd.Series) -> pd.Series:
     def convert(raw):
         if raw is None:
