@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gleanery.functions.binding import let, regex_groups
 from gleanery.functions.templates import escape_regex
 
 # Precision codes, ISO prefixes, directives and month names.
@@ -90,19 +91,16 @@ def _parse_one(text: Column, fmt: str) -> Column:
         if directive:
             pattern += DIRECTIVES[directive]
             order.append(directive)
-    pattern += r"\z"
-    matched = F.when(F.regexp_like(text, F.lit(pattern)), text)
-    parts = {
-        d: F.regexp_extract(matched, pattern, i) for i, d in enumerate(order, start=1)
-    }
-    return _make(parts)
+    groups = regex_groups(text, pattern + r"\z", len(order))
+    return let(groups, lambda g: _make({d: F.get(g, F.lit(i)) for i, d in enumerate(order)}))
 
 
 def granular(ts: Column, granularity: Column) -> Column:
-    return F.when(
-        ts.isNotNull(),
-        F.struct(
-            ts.cast("timestamp_ntz").alias("ts"), granularity.cast("tinyint").alias("granularity")
+    return let(
+        ts.cast("timestamp_ntz"),
+        lambda t: F.when(
+            t.isNotNull(),
+            F.struct(t.alias("ts"), granularity.cast("tinyint").alias("granularity")),
         ),
     )
 
@@ -131,14 +129,16 @@ _ISO = (
 
 def deserialize_granular(text: Column) -> Column:
     """ISO prefix to date and precision; unpadded parts allowed, unreal dates null."""
-    matched = F.when(F.regexp_like(text, F.lit(_ISO)), text)
-    got = [F.nullif(F.regexp_extract(matched, _ISO, i), F.lit("")) for i in range(1, 8)]
-    parts = {
-        d: F.coalesce(got[i], F.lit(default))
-        for i, (d, default) in enumerate(zip("YmdHMSf", "1110000"))
-    }
-    precision = sum((g.isNotNull().cast("int") for g in got[1:]), got[0].isNotNull().cast("int"))
-    return granular(_make(parts), precision)
+    def build(groups: Column) -> Column:
+        got = [F.nullif(F.get(groups, F.lit(i)), F.lit("")) for i in range(7)]
+        parts = {
+            d: F.coalesce(got[i], F.lit(default))
+            for i, (d, default) in enumerate(zip("mdHMSf", "110000"), start=1)
+        }
+        parts["Y"] = got[0]
+        return granular(_make(parts), F.size(F.filter(groups, lambda g: g != "")))
+
+    return let(regex_groups(text, _ISO, 7), build)
 
 
 def from_datetime(ts: Column, granularity: Column | None = None) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gleanery.functions.binding import let, regex_groups
+
 
 def derive_domain(url: Column, base: Column | None = None, strict: bool = False) -> Column:
     """Authority of a URL; a bare host counts, a relative path takes ``base``'s domain.
@@ -54,25 +56,33 @@ def _remove_dot_segments(path: Column) -> Column:
     return F.when(trailing & (joined != "/"), F.concat(joined, F.lit("/"))).otherwise(joined)
 
 
+_URL = (
+    r"\A([A-Za-z][A-Za-z0-9+.\-]*)://((?:[^/?#]*@)?)([^/?#@]*)([^?#]*)((?:\?[^#]*)?)((?:#[\s\S]*)?)\z"
+)
+
+
 def normalize_url(url: Column) -> Column:
     """Lower-case scheme and host, no default port, at least ``/``, no dot segments."""
-    pattern = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
     full = F.when(F.regexp_like(url, F.lit("^[A-Za-z][A-Za-z0-9+.\\-]*://")), url).otherwise(
         F.concat(F.lit("https://"), F.regexp_replace(url, "^//", ""))
     )
-    scheme = F.lower(F.regexp_extract(full, pattern, 1))
-    authority = F.regexp_extract(full, pattern, 2)
-    user = F.regexp_extract(authority, "^(.*@)?", 1)
-    host = F.lower(F.regexp_replace(authority, "^.*@", ""))
-    port = F.when(scheme == "http", F.regexp_replace(host, ":(80)?$", "")).when(
-        scheme == "https", F.regexp_replace(host, ":(443)?$", "")
-    ).otherwise(F.regexp_replace(host, ":$", ""))
-    path = F.regexp_extract(full, pattern, 3)
-    clean = F.when(F.contains(path, F.lit("/.")), _remove_dot_segments(path)).otherwise(
-        F.when(path == "", F.lit("/")).otherwise(path)
-    )
-    rest = F.concat(F.regexp_extract(full, pattern, 4), F.regexp_extract(full, pattern, 5))
-    return F.when(url.isNotNull() & (url != ""), F.concat(scheme, F.lit("://"), user, port, clean, rest))
+
+    def build(parts: Column) -> Column:
+        scheme, user, host, path, query, fragment = (F.get(parts, F.lit(i)) for i in range(6))
+        scheme, host = F.lower(scheme), F.lower(host)
+        host = (
+            F.when(scheme == "http", F.regexp_replace(host, ":(80)?$", ""))
+            .when(scheme == "https", F.regexp_replace(host, ":(443)?$", ""))
+            .otherwise(F.regexp_replace(host, ":$", ""))
+        )
+        clean = (
+            F.when(F.contains(path, F.lit("/.")), _remove_dot_segments(path))
+            .when(path == "", F.lit("/"))
+            .otherwise(path)
+        )
+        return F.concat(scheme, F.lit("://"), user, host, clean, query, fragment)
+
+    return let(regex_groups(F.nullif(full, F.lit("https://")), _URL, 6), build)
 
 
 def resolve_link(link: Column, page_url: Column) -> Column:

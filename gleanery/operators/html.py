@@ -9,7 +9,6 @@ Everything after this pass is native column work.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -17,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleanery.functions.binding import let
 from gleanery.session import spread
 
 NODE_TYPE = T.ArrayType(
@@ -148,15 +148,6 @@ def with_nodes(pages: DataFrame, html: str = "html", name: str = "nodes") -> Dat
     return spread(pages).withColumn(name, page_nodes(F.col(html))).drop(html)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once per row and use it many times in ``body``.
-
-    An expression repeated inside a higher-order function runs again for every
-    entry; a bound variable does not.
-    """
-    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
-
-
 def subtree(within: Column, node: Column) -> Column:
     """An element as its own slice of ``within``; the first entry is the element."""
     base = F.get(within, F.lit(0))["pre"]
@@ -177,3 +168,9 @@ def element_attribute(element: Column, name: Column | str) -> Column:
     """Attribute of an element, null when absent."""
     key = F.lit(name) if isinstance(name, str) else name
     return F.try_element_at(F.get(element, F.lit(0))["attrs"], F.lower(key))
+
+
+__all__ = [
+    "NODE_TYPE", "collapse", "element_attribute", "element_text", "let", "page_nodes", "subtree",
+    "with_nodes",
+]

@@ -82,48 +82,42 @@ def first_key(obj: Column) -> Column:
     return F.get(F.json_object_keys(obj), F.lit(0))
 
 
-def search_terms(objects: DataFrame, payload: str = "payload_id") -> DataFrame:
+def search_terms(payloads: DataFrame, body: str = "body", payload: str = "payload_id") -> DataFrame:
     """Search data of each payload: problem, org and geo terms, in that order.
 
-    One pass spreads the payload's objects by path, and each pointer hop is one
-    equi-join on (payload, path).
+    Pointers stay within their payload, and a payload is one row, so every hop is
+    a look-up in the payload's own map: nothing is shuffled.
     """
-    def hop(df: DataFrame, field: str, base: str, name: str) -> DataFrame:
-        raw = F.get_json_object(base, f"$.{field}")
-        pointer = F.when(json_kind(F.col(base), field) == "STRING", raw)
-        targets = objects.select(payload, F.col("path").alias("_p"), F.col("obj").alias("_o"))
-        joined = df.withColumn("_raw", raw).withColumn("_p", pointer)
-        joined = joined.join(targets, [payload, "_p"], "left")
-        found = F.when(F.col("_p").isNotNull(), F.col("_o")).otherwise(F.col("_raw"))
-        return joined.withColumn(name, found).drop("_raw", "_p", "_o")
-
-    # The root entry's value is a pointer, or the community itself.
-    root = F.col("obj")
-    base = F.when(root.startswith("{"), F.concat(F.lit('{"root":'), root, F.lit("}"))).otherwise(
-        F.to_json(F.struct(root.alias("root")))
-    )
-    roots = objects.filter("path = 'root'").select(payload, base.alias("_base"))
-    df = hop(roots, "root", "_base", "community")
-    for field in ("problem", "org", "geo"):
-        df = hop(df, field, "community", field)
-    df = hop(df, "levels", "geo", "levels")
-    df = hop(df, "path_parent", "geo", "parent")
+    def hop(df: DataFrame, base: str, hops: dict[str, str]) -> DataFrame:
+        return df.withColumns(
+            {name: _related(F.col(base), field, F.col("_objects")) for field, name in hops.items()}
+        )
+
+    df = payloads.withColumn("_objects", F.from_json(body, "map<string,string>"))
+    df = df.select(payload, "_objects", F.col(body).alias("_base"))
+    df = hop(df, "_base", {"root": "_community"})
+    df = hop(df, "_community", {"problem": "_problem", "org": "_org", "geo": "_geo"})
+    df = hop(df, "_geo", {"levels": "_levels", "path_parent": "_parent"})
     get = lambda c, f: F.get_json_object(c, f"$.{f}")
-    geo = geo_terms(
-        names_of(get("geo", "name"), get("geo", "abbrev")),
-        names_of(get("parent", "name"), get("parent", "abbrev")),
-        first_key(F.col("levels")),
-    )
+    names = lambda c: names_of(get(c, "name"), get(c, "abbrev"))
+    geo = geo_terms(names("_geo"), names("_parent"), first_key(F.col("_levels")))
     return df.select(
         payload,
         F.array(
-            topic("problem", names_of(get("problem", "name"), F.lit(None))),
-            topic("org", names_of(get("org", "name"), F.lit(None))),
+            topic("problem", names_of(get("_problem", "name"), F.lit(None))),
+            topic("org", names_of(get("_org", "name"), F.lit(None))),
             topic("geo", geo),
         ).alias("search_data"),
     )
 
 
+def _related(obj: Column, field: str, objects: Column) -> Column:
+    """Object a field points to within its payload's map of objects."""
+    raw = F.get_json_object(obj, f"$.{field}")
+    pointed = F.try_element_at(objects, raw)
+    return F.when(json_kind(obj, field) == "STRING", pointed).otherwise(raw)
+
+
 def topic(name: str, terms: Column) -> Column:
     return F.struct(F.lit(name).alias("topic"), terms.alias("terms"))
 

@@ -113,11 +113,11 @@ def is_legal(before: Column, after: Column) -> Column:
 def status_changes(log: DataFrame, keys: list[str], order: list[str], chunk: Column,
                    status: str = "status") -> DataFrame:
     """Each log entry with the status before it and whether the step is legal."""
-    paired = previous_row(log, keys, order, chunk, [status], "_before")
-    before = F.col("_before")[status]
+    paired = previous_row(log, keys, order, chunk, [status], "_previous")
+    before = F.col("_previous")[status]
     return paired.withColumn("previous", before).withColumn(
         "legal", is_legal(before, F.col(status))
-    ).drop("_before")
+    ).drop("_previous")
 
 
 def start_status(previous: Column) -> Column:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +35,19 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, whose Python has no copy of it."""
+    context = spark.sparkContext
+    if context.master.startswith("local") or "gleanery.zip" in {
+        Path(f).name for f in context.listFiles
+    }:
+        return spark
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp()) / "gleanery"
+    context.addPyFile(shutil.make_archive(str(archive), "zip", package.parent, package.name))
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleanery.functions.keys import build_key, key_field
 from gleanery.operators.status import INITIATED
@@ -59,7 +60,11 @@ def merge_fields(rows: DataFrame, keys: list[str], order: list[str]) -> DataFram
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Stored rows with new ones laid over them; null fields overwrite nothing."""
+    """Stored rows with later writes laid over them; null fields overwrite nothing.
+
+    A merged row keeps one order value for all its fields, so ``new`` must be
+    later than ``old``. Where writes may arrive out of order, use ``KeyedStore``.
+    """
     return merge_fields(old.unionByName(new, allowMissingColumns=True), keys, order)
 
 
@@ -101,33 +106,61 @@ def info_updates(writes: DataFrame, status: str, at: str, version: str) -> DataF
 
 
 class KeyedStore:
-    """The log of one kind of rows."""
+    """The log of one kind of rows.
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], order: list[str], schema):
+    Every stored field carries the order of the write it came from, so merging
+    gives the same rows whatever the order batches arrive in or are folded.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], order: list[str], schema: T.StructType):
         self.spark, self.path, self.keys, self.order, self.schema = spark, path, keys, order, schema
+        self.fields = [f.name for f in schema if f.name not in (*keys, *order)]
+
+    def _stamped(self, rows: DataFrame) -> DataFrame:
+        at = F.struct(*self.order)
+        return rows.select(
+            *self.keys,
+            at.alias("_at"),
+            *[
+                F.when(F.col(f).isNotNull(), F.struct(at.alias("at"), F.col(f).alias("value"))).alias(f)
+                for f in self.fields
+            ],
+        )
+
+    def _merged(self, stamped: DataFrame) -> DataFrame:
+        return stamped.groupBy(*self.keys).agg(
+            F.max("_at").alias("_at"),
+            *[F.max_by(F.col(f), F.col(f)["at"]).alias(f) for f in self.fields],
+        )
 
     def append(self, rows: DataFrame, batch: int) -> None:
         """Add a batch; adding the same batch again replaces it."""
-        merged = merge_fields(rows, self.keys, self.order)
-        merged.select(*rows.columns).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        self._write(self._merged(self._stamped(rows)), batch)
+
+    def _write(self, merged: DataFrame, batch: int) -> None:
+        merged.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
     def log(self) -> DataFrame:
         """Stored rows as written; none while nothing is stored."""
+        stamped = self._stamped(self.spark.createDataFrame([], self.schema))
         try:
-            return self.spark.read.schema(self.schema).option("basePath", self.path).parquet(
-                f"{self.path}/batch=*"
-            )
+            return self.spark.read.schema(stamped.schema).parquet(f"{self.path}/batch=*")
         except AnalysisException as problem:
             if problem.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], self.schema)
+            return stamped
 
     def read(self) -> DataFrame:
         """One merged row per key."""
-        return merge_fields(self.log().drop("batch"), self.keys, self.order)
+        merged = self._merged(self.log())
+        return merged.select(
+            *self.keys,
+            *[F.col(f)["value"].alias(f) for f in self.fields],
+            *[F.col("_at")[o].alias(o) for o in self.order],
+        )
 
     def compact(self, path: str) -> KeyedStore:
         """The merged rows as the first batch of a new log."""
         store = KeyedStore(self.spark, path, self.keys, self.order, self.schema)
-        store.append(self.log().drop("batch"), 0)
+        store._write(self._merged(self.log()), 0)
         return store
