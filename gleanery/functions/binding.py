@@ -19,12 +19,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
-def regex_groups(text: Column, pattern: str, groups: int) -> Column:
-    """Texts of a pattern's groups, ``''`` where a group took no part; null if no match.
+def with_groups(text: Column, pattern: str, groups: int,
+                body: Callable[[list[Column]], Column]) -> Column:
+    """``body`` of the texts of a pattern's groups; null where the pattern misses.
 
-    The pattern must cover the whole text. It runs once, however many groups.
+    A group that took no part is ``''``. The pattern must cover the whole text; it
+    runs once, however many groups there are.
     """
     replacement = "".join(f"{MARK}${i}" for i in range(1, groups + 1))
-    marked = F.regexp_replace(text, pattern, replacement)
-    parts = F.split(marked, MARK, groups + 1)
-    return let(parts, lambda p: F.when(F.size(p) == groups + 1, F.slice(p, 2, groups)))
+    parts = F.split(F.regexp_replace(text, pattern, replacement), MARK, groups + 1)
+    return let(
+        parts,
+        lambda p: F.when(
+            F.size(p) == groups + 1, body([F.get(p, F.lit(i + 1)) for i in range(groups)])
+        ),
+    )

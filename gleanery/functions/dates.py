@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gleanery.functions.binding import let, regex_groups
+from gleanery.functions.binding import let, with_groups
 from gleanery.functions.templates import escape_regex
 
 # Precision codes, ISO prefixes, directives and month names.
@@ -74,12 +75,12 @@ def _make(parts: dict[str, Column]) -> Column:
     day = F.trim(parts["d"]).cast("int") if "d" in parts else F.lit(1)
     hour = parts["H"].cast("int") if "H" in parts else F.lit(0)
     minute = parts["M"].cast("int") if "M" in parts else F.lit(0)
-    second = parts["S"].cast("int") if "S" in parts else F.lit(0)
-    micros = F.rpad(parts["f"], 6, "0").cast("int") if "f" in parts else F.lit(0)
-    seconds = second.cast("decimal(16,6)") + (micros.cast("decimal(16,6)") / 1000000).cast(
-        "decimal(16,6)"
-    )
-    made = F.try_make_timestamp_ntz(year, month, day, hour, minute, seconds.cast("decimal(16,6)"))
+    second = F.lit(Decimal(0))
+    if "f" in parts:
+        second = F.concat(parts.get("S", F.lit("0")), F.lit("."), parts["f"]).cast("decimal(16,6)")
+    elif "S" in parts:
+        second = parts["S"].cast("decimal(16,6)")
+    made = F.try_make_timestamp_ntz(year, month, day, hour, minute, second)
     return F.when(year >= 1, made)
 
 
@@ -91,8 +92,9 @@ def _parse_one(text: Column, fmt: str) -> Column:
         if directive:
             pattern += DIRECTIVES[directive]
             order.append(directive)
-    groups = regex_groups(text, pattern + r"\z", len(order))
-    return let(groups, lambda g: _make({d: F.get(g, F.lit(i)) for i, d in enumerate(order)}))
+    return with_groups(
+        text, pattern + r"\z", len(order), lambda groups: _make(dict(zip(order, groups)))
+    )
 
 
 def granular(ts: Column, granularity: Column) -> Column:
@@ -129,16 +131,19 @@ _ISO = (
 
 def deserialize_granular(text: Column) -> Column:
     """ISO prefix to date and precision; unpadded parts allowed, unreal dates null."""
-    def build(groups: Column) -> Column:
-        got = [F.nullif(F.get(groups, F.lit(i)), F.lit("")) for i in range(7)]
+    def build(groups: list[Column]) -> Column:
         parts = {
-            d: F.coalesce(got[i], F.lit(default))
-            for i, (d, default) in enumerate(zip("mdHMSf", "110000"), start=1)
+            d: F.coalesce(F.nullif(group, F.lit("")), F.lit(default))
+            for d, default, group in zip("mdHMSf", "110000", groups[1:])
         }
-        parts["Y"] = got[0]
-        return granular(_make(parts), F.size(F.filter(groups, lambda g: g != "")))
-
-    return let(regex_groups(text, _ISO, 7), build)
+        parts["Y"] = groups[0]
+        # A part is only there when all before it are, so the first gap ends the count.
+        precision = F.lit(7)
+        for count, group in reversed(list(enumerate(groups[1:], start=1))):
+            precision = F.when(group == "", F.lit(count)).otherwise(precision)
+        return granular(_make(parts), precision)
+
+    return with_groups(text, _ISO, 7, build)
 
 
 def from_datetime(ts: Column, granularity: Column | None = None) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gleanery.functions.binding import let, regex_groups
+from gleanery.functions.binding import with_groups
 
 
 def derive_domain(url: Column, base: Column | None = None, strict: bool = False) -> Column:
@@ -67,8 +67,8 @@ def normalize_url(url: Column) -> Column:
         F.concat(F.lit("https://"), F.regexp_replace(url, "^//", ""))
     )
 
-    def build(parts: Column) -> Column:
-        scheme, user, host, path, query, fragment = (F.get(parts, F.lit(i)) for i in range(6))
+    def build(parts: list[Column]) -> Column:
+        scheme, user, host, path, query, fragment = parts
         scheme, host = F.lower(scheme), F.lower(host)
         host = (
             F.when(scheme == "http", F.regexp_replace(host, ":(80)?$", ""))
@@ -82,7 +82,7 @@ def normalize_url(url: Column) -> Column:
         )
         return F.concat(scheme, F.lit("://"), user, host, clean, query, fragment)
 
-    return let(regex_groups(F.nullif(full, F.lit("https://")), _URL, 6), build)
+    return with_groups(F.nullif(full, F.lit("https://")), _URL, 6, build)
 
 
 def resolve_link(link: Column, page_url: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.urls import clip_url, normalize_url
 from gleanery.operators.ordered import previous_row
+from gleanery.sources.store import merge_fields
 
 
 def keep_last(items: DataFrame, key: str, order: list[str], first_name: str = "position") -> DataFrame:
@@ -32,17 +33,26 @@ def collisions(items: DataFrame, key: str, order: list[str], chunk: Column,
     return paired.filter("old is not null")
 
 
+def _source_fields(sources: DataFrame, fields: list[str], key: str, normalized: bool,
+                   order: list[str] | None) -> DataFrame:
+    """One row per source URL; of several copies the last non-null value of each field."""
+    address = F.col(key) if normalized else normalize_url(F.col(key))
+    if order is not None:
+        sources = sources.select(address.alias(key), *order, *[f for f in fields if f not in order])
+        sources = merge_fields(sources, [key], order)
+        address = F.col(key)
+    return sources.select(address.alias("_key"), *[F.col(f).alias(f"_source_{f}") for f in fields])
+
+
 def overlay(items: DataFrame, sources: DataFrame, fields: list[str], key: str = "source_url",
-            normalized: bool = False) -> DataFrame:
+            normalized: bool = False, order: list[str] | None = None) -> DataFrame:
     """Non-null source fields replace item fields; both sides meet on the normal form.
 
-    ``normalized`` says that the item key already is one.
+    ``normalized`` says that the keys already are normal. ``order`` ranks copies
+    of a source; without it each source URL must be there once.
     """
     left = items.withColumn("_key", F.col(key) if normalized else normalize_url(F.col(key)))
-    right = sources.select(
-        (F.col(key) if normalized else normalize_url(F.col(key))).alias("_key"),
-        *[F.col(f).alias(f"_source_{f}") for f in fields],
-    )
+    right = _source_fields(sources, fields, key, normalized, order)
     joined = left.join(right, "_key", "left")
     return joined.withColumns(
         {f: F.coalesce(F.col(f"_source_{f}"), F.col(f)) for f in fields}
@@ -50,13 +60,10 @@ def overlay(items: DataFrame, sources: DataFrame, fields: list[str], key: str =
 
 
 def overlay_conflicts(items: DataFrame, sources: DataFrame, fields: list[str],
-                      key: str = "source_url") -> DataFrame:
+                      key: str = "source_url", order: list[str] | None = None) -> DataFrame:
     """Fields both sides know, with different values."""
     left = items.withColumn("_key", normalize_url(F.col(key)))
-    right = sources.select(
-        normalize_url(F.col(key)).alias("_key"),
-        *[F.col(f).alias(f"_source_{f}") for f in fields],
-    )
+    right = _source_fields(sources, fields, key, False, order)
     changes = F.array(
         *[
             F.struct(
@@ -92,28 +99,34 @@ def route(urls: DataFrame, catalog: DataFrame, url: str = "url", key: str = "url
     """Deepest configured directory of each URL; unroutable URLs are dropped.
 
     A directory counts only if all its parents exist. The catalog has one row per
-    directory (``directory``, ``has_source``); the join carries the key and one
-    directory name only, and Spark broadcasts the catalog when it proves small.
+    directory (``directory``, ``has_source``, ``is_enabled``); the join carries the
+    key and one directory name only. Spark broadcasts the catalog where it proves
+    small, and splits a directory that very many URLs share where it does not.
     """
     prefixes = urls.select(
         F.col(key).alias("_id"), F.explode(url_directories(F.col(url))).alias("p")
     ).select("_id", "p.depth", "p.directory")
-    known = prefixes.join(catalog.select("directory", "has_source"), "directory")
-    # Directories nest without gaps: the n-th found must be n deep.
+    known = prefixes.join(catalog.select("directory", "has_source", "is_enabled"), "directory")
+    # One URL's directories are as few as its path is deep; nested without gaps, the
+    # n-th found is n deep.
     found = known.groupBy("_id").agg(
-        F.array_sort(F.collect_list(F.struct("depth", "directory", "has_source"))).alias("_d")
+        F.array_sort(
+            F.collect_list(F.struct("depth", "directory", "has_source", "is_enabled"))
+        ).alias("_d")
     )
     unbroken = F.filter(F.col("_d"), lambda d, i: d["depth"] == i + 1)
     configured = F.filter(unbroken, lambda d: d["has_source"])
     deepest = F.try_element_at(configured, F.lit(-1))
-    routed = found.select(F.col("_id"), deepest["directory"].alias("directory"))
-    return routed.filter("directory is not null").withColumnRenamed("_id", key)
+    return (
+        found.select(F.col("_id").alias(key), deepest.alias("_deepest"))
+        .filter("_deepest is not null")
+        .select(key, "_deepest.directory", "_deepest.is_enabled")
+    )
 
 
 def routable(urls: DataFrame, catalog: DataFrame, url: str = "url", key: str = "url") -> DataFrame:
     """URLs whose deepest directory is enabled."""
-    enabled = catalog.filter("is_enabled").select("directory")
-    routed = route(urls, catalog, url, key).join(enabled, "directory", "left_semi").select(key)
+    routed = route(urls, catalog, url, key).filter("is_enabled").select(key)
     return urls.join(routed, key, "left_semi")
 
 

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanery.functions.binding import let
-from gleanery.session import spread
+from gleanery.session import self_contained
+
+self_contained(__name__)
 
 NODE_TYPE = T.ArrayType(
     T.StructType(
@@ -145,7 +147,7 @@ def page_nodes(html: pa.Array) -> pa.Array:
 
 def with_nodes(pages: DataFrame, html: str = "html", name: str = "nodes") -> DataFrame:
     """Add the ``nodes`` column and drop the raw HTML, which nothing needs afterwards."""
-    return spread(pages).withColumn(name, page_nodes(F.col(html))).drop(html)
+    return pages.withColumn(name, page_nodes(F.col(html))).drop(html)
 
 
 def subtree(within: Column, node: Column) -> Column:

@@ -14,7 +14,7 @@ from gleanery.operators.crawl import Dwell
 from gleanery.operators.fields import derive_fields
 from gleanery.operators.html import with_nodes
 from gleanery.operators.items import (
-    any_needs_page, explode_items, limit_pages, rank_items, valid_items,
+    any_needs_page, explode_items, limit_pages, page_value, rank_items, valid_items,
 )
 from gleanery.operators.status import FRESH_DAYS
 from gleanery.plans.search import UrlTemplate
@@ -112,13 +112,11 @@ def combine(items: DataFrame, sources: DataFrame, model: Model, page_url: str =
     )
     kept = keep_last(absolute, "source_url", ["rank"])
     fields = [n for n in model.names() if n not in ("source_url", "rank")]
-    return overlay(kept, sources, fields, normalized=True)
+    return overlay(kept, sources, fields, normalized=True, order=[page_url])
 
 
 def page_links(pages: DataFrame, provider: Provider, url: str = "url") -> DataFrame:
     """``url, next_url`` of each page that has a next page."""
-    from gleanery.operators.items import page_value
-
     found = with_nodes(pages).select(url, page_value(provider.next_page).alias("_next"))
     return found.select(
         F.col(url).alias("url"), resolve_link(F.col("_next"), F.col(url)).alias("next_url")
@@ -129,22 +127,23 @@ def follow_pages(starts: DataFrame, links: DataFrame, limit: int, url: str = "ur
     """Pages reached from each start by next-page links, with their page number.
 
     The links are written once, so pages are parsed once however many hops
-    follow; each hop is one equi-join, and a search carries its trail along.
+    follow. Each hop is one equi-join over distinct addresses, so a start that very
+    many searches share is followed once.
     """
-    links = cut_lineage(links)
-    keys = [c for c in starts.columns if c != url]
-    df = starts.withColumn("_trail", F.array(F.col(url))).drop(url)
+    links = cut_lineage(links).select(F.col("url").alias("_at"), "next_url")
+    trails = starts.select(F.col(url).alias("_start")).distinct()
+    trails = trails.withColumn("_trail", F.array("_start"))
     for _ in range(limit - 1):
-        at = F.when(
-            F.try_element_at("_trail", F.lit(-1)).isNotNull(), F.try_element_at("_trail", F.lit(-1))
-        )
-        hop = links.select(F.col("url").alias("_at"), "next_url")
-        df = df.withColumn("_at", at).join(hop, "_at", "left").drop("_at")
-        df = df.withColumn("_trail", F.concat("_trail", F.array("next_url"))).drop("next_url")
-    return (
-        df.select(*keys, F.posexplode("_trail").alias("page", url))
-        .filter(F.col(url).isNotNull())
-        .withColumn("page", F.col("page") + 1)
+        trails = trails.withColumn("_at", F.try_element_at("_trail", F.lit(-1)))
+        trails = trails.join(links, "_at", "left")
+        trails = trails.select("_start", F.array_append("_trail", F.col("next_url")).alias("_trail"))
+    reached = trails.select("_start", F.posexplode("_trail").alias("page", "_url")).filter(
+        F.col("_url").isNotNull()
+    )
+    return starts.withColumnRenamed(url, "_start").join(reached, "_start").select(
+        *[c for c in starts.columns if c != url],
+        (F.col("page") + 1).alias("page"),
+        F.col("_url").alias(url),
     )
 
 

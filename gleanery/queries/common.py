@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gleanery.functions.urls import derive_domain
 from gleanery.operators.html import with_nodes
 from gleanery.operators.ordered import id_chunk, row_positions
+from gleanery.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,12 +39,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def work_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table about to be worked on row by row at some cost: use every core."""
+    return spread(table(spark, sf_dir, name))
+
+
 def big(column) -> Column:
     return (F.col(column) if isinstance(column, str) else column).cast("bigint")
 
 
 def parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_nodes(table(spark, sf_dir, "pages"))
+    return with_nodes(work_table(spark, sf_dir, "pages"))
 
 
 def page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:

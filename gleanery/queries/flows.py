@@ -11,14 +11,17 @@ from gleanery.plans.extraction import KNOWN_KEYS, unknown_keys
 from gleanery.plans.search import UrlTemplate, search_plan
 from gleanery.queries.common import (
     HOST_SQL, INFO_SQL, LABEL_SQL, NOW, REUSE_SQL, STATUS_SQL, Registry, big, page_hosts,
-    status_log, table,
+    status_log, table, work_table,
 )
 from gleanery.session import scratch_path
 from gleanery.sources import store, tables
 
 R = Registry()
 C = F.col
-MOMENT = F.lit(NOW).cast("timestamp_ntz")
+
+
+def _now():
+    return F.lit(NOW).cast("timestamp_ntz")
 
 
 # --- sources and sinks ---------------------------------------------------------
@@ -126,7 +129,7 @@ def upsert_partial(spark, sf):
     middle = F.lit("2024-01-15").cast("timestamp")
     stored = store.merge_fields(events.filter(C("ts") < middle), ["user_id"], ["ts", "event_id"])
     merged = store.upsert(stored, events.filter(C("ts") >= middle), ["user_id"], ["ts", "event_id"])
-    stamped = store.prepare_content(merged.withColumn("rank", F.lit(1)), F.lit("v7"), MOMENT)
+    stamped = store.prepare_content(merged.withColumn("rank", F.lit(1)), F.lit("v7"), _now())
     return stamped.select(
         "user_id", "event_type", "value", "props", "event_id", C("_cache_version").alias("cache_version")
     )
@@ -199,7 +202,7 @@ def info_upsert(spark, sf):
 
 def _payloads(spark, sf):
     """A search payload per customer: segment as problem, nation as place, region above it."""
-    customers = table(spark, sf, "customer")
+    customers = work_table(spark, sf, "customer")
     nations = table(spark, sf, "nation").join(
         table(spark, sf, "region"), C("n_regionkey") == C("r_regionkey")
     )
@@ -397,14 +400,14 @@ def search_plan_query(spark, sf):
 
 
 def _reuse():
-    return status.reusable(C("status"), C("last_extracted"), C("cache_version"), MOMENT, 15, F.lit("v1"))
+    return status.reusable(C("status"), C("last_extracted"), C("cache_version"), _now(), 15, F.lit("v1"))
 
 
 @R.add("freshness_flag", f"""WITH {INFO_SQL} SELECT search_key, provider, {REUSE_SQL} AS reusable,
   coalesce(floor((epoch_us(TIMESTAMP '{NOW}') - epoch_us(last_extracted)) / 86400000000.0) < 365
     AND cache_version IS NOT DISTINCT FROM 'v2', false) AS reusable_source FROM info""")
 def freshness_flag(spark, sf):
-    source = status.reusable_source(C("last_extracted"), C("cache_version"), MOMENT, F.lit("v2"))
+    source = status.reusable_source(C("last_extracted"), C("cache_version"), _now(), F.lit("v2"))
     return _info(spark, sf).select(
         "search_key", "provider", _reuse().alias("reusable"), source.alias("reusable_source")
     )
@@ -455,9 +458,9 @@ SELECT event_id, search_key, provider, status, previous, coalesce(
   false) AS legal FROM steps""")
 def status_transitions(spark, sf):
     log = status_log(spark, sf).select("event_id", "search_key", "provider", "status", "ts")
-    hours = F.floor(F.unix_micros(C("ts").cast("timestamp")) / 3_600_000_000)
+    minutes = F.floor(F.unix_micros(C("ts").cast("timestamp")) / 60_000_000)
     return status.status_changes(
-        log, ["search_key", "provider"], ["ts", "event_id"], hours
+        log, ["search_key", "provider"], ["ts", "event_id"], minutes
     ).select("event_id", "search_key", "provider", "status", "previous", "legal")
 
 
@@ -516,7 +519,7 @@ def count_phrases(spark, sf):
 
 def _words(spark, sf):
     """Pronunciation table derived from the documents' words, by a made-up rule."""
-    words = table(spark, sf, "documents").select(
+    words = work_table(spark, sf, "documents").select(
         F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("word")
     ).distinct()
     first = F.substring("word", 1, 1)

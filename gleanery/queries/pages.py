@@ -14,11 +14,10 @@ from gleanery.plans.extraction import (
 )
 from gleanery.queries.common import (
     AD_SQL, H1_SQL, LINKS_SQL, LISTED_SQL, TITLE_SQL, Registry, big, listing_pages,
-    parsed_pages, table,
+    parsed_pages, table, work_table,
 )
 
 R = Registry()
-NODES = F.col("nodes")
 
 
 @R.add("pages_scan", "SELECT page_id, url, length(html) AS n_chars FROM pages")
@@ -27,7 +26,7 @@ def pages_scan(spark, sf):
 
 
 def _count(tag):
-    return big(F.size(F.filter(NODES, lambda n: n["tag"] == tag))).alias(f"n_{tag}")
+    return big(F.size(F.filter(F.col("nodes"), lambda n: n["tag"] == tag))).alias(f"n_{tag}")
 
 
 def _count_sql(tag, closing=">"):
@@ -45,7 +44,7 @@ def page_nodes(spark, sf):
 @R.add("find_class", f"SELECT page_id, {AD_SQL} AS ad FROM pages")
 def find_class(spark, sf):
     return parsed_pages(spark, sf).select(
-        "page_id", element_text(find_first(NODES, "class_name", "ad")).alias("ad")
+        "page_id", element_text(find_first(F.col("nodes"), "class_name", "ad")).alias("ad")
     )
 
 
@@ -53,8 +52,8 @@ def find_class(spark, sf):
 SELECT page_id, idx, href, txt, {AD_SQL} AS ad FROM links JOIN pages USING (page_id)""")
 def find_css(spark, sf):
     pages = parsed_pages(spark, sf)
-    found = find_all(NODES, "css_selector", "nav > ul > li > a[href]")
-    ad = element_text(find_first(NODES, "css_selector", "body div.ad"))
+    found = find_all(F.col("nodes"), "css_selector", "nav > ul > li > a[href]")
+    ad = element_text(find_first(F.col("nodes"), "css_selector", "body div.ad"))
     return pages.select("page_id", ad.alias("ad"), F.posexplode(found).alias("idx", "e")).select(
         "page_id", (big("idx") + 1).alias("idx"), element_attribute(F.col("e"), "href").alias("href"),
         element_text(F.col("e")).alias("txt"), "ad",
@@ -72,10 +71,10 @@ SELECT c_nationkey::BIGINT AS site, page, count(*) AS n_rows, page::VARCHAR AS s
 FROM listed GROUP BY ALL""")
 def find_id(spark, sf):
     pages = _listing(spark, sf)
-    own_list = find_first(NODES, "id", "list-<site>", lambda t: F.concat(
+    own_list = find_first(F.col("nodes"), "id", "list-<site>", lambda t: F.concat(
         F.lit("list-"), F.col("site").cast("string")))
     rows = find_all(own_list, "tag_name", "tr")
-    shown = element_text(find_first(find_first(NODES, "id", "pagination"), "tag_name", "span"))
+    shown = element_text(find_first(find_first(F.col("nodes"), "id", "pagination"), "tag_name", "span"))
     return pages.select("site", "page", big(F.size(rows)).alias("n_rows"), shown.alias("shown"))
 
 
@@ -84,9 +83,9 @@ SELECT DISTINCT c_nationkey::BIGINT AS site, page, 'Customers of ' || c_nationke
   'A' || c_nationkey || '; B' || page AS authors FROM listed""")
 def find_name(spark, sf):
     names = F.transform(
-        find_all(NODES, "name", "DC.Contributor"), lambda e: element_attribute(e, "content")
+        find_all(F.col("nodes"), "name", "DC.Contributor"), lambda e: element_attribute(e, "content")
     )
-    title = element_attribute(find_first(NODES, "name", "citation_title"), "content")
+    title = element_attribute(find_first(F.col("nodes"), "name", "citation_title"), "content")
     return _listing(spark, sf).select(
         "site", "page", title.alias("title"), F.array_join(names, "; ").alias("authors")
     )
@@ -95,7 +94,7 @@ def find_name(spark, sf):
 @R.add("find_link_text", f"""WITH {LINKS_SQL}
 SELECT page_id, count(*) AS n, min(href) AS href FROM links WHERE txt = 'the' GROUP BY 1""")
 def find_link_text(spark, sf):
-    found = find_all(NODES, "link_text", "the")
+    found = find_all(F.col("nodes"), "link_text", "the")
     return parsed_pages(spark, sf).select("page_id", found.alias("f")).filter("size(f) > 0").select(
         "page_id", big(F.size("f")).alias("n"),
         F.array_min(F.transform("f", lambda e: element_attribute(e, "href"))).alias("href"),
@@ -107,7 +106,7 @@ SELECT page_id, idx, txt FROM (
   SELECT page_id, txt, row_number() OVER (PARTITION BY page_id ORDER BY idx) AS idx
   FROM links WHERE contains(txt, 'en'))""")
 def find_partial_link_text(spark, sf):
-    found = find_all(NODES, "partial_link_text", "en")
+    found = find_all(F.col("nodes"), "partial_link_text", "en")
     return parsed_pages(spark, sf).select("page_id", F.posexplode(found).alias("idx", "e")).select(
         "page_id", (big("idx") + 1).alias("idx"), element_text(F.col("e")).alias("txt")
     )
@@ -116,7 +115,7 @@ def find_partial_link_text(spark, sf):
 @R.add("find_tag", f"SELECT page_id, {TITLE_SQL} AS title FROM pages")
 def find_tag(spark, sf):
     return parsed_pages(spark, sf).select(
-        "page_id", element_text(find_first(NODES, "tag_name", "title")).alias("title")
+        "page_id", element_text(find_first(F.col("nodes"), "tag_name", "title")).alias("title")
     )
 
 
@@ -128,8 +127,8 @@ SELECT page_id, {AD_SQL} AS ad,
   (SELECT txt FROM links l WHERE l.page_id = p.page_id ORDER BY idx LIMIT 1) AS first_link
 FROM pages p""")
 def find_xpath(spark, sf):
-    one = lambda path: element_text(find_first(NODES, "xpath", path))
-    size = lambda path: big(F.size(find_nodes(NODES, selector("xpath", path))))
+    one = lambda path: element_text(find_first(F.col("nodes"), "xpath", path))
+    size = lambda path: big(F.size(find_nodes(F.col("nodes"), selector("xpath", path))))
     return parsed_pages(spark, sf).select(
         "page_id",
         one("//div[contains(concat(' ', @class, ' '), ' ad ')]").alias("ad"),
@@ -144,7 +143,7 @@ def find_xpath(spark, sf):
 SELECT page_id, count(*) AS n, min(href) FILTER (WHERE idx = 1) AS first_href
 FROM links GROUP BY 1""")
 def find_first_vs_all(spark, sf):
-    nav = find_first(NODES, "tag_name", "nav")
+    nav = find_first(F.col("nodes"), "tag_name", "nav")
     return parsed_pages(spark, sf).select(
         "page_id",
         big(F.size(find_all(nav, "tag_name", "a"))).alias("n"),
@@ -174,18 +173,18 @@ def find_indexed(spark, sf):
 @R.add("get_text", f"SELECT page_id, {H1_SQL} AS heading FROM pages")
 def get_text(spark, sf):
     return parsed_pages(spark, sf).select(
-        "page_id", element_text(find_first(NODES, "tag_name", "h1")).alias("heading")
+        "page_id", element_text(find_first(F.col("nodes"), "tag_name", "h1")).alias("heading")
     )
 
 
 @R.add("get_attribute", """SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,
   regexp_extract(html, '<meta charset="([^"]*)"', 1) AS charset, NULL::VARCHAR AS missing FROM pages""")
 def get_attribute(spark, sf):
-    html = find_first(NODES, "tag_name", "html")
+    html = find_first(F.col("nodes"), "tag_name", "html")
     return parsed_pages(spark, sf).select(
         "page_id",
         element_attribute(html, "lang").alias("lang"),
-        element_attribute(find_first(NODES, "tag_name", "meta"), "charset").alias("charset"),
+        element_attribute(find_first(F.col("nodes"), "tag_name", "meta"), "charset").alias("charset"),
         element_attribute(html, "no-such").alias("missing"),
     )
 
@@ -307,7 +306,7 @@ SELECT page_id, a AS first_link, z AS last_link, {H1_SQL} AS heading, a AS from_
 FROM pages JOIN ends USING (page_id)""")
 def op_series_scopes(spark, sf):
     def run(*operations):
-        return run_series(list(operations), Context(NODES, NODES, {})).scalar()
+        return run_series(list(operations), Context(F.col("nodes"), F.col("nodes"), {})).scalar()
 
     nav, link, text = {"tag_name": "nav"}, {"tag_name": "a"}, {"getattr": "text"}
     return parsed_pages(spark, sf).select(
@@ -326,7 +325,7 @@ def op_series_scopes(spark, sf):
 SELECT page_id, {H1_SQL} AS only_heading, NULL::VARCHAR AS only_table, 1::BIGINT AS listed,
   0::BIGINT AS listed_null FROM pages""")
 def delist_enlist(spark, sf):
-    texts = lambda tag: F.transform(find_all(NODES, "tag_name", tag), element_text)
+    texts = lambda tag: F.transform(find_all(F.col("nodes"), "tag_name", tag), element_text)
     return parsed_pages(spark, sf).select(
         "page_id",
         delist(texts("h1")).alias("only_heading"),
@@ -446,7 +445,7 @@ kept AS (SELECT source_url, max(page_id * 6 + idx) AS rank,
 SELECT source_url, rank, position, title, 'Example Press' AS publisher FROM kept""")
 def site_extraction(spark, sf):
     """Pages to ranked, de-duplicated items overlaid by their source pages."""
-    pages = table(spark, sf, "pages").withColumn("page", F.col("page_id") + 1)
+    pages = work_table(spark, sf, "pages").withColumn("page", F.col("page_id") + 1)
     site = Provider(
         "pages", items=LINK_ITEMS, page_size=6, pages=1 << 62,
         content={k: SITE.content[k] for k in ("source_url", "title", "publisher")},
@@ -462,7 +461,7 @@ def site_extraction(spark, sf):
 
 def _overlay_sides(spark, sf):
     pages = parsed_pages(spark, sf).select("page_id", "url", "nodes")
-    text = lambda tag: element_text(find_first(NODES, "tag_name", tag))
+    text = lambda tag: element_text(find_first(F.col("nodes"), "tag_name", tag))
     items = pages.select(
         F.col("url").alias("source_url"), text("title").alias("title"),
         F.lit("site").alias("publisher"), F.lit(None).cast("string").alias("summary"),
@@ -471,7 +470,7 @@ def _overlay_sides(spark, sf):
         normalize_url(F.col("url")).alias("source_url"),
         F.when(~F.col("url").contains("example.org"), text("h1")).alias("title"),
         F.lit(None).cast("string").alias("publisher"),
-        element_text(find_first(NODES, "class_name", "ad")).alias("summary"),
+        element_text(find_first(F.col("nodes"), "class_name", "ad")).alias("summary"),
     )
     return items, sources
 
@@ -504,7 +503,7 @@ WHERE regexp_matches(url, '^[a-z]+://[^/?#]*\\.(com|net|org)([/?#]|$)')""")
 def union_results(spark, sf):
     from gleanery.operators.assemble import union_all
 
-    pages = table(spark, sf, "pages")
+    pages = work_table(spark, sf, "pages")
 
     def results(zone):
         from gleanery.operators.html import with_nodes

@@ -8,7 +8,7 @@ from gleanery.operators.cardinality import changed_rows
 from gleanery.operators.fields import excise as excise_snippets
 from gleanery.operators.fields import join_values as join_texts
 from gleanery.operators.fields import split_values as split_texts
-from gleanery.queries.common import HOST_SQL, LINKS_SQL, Registry, big, parsed_pages, table
+from gleanery.queries.common import HOST_SQL, LINKS_SQL, Registry, big, parsed_pages, table, work_table
 
 R = Registry()
 C = F.col
@@ -140,7 +140,7 @@ def strptime_granular(spark, sf):
         .when(status == "O", F.upper(F.date_format(day, "MMMM yyyy")))
         .when(status == "P", F.date_format(day, "yyyy"))
     )
-    orders = table(spark, sf, "orders").withColumn("text", text)
+    orders = work_table(spark, sf, "orders").withColumn("text", text)
     parsed = orders.withColumn("g", dates.strptime(C("text"), ["%d %B %Y", "%B %Y", "%Y"]))
     unreal = dates.strptime(F.concat(F.lit("31 February "), F.date_format(day, "yyyy")), ["%d %B %Y"])
     return parsed.select(
@@ -151,10 +151,17 @@ def strptime_granular(spark, sf):
     )
 
 
-PRECISION = (C("o_orderkey") % 7 + 1).cast("int")
-MOMENT = F.timestamp_micros(
-    F.unix_micros(C("o_orderdate").cast("timestamp")) + C("o_orderkey") * 1234567891 % 86400000000
-).cast("timestamp_ntz")
+def _precision():
+    return (C("o_orderkey") % 7 + 1).cast("int")
+
+
+def _moment():
+    micros = F.unix_micros(C("o_orderdate").cast("timestamp"))
+    return F.timestamp_micros(
+        micros + C("o_orderkey") * 1234567891 % 86400000000
+    ).cast("timestamp_ntz")
+
+
 MOMENT_SQL = (
     "(o_orderdate + to_microseconds(o_orderkey * 1234567891 % 86400000000))"
 )
@@ -167,8 +174,8 @@ SERIAL_SQL = f"""CASE o_orderkey % 7 + 1 WHEN 1 THEN strftime({MOMENT_SQL}, '%Y'
 
 @R.add("granular_serialize", f"SELECT o_orderkey, {SERIAL_SQL} AS serial FROM orders")
 def granular_serialize(spark, sf):
-    value = dates.granular(MOMENT, PRECISION)
-    return table(spark, sf, "orders").withColumn("g", value).select(
+    value = dates.granular(_moment(), _precision())
+    return work_table(spark, sf, "orders").withColumn("g", value).select(
         "o_orderkey", dates.serialize_granular(C("g")).alias("serial")
     )
 
@@ -188,7 +195,7 @@ def granular_deserialize(spark, sf):
         "bad_second": F.date_format(day, "yyyy-MM-dd'T12:34:60'"),
         "open_end": F.date_format(day, "yyyy-MM-"),
     }
-    parsed = table(spark, sf, "orders").select(
+    parsed = work_table(spark, sf, "orders").select(
         "o_orderkey", *[dates.deserialize_granular(t).alias(n) for n, t in texts.items()]
     )
     text = lambda n: F.date_format(C(f"{n}.ts"), "yyyy-MM-dd")
@@ -204,10 +211,10 @@ def granular_deserialize(spark, sf):
 @R.add("granular_convert", f"""SELECT o_orderkey, strftime({MOMENT_SQL}, '%Y-%m-%dT%H:%M:%S.%f') AS full_text,
   7 AS default_granularity, CASE WHEN o_orderstatus = 'F' THEN 3 ELSE 7 END AS given FROM orders""")
 def granular_convert(spark, sf):
-    orders = table(spark, sf, "orders").select(
+    orders = work_table(spark, sf, "orders").select(
         "o_orderkey",
-        dates.from_datetime(MOMENT).alias("plain"),
-        dates.from_datetime(MOMENT, F.when(C("o_orderstatus") == "F", F.lit(3))).alias("given"),
+        dates.from_datetime(_moment()).alias("plain"),
+        dates.from_datetime(_moment(), F.when(C("o_orderstatus") == "F", F.lit(3))).alias("given"),
     )
     return orders.select(
         "o_orderkey",
@@ -226,7 +233,7 @@ def epoch_auto(spark, sf):
     seconds, millis = F.floor(micros / 1000000), F.floor(micros / 1000)
     text = lambda c, f: F.date_format(c, f)
     whole, fine = "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSSSSS"
-    return table(spark, sf, "events").select(
+    return work_table(spark, sf, "events").select(
         "event_id",
         text(dates.epoch_to_utc(seconds), whole).alias("from_seconds"),
         text(dates.epoch_to_utc(millis), fine).alias("from_millis"),
@@ -240,7 +247,7 @@ def epoch_auto(spark, sf):
 FROM orders""")
 def strftime(spark, sf):
     day = C("o_orderdate")
-    return table(spark, sf, "orders").select(
+    return work_table(spark, sf, "orders").select(
         "o_orderkey",
         dates.strftime(day, "%d %B %Y").alias("long_form"),
         dates.strftime(day, "Published: %b %Y").alias("labelled"),
@@ -306,7 +313,7 @@ def split_values(spark, sf):
 def get_reference(spark, sf):
     from gleanery.operators.fields import Context
 
-    orders = table(spark, sf, "orders").select(
+    orders = work_table(spark, sf, "orders").select(
         "o_orderkey", "o_orderpriority",
         F.struct(F.struct(C("o_orderstatus").alias("code")).alias("status")).alias("state"),
         dates.granular(C("o_orderdate"), F.lit(3)).alias("day"),
@@ -425,9 +432,9 @@ def to_json(spark, sf):
 FROM orders""")
 def serialize_values(spark, sf):
     precision = F.when(C("o_orderstatus") == "F", F.lit(3))
-    return table(spark, sf, "orders").select(
+    return work_table(spark, sf, "orders").select(
         "o_orderkey",
-        records.serialize_value(MOMENT, "timestamp").alias("at"),
+        records.serialize_value(_moment(), "timestamp").alias("at"),
         records.serialize_value(C("o_orderdate"), "date").alias("day"),
         records.serialize_value(C("o_totalprice").cast("decimal(12,2)"), "decimal").alias("price"),
         records.serialize_value(C("o_orderkey"), "bigint").alias("number"),
@@ -503,9 +510,13 @@ def key_parse(spark, sf):
 PRIORITY = Enumeration.of(
     "Priority", increasing=False, URGENT=1, HIGH=2, MEDIUM=3, UNSPECIFIED=4, LOW=5
 )
-RAW_LABEL = F.when(
-    C("o_orderpriority") == "4-NOT SPECIFIED", F.lit("unspecified")
-).otherwise(F.lower(F.regexp_replace("o_orderpriority", "^[0-9]-", "")))
+
+
+def _raw_label():
+    text = F.lower(F.regexp_replace("o_orderpriority", "^[0-9]-", ""))
+    return F.when(C("o_orderpriority") == "4-NOT SPECIFIED", F.lit("unspecified")).otherwise(text)
+
+
 CODE_SQL = "CAST(left(o_orderpriority, 1) AS INT)"
 LABEL_SQL = f"['URGENT', 'HIGH', 'MEDIUM', 'UNSPECIFIED', 'LOW'][{CODE_SQL}]"
 
@@ -515,12 +526,12 @@ LABEL_SQL = f"['URGENT', 'HIGH', 'MEDIUM', 'UNSPECIFIED', 'LOW'][{CODE_SQL}]"
   {CODE_SQL} AS from_qualified, CASE WHEN {CODE_SQL} < 3 THEN 1 WHEN {CODE_SQL} = 3 THEN 0 ELSE -1 END AS versus_medium
 FROM orders""")
 def enum_cast(spark, sf):
-    code = PRIORITY.cast(RAW_LABEL)
+    code = PRIORITY.cast(_raw_label())
     orders = table(spark, sf, "orders").withColumn("code", code)
     return orders.select(
         "o_orderkey", "code",
         PRIORITY.label_of(C("code")).alias("label"),
-        PRIORITY.cast(F.when(C("o_orderstatus") == "F", RAW_LABEL), nullable=True).alias("nullable"),
+        PRIORITY.cast(F.when(C("o_orderstatus") == "F", _raw_label()), nullable=True).alias("nullable"),
         PRIORITY.qualified(C("code")).alias("qualified"),
         PRIORITY.from_qualified(PRIORITY.qualified(C("code"))).alias("from_qualified"),
         PRIORITY.compare(C("code"), F.lit(3)).alias("versus_medium"),
@@ -531,7 +542,7 @@ def enum_cast(spark, sf):
   {LABEL_SQL} AS labelled, 5::BIGINT AS members FROM orders""")
 def enum_map(spark, sf):
     code = C("code")
-    orders = table(spark, sf, "orders").withColumn("code", PRIORITY.code_of(RAW_LABEL))
+    orders = table(spark, sf, "orders").withColumn("code", PRIORITY.code_of(_raw_label()))
     inverse = PRIORITY.as_map(transform=str.lower, inverse=True)
     label = F.try_element_at(PRIORITY.as_map(swap=True), code)
     return orders.select(
@@ -546,7 +557,7 @@ def enum_map(spark, sf):
 @R.add("enum_minmax", f"""SELECT o_custkey, max({CODE_SQL}) AS lowest, min({CODE_SQL}) AS highest,
   max({CODE_SQL}) FILTER (WHERE o_orderstatus = 'F') AS lowest_done FROM orders GROUP BY 1""")
 def enum_minmax(spark, sf):
-    orders = table(spark, sf, "orders").withColumn("code", PRIORITY.code_of(RAW_LABEL))
+    orders = table(spark, sf, "orders").withColumn("code", PRIORITY.code_of(_raw_label()))
     done = F.when(C("o_orderstatus") == "F", C("code"))
     return orders.groupBy("o_custkey").agg(
         PRIORITY.minimum(C("code"), nullable=False).alias("lowest"),
@@ -557,6 +568,6 @@ def enum_minmax(spark, sf):
 
 @R.add("enum_consolidate", f"""SELECT o_custkey, bit_or({CODE_SQL}) AS combined FROM orders GROUP BY 1""")
 def enum_consolidate(spark, sf):
-    orders = table(spark, sf, "orders").withColumn("code", PRIORITY.code_of(RAW_LABEL))
+    orders = table(spark, sf, "orders").withColumn("code", PRIORITY.code_of(_raw_label()))
     merged = PRIORITY.consolidate(orders, ["o_custkey"], "code", lambda a, b: a.bitwiseOR(b))
     return merged.select("o_custkey", C("code").alias("combined"))

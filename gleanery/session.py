@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import shutil
+import sys
 import tempfile
 import uuid
-from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -16,6 +16,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join key even where that costs one more exchange above the join.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Raw pages are large: bound what one Arrow batch holds by rows and by bytes.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64MB",
 }
 
 
@@ -32,20 +35,18 @@ def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else created."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    if not spark.sparkContext.master.startswith("local"):
+        # Shuffles start with enough partitions for the cluster; AQE merges small ones.
+        cores = spark.sparkContext.defaultParallelism
+        spark.conf.set(
+            "spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(max(200, 4 * cores))
+        )
     return spark
 
 
-def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors, whose Python has no copy of it."""
-    context = spark.sparkContext
-    if context.master.startswith("local") or "gleanery.zip" in {
-        Path(f).name for f in context.listFiles
-    }:
-        return spark
-    package = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp()) / "gleanery"
-    context.addPyFile(shutil.make_archive(str(archive), "zip", package.parent, package.name))
-    return spark
+def self_contained(module_name: str) -> None:
+    """Send the functions of a module to executors whole, so they need no copy of it."""
+    cloudpickle.register_pickle_by_value(sys.modules[module_name])
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -78,10 +79,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core when the input arrives in fewer splits than there are cores.
+    """Use every core when a file scan arrives in fewer splits than there are cores.
 
     A large table has many more splits than cores and is returned untouched, so
-    raw pages are never shuffled at scale.
+    raw pages are never shuffled at scale. For plain scans only: counting the
+    partitions of anything else would run its shuffles.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:

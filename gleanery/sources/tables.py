@@ -11,11 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanery.functions.records import AGENT, Model
+from gleanery.session import self_contained
 
-try:
-    import yaml
-except ImportError:  # definitions may then be written as JSON only
-    yaml = None
+self_contained(__name__)
 
 CSV_FORMAT = {"sep": "|", "quote": '"', "escape": '"', "header": True}
 
@@ -95,23 +93,27 @@ def payload_entries(payloads: DataFrame, body: str = "body", key: str = "payload
 # --- site definitions ---------------------------------------------------------
 
 
-@F.pandas_udf(T.StringType())
-def _definition_json(text: pd.Series) -> pd.Series:
-    def convert(raw):
-        if raw is None:
+def _parse_definition(raw: str | None) -> str | None:
+    """A definition as JSON, null unless it is a mapping; YAML only where installed."""
+    if raw is None:
+        return None
+    try:
+        parsed = json.loads(raw)
+    except ValueError:
+        try:
+            import yaml
+        except ImportError:
             return None
         try:
-            parsed = json.loads(raw)
-        except ValueError:
-            if yaml is None:
-                return None
-            try:
-                parsed = yaml.safe_load(raw)
-            except yaml.YAMLError:
-                return None
-        return json.dumps(parsed) if isinstance(parsed, dict) else None
-
-    return text.map(convert)
+            parsed = yaml.safe_load(raw)
+        except yaml.YAMLError:
+            return None
+    return json.dumps(parsed) if isinstance(parsed, dict) else None
+
+
+@F.pandas_udf(T.StringType())
+def _definition_json(text: pd.Series) -> pd.Series:
+    return text.map(_parse_definition)
 
 
 def read_definitions(spark: SparkSession, root: str, file_name: str = "multi.yaml") -> DataFrame:
