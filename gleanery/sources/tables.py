@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -108,7 +109,18 @@ def _parse_definition(raw: str | None) -> str | None:
             parsed = yaml.safe_load(raw)
         except yaml.YAMLError:
             return None
-    return json.dumps(parsed) if isinstance(parsed, dict) else None
+    return json.dumps(_plain(parsed), default=str) if isinstance(parsed, dict) else None
+
+
+def _plain(value):
+    """YAML's infinities as text, which JSON cannot state otherwise."""
+    if isinstance(value, dict):
+        return {str(k): _plain(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_plain(v) for v in value]
+    if isinstance(value, float) and not math.isfinite(value):
+        return "NaN" if math.isnan(value) else ("Infinity" if value > 0 else "-Infinity")
+    return value
 
 
 @F.pandas_udf(T.StringType())
