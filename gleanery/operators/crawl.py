@@ -106,7 +106,12 @@ def popularity_order(rows: DataFrame, group: str, position: str, size: str, seed
     ``position`` is the 1-based place within the group, without gaps, and ``size``
     the group's row count. Each step reads its input twice (rows and borders), so
     the lineage is cut between steps.
+
+    A stretch averages 16 entries at the default rate and some 600 at 0.2; below
+    that stretches, and with them tasks, would grow without a useful bound.
     """
+    if rate < 0.2:
+        raise ValueError("a selection rate below 0.2 is not supported")
     steps = rows.withColumn("_t", F.col(position).cast("bigint") - 1)
     index = exponential_index(rate, F.col(size) - F.col("_t"), seed, F.col(group), F.col("_t"))
     steps = cut_lineage(

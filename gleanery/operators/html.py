@@ -9,7 +9,8 @@ Everything after this pass is native column work.
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+import re
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -52,29 +53,68 @@ IMPLIED_END = {
 PARAGRAPH_SCOPE = ("table", "td", "th", "button")
 
 
-class _TreeReader(HTMLParser):
-    """Appends one page's nodes to flat column lists; tolerant of unclosed tags."""
+# Elements whose body is text up to their end tag; those never shown.
+RAW_TEXT = ("script", "style", "title", "textarea")
+UNSHOWN = ("script", "style")
+
+MARKUP = re.compile(
+    r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?\]\]>|[!?][^>]*>"
+    r"|/(?P<end>[a-zA-Z][^\s/>]*)[^>]*>"
+    r"|(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>)",
+    re.S,
+)
+ATTRIBUTE = re.compile(
+    r"([^\s=/>\"'][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?"
+)
+ATTRIBUTE_REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*)(?:;|(?![=a-zA-Z0-9]))")
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW_TEXT}
+
+
+class _TreeReader:
+    """Appends pages' nodes to flat column lists; tolerant of unclosed tags."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.offsets = [0]
         self.pre, self.post, self.parent, self.depth = [], [], [], []
         self.tag, self.text = [], []
         self.attr_offsets, self.names, self.values = [0], [], []
 
     def read(self, html: str | None) -> None:
-        self.reset()
         self.base = len(self.pre)
         self.open: list[int] = []
         if html is not None:
-            self._add("#document", (), None)
-            self.open.append(0)
-            self.feed(html)
-            self.close()
+            self.open.append(self._add("#document"))
+            self._read_markup(html)
             self._pop_to(0)
         self.offsets.append(len(self.pre))
 
-    def _add(self, tag: str, attrs, text: str | None) -> int:
+    def _read_markup(self, html: str) -> None:
+        at, size = 0, len(html)
+        while found := MARKUP.search(html, at):
+            if found.start() > at:
+                self._add("#text", text=unescape(html[at : found.start()]))
+            at = found.end()
+            if found["start"]:
+                tag = found["start"].lower()
+                self._start(tag, found["attrs"])
+                if tag in RAW_END:
+                    end = RAW_END[tag].search(html, at)
+                    stop = end.start() if end else size
+                    if stop > at:
+                        body = html[at:stop]
+                        if tag in UNSHOWN:
+                            self._add("#data", text=body)
+                        else:
+                            self._add("#text", text=unescape(body))
+                    at = stop
+            elif found["end"]:
+                tag = found["end"].lower()
+                if tag not in VOID:
+                    self._close_open((tag,), ())
+        if at < size:
+            self._add("#text", text=unescape(html[at:]))
+
+    def _add(self, tag: str, attrs: str = "", text: str | None = None) -> int:
         position = len(self.pre) - self.base
         self.pre.append(position)
         self.post.append(position)
@@ -82,18 +122,39 @@ class _TreeReader(HTMLParser):
         self.depth.append(len(self.open))
         self.tag.append(tag)
         self.text.append(text)
-        for name, value in dict(reversed(attrs)).items() if attrs else ():
-            self.names.append(name)
-            self.values.append(value or "")
+        if attrs:
+            self._add_attributes(attrs)
         self.attr_offsets.append(len(self.names))
         return position
 
+    def _add_attributes(self, attrs: str) -> None:
+        seen = set()
+        for name, double, single, bare in ATTRIBUTE.findall(attrs):
+            name = name.lower()
+            if name not in seen:
+                seen.add(name)
+                value = double or single or bare
+                if "&" in value:
+                    value = ATTRIBUTE_REFERENCE.sub(lambda m: unescape(m[0]), value)
+                self.names.append(name)
+                self.values.append(value)
+
+    def _start(self, tag: str, attrs: str) -> None:
+        if tag in ENDS_PARAGRAPH:
+            self._close_open(("p",), PARAGRAPH_SCOPE)
+        if tag in IMPLIED_END:
+            self._close_open(*IMPLIED_END[tag])
+        position = self._add(tag, attrs)
+        if tag not in VOID:
+            self.open.append(position)
+
     def _pop_to(self, level: int) -> None:
         last = len(self.pre) - self.base - 1
         while len(self.open) > level:
             self.post[self.base + self.open.pop()] = last
 
     def _close_open(self, tags, scope) -> None:
+        """Close the nearest open element of these tags, unless the scope is met first."""
         for level in range(len(self.open) - 1, 0, -1):
             tag = self.tag[self.base + self.open[level]]
             if tag in tags:
@@ -102,26 +163,6 @@ class _TreeReader(HTMLParser):
             if tag in scope:
                 return
 
-    def handle_starttag(self, tag, attrs):
-        if tag in ENDS_PARAGRAPH:
-            self._close_open(("p",), PARAGRAPH_SCOPE)
-        if tag in IMPLIED_END:
-            self._close_open(*IMPLIED_END[tag])
-        position = self._add(tag, attrs, None)
-        if tag not in VOID:
-            self.open.append(position)
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag):
-        if tag not in VOID:
-            self._close_open((tag,), ())
-
-    def handle_data(self, data):
-        raw = self.tag[self.base + self.open[-1]] in ("script", "style")
-        self._add("#data" if raw else "#text", (), data)
-
     def to_arrow(self) -> pa.Array:
         attrs = pa.MapArray.from_arrays(
             pa.array(self.attr_offsets, pa.int32()),

@@ -64,11 +64,22 @@ def roll_up(rows: DataFrame, keys: list[str], status: str = "status") -> DataFra
     return ends.select(*keys, rolled_up(F.col("_lo"), F.col("_hi")).cast("int").alias("status"))
 
 
-def overall_status(info: DataFrame, keys: list[str], reuse: Column, status: str = "status") -> DataFrame:
-    """What to answer for a search: completed only if every provider is reusable."""
+def provider_info(plan: DataFrame, info: DataFrame, keys: list[str]) -> DataFrame:
+    """Extraction info of every planned (search, provider); nulls where there is none."""
+    return plan.join(info, keys, "left")
+
+
+def overall_status(plan: DataFrame, keys: list[str], reuse: Column, provider: str = "provider",
+                   status: str = "status") -> DataFrame:
+    """What to answer for a search, from the info of its active providers.
+
+    Completed if all are reusable, which holds for no providers too: such a
+    search has a row without a provider.
+    """
     code = F.col(status)
-    ends = info.groupBy(*keys).agg(
-        F.bool_and(F.coalesce(reuse, F.lit(False))).alias("_all"),
+    usable = F.coalesce(reuse, F.lit(False)) | F.col(provider).isNull()
+    ends = plan.groupBy(*keys).agg(
+        F.bool_and(usable).alias("_all"),
         STATUS.minimum(code).alias("_lo"),
         STATUS.maximum(code).alias("_hi"),
     )

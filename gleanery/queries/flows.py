@@ -10,7 +10,7 @@ from gleanery.operators.ordered import id_chunk
 from gleanery.plans.extraction import KNOWN_KEYS, unknown_keys
 from gleanery.plans.search import UrlTemplate, search_plan
 from gleanery.queries.common import (
-    HOST_SQL, INFO_SQL, LABEL_SQL, NOW, REUSE_SQL, STATUS_SQL, Registry, big, page_hosts,
+    HOST_SQL, INFO_SQL, LABEL_SQL, LINKS_SQL, NOW, REUSE_SQL, STATUS_SQL, Registry, big, page_hosts,
     status_log, table, work_table,
 )
 from gleanery.session import scratch_path
@@ -413,15 +413,32 @@ def freshness_flag(spark, sf):
     )
 
 
-@R.add("stale_work", f"""WITH {INFO_SQL}, plan AS (SELECT search_key, 'p' || i AS provider
-  FROM (SELECT DISTINCT search_key FROM log), (SELECT unnest(range(10)) AS i))
+PLAN_SQL = """plan AS (SELECT search_key, 'p' || i AS provider
+  FROM (SELECT DISTINCT search_key FROM log), (SELECT unnest(range(10)) AS i))"""
+
+
+def _plan(spark, sf):
+    """Every search at ten providers, two of which no search has seen yet."""
+    searches = table(spark, sf, "events").select(C("user_id").alias("search_key")).distinct()
+    providers = F.array(*[F.lit(f"p{i}") for i in range(10)])
+    return searches.select("search_key", F.explode(providers).alias("provider"))
+
+
+@R.add("stale_work", f"""WITH {INFO_SQL}, {PLAN_SQL}
 SELECT search_key, provider FROM plan WHERE (search_key, provider) NOT IN
   (SELECT (search_key, provider) FROM info WHERE {REUSE_SQL})""")
 def stale_work(spark, sf):
-    searches = table(spark, sf, "events").select(C("user_id").alias("search_key")).distinct()
-    providers = F.array(*[F.lit(f"p{i}") for i in range(10)])
-    plan = searches.select("search_key", F.explode(providers).alias("provider"))
-    return status.outstanding(plan, _info(spark, sf), ["search_key", "provider"], _reuse())
+    return status.outstanding(
+        _plan(spark, sf), _info(spark, sf), ["search_key", "provider"], _reuse()
+    )
+
+
+@R.add("provider_info", f"""WITH {INFO_SQL}, {PLAN_SQL}
+SELECT search_key, provider, status, cache_version FROM plan LEFT JOIN info USING (search_key, provider)""")
+def provider_info(spark, sf):
+    return status.provider_info(
+        _plan(spark, sf), _info(spark, sf), ["search_key", "provider"]
+    ).select("search_key", "provider", "status", "cache_version")
 
 
 ROLL_SQL = "CASE WHEN min(s) = 5 THEN 5 WHEN max(s) >= 4 THEN 4 ELSE max(s) END"
@@ -436,11 +453,22 @@ def status_rollup(spark, sf):
     return status.roll_up(rows, ["search_key"])
 
 
-@R.add("overall_status", f"""WITH {INFO_SQL} SELECT search_key, CASE WHEN bool_and(ok) THEN 5
+@R.add("overall_status", f"""WITH {INFO_SQL}, {PLAN_SQL}
+SELECT search_key, CASE WHEN bool_and(ok OR p IS NULL) THEN 5
   WHEN max(s) IS NULL THEN 3 WHEN min(s) = 5 OR max(s) >= 4 THEN 4 ELSE max(s) END AS status
-FROM (SELECT search_key, status AS s, {REUSE_SQL.replace("= 'v1'", "= 'v1'")} AS ok FROM info) GROUP BY 1""")
+FROM (SELECT k.search_key, p.provider AS p, status AS s, {REUSE_SQL} AS ok
+      FROM (SELECT DISTINCT search_key FROM log) k
+      LEFT JOIN plan p ON p.search_key = k.search_key AND (k.search_key % 9 * 10 + p.provider[2:]::INT) % 9 = 1
+      LEFT JOIN info i ON i.search_key = p.search_key AND i.provider = p.provider) GROUP BY 1""")
 def overall_status(spark, sf):
-    return status.overall_status(_info(spark, sf), ["search_key"], _reuse())
+    """Each search with its own few active providers; some searches have none."""
+    keys = ["search_key", "provider"]
+    number = F.substring("provider", 2, 1).cast("int")
+    active = _plan(spark, sf).filter((C("search_key") % 9 * 10 + number) % 9 == 1)
+    searches = table(spark, sf, "events").select(C("user_id").alias("search_key")).distinct()
+    planned = searches.join(active, "search_key", "left")
+    known = status.provider_info(planned, _info(spark, sf), keys)
+    return status.overall_status(known, ["search_key"], _reuse())
 
 
 @R.add("cohort_status", f"""WITH {INFO_SQL} SELECT search_key,
@@ -484,6 +512,46 @@ def stream_upsert(spark, sf):
     return kept.read().select("user_id", "event_type", "value", "event_id")
 
 
+@R.add("stream_extraction", f"""WITH {LINKS_SQL},
+items AS (SELECT regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href AS source_url, txt, page_id, idx FROM links)
+SELECT source_url, last(txt ORDER BY page_id, idx) AS title, last(page_id ORDER BY page_id, idx) AS page_id
+FROM items GROUP BY 1""")
+def stream_extraction(spark, sf):
+    """Pages arrive as files; each batch is extracted and laid over the stored content."""
+    from gleanery.functions.urls import normalize_url, resolve_link
+    from gleanery.operators.items import explode_items
+    from gleanery.operators.fields import derive_fields
+    from gleanery.operators.html import with_nodes
+    from gleanery.functions.records import Field, Model
+    from gleanery.streaming.upserts import stream_into
+
+    arriving = scratch_path(spark, "arriving")
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    pages.repartition(4, "page_id").write.parquet(arriving)
+    model = Model("Link", (Field("source_url"), Field("title")))
+    content = {
+        "source_url": {"tag_name": "a", "attribute": "href"},
+        "title": {"tag_name": "a", "getattr": "text"},
+    }
+
+    def extract(batch):
+        items = explode_items(with_nodes(batch), {"is_multiple": True, "xpath": "//nav/ul/li"})
+        derived = derive_fields(items, model, content)
+        link = normalize_url(resolve_link(C("source_url"), C("url")))
+        return derived.select(link.alias("source_url"), "title", "page_id", "index")
+
+    schema = "source_url string, title string, page_id bigint, index int"
+    kept = store.KeyedStore(
+        spark, scratch_path(spark, "content"), ["source_url"], ["page_id", "index"],
+        spark.createDataFrame([], schema).schema,
+    )
+    stream = stream_into(
+        spark, arriving, pages.schema, kept, scratch_path(spark, "progress"), extract, 2
+    )
+    stream.awaitTermination()
+    return kept.read().select("source_url", "title", "page_id")
+
+
 # --- groups, order, routing ----------------------------------------------------
 
 

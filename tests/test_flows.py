@@ -94,6 +94,11 @@ def test_popularity_order_is_the_sequential_one(spark, rate):
     assert means == sorted(means)
 
 
+def test_low_rates_are_refused(spark):
+    with pytest.raises(ValueError):
+        crawl.popularity_order(spark.range(1), "id", "id", "id", 1, rate=0.1)
+
+
 def test_draws(spark):
     many = spark.range(20000)
     index = crawl.exponential_index(0.393, F.lit(20), 3, F.col("id"))
@@ -183,10 +188,14 @@ def test_roll_up(spark, statuses, expected):
 
 @pytest.mark.parametrize(
     "members, expected",
-    [([(5, True), (4, True)], 5), ([(None, False)], 3), ([(5, False), (5, True)], 4), ([(3, False), (1, False)], 3), ([(2, None)], 2)],
+    [([(5, True), (4, True)], 5), ([(None, None)], 5), ([(None, False)], 3), ([(5, False), (5, True)], 4), ([(3, False), (1, False)], 3), ([(2, None)], 2)],
 )
 def test_overall_status(spark, members, expected):
-    rows = spark.createDataFrame([("s", *m) for m in members], "k string, status int, ok boolean")
+    # A search without providers has one row without a provider.
+    rows = spark.createDataFrame(
+        [("s", None if m == (None, None) else "p", *m) for m in members],
+        "k string, provider string, status int, ok boolean",
+    )
     assert status.overall_status(rows, ["k"], F.col("ok")).head()["status"] == expected
 
 

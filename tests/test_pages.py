@@ -71,6 +71,34 @@ def test_unclosed_tags_and_entities(page):
     assert (row["p"], row["li"], row["href"], row["script"]) == (2, 3, "/a?b=1&c=2", "")
 
 
+@pytest.mark.parametrize(
+    "html, expected",
+    [
+        ("a < b &amp; c", [(1, "#text", "a < b & c")]),
+        ("<title>a<b>&lt;</title>", [(1, "title", None), (2, "#text", "a<b><")]),
+        ("<script>if(a<b){'</p>'}</SCRIPT >z", [(1, "script", None), (2, "#data", "if(a<b){'</p>'}"), (1, "#text", "z")]),
+        ("x<!-- <p> -->y<!-- open", [(1, "#text", "x"), (1, "#text", "y")]),
+        ("<P/>t</p></i>u", [(1, "p", None), (2, "#text", "t"), (1, "#text", "u")]),
+        ("<p>a<div>b", [(1, "p", None), (2, "#text", "a"), (1, "div", None), (2, "#text", "b")]),
+        ("<br/><img src='a>b'>c", [(1, "br", None), (1, "img", None), (1, "#text", "c")]),
+        ("<ul><li>a<ul><li>b</ul>c<li>d", [(1, "ul", None), (2, "li", None), (3, "#text", "a"), (3, "ul", None),
+         (4, "li", None), (5, "#text", "b"), (3, "#text", "c"), (2, "li", None), (3, "#text", "d")]),
+        ('<div class="open', [(1, "#text", '<div class="open')]),
+    ],
+)
+def test_tolerant_reading(spark, html, expected):
+    nodes = with_nodes(spark.createDataFrame([(html,)], "html string")).head()["nodes"]
+    assert [(n["depth"], n["tag"], n["text"]) for n in nodes[1:]] == expected
+
+
+def test_attributes(spark):
+    html = """<A HREF="?a=1&copy=2&amp;b" Href=no data-x='q"q' hidden empty="" bare=/a/b?c=d>t</A>"""
+    nodes = with_nodes(spark.createDataFrame([(html,)], "html string")).head()["nodes"]
+    assert nodes[1]["attrs"] == {
+        "href": "?a=1&copy=2&b", "data-x": 'q"q', "hidden": "", "empty": "", "bare": "/a/b?c=d"
+    }
+
+
 def test_absent_pages_have_no_nodes(page):
     counts = {r["id"]: r["n"] for r in page.select("id", F.size("nodes").alias("n")).collect()}
     assert counts[2] == 0 and counts[3] == 1
