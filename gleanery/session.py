@@ -26,7 +26,9 @@ def build_session(master: str | None = None, app: str = "gleanery", **conf: str)
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **conf}.items():
+    # Site definitions compile to many small column calls; do not trace each one.
+    fixed = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+    for key, value in {**SETTINGS, **fixed, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
