@@ -91,16 +91,22 @@ class Enumeration:
     ) -> DataFrame:
         """Reduce each group's members with ``merge`` into one member.
 
-        ``merge`` must not depend on order or repetition (max, min, bit-or, ...),
-        so each group is first reduced to its distinct members: the list merged
-        is never longer than the enumeration, however large the group.
+        ``merge`` must be associative and commutative (max, bit-or, a sum of codes,
+        ...). Members are counted first, so the list merged per group is never
+        longer than the enumeration; a member that occurs n times is merged with
+        itself by doubling, in log n steps. A result outside the enumeration fails.
         """
-        members = rows.filter(F.col(code).isNotNull()).groupBy(*keys).agg(
-            F.array_sort(F.collect_set(F.col(code).cast("int"))).alias("_members")
+        counted = rows.filter(F.col(code).isNotNull()).groupBy(*keys, code).agg(
+            F.count(F.lit(1)).alias("_n")
         )
-        first = F.get("_members", F.lit(0))
-        rest = F.slice("_members", F.lit(2), F.lit(len(self.members)))
-        return members.select(*keys, F.aggregate(rest, first, merge).alias(code))
+        entry = F.struct(F.col(code).cast("int").alias("code"), F.col("_n").alias("n"))
+        members = counted.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_m"))
+        powers = F.transform("_m", lambda m: _repeated(m["code"], m["n"], merge))
+        merged = F.reduce(
+            F.slice(powers, F.lit(2), F.lit(len(self.members))), F.get(powers, F.lit(0)), merge
+        )
+        reduced = members.select(*keys, merged.alias(code))
+        return reduced.select(*keys, self.member(F.col(code)).alias(code))
 
     # -- containers ----------------------------------------------------------
 
@@ -127,3 +133,21 @@ class Enumeration:
     def as_map(self, **options) -> Column:
         """The pairs as a literal map column."""
         return F.create_map(*[F.lit(x) for pair in self.pairs(**options) for x in pair])
+
+
+def _repeated(value: Column, times: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """``value`` merged with itself until it stands for ``times`` occurrences.
+
+    Goes through the bits of ``times`` from the top: double, then add one if set.
+    """
+    top = F.floor(F.log2(times.cast("double"))).cast("int")
+    places = F.when(top > 0, F.sequence(top - 1, F.lit(0), F.lit(-1))).otherwise(
+        F.array().cast("array<int>")
+    )
+    bit = lambda place: F.call_function("getbit", times, place) == 1
+
+    def step(acc: Column, place: Column) -> Column:
+        doubled = merge(acc, acc)
+        return F.when(bit(place), merge(doubled, value)).otherwise(doubled)
+
+    return F.aggregate(places, value, step)

@@ -1,4 +1,7 @@
-"""Whole extractions: stored pages to items, items overlaid by source pages."""
+"""Whole extractions: stored pages to items, items overlaid by source pages.
+
+Result pages are one row per address; ``latest_pages`` makes them so.
+"""
 
 from __future__ import annotations
 
@@ -115,6 +118,11 @@ def combine(items: DataFrame, sources: DataFrame, model: Model, page_url: str =
     return overlay(kept, sources, fields, normalized=True, order=[page_url])
 
 
+def latest_pages(pages: DataFrame, order: list[str], url: str = "url") -> DataFrame:
+    """The last stored copy of each page."""
+    return keep_last(pages, url, order, "_first").drop("_first")
+
+
 def page_links(pages: DataFrame, provider: Provider, url: str = "url") -> DataFrame:
     """``url, next_url`` of each page that has a next page."""
     found = with_nodes(pages).select(url, page_value(provider.next_page).alias("_next"))
@@ -130,7 +138,9 @@ def follow_pages(starts: DataFrame, links: DataFrame, limit: int, url: str = "ur
     follow. Each hop is one equi-join over distinct addresses, so a start that very
     many searches share is followed once.
     """
-    links = cut_lineage(links).select(F.col("url").alias("_at"), "next_url")
+    # Copies of a page are one link, or every hop would multiply by them.
+    single = links.groupBy(F.col("url").alias("_at")).agg(F.max("next_url").alias("next_url"))
+    links = cut_lineage(single)
     trails = starts.select(F.col(url).alias("_start")).distinct()
     trails = trails.withColumn("_trail", F.array("_start"))
     for _ in range(limit - 1):

@@ -193,7 +193,12 @@ def _info(spark, sf):
 SELECT search_key, provider, {LABEL_SQL} AS status,
   strftime(last_extracted, '%Y-%m-%dT%H:%M:%S.%f') AS last_extracted, cache_version FROM info""")
 def info_upsert(spark, sf):
-    return _info(spark, sf).select(
+    stored = _info(spark, sf).select(
+        "search_key", "provider",
+        store.info_to_hash(C("status"), C("last_extracted"), C("cache_version")).alias("hash"),
+    )
+    back = stored.select("search_key", "provider", *store.info_from_hash(C("hash")))
+    return back.select(
         "search_key", "provider", status.STATUS.label_of(C("status")).alias("status"),
         F.date_format("last_extracted", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("last_extracted"),
         "cache_version",
@@ -471,6 +476,32 @@ def overall_status(spark, sf):
     return status.overall_status(known, ["search_key"], _reuse())
 
 
+@R.add("search_answers", f"""WITH {INFO_SQL}, {PLAN_SQL},
+results AS (SELECT search_key, event_id % 300 AS doc_id, CAST(floor(value) AS BIGINT) AS rank, ts, event_id FROM log),
+idx AS (SELECT search_key, doc_id, last(rank ORDER BY ts, event_id) AS rank FROM results GROUP BY ALL),
+stat AS (SELECT search_key, CASE WHEN bool_and(ok) THEN 5 WHEN max(s) IS NULL THEN 3
+    WHEN min(s) = 5 OR max(s) >= 4 THEN 4 ELSE max(s) END AS status, count(*) FILTER (WHERE NOT ok) AS n
+  FROM (SELECT plan.search_key, status AS s, {REUSE_SQL} AS ok
+        FROM plan LEFT JOIN info USING (search_key, provider) WHERE plan.provider < 'p2') GROUP BY 1)
+SELECT search_key, {LABEL_SQL} AS status, n AS outstanding, doc_id, rank, source
+FROM stat LEFT JOIN (SELECT * FROM idx LEFT JOIN documents USING (doc_id)) c
+  ON c.search_key = stat.search_key AND status >= 4
+""".replace("SELECT search_key, CASE status", "SELECT stat.search_key, CASE status"))
+def search_answers(spark, sf):
+    """What each search is answered with now, and how much is left to extract."""
+    from gleanery.plans.answers import answer_searches
+
+    index = store.rank_index(
+        _ranked_results(spark, sf), ["search_key"], "doc_id", "rank", ["ts", "event_id"]
+    ).select("search_key", "doc_id", "rank")
+    content = table(spark, sf, "documents").select("doc_id", "source")
+    planned = _plan(spark, sf).filter("provider < 'p2'")
+    answers = answer_searches(
+        planned, _info(spark, sf), index, content, "search_key", "doc_id", _reuse()
+    )
+    return answers.select("search_key", "status", "outstanding", "doc_id", "rank", "source")
+
+
 @R.add("cohort_status", f"""WITH {INFO_SQL} SELECT search_key,
   string_agg(status::VARCHAR, ',' ORDER BY provider) AS statuses FROM info GROUP BY 1""")
 def cohort_status(spark, sf):

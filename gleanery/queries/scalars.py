@@ -566,8 +566,18 @@ def enum_minmax(spark, sf):
     )
 
 
-@R.add("enum_consolidate", f"""SELECT o_custkey, bit_or({CODE_SQL}) AS combined FROM orders GROUP BY 1""")
+@R.add("enum_consolidate", f"""SELECT o_custkey, bit_or({CODE_SQL})::INT AS combined,
+  CASE WHEN bit_xor({CODE_SQL}) = 0 THEN 8 ELSE bit_xor({CODE_SQL}) END::INT AS parity FROM orders GROUP BY 1""")
 def enum_consolidate(spark, sf):
+    """One merge that ignores repetition and one that does not."""
+    flags = Enumeration.of("Flags", **{f"F{i}": i for i in range(8)})
     orders = table(spark, sf, "orders").withColumn("code", PRIORITY.code_of(_raw_label()))
-    merged = PRIORITY.consolidate(orders, ["o_custkey"], "code", lambda a, b: a.bitwiseOR(b))
-    return merged.select("o_custkey", C("code").alias("combined"))
+    combined = flags.consolidate(orders, ["o_custkey"], "code", lambda a, b: a.bitwiseOR(b))
+    parity = flags.consolidate(orders, ["o_custkey"], "code", lambda a, b: a.bitwiseXOR(b))
+    shown = F.when(C("parity") == 0, F.lit(8)).otherwise(C("parity"))
+    return combined.withColumnRenamed("code", "combined").join(
+        parity.withColumnRenamed("code", "parity"), "o_custkey"
+    ).select("o_custkey", "combined", shown.alias("parity"))
+
+
+__all__ = ["R"]

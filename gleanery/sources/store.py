@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleanery.functions.dates import deserialize_granular
 from gleanery.functions.keys import build_key, key_field
-from gleanery.operators.status import INITIATED
+from gleanery.functions.records import iso_text
+from gleanery.operators.status import INITIATED, STATUS
 
 # The words composite keys start with.
 CONTENT, EXTRACTION, INFO, RESULTS = "content", "extraction", "info", "results"
@@ -105,6 +107,26 @@ def info_updates(writes: DataFrame, status: str, at: str, version: str) -> DataF
     )
 
 
+def info_to_hash(status: Column, last_extracted: Column, cache_version: Column) -> Column:
+    """Extraction info as stored: a string map without its null entries."""
+    entries = F.create_map(
+        F.lit("status"), STATUS.label_of(status),
+        F.lit("last_extracted"), iso_text(last_extracted),
+        F.lit("cache_version"), cache_version,
+    )
+    return F.map_filter(entries, lambda k, v: v.isNotNull())
+
+
+def info_from_hash(hashed: Column) -> list[Column]:
+    """Extraction info read back; absent entries and unknown statuses are null."""
+    entry = lambda name: F.try_element_at(hashed, F.lit(name))
+    return [
+        STATUS.code_of(entry("status")).alias("status"),
+        deserialize_granular(entry("last_extracted"))["ts"].alias("last_extracted"),
+        entry("cache_version").alias("cache_version"),
+    ]
+
+
 class KeyedStore:
     """The log of one kind of rows.
 

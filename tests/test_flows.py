@@ -9,7 +9,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from gleanery.operators import assemble, crawl, ordered, pointers, status
-from gleanery.plans.extraction import Provider, follow_pages
+from gleanery.plans.answers import answer_searches
+from gleanery.plans.extraction import Provider, follow_pages, latest_pages
 from gleanery.plans.search import UrlError, UrlTemplate, search_plan
 from gleanery.sources import store, tables
 from gleanery.streaming.upserts import stream_into
@@ -166,8 +167,25 @@ def test_routing(spark):
     }
 
 
+def test_latest_pages(spark):
+    pages = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new"), ("b", 1, "x")], "url string, v int, html string")
+    assert {(r["url"], r["html"]) for r in latest_pages(pages, ["v"]).collect()} == {("a", "new"), ("b", "x")}
+
+
+def test_answers(spark):
+    plan = spark.createDataFrame([("s", "p"), ("t", "p"), ("u", "p"), ("w", None)], "k string, provider string")
+    info = spark.createDataFrame([("s", "p", 5, True), ("t", "p", 4, False)], "k string, provider string, status int, ok boolean")
+    index = spark.createDataFrame([("s", "a", 1), ("s", "b", 2), ("u", "a", 1)], "k string, m string, rank int")
+    content = spark.createDataFrame([("a", "A")], "m string, title string")
+    found = answer_searches(plan, info, index, content, "k", "m", F.col("ok")).collect()
+    assert {(r["k"], r["status"], r["outstanding"], r["m"], r["title"]) for r in found} == {
+        ("s", "COMPLETED", 0, "a", "A"), ("s", "COMPLETED", 0, "b", None), ("t", "PRELIMINARY", 1, None, None),
+        ("u", "INITIATED", 1, None, None), ("w", "COMPLETED", 0, None, None),
+    }
+
+
 def test_following_pages(spark):
-    links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "x")], "url string, next_url string")
+    links = spark.createDataFrame([("a", "b"), ("b", "c"), ("b", "c"), ("c", "d"), ("x", "x")], "url string, next_url string")
     starts = spark.createDataFrame([(1, "a"), (2, "a"), (3, "x"), (4, "none")], "s int, url string")
     found = {(r["s"], r["page"], r["url"]) for r in follow_pages(starts, links, 3).collect()}
     expected = {(s, p, u) for s in (1, 2) for p, u in ((1, "a"), (2, "b"), (3, "c"))}

@@ -272,6 +272,17 @@ def test_extremes(spark):
     assert {r["k"]: r["c"] for r in merged.collect()} == {"a": 3, "b": 2}
 
 
+@pytest.mark.parametrize("times", [1, 2, 3, 4, 7, 100])
+def test_merging_counts_repetitions(spark, times):
+    total = enums.Enumeration.of("Total", **{f"N{i}": i for i in range(1, 401)})
+    rows = spark.range(times).select(F.lit(2).alias("c"), F.lit(0).alias("k"))
+    rows = rows.unionByName(rows.withColumn("c", F.lit(1)).limit(1))
+    summed = total.consolidate(rows, ["k"], "c", lambda a, b: a + b)
+    assert summed.head()["c"] == 2 * times + 1
+    with pytest.raises(PySparkException):
+        GRADE.consolidate(rows, ["k"], "c", lambda a, b: a + b + 5).collect()
+
+
 def test_lists(value):
     assert value(enlist(F.lit("a"))) == ["a"] and value(enlist(F.lit(None).cast("string"))) == []
     assert value(delist(F.array(F.lit("a")))) == "a"
