@@ -16,7 +16,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     An expression repeated inside a higher-order function runs again for every
     entry; a bound variable does not.
     """
-    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+    return F.transform(F.array(value), lambda v: body(v))[0]
 
 
 def with_groups(text: Column, pattern: str, groups: int,

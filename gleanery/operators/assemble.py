@@ -55,7 +55,7 @@ def overlay(items: DataFrame, sources: DataFrame, fields: list[str], key: str =
     right = _source_fields(sources, fields, key, normalized, order)
     joined = left.join(right, "_key", "left")
     return joined.withColumns(
-        {f: F.coalesce(F.col(f"_source_{f}"), F.col(f)) for f in fields}
+        {f: F.expr(f"coalesce(`_source_{f}`, `{f}`)") for f in fields}
     ).drop("_key", *[f"_source_{f}" for f in fields])
 
 

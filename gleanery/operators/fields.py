@@ -36,6 +36,7 @@ METHODS = {
 }
 SCOPES = ("page", "parent", "prior", "latest")
 ELEMENT = "array<struct<pre:int,post:int,parent:int,depth:int,tag:string,attrs:map<string,string>,text:string>>"
+NO_TEXT = "CAST(NULL AS STRING)"
 TYPES = {"element": ELEMENT, "text": "string", "date": dates.GRANULAR_TYPE}
 
 
@@ -55,7 +56,7 @@ def delist(values: Column) -> Column:
 
 
 def _no_values(kind: str) -> Column:
-    return F.array().cast(f"array<{TYPES[kind]}>")
+    return F.expr(f"CAST(array() AS array<{TYPES[kind]}>)")
 
 
 @dataclass(frozen=True)
@@ -76,7 +77,7 @@ class Value:
     def packed(self) -> Column:
         if self.row is not None:
             return self.row
-        error = F.lit(None).cast("string") if self.error is None else self.error
+        error = F.expr(NO_TEXT) if self.error is None else self.error
         return F.struct(self.values.alias("values"), error.alias("error"))
 
     def scalar(self) -> Column:
@@ -345,7 +346,7 @@ def _series_step(operation: dict, target: Value, latest: Value, ctx: Context) ->
 
     def settle(r: Value) -> Value:
         kept = latest.values if latest.kind == r.kind else _no_values(r.kind)
-        before = F.lit(None).cast("string") if latest.error is None else latest.error
+        before = F.expr(NO_TEXT) if latest.error is None else latest.error
         return Value(
             F.when(skip, kept).otherwise(r.values), r.kind, r.many,
             F.when(skip, before).otherwise(r.error),
@@ -431,7 +432,7 @@ def derive_fields(
             results = [c for c in batch if c.startswith("__result_")]
             if results:
                 df = df.withColumns(
-                    {c.removeprefix("__result_"): F.col(c)["value"] for c in results}
+                    {c.removeprefix("__result_"): F.col(f"{c}.value") for c in results}
                 )
             batch = {}
 
@@ -440,8 +441,8 @@ def derive_fields(
         if name in present:
             continue
         if name not in content:
-            batch[name] = F.lit(None).cast("string")
-            kinds[name] = "text"
+            batch[name] = F.expr(NO_TEXT)
+            kinds[name] = "none"
             missing.append(name)
             continue
         if _names_used(content[name]) & {c.removeprefix("__result_") for c in batch}:
@@ -465,14 +466,11 @@ def derive_fields(
             errors.append(name)
         kinds[name] = value.kind
     flush()
-    reasons = [
-        F.struct(F.lit(n).alias("field"), F.col(f"__result_{n}")["error"].alias("reason")) for n in errors
-    ] + [F.struct(F.lit(n).alias("field"), F.lit("no definition").alias("reason")) for n in missing]
-    found = (
-        F.filter(F.array(*reasons), lambda e: e["reason"].isNotNull())
-        if reasons
-        else F.array().cast("array<struct<field:string,reason:string>>")
-    )
+    reasons = [f"named_struct('field', '{n}', 'reason', `__result_{n}`.error)" for n in errors]
+    reasons += [f"named_struct('field', '{n}', 'reason', 'no definition')" for n in missing]
+    listed = f"array({', '.join(reasons)})" if reasons else "array()"
+    typed = f"CAST({listed} AS array<struct<field:string,reason:string>>)"
+    found = F.expr(f"filter({typed}, e -> e.reason IS NOT NULL)")
     df = df.withColumn("_errors", found).drop(*[f"__result_{n}" for n in errors])
     return _typed(df, model, kinds)
 
@@ -491,12 +489,15 @@ def _typed(df: DataFrame, model: Model, kinds: dict[str, str]) -> DataFrame:
         if field.name not in df.columns:
             continue
         if kinds.get(field.name) == "date":
-            changes[field.name] = F.col(field.name)["ts"]
+            changes[field.name] = F.col(f"{field.name}.ts")
         elif field.kind == "granularity":
+            if kinds.get(field.name) == "none":
+                changes[field.name] = F.expr("CAST(NULL AS TINYINT)")
+                continue
             text = F.col(field.name)
             changes[field.name] = F.coalesce(
                 text.try_cast("tinyint"), GRANULARITIES.from_qualified(text).cast("tinyint")
             )
         elif field.kind in ("timestamp", "int"):
-            changes[field.name] = F.col(field.name).try_cast(field.sql_type)
+            changes[field.name] = F.expr(f"try_cast(`{field.name}` AS {field.sql_type})")
     return df.withColumns(changes) if changes else df

@@ -53,11 +53,11 @@ def merge_fields(rows: DataFrame, keys: list[str], order: list[str]) -> DataFram
     ``max_by``, which merges partially on the map side: a key with very many
     versions sends one row per task.
     """
-    at = F.struct(*order)
+    at = "struct(" + ", ".join(f"`{o}`" for o in order) + ")"
     fields = [c for c in rows.columns if c not in (*keys, *order)]
     return rows.groupBy(*keys).agg(
-        *[F.max_by(F.col(f), F.when(F.col(f).isNotNull(), at)).alias(f) for f in fields],
-        *[F.max(at)[o].alias(o) for o in order],
+        *[F.expr(f"max_by(`{f}`, CASE WHEN `{f}` IS NOT NULL THEN {at} END) AS `{f}`") for f in fields],
+        *[F.expr(f"max({at}).`{o}` AS `{o}`") for o in order],
     )
 
 
