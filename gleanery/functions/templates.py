@@ -15,6 +15,20 @@ REFERENCE = re.compile(r"<([^<>]+)>")
 SPECIAL = re.compile(r"([\\.^$|?*+()\[\]{}\-])")
 
 
+class TemplateError(ValueError):
+    """A template with parts that have no column form."""
+
+
+def _fields(template: str) -> list[tuple[str, str | None]]:
+    """(literal, field name) pairs of a brace template; typed fields are refused."""
+    pairs = []
+    for literal, name, spec, conversion in string.Formatter().parse(template):
+        if spec or conversion:
+            raise TemplateError(f"field types are not supported: {template!r}")
+        pairs.append((literal, name))
+    return pairs
+
+
 def escape_regex(text: str) -> str:
     return SPECIAL.sub(r"\\\1", text)
 
@@ -52,7 +66,7 @@ def render_references(template: str, resolve: Resolve) -> Column:
 def _capture_pattern(text: str) -> str:
     """Regex for a capture template without references; group 1 is ``{value}``."""
     out, captured = "", False
-    for literal, name, _, _ in string.Formatter().parse(text):
+    for literal, name in _fields(text):
         out += escape_regex(literal)
         if name is None:
             continue
@@ -66,7 +80,7 @@ def _capture_pattern(text: str) -> str:
 
 
 def has_capture(template: str) -> bool:
-    return any(name == "value" for _, name, _, _ in string.Formatter().parse(template))
+    return any(name == "value" for _, name in _fields(template))
 
 
 def capture_pattern(template: str, resolve: Resolve | None = None) -> Column:
@@ -119,7 +133,7 @@ def _kept(parsed: Column) -> Column:
 def format_template(template: str, value: Column, resolve: Resolve) -> Column:
     """``{value}`` and ``{field}`` substitution; a null part makes the result null."""
     out: list[Column] = []
-    for literal, name, _, _ in string.Formatter().parse(template):
+    for literal, name in _fields(template):
         if literal:
             out.append(F.lit(literal))
         if name is not None:

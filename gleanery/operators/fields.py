@@ -184,7 +184,7 @@ def _run_steps(steps: list, value: Value, ctx: Context, many: bool) -> Value:
 def _find(value: Value, method, arguments, ctx: Context, many: bool) -> Value:
     if value.kind != "element":
         raise DefinitionError(f"{method} needs an element, not {value.kind}")
-    render = lambda text: render_references(text, ctx.resolve)
+    render = lambda text: _selector_text(text, ctx)
     paths = selector(method, _only(arguments, method), render, ctx.index)
     within = value.values
     if is_absolute(paths):
@@ -201,6 +201,19 @@ def _find(value: Value, method, arguments, ctx: Context, many: bool) -> Value:
     return bind(out, lambda v: v.with_error(F.size(v.values) == 0, f"no element for {method}"))
 
 
+def _selector_text(text: str, ctx: Context) -> Column:
+    """Text within a selector, its ``<field>`` and ``{index}`` tokens replaced."""
+    pieces = [render_references(p, ctx.resolve) for p in text.split("{index}")]
+    if len(pieces) == 1:
+        return pieces[0]
+    if ctx.index is None:
+        raise DefinitionError("{index} is known within items only")
+    joined = [pieces[0]]
+    for piece in pieces[1:]:
+        joined += [ctx.index.cast("string"), piece]
+    return F.concat(*joined)
+
+
 def _extract(value: Value, method, arguments, ctx: Context, many: bool) -> Value:
     name = render_references(_only(arguments, method), ctx.resolve)
     if value.kind != "element":

@@ -228,13 +228,17 @@ def _relative(text: str, render, index) -> list[Step]:
 
 def xpath(text: str, render=F.lit, index=None) -> list[Path]:
     """Compile an XPath of the supported subset; ``|`` joins alternatives."""
-    parts = re.split(r"\|(?![^\[\]]*\])", text.replace("{{", "{").replace("}}", "}"))
+    parts = re.split(r"\|(?![^\[\]]*\])", text)
     return [_one_xpath(part, render, index) for part in parts]
 
 
+# A name may hold ``<field>`` and ``{index}`` tokens.
+_CSS_NAME = r"((?:[\w-]|<[^<>]+>|\{index\})+)"
 _CSS_PART = re.compile(
-    r"([A-Za-z][\w-]*|\*)|\.([\w-]+)|#([\w-]+)|\[\s*([\w-]+)\s*(?:=\s*(['\"]?)(.*?)\5\s*)?\]"
+    r"([A-Za-z][\w-]*|\*)|\." + _CSS_NAME + "|#" + _CSS_NAME
+    + r"|\[\s*([\w-]+)\s*(?:=\s*(['\"]?)(.*?)\5\s*)?\]"
 )
+_CSS_CHILD = re.compile(r"(<[^<>]+>)|\s*>\s*")
 
 
 def _css_step(axis: str, text: str, render) -> Step:
@@ -261,7 +265,7 @@ def css(text: str, render=F.lit) -> list[Path]:
     """Compile a CSS selector: tags, classes, ids, attributes, descendant and child."""
     paths = []
     for part in text.split(","):
-        words = re.sub(r"\s*>\s*", " >", part.strip()).split()
+        words = _CSS_CHILD.sub(lambda m: m[1] or " >", part.strip()).split()
         if not words:
             raise SelectorError(f"empty selector in {text!r}")
         paths.append(
@@ -276,7 +280,8 @@ def css(text: str, render=F.lit) -> list[Path]:
 
 
 def selector(method: str, text: str, render=F.lit, index=None) -> list[Path]:
-    """Compile one of the eight find methods."""
+    """Compile one of the eight find methods; literal braces are written twice."""
+    text = text.replace("{{", "{").replace("}}", "}")
     if method == "xpath":
         return xpath(text, render, index)
     if method == "css_selector":

@@ -89,7 +89,7 @@ KNOWN_KEYS = frozenset(
 
 def extract_items(pages: DataFrame, provider: Provider, model: Model) -> DataFrame:
     """Valid, ranked items of result pages (``html``, ``page`` and any key columns)."""
-    limited = limit_pages(pages, "page", provider.pages) if provider.page_size else pages
+    limited = limit_pages(pages, "page", provider.pages)
     keep_page = any_needs_page(provider.content)
     items = explode_items(with_nodes(limited), provider.items, keep_page=keep_page)
     items = items.withColumn("rank", rank_items(F.col("page"), provider.page_size, F.col("index")))

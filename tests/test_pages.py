@@ -238,5 +238,27 @@ def test_items(page):
     assert [r["index"] for r in valid_items(derived).collect()] == [2]
 
 
+def test_selectors_may_use_the_index_and_fields(spark):
+    html = "<ul><li id=r1 class=a>x<i name=ax>1</i><li id=r2 class=b>y<i name=ay>2</i></ul><p id='{r}'>z</p>"
+    page = with_nodes(spark.createDataFrame([(html,)], "html string"))
+    items = explode_items(page, {"is_multiple": True, "tag_name": "li"}, keep_page=True)
+    content = {
+        "source_url": [{"scope": "page", "id": "r{index}"}, {"attribute": "class"}],
+        "title": {"xpath": "//li[@id='r{index}']/i", "getattr": "text"},
+        "names": [{"scope": "page", "css_selector": "li.<source_url> i"}, {"getattr": "text"}],
+        "label": [{"scope": "page", "id": "{{r}}"}, {"getattr": "text"}],
+    }
+    derived = derive_fields(items, LINK, content, page="nodes")
+    rows = [(r["source_url"], r["title"], r["names"], r["label"]) for r in derived.orderBy("index").collect()]
+    assert rows == [("a", "1", "1", "z"), ("b", "2", "2", "z")]
+
+
+def test_typed_templates_are_refused(spark):
+    from gleanery.functions.templates import TemplateError, parse_templates
+
+    with pytest.raises(TemplateError):
+        parse_templates(F.col("x"), ["{value:d}"])
+
+
 def test_a_single_item_is_one_row(page):
     assert explode_items(page, {"is_multiple": True, "tag_name": "ul"}).count() == 1
