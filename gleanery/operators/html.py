@@ -178,14 +178,19 @@ class _TreeReader:
 
 
 @F.arrow_udf(NODE_TYPE)
-def page_nodes(html: pa.Array) -> pa.Array:
-    """Element tree of each page; an absent page has no nodes."""
+def _page_nodes(html: pa.Array) -> pa.Array:
     reader = _TreeReader()
     for page in html.to_pylist():
         reader.read(page)
     return reader.to_arrow()
 
 
+# Not deterministic as far as Catalyst is told: a filter on something read from the
+# nodes would otherwise be pushed below the pass and parse every page a second time.
+# Filters on other columns belong before ``with_nodes``.
+page_nodes = _page_nodes.asNondeterministic()
+
+
 def with_nodes(pages: DataFrame, html: str = "html", name: str = "nodes") -> DataFrame:
     """Add the ``nodes`` column and drop the raw HTML, which nothing needs afterwards."""
     return pages.withColumn(name, page_nodes(F.col(html))).drop(html)

@@ -69,7 +69,7 @@ def attr_present(name: str) -> Condition:
 def own_text(test: Callable[[Column], Column]) -> Condition:
     """Some direct text node passes the test."""
     return lambda nodes, node: F.exists(
-        nodes,
+        subtree(nodes, node),
         lambda t: (t["tag"] == "#text") & (t["parent"] == node["pre"]) & test(t["text"]),
     )
 
@@ -78,23 +78,28 @@ def whole_text(test: Callable[[Column], Column]) -> Condition:
     return lambda nodes, node: test(element_text(subtree(nodes, node)))
 
 
-def _passes(step: Step, nodes: Column, node: Column, upto: int | None = None) -> Column:
-    ok = _is_element(node) if step.tag == "*" else node["tag"] == step.tag
+def _has_tag(step: Step, node: Column) -> Column:
+    return _is_element(node) if step.tag == "*" else node["tag"] == step.tag
+
+
+def _meets(step: Step, nodes: Column, node: Column, test: Column, upto: int | None = None) -> Column:
+    """``test`` and the step's conditions, the cheap test first."""
     for number, condition in enumerate(step.conditions[:upto]):
         if callable(condition):
-            ok = ok & condition(nodes, node)
+            test = test & condition(nodes, node)
         else:
-            ok = ok & (_place(step, nodes, node, number) == condition)
-    return ok
+            test = test & (_place(step, nodes, node, number) == condition)
+    return test
 
 
 def _place(step: Step, nodes: Column, node: Column, upto: int) -> Column:
     """Place of a node among its siblings that pass the earlier conditions."""
     siblings = F.filter(
         nodes,
-        lambda m: (m["parent"] == node["parent"])
-        & (m["pre"] <= node["pre"])
-        & _passes(step, nodes, m, upto),
+        lambda m: _meets(
+            step, nodes, m,
+            (m["parent"] == node["parent"]) & (m["pre"] <= node["pre"]) & _has_tag(step, m), upto,
+        ),
     )
     return F.size(siblings)
 
@@ -104,9 +109,10 @@ def _apply(step: Step, nodes: Column, current: Column | None) -> Column:
     if current is None:
         root = F.get(nodes, F.lit(0))["pre"]
         if step.axis == "child":
-            return F.filter(nodes, lambda n: (n["parent"] == root) & _passes(step, nodes, n))
-        return F.filter(nodes, lambda n: (n["pre"] > root) & _passes(step, nodes, n))
-    if step.axis == "parent":
+            related = lambda n: n["parent"] == root
+        else:
+            related = lambda n: n["pre"] > root
+    elif step.axis == "parent":
         related = lambda n: F.exists(current, lambda c: c["parent"] == n["pre"])
     elif step.axis == "child":
         related = lambda n: F.exists(current, lambda c: c["pre"] == n["parent"])
@@ -114,7 +120,7 @@ def _apply(step: Step, nodes: Column, current: Column | None) -> Column:
         related = lambda n: F.exists(
             current, lambda c: (n["pre"] > c["pre"]) & (n["pre"] <= c["post"])
         )
-    return F.filter(nodes, lambda n: _passes(step, nodes, n) & related(n))
+    return F.filter(nodes, lambda n: _meets(step, nodes, n, _has_tag(step, n) & related(n)))
 
 
 def _walk(nodes: Column, path: Path) -> Column:

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import phrases
 from gleanery.functions.records import AGENT
-from gleanery.functions.urls import derive_domain
 from gleanery.operators import assemble, cardinality, crawl, pointers, status
 from gleanery.operators.ordered import id_chunk
 from gleanery.plans.extraction import KNOWN_KEYS, unknown_keys
@@ -768,6 +767,3 @@ def dwell_times(spark, sf):
         "page_id", crawl.Dwell().column(42, C("page_id")).alias("default_dwell"),
         settings.column(42, C("page_id")).alias("site_dwell"),
     )
-
-
-__all__ = ["R", "derive_domain"]

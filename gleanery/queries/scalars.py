@@ -14,10 +14,6 @@ R = Registry()
 C = F.col
 
 
-def _no_fields(name):
-    return C(name)
-
-
 @R.add("public_fields", "SELECT doc_id, lang, source, n_chars FROM documents")
 def public_fields(spark, sf):
     stored = table(spark, sf, "documents").select(
@@ -578,6 +574,3 @@ def enum_consolidate(spark, sf):
     return combined.withColumnRenamed("code", "combined").join(
         parity.withColumnRenamed("code", "parity"), "o_custkey"
     ).select("o_custkey", "combined", shown.alias("parity"))
-
-
-__all__ = ["R"]

@@ -114,8 +114,11 @@ def test_one_parsing_pass_for_many_selectors(page):
     wide = page.select(
         *[element_text(find_first(F.col("nodes"), "tag_name", t)).alias(t) for t in ("p", "li", "td", "a")]
     )
-    plan = wide._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("page_nodes(") == 1
+    filtered = wide.filter("p <> 'x' and a is not null")
+    items = explode_items(page, {"is_multiple": True, "tag_name": "li"}).filter("index > 1")
+    for df in (wide, filtered, items):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1
 
 
 # --- operations ----------------------------------------------------------------
