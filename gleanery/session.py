@@ -37,12 +37,6 @@ def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else created."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
-    if not spark.sparkContext.master.startswith("local"):
-        # Shuffles start with enough partitions for the cluster; AQE merges small ones.
-        cores = spark.sparkContext.defaultParallelism
-        spark.conf.set(
-            "spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(max(200, 4 * cores))
-        )
     return spark
 
 
