@@ -42,7 +42,7 @@ def blocks(batches: Iterable[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Itera
 
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
     """All words of all texts in order, and each text's number of words. Null texts have none."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = pc.fill_null(texts, "")
     if lower:
         texts = pc.ascii_lower(texts)
     lists = pc.ascii_split_whitespace(texts)
@@ -57,8 +57,11 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndar
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts end to end, and each text's borders in them."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    borders = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    texts = pc.fill_null(texts, "")
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    borders = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1]
+    borders = borders.astype(np.int64)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     return data[borders[0]:borders[-1]], borders - borders[0]
 
@@ -77,9 +80,10 @@ _BYTE_KEY = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) +
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
-def _powers(n: int) -> np.ndarray:
+def _place_keys(n: int) -> np.ndarray:
+    """A random-looking odd factor for each of the first ``n`` places in a word."""
     with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate([[1], np.full(max(0, n - 1), _STEP)]).astype(np.uint64), dtype=np.uint64)[:n]
+        return mixed(np.arange(1, n + 1, dtype=np.uint64) * _STEP) | np.uint64(1)
 
 
 def hash_words(words: pa.Array) -> np.ndarray:
@@ -90,7 +94,7 @@ def hash_words(words: pa.Array) -> np.ndarray:
         return np.zeros(0, np.uint64)
     place = np.arange(len(data)) - np.repeat(borders[:-1], length)
     with np.errstate(over="ignore"):
-        terms = _BYTE_KEY[data] * mixed(_powers(int(length.max(initial=0))))[place] if len(data) else np.zeros(0, np.uint64)
+        terms = _BYTE_KEY[data] * _place_keys(int(length.max(initial=0)))[place]
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
         return mixed(sums[borders[1:]] - sums[borders[:-1]] + length.astype(np.uint64) * _STEP)
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import quality_rules, url_filter
+from gleanery.llm import packing, quality_rules, repair, url_filter
 from gleanery.queries.common import Registry, table
+from gleanery.session import scratch_path
 
 R = Registry()
+TOKENIZER = "word_bpe_49k.json"
 
 URL_RULES = [
     ("block", "net", "/"),
@@ -41,6 +43,13 @@ FROM parts LEFT JOIN best USING (page_id)
 """
 
 
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """Where the public tokenizer lies; every executor has it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @R.add("op5_url_filters", URL_SQL)
 def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, url_filter.RULES)
@@ -50,3 +59,15 @@ def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add("op9_quality_rules")
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"))
+
+
+@R.add("op4_packing")
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
+
+
+@R.add("op10_token_id_output")
+def token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-ids")
+    repair.write(table(spark, sf_dir, "documents"), path, tokenizer_path())
+    return repair.read(spark.read.schema(repair.SHARDS).parquet(path)).drop("ids")

@@ -40,7 +40,7 @@ def class_counts(texts: pa.Array) -> np.ndarray:
 
 def repeated_lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Per text: its lines that hold a word, and those of them equal to an earlier line."""
-    lists = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), "\n")
+    lists = pc.split_pattern(pc.fill_null(texts, ""), "\n")
     lines = lists.flatten()
     owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
     filled = pc.match_substring_regex(lines, r"[^\x09-\x0D\x20]").to_numpy(zero_copy_only=False)
