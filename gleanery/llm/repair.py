@@ -38,7 +38,7 @@ from gleanery.llm.packing import partition_starts
 from gleanery.llm.token_ids import END, TokenIds, gathered
 
 MAGIC, VERSION = b"RPID", 1
-HEADER = struct.Struct("<4sHHqqqq")
+HEADER = "<4sHHqqqq"
 #: Ids in a shard, but for the rest of its last document.
 SHARD_IDS = 1 << 20
 #: Pairs met less often in a shard are left alone.
@@ -120,7 +120,7 @@ def container(doc_ids: pa.Array, ids: np.ndarray, counts: np.ndarray, vocabulary
     last[ends - 1] = True
     symbols, last, rules = grammar(ids.astype(kind), last, vocabulary)
     parts = [
-        HEADER.pack(MAGIC, VERSION, kind.itemsize, len(counts), len(symbols), len(rules), vocabulary),
+        struct.pack(HEADER, MAGIC, VERSION, kind.itemsize, len(counts), len(symbols), len(rules), vocabulary),
         doc_ids.fill_null(0).to_numpy().astype("<i8").tobytes(),
         doc_ids.is_null().to_numpy(zero_copy_only=False).astype("u1").tobytes(),
         np.concatenate([[0], ends]).astype("<i8").tobytes(),
@@ -136,10 +136,10 @@ class Shard:
     """A container opened for reading."""
 
     def __init__(self, data: bytes) -> None:
-        magic, version, width, documents, symbols, rules, self.base = HEADER.unpack_from(data)
+        magic, version, width, documents, symbols, rules, self.base = struct.unpack_from(HEADER, data)
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a shard of token ids")
-        self._data, self._at = data, HEADER.size
+        self._data, self._at = data, struct.calcsize(HEADER)
         kind = f"<u{width}"
         ids, null = self._read("<i8", documents), self._read("u1", documents)
         self.doc_ids = pa.array(ids, pa.int64(), mask=null.astype(bool))
