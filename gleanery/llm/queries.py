@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import packing, quality_rules, repair, url_filter
+from gleanery.llm import packing, preference, quality_rules, repair, toxicity, url_filter
+from gleanery.llm.common import document_key
 from gleanery.queries.common import Registry, table
 from gleanery.session import scratch_path
 
@@ -71,3 +72,21 @@ def token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-ids")
     repair.write(table(spark, sf_dir, "documents"), path, tokenizer_path())
     return repair.read(spark.read.schema(repair.SHARDS).parquet(path)).drop("ids")
+
+
+@R.add("op7_quality_classifier")
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = F.pmod(document_key(), F.lit(5)) == 0
+    ranking = preference.learn(documents, table(spark, sf_dir, "labels"), ~held_out)
+    scored = documents.select("doc_id", held_out.alias("held_out"), preference.score(F.col("text"), ranking).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= preference.ACCEPT).cast("int"))
+
+
+@R.add("op8_toxicity")
+def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = F.pmod(document_key(), F.lit(4)) == 2
+    classifier = toxicity.learn(documents, table(spark, sf_dir, "labels"), ~held_out)
+    scored = documents.select("doc_id", held_out.alias("held_out"), toxicity.score(F.col("text"), classifier).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.ACCEPT).cast("int"))
