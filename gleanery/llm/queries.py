@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import packing, preference, quality_rules, repair, toxicity, url_filter
+from gleanery.llm import language_model, packing, preference, quality_rules, repair, toxicity, url_filter
 from gleanery.llm.common import document_key
 from gleanery.queries.common import Registry, table
 from gleanery.session import scratch_path
@@ -90,3 +90,9 @@ def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
     classifier = toxicity.learn(documents, table(spark, sf_dir, "labels"), ~held_out)
     scored = documents.select("doc_id", held_out.alias("held_out"), toxicity.score(F.col("text"), classifier).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= toxicity.ACCEPT).cast("int"))
+
+
+@R.add("op1_language_model")
+def language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(document_key(), F.lit(10)) == 0
+    return language_model.score(table(spark, sf_dir, "documents"), held_out)

@@ -35,7 +35,7 @@ from gleanery.llm.text_stats import per_text, word_codes
 from gleanery.session import cut_lineage
 
 SAMPLE = 4_000
-DISCOUNT = 6
+DISCOUNT = 3
 #: Lengths of the beginnings that expressions share.
 STEMS = (3, 4, 5, 6)
 #: Evidence (natural logarithm) from which an expression is one-sided.
