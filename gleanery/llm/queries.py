@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import language_model, packing, preference, quality_rules, repair, toxicity, url_filter
+from gleanery.llm import decontaminate, language_model, packing, preference, quality_rules, repair, toxicity, url_filter
 from gleanery.llm.common import document_key
 from gleanery.queries.common import Registry, table
 from gleanery.session import scratch_path
@@ -96,3 +96,8 @@ def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.pmod(document_key(), F.lit(10)) == 0
     return language_model.score(table(spark, sf_dir, "documents"), held_out)
+
+
+@R.add("op6_decontamination")
+def benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
