@@ -4,8 +4,8 @@ Of every ``WINDOW`` neighbouring positions, the suffix that begins with the leas
 ``GRAM`` words is retained. Copies of a passage retain the same suffixes, and one of
 them begins within the passage's first ``WINDOW`` words, so at least ``HEAD`` words of the
 passage follow it. Retained suffixes are sorted by their first ``HEAD`` words (as one number) and their
-document; each is compared with its neighbours of other documents and with the first of
-its group, and equal heads are extended left and right, word by word, by up to ``WINDOW``
+document; each is compared with its neighbours of other documents, with the first of its group, and
+with the neighbours it has when its group is sorted by the words around the heads. Equal heads are extended left and right, word by word, by up to ``WINDOW``
 words. A match of ``PASSAGE`` words is a repeat; the matches at all retained suffixes of a longer passage cover it.
 
 Suffixes are sorted twice. Inside a block of texts all of them are; only the first and the
@@ -102,6 +102,17 @@ def _edges(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _alike(head: np.ndarray, document: np.ndarray, sides: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbours when suffixes of one head are sorted by the words before them and then by those behind."""
+    if not len(rows):
+        return rows, rows
+    keys = np.ascontiguousarray(sides[rows].astype(">u2")).view(f"S{4 * WINDOW}").ravel()
+    order = rows[np.lexsort([keys, head[rows]])]
+    one, two = order[:-1], order[1:]
+    fits = (head[one] == head[two]) & (document[one] != document[two])
+    return one[fits], two[fits]
+
+
 def _compared(head: np.ndarray, document: np.ndarray, sides: np.ndarray) -> tuple[np.ndarray, ...]:
     """For sorted suffixes: matches (suffix, words before, words behind, whether with an earlier one), and
     whether each stands in the first and in the last document of its group."""
@@ -113,17 +124,15 @@ def _compared(head: np.ndarray, document: np.ndarray, sides: np.ndarray) -> tupl
     run_begin, run_end = run[run_of], np.append(run[1:], n)[run_of]
     first, last = run_begin == group_begin, run_end == group_end
     which, left, right, later = [], [], [], []
-    for rows, partner, earlier in (
-        (np.flatnonzero(~first), run_begin - 1, True),
-        (np.flatnonzero(~first), group_begin, True),
-        (np.flatnonzero(~last), run_end, False),
-    ):
-        before, behind = _extended(sides, rows, partner[rows])
+    one, two = _alike(head, document, sides, np.flatnonzero(~(first & last)))
+    lone, few = np.flatnonzero(~first), np.flatnonzero(~last)
+    for rows, partner in ((lone, run_begin[lone] - 1), (lone, group_begin[lone]), (few, run_end[few]), (one, two), (two, one)):
+        before, behind = _extended(sides, rows, partner)
         enough = before + HEAD + behind >= PASSAGE
         which.append(rows[enough])
         left.append(before[enough])
         right.append(behind[enough])
-        later.append(np.full(int(enough.sum()), earlier))
+        later.append((partner < rows)[enough])
     return tuple(np.concatenate(x) for x in (which, left, right, later)) + (first, last)
 
 
