@@ -75,7 +75,7 @@ class Item:
 
 @dataclass(frozen=True)
 class Index:
-    """Essential terms (sorted hashes) with their postings: blocks and the highest impact there."""
+    """Essential terms (sorted hashes) with their blocks and the highest impact there, and each block's postings."""
 
     items: list[Item]
     terms: np.ndarray
@@ -83,6 +83,11 @@ class Index:
     number: np.ndarray
     block: np.ndarray
     highest: np.ndarray
+    item_first: np.ndarray
+    item_number: np.ndarray
+    item: np.ndarray
+    impact: np.ndarray
+    item_needs: np.ndarray
     needs: np.ndarray
     stride: int
 
@@ -113,24 +118,42 @@ def build(rows: list[tuple[int, str]], threshold: float = THRESHOLD) -> Index |
         order = np.argsort(impact, kind="stable")
         kept = np.cumsum(impact[order]) > PIVOT * threshold
         needs.append(threshold - impact[order][~kept].sum())
-        block = len(items) // BLOCK_ITEMS
-        postings += [(t, block, i) for t, i in zip(terms[order][kept], impact[order][kept], strict=True)]
+        postings += [(t, len(items), i) for t, i in zip(terms[order][kept], impact[order][kept], strict=True)]
         items.append(Item(item_id, terms, impact, asked, told))
-    table = np.array(postings, dtype=[("term", np.uint64), ("block", np.int64), ("impact", np.float64)])
-    table.sort(order=["term", "block"])
-    first = np.flatnonzero(np.concatenate([[True], (table["term"][1:] != table["term"][:-1]) | (table["block"][1:] != table["block"][:-1])]))
-    highest = np.maximum.reduceat(table["impact"], first)
-    term, block = table["term"][first], table["block"][first]
-    terms, begin, number = np.unique(term, return_index=True, return_counts=True)
-    starts = np.arange(0, len(needs), BLOCK_ITEMS)
-    longest = max(len(p[1]) for p in parts)
-    return Index(items, terms, begin, number, block, highest, np.minimum.reduceat(np.array(needs), starts), longest)
+    table = np.array(postings, dtype=[("term", np.uint64), ("item", np.int64), ("impact", np.float64)])
+    table.sort(order=["term", "item"])
+    term, block = table["term"], table["item"] // BLOCK_ITEMS
+    first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])]))
+    terms, begin, number = np.unique(term[first], return_index=True, return_counts=True)
+    item_needs = np.array(needs)
+    return Index(
+        items, terms, begin, number, block[first], np.maximum.reduceat(table["impact"], first),
+        first, np.diff(first, append=len(table)), table["item"], table["impact"],
+        item_needs, np.minimum.reduceat(item_needs, np.arange(0, len(needs), BLOCK_ITEMS)), max(len(p[1]) for p in parts),
+    )
+
+
+def _summed(cells: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct cells, their sums, and each row's place among them."""
+    order = np.argsort(cells, kind="stable")
+    ordered = cells[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    first = np.flatnonzero(new)
+    place = np.empty(len(cells), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return ordered[first], np.add.reduceat(values[order], first), place
 
 
 def _candidates(index: Index, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, passage, block) where the essential terms' highest scores reach what the block needs."""
+    """(text, passage, item) where the essential terms give all that the item needs.
+
+    First by the terms' highest scores in each block; only postings of blocks that pass are read.
+    """
+    none = (np.zeros(0, np.int64),) * 3
     at = np.minimum(np.searchsorted(index.terms, hashes), len(index.terms) - 1)
-    known = index.terms[at] == hashes
+    known = np.flatnonzero(index.terms[at] == hashes)
+    if not len(known):
+        return none
     owner, place = spans(counts)
     owner, place, term = owner[known], place[known], at[known]
     passages = np.maximum(1, -(-counts // index.stride) - 1)
@@ -139,23 +162,25 @@ def _candidates(index: Index, hashes: np.ndarray, counts: np.ndarray) -> tuple[n
     # Passages overlap by half: a word stands in two of them, but for the first and last half.
     one = base[owner] + np.minimum(part, passages[owner] - 1)
     two = base[owner] + np.maximum(part - 1, 0)
-    pairs = np.unique(np.concatenate([one, two]) * len(index.terms) + np.concatenate([term, term]))
+    pairs = np.sort(np.concatenate([one, two]) * len(index.terms) + np.concatenate([term, term]))
+    pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
     passage, term = pairs // len(index.terms), pairs % len(index.terms)
     number = index.number[term]
-    block = gathered(index.block, index.first[term], number)
-    cell = np.repeat(passage, number) * len(index.needs) + block
-    order = np.argsort(cell, kind="stable")
-    cell = cell[order]
-    first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
-    if not len(first):
-        return first, first, first
-    reach = np.add.reduceat(gathered(index.highest, index.first[term], number)[order], first)
-    cell = cell[first]
-    passage, block = cell // len(index.needs), cell % len(index.needs)
-    enough = reach >= index.needs[block] - 1e-9
-    passage, block = passage[enough], block[enough]
+    posting = gathered(np.arange(len(index.block)), index.first[term], number)
+    passage = np.repeat(passage, number)
+    cells, reach, cell = _summed(passage * len(index.needs) + index.block[posting], index.highest[posting])
+    passing = (reach >= index.needs[cells % len(index.needs)] - 1e-9)[cell]
+    passage, posting = passage[passing], posting[passing]
+    if not len(posting):
+        return none
+    number = index.item_number[posting]
+    exact = gathered(np.arange(len(index.item)), index.item_first[posting], number)
+    cells, reach, _ = _summed(np.repeat(passage, number) * len(index.items) + index.item[exact], index.impact[exact])
+    passage, item = cells // len(index.items), cells % len(index.items)
+    enough = reach >= index.item_needs[item] - 1e-9
+    passage, item = passage[enough], item[enough]
     text = np.searchsorted(base, passage, side="right") - 1
-    return text, passage - base[text], block
+    return text, passage - base[text], item
 
 
 def _share(part: np.ndarray, held: np.ndarray) -> float:
@@ -168,21 +193,18 @@ def _searched(index: Index, threshold: float):
             hashes, counts = _hashed(batch["text"])
             ends = np.cumsum(counts)
             out = {}
-            for text, passage, block in zip(*(x.tolist() for x in _candidates(index, hashes, counts)), strict=True):
-                begin = passage * index.stride
+            for text, passage, i in zip(*(x.tolist() for x in _candidates(index, hashes, counts)), strict=True):
+                begin, item = passage * index.stride, index.items[i]
                 own = hashes[ends[text] - counts[text]:ends[text]][begin:begin + 2 * index.stride]
-                terms, held = np.unique(own), None
-                for i in range(block * BLOCK_ITEMS, min((block + 1) * BLOCK_ITEMS, len(index.items))):
-                    item = index.items[i]
-                    score = float(item.impacts[np.isin(item.terms, terms)].sum())
-                    if score < threshold:
-                        continue
-                    held = _runs(own) if held is None else held
-                    asked, told = _share(item.question, held), _share(item.answer, held)
-                    if asked < QUESTION and not (asked >= SOME_QUESTION and told >= ANSWER):
-                        continue
-                    if (text, i) not in out or score > out[text, i][3]:
-                        out[text, i] = (batch["doc_id"][text].as_py(), item.item_id, begin, score, asked, told)
+                score = float(item.impacts[np.isin(item.terms, own)].sum())
+                if score < threshold:
+                    continue
+                held = _runs(own)
+                asked, told = _share(item.question, held), _share(item.answer, held)
+                if asked < QUESTION and not (asked >= SOME_QUESTION and told >= ANSWER):
+                    continue
+                if (text, i) not in out or score > out[text, i][3]:
+                    out[text, i] = (batch["doc_id"][text].as_py(), item.item_id, begin, score, asked, told)
             columns = list(zip(*out.values(), strict=True)) or [[]] * 6
             kinds = [pa.int64()] * 3 + [pa.float64()] * 3
             yield pa.RecordBatch.from_arrays(
