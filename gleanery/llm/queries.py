@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import decontaminate, language_model, packing, preference, quality_rules, repair, suffixes, toxicity, url_filter
+from gleanery.llm import decontaminate, jaccard, language_model, packing, preference, quality_rules, repair, suffixes, toxicity, url_filter
 from gleanery.llm.common import document_key
 from gleanery.queries.common import Registry, table
 from gleanery.session import scratch_path
@@ -106,3 +106,8 @@ def benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add("op2_suffix_array_dedup")
 def shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeats(table(spark, sf_dir, "documents")).drop("document")
+
+
+@R.add("op3_ngram_jaccard")
+def similarity_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents")).drop("document", "class")
