@@ -132,7 +132,20 @@ def signed(values: np.ndarray) -> np.ndarray:
     return values.astype(np.uint64).view(np.int64)
 
 
-def attach_small(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join a table that is usually small: sent to every executor if it has few rows, else shuffled."""
-    fits = small.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
-    return rows.join(F.broadcast(small) if fits else small, on, how)
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it as long as the table has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def is_small(table: DataFrame, size: Column | None = None) -> bool:
+    """Whether a table has at most ``SMALL_ROWS`` rows and, by ``size``, as many values in them."""
+    values = F.lit(1) if size is None else F.lit(1) + size
+    return (table.limit(SMALL_ROWS + 1).agg(F.sum(values)).head()[0] or 0) <= SMALL_ROWS
+
+
+def attach_small(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inner", size: Column | None = None) -> DataFrame:
+    """Join a table that is usually small: sent to every executor if it is, else shuffled."""
+    return rows.join(F.broadcast(small) if is_small(small, size) else small, on, how)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-from gleanery.llm.common import attach_small, blocks, hash_words, mixed, rolling, signed, spans, split_words
+from gleanery.llm.common import attach_small, blocks, free_name, hash_words, mixed, rolling, signed, spans, split_words
 from gleanery.llm.components import components
 from gleanery.llm.suffixes import document_of
 from gleanery.llm.text_stats import word_codes
@@ -354,12 +354,13 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     found = cut_lineage(classes(documents).filter("n_shingles > 0"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("document").alias("d"))
     first = found.groupBy("class").agg(F.min(order)["d"].alias("document"))
-    dropped = found.select("document").distinct().join(first, "document", "left_anti").withColumnRenamed("document", "_document")
-    marked = documents.withColumn("_document", document_of())
-    kept = attach_small(marked, cut_lineage(dropped), ["_document"], "left_anti")
-    again = found.groupBy("document").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("document").alias("_document"))
+    mark, one = free_name(documents, "_document"), free_name(documents, "_row")
+    dropped = found.select("document").distinct().join(first, "document", "left_anti")
+    marked = documents.withColumn(mark, document_of())
+    kept = attach_small(marked, cut_lineage(dropped.withColumnRenamed("document", mark)), [mark], "left_anti")
+    again = found.groupBy("document").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("document").alias(mark))
     if again.isEmpty():
         return kept.select(*documents.columns)
     row = F.struct(*[F.col(c) for c in documents.columns])
-    once = kept.join(again, "_document", "left_semi").groupBy("_document").agg(F.first(row).alias("_row")).select("_row.*")
-    return kept.join(again, "_document", "left_anti").select(*documents.columns).unionByName(once)
+    once = kept.join(again, mark, "left_semi").groupBy(mark).agg(F.first(row).alias(one)).select(f"{one}.*")
+    return kept.join(again, mark, "left_anti").select(*documents.columns).unionByName(once)

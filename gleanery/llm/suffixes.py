@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import blocks, hash_words, rolling, signed, spans, split_words
+from gleanery.llm.common import attach_small, blocks, free_name, hash_words, rolling, signed, spans, split_words
 from gleanery.llm.text_stats import word_codes
+from gleanery.session import cut_lineage
 
 PASSAGE = 50
 GRAM = 4
@@ -305,11 +306,13 @@ def without_repeats(documents: DataFrame) -> DataFrame:
 
     All columns stay; ``n_chars`` follows the text where there is such a column.
     """
-    cuts = repeats(documents).filter(F.size("later") > 0).select(F.col("document").alias("_document"), F.col("later").alias("_later"))
-    met = documents.withColumn("_document", document_of()).join(cuts, "_document", "left")
-    text = F.when(F.col("_later").isNotNull(), F.arrow_udf(_cut, "string")("text", "_later")).otherwise(F.col("text"))
-    met = met.withColumn("text", text).filter(F.col("_later").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    mark, later = free_name(documents, "_document"), free_name(documents, "_later")
+    cuts = repeats(documents).filter(F.size("later") > 0).select(F.col("document").alias(mark), F.col("later").alias(later))
+    met = attach_small(documents.withColumn(mark, document_of()), cut_lineage(cuts), [mark], "left", F.size(later))
+    cut = F.col(later).isNotNull()
+    met = met.withColumn("text", F.when(cut, F.arrow_udf(_cut, "string")("text", later)).otherwise(F.col("text")))
+    met = met.filter(~cut | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in documents.columns:
         size = F.length("text").cast(documents.schema["n_chars"].dataType)
-        met = met.withColumn("n_chars", F.when(F.col("_later").isNotNull(), size).otherwise(F.col("n_chars")))
+        met = met.withColumn("n_chars", F.when(cut, size).otherwise(F.col("n_chars")))
     return met.select(*documents.columns)

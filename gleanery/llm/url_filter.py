@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import SMALL_ROWS
+from gleanery.llm.common import is_small
 
 #: Copies of each rule when the rules are too many to send everywhere, so that a host
 #: that holds a third of all pages is spread over so many tasks.
@@ -83,7 +83,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     ).select("host", "path", _digest(F.col("_host"), F.col("_folder")).alias("_place"))
     expressions = expressions.withColumn("_short", _short(F.col("_place")))
     known = prepared(rules)
-    if known.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+    if is_small(known):
         met = expressions.join(F.broadcast(known), "_short")
     else:
         salted = expressions.withColumn("_salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALT)).cast("int"))
