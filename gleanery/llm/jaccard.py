@@ -23,9 +23,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
 from gleanery.llm.common import attach_small, blocks, free_name, hash_words, mixed, rolling, signed, spans, split_words
 from gleanery.llm.components import components
 from gleanery.llm.suffixes import document_of
@@ -38,9 +38,13 @@ SIMILARITY = 80
 KEYS = 3
 CELL = 512
 #: Bits of the parity sketch.
-SKETCH = 1024
-#: Shingles that make up one part in so many of all are known to every executor as frequent.
+SKETCH = 512
+#: Shingles known to every executor as frequent, at most.
 FREQUENT = 1 << 20
+#: Bytes of text worked on at once.
+BLOCK = 4 << 20
+#: Shingles among which a task looks for those that several sets have.
+HELD = 3_000_000
 #: Texts in a block: a text's number and 48 bits of a shingle share one number.
 TEXTS = 1 << 15
 SETS = (
@@ -51,7 +55,7 @@ LISTED = "token long, node long, size int, place int"
 
 
 def _small_blocks(batches):
-    for block in blocks(batches):
+    for block in blocks(batches, BLOCK):
         for i in range(0, block.num_rows, TEXTS):
             yield block.slice(i, TEXTS)
 
@@ -97,7 +101,8 @@ def _node(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _sets(batches):
-    """One row for each text, and one row for each block with the shingles that several of its sets have."""
+    """One row for each text, and one row for some millions of shingles with those that several sets have."""
+    held, seen, number = [], [], 0
     for block in _small_blocks(batches):
         keys, counts = shingles(block["text"])
         node, low, n = _node(keys, counts), keys & _LOW, len(counts)
@@ -107,22 +112,35 @@ def _sets(batches):
         least = np.zeros((n, KEYS), np.uint64)
         for k in range(KEYS if len(low) else 0):
             least[filled, k] = np.minimum.reduceat(mixed(low ^ np.uint64(0x9E37 * (k + 1))), first)
-        bits = np.zeros(n * SKETCH, np.uint8)
         cell = owner * SKETCH + (mixed(low) % np.uint64(SKETCH)).astype(np.int64)
-        odd = np.bincount(cell, minlength=n * SKETCH) & 1
-        bits[:] = odd
-        sketch = np.packbits(bits.reshape(n, SKETCH), axis=1).view(np.int64)
+        odd = (np.bincount(cell, minlength=n * SKETCH) & 1).astype(np.uint8)
+        sketch = np.packbits(odd.reshape(n, SKETCH), axis=1).view(np.int64)
+        yield _set_rows(block["document"], block["doc_id"], counts, node, least, sketch)
         once = np.zeros(n, bool)
         once[np.unique(node, return_index=True)[1]] = True
-        shared = np.sort(low[once[owner]]) if len(low) else low
-        edge = np.flatnonzero(np.concatenate([[True], shared[1:] != shared[:-1]])) if len(shared) else np.zeros(0, np.int64)
-        times = np.diff(edge, append=len(shared))
-        often = times >= 2
-        yield _set_rows(block["document"], block["doc_id"], counts, node, least, sketch)
-        one = pa.array([None], pa.int64())
-        lists = (pa.array([signed(shared[edge[often]])], pa.list_(pa.int64())), pa.array([times[often].astype(np.int32)], pa.list_(pa.int32())))
-        empty = pa.array([None], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([one, one, one, one, empty, empty, *lists], names=_names(SETS))
+        if seen:
+            once &= ~np.isin(node, np.concatenate(seen))
+        held.append(low[once[owner]])
+        seen.append(node[once])
+        number += len(held[-1])
+        if number >= HELD:
+            yield _often_row(np.concatenate(held))
+            held, seen, number = [], [], 0
+    if held:
+        yield _often_row(np.concatenate(held))
+
+
+def _often_row(shared: np.ndarray) -> pa.RecordBatch:
+    shared.sort()
+    edge = np.flatnonzero(np.concatenate([[True], shared[1:] != shared[:-1]])) if len(shared) else np.zeros(0, np.int64)
+    times = np.diff(edge, append=len(shared))
+    often = times >= 2
+    one, empty = pa.array([None], pa.int64()), pa.array([None], pa.list_(pa.int64()))
+    lists = (
+        pa.array([signed(shared[edge[often]])], pa.list_(pa.int64())),
+        pa.array([times[often].astype(np.int32)], pa.list_(pa.int32())),
+    )
+    return pa.RecordBatch.from_arrays([one, one, one, one, empty, empty, *lists], names=_names(SETS))
 
 
 def _names(schema: str) -> list[str]:
@@ -275,26 +293,56 @@ def _by_key(sets: DataFrame) -> DataFrame:
     return met.select("document", "node", _cell(F.hash("k", "key"), F.col("node"), F.col("_n")).alias("cell")).distinct()
 
 
-def _pairs(listed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of sets of different classes that the index and the sketches cannot rule out."""
-    lists = listed.repartition("token")
-    several = lists.groupBy("token").agg(F.min("class").alias("_low"), F.max("class").alias("_high")).filter("_low < _high")
-    open_lists = lists.join(several.select("token"), "token", "left_semi").dropDuplicates(["token", "node"])
-    one = open_lists.select("token", *[F.col(c).alias(f"{c}_1") for c in ("node", "class", "size", "place")])
-    two = open_lists.select("token", *[F.col(c).alias(f"{c}_2") for c in ("node", "class", "size", "place")])
+def _open_lists(listed: DataFrame, sets: DataFrame) -> DataFrame:
+    """The lists that hold several classes, each set with its sketch; all other lists are skipped."""
+    token = W.partitionBy("token")
+    bounds = listed.withColumn("_low", F.min("class").over(token)).withColumn("_high", F.max("class").over(token))
+    left = bounds.filter("_low < _high").drop("_low", "_high").dropDuplicates(["token", "node"])
+    return cut_lineage(left.join(sets.select("node", "document", "sketch"), "node"))
+
+
+def _pairs(lists: DataFrame) -> DataFrame:
+    """Pairs of sets of different classes that neither places nor sketches can rule out."""
+    columns = ("node", "document", "class", "size", "place", "sketch")
+    one = lists.select("token", *[F.col(c).alias(f"{c}_1") for c in columns])
+    two = lists.select("token", *[F.col(c).alias(f"{c}_2") for c in columns])
+    both = F.col("size_1") + F.col("size_2")
     reach = F.least(F.col("size_1") - F.col("place_1"), F.col("size_2") - F.col("place_2"))
-    enough = (100 + SIMILARITY) * reach >= SIMILARITY * (F.col("size_1") + F.col("size_2"))
-    met = one.join(two, "token").filter((F.col("class_1") < F.col("class_2")) & enough)
-    pairs = met.select(F.col("node_1").alias("x"), F.col("node_2").alias("y")).distinct()
-    for end in ("x", "y"):
-        pairs = pairs.join(
-            sets.select(F.col("node").alias(end), F.col("n_shingles").alias(f"n{end}"), F.col("sketch").alias(f"s{end}"), F.col("document").alias(f"d{end}")), end
-        )
-    apart = F.aggregate(
-        F.zip_with("sx", "sy", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, bits: total + bits
+    apart = F.lit(0)
+    for i in range(SKETCH // 64):
+        apart = apart + F.bit_count(F.col("sketch_1")[i].bitwiseXOR(F.col("sketch_2")[i]))
+    met = one.join(
+        two,
+        (one["token"] == two["token"])
+        & (F.col("class_1") < F.col("class_2"))
+        & ((100 + SIMILARITY) * reach >= SIMILARITY * both)
+        # Each shingle that only one set has turns one bit, so at least ``apart`` shingles differ.
+        & ((100 + SIMILARITY) * apart <= (100 - SIMILARITY) * both),
     )
-    # Each shingle that only one set has turns one bit, so at least ``apart`` shingles differ.
-    return pairs.filter((100 + SIMILARITY) * apart <= (100 - SIMILARITY) * (F.col("nx") + F.col("ny")))
+    return met.select(
+        F.col("node_1").alias("x"), F.col("document_1").alias("dx"), F.col("node_2").alias("y"), F.col("document_2").alias("dy")
+    ).distinct()
+
+
+def _frequent(often: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles, sorted, and their ranks by frequency: at most ``FREQUENT``."""
+    step = F.floor(F.log2("n") * 16).cast("int").alias("step")
+    least = None
+    room = FREQUENT
+    # The counts' logarithms have some hundred steps.
+    for row in often.groupBy(step).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect():
+        room -= row["n"]
+        if room < 0:
+            break
+        least = row["step"]
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    rows = often.filter(step >= least).toArrow()
+    tokens, count = rows["token"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    rank = np.empty(len(tokens), np.uint64)
+    rank[np.lexsort([tokens, count])] = np.arange(len(tokens), dtype=np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], rank[order]
 
 
 def _by_pair(pairs: DataFrame) -> DataFrame:
@@ -319,20 +367,13 @@ def classes(documents: DataFrame) -> DataFrame:
     )
     often = rows.filter(F.col("node").isNull()).select(F.explode(F.arrays_zip("often", "often_n")).alias("_o"))
     often = often.groupBy(F.col("_o.often").alias("token")).agg(F.sum("_o.often_n").cast("long").alias("n"))
-    total = sets.agg(F.sum("n_shingles")).head()[0] or 0
-    # At most FREQUENT shingles reach this share of all.
-    frequent = often.filter(F.col("n") * FREQUENT >= total).toArrow()
-    tokens, count = frequent["token"].to_numpy().view(np.uint64), frequent["n"].to_numpy()
-    order = np.argsort(tokens)
-    rank = np.empty(len(tokens), np.uint64)
-    rank[np.lexsort([tokens, count])] = np.arange(len(tokens), dtype=np.uint64)
-
+    frequent = _frequent(cut_lineage(often))
     pairs_of_text = texts.select("document", "text")
     similar = cut_lineage(_in_cells(pairs_of_text, _by_key(sets)))
     known = components(similar).select("node", F.col("component").alias("class"))
-    listed = texts.select("text").mapInArrow(_listed(tokens[order], rank[order]), LISTED)
+    listed = texts.select("text").mapInArrow(_listed(*frequent), LISTED)
     listed = attach_small(listed, known, ["node"], "left").withColumn("class", F.coalesce("class", "node"))
-    pairs = cut_lineage(_pairs(listed, sets))
+    pairs = cut_lineage(_pairs(_open_lists(listed, sets)))
     rest = cut_lineage(_in_cells(pairs_of_text, _by_pair(pairs)))
     label = components(similar.unionByName(rest))
     labelled = sets.select("node", "first_id").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
