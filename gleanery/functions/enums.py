@@ -92,18 +92,19 @@ class Enumeration:
         """Reduce each group's members with ``merge`` into one member.
 
         ``merge`` must be associative and commutative (max, bit-or, a sum of codes,
-        ...). Members are counted first, so the list merged per group is never
-        longer than the enumeration; a member that occurs n times is merged with
-        itself by doubling, in log n steps. A result outside the enumeration fails.
+        ...). Codes outside the enumeration fail. Members are counted first, so the list
+        merged per group is never longer than the enumeration; a member that occurs n times is
+        merged with itself by doubling, in log n steps. A result outside the enumeration fails.
         """
-        counted = rows.filter(F.col(code).isNotNull()).groupBy(*keys, code).agg(
+        known = rows.filter(F.col(code).isNotNull()).withColumn(code, self.member(F.col(code)))
+        counted = known.groupBy(*keys, code).agg(
             F.count(F.lit(1)).alias("_n")
         )
         entry = F.struct(F.col(code).cast("int").alias("code"), F.col("_n").alias("n"))
         members = counted.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_m"))
         powers = F.transform("_m", lambda m: _repeated(m["code"], m["n"], merge))
         merged = F.reduce(
-            F.slice(powers, F.lit(2), F.lit(len(self.members))), F.get(powers, F.lit(0)), merge
+            F.slice(powers, F.lit(2), F.size(powers)), F.get(powers, F.lit(0)), merge
         )
         reduced = members.select(*keys, merged.alias(code))
         return reduced.select(*keys, self.member(F.col(code)).alias(code))

@@ -12,18 +12,20 @@ from gleanery.operators.ordered import previous_row
 from gleanery.sources.store import merge_fields
 
 
-def keep_last(items: DataFrame, key: str, order: list[str], first_name: str = "position") -> DataFrame:
+def keep_last(items: DataFrame, key: str | list[str], order: list[str],
+              first_name: str = "position") -> DataFrame:
     """One row per key: the last one's values, at the first one's place.
 
     A plain aggregation, so copies are reduced before any shuffle and a key with
     very many copies stays cheap.
     """
-    rest = [c for c in items.columns if c != key]
-    picked = items.groupBy(key).agg(
+    keys = [key] if isinstance(key, str) else key
+    rest = [c for c in items.columns if c not in keys]
+    picked = items.groupBy(*keys).agg(
         F.max_by(F.struct(*rest), F.struct(*order)).alias("_last"),
         F.min(order[0]).alias(first_name),
     )
-    return picked.select(key, "_last.*", first_name)
+    return picked.select(*keys, "_last.*", first_name)
 
 
 def collisions(items: DataFrame, key: str, order: list[str], chunk: Column,
@@ -96,15 +98,17 @@ def url_directories(url: Column) -> Column:
 
 
 def route(urls: DataFrame, catalog: DataFrame, url: str = "url", key: str = "url") -> DataFrame:
-    """Deepest configured directory of each URL; unroutable URLs are dropped.
+    """Deepest configured directory of each ``key``; unroutable URLs are dropped.
 
-    A directory counts only if all its parents exist. The catalog has one row per
+    Copies of a URL are routed once, and keys that repeat a URL share its answer; rows
+    that repeat key and URL are one. A directory counts only if all its parents exist. The catalog has one row per
     directory (``directory``, ``has_source``, ``is_enabled``); the join carries the
     key and one directory name only. Spark broadcasts the catalog where it proves
     small, and splits a directory that very many URLs share where it does not.
     """
-    prefixes = urls.select(
-        F.col(key).alias("_id"), F.explode(url_directories(F.col(url))).alias("p")
+    pairs = urls.select(F.col(key).alias("_key"), F.col(url).alias("_id")).distinct()
+    prefixes = pairs.select("_id").distinct().select(
+        "_id", F.explode(url_directories(F.col("_id"))).alias("p")
     ).select("_id", "p.depth", "p.directory")
     known = prefixes.join(catalog.select("directory", "has_source", "is_enabled"), "directory")
     # One URL's directories are as few as its path is deep; nested without gaps, the
@@ -117,10 +121,9 @@ def route(urls: DataFrame, catalog: DataFrame, url: str = "url", key: str = "url
     unbroken = F.filter(F.col("_d"), lambda d, i: d["depth"] == i + 1)
     configured = F.filter(unbroken, lambda d: d["has_source"])
     deepest = F.try_element_at(configured, F.lit(-1))
-    return (
-        found.select(F.col("_id").alias(key), deepest.alias("_deepest"))
-        .filter("_deepest is not null")
-        .select(key, "_deepest.directory", "_deepest.is_enabled")
+    routed = found.select("_id", deepest.alias("_deepest")).filter("_deepest is not null")
+    return pairs.join(routed, "_id").select(
+        F.col("_key").alias(key), "_deepest.directory", "_deepest.is_enabled"
     )
 
 

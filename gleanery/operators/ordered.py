@@ -3,12 +3,15 @@
 A plain window puts a whole key into one task. Here each key is cut into chunks
 of consecutive order values (``chunk``, any column that never decreases along the
 order). Rows are numbered, summed or compared inside (key, chunk); the few values
-that must cross chunk borders travel on one summary row per (key, chunk). Keys must
-not be null; give missing keys a value first.
+that must cross chunk borders travel on one summary row per (key, chunk). A null key
+is a key like any other.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -30,8 +33,10 @@ def _borders(summary: DataFrame, keys: list[str], values: dict[str, Column]) ->
 
 
 def _attach(rows: DataFrame, borders: DataFrame, keys: list[str]) -> DataFrame:
-    """Join on (key, chunk): the rows keep the partitioning of their window."""
-    return rows.join(borders, [*keys, "_chunk"], "left")
+    """Join on (key, chunk), null keys included: the rows keep the partitioning of their window."""
+    named = borders.withColumnsRenamed({c: f"_border_{c}" for c in (*keys, "_chunk")})
+    match = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_border_{c}")) for c in (*keys, "_chunk")])
+    return rows.join(named, match, "left").drop(*[f"_border_{c}" for c in (*keys, "_chunk")])
 
 
 def row_positions(df: DataFrame, keys: list[str], order: list[Column], chunk: Column,

@@ -108,12 +108,18 @@ def extract_sources(pages: DataFrame, provider: Provider, model: Model, url: str
     return derived.drop("nodes")
 
 
-def combine(items: DataFrame, sources: DataFrame, model: Model, page_url: str = "url") -> DataFrame:
-    """Last item per source URL, overlaid by its source page's fields."""
+def combine(items: DataFrame, sources: DataFrame, model: Model, page_url: str = "url",
+            within: tuple[str, ...] = ()) -> DataFrame:
+    """Last item per source URL, overlaid by its source page's fields.
+
+    ``within`` names the columns of one extraction (its search and provider): a link found
+    by several of them is an item of each. Equal ranks are settled by the page's address and the title.
+    """
     absolute = items.withColumn(
         "source_url", normalize_url(resolve_link(F.col("source_url"), F.col(page_url)))
     )
-    kept = keep_last(absolute, "source_url", ["rank"])
+    ties = [c for c in ("page", page_url, "index", "title") if c in absolute.columns]
+    kept = keep_last(absolute, [*within, "source_url"], ["rank", *ties])
     fields = [n for n in model.names() if n not in ("source_url", "rank")]
     return overlay(kept, sources, fields, normalized=True, order=[page_url])
 
@@ -134,7 +140,7 @@ def page_links(pages: DataFrame, provider: Provider, url: str = "url") -> DataFr
 def follow_pages(starts: DataFrame, links: DataFrame, limit: int, url: str = "url") -> DataFrame:
     """Pages reached from each start by next-page links, with their page number.
 
-    The links are written once, so pages are parsed once however many hops
+    A trail ends at a page it has met before. The links are written once, so pages are parsed once however many hops
     follow. Each hop is one equi-join over distinct addresses, so a start that very
     many searches share is followed once.
     """
@@ -146,7 +152,8 @@ def follow_pages(starts: DataFrame, links: DataFrame, limit: int, url: str = "ur
     for _ in range(limit - 1):
         trails = trails.withColumn("_at", F.try_element_at("_trail", F.lit(-1)))
         trails = trails.join(links, "_at", "left")
-        trails = trails.select("_start", F.array_append("_trail", F.col("next_url")).alias("_trail"))
+        fresh = F.when(~F.array_contains("_trail", F.col("next_url")), F.col("next_url"))
+        trails = trails.select("_start", F.array_append("_trail", fresh).alias("_trail"))
     reached = trails.select("_start", F.posexplode("_trail").alias("page", "_url")).filter(
         F.col("_url").isNotNull()
     )

@@ -93,8 +93,8 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
             "page": F.floor((F.col("pos") - 1) / PAGE_SIZE) + 1,
             "last": F.floor((F.col("n") - 1) / PAGE_SIZE) + 1,
             "row": F.format_string(
-                '<tr><td class="useragent"><a href="/customer/%s">%s</a>'
-                '<td title="%s %s">x</td><td> seg <b>%s</b></td></tr>',
+                '<li class="entry"><h3><a href="/customer/%s">%s</a></h3>'
+                '<p data-kind="%s %s">x</p><em> seg <b>%s</b></em></li>',
                 "c_custkey", "c_name", "c_mktsegment", "c_custkey", "c_mktsegment",
             ),
         }
@@ -109,21 +109,21 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     path = F.format_string("/list/%s/%s", "c_nationkey", F.col("page") + 1)
     link = F.when(
-        F.col("page") < F.col("last"), F.concat(F.lit('<a href="'), path, F.lit('">&gt;</a>'))
+        F.col("page") < F.col("last"), F.concat(F.lit('<a rel="next" href="'), path, F.lit('">more</a>'))
     ).otherwise("")
     html = F.concat(
         F.format_string(
-            '<html><head><meta name="citation_title" content="Customers of %s">'
-            '<meta name="DC.Contributor" content="A%s"><meta name="DC.Contributor" content="B%s">'
-            '</head><body><div id="list-%s"><table class="table table-useragents"><tbody>',
+            '<html><head><meta name="heading" content="Customers of %s">'
+            '<meta name="keeper" content="A%s"><meta name="keeper" content="B%s">'
+            '</head><body><div id="list-%s"><ol class="plain entries">',
             "c_nationkey", "c_nationkey", "page", "c_nationkey",
         ),
         "rows",
-        F.lit('</tbody></table></div><div id="pagination"><span>'),
+        F.lit('</ol></div><nav id="turn"><span>'),
         F.col("page").cast("string"),
         F.lit("</span>"),
         link,
-        F.lit("</div></body></html>"),
+        F.lit("</nav></body></html>"),
     )
     return pages.select(
         F.col("c_nationkey").cast("bigint").alias("site"),

@@ -122,7 +122,8 @@ def _event_records(spark, sf):
 @R.add("upsert_partial", """SELECT user_id, last(event_type ORDER BY ts, event_id) AS event_type,
   last(value ORDER BY ts, event_id) FILTER (WHERE value >= 20) AS value,
   last(props ORDER BY ts, event_id) FILTER (WHERE event_type <> 'error') AS props,
-  last(event_id ORDER BY ts, event_id) AS event_id, 'v7' AS cache_version FROM events GROUP BY 1""")
+  last(event_id ORDER BY ts, event_id) AS event_id, 'v7' AS cache_version,
+  '2024-01-31T00:00:00' AS last_extracted FROM events GROUP BY 1""")
 def upsert_partial(spark, sf):
     events = _event_records(spark, sf)
     middle = F.lit("2024-01-15").cast("timestamp")
@@ -130,27 +131,29 @@ def upsert_partial(spark, sf):
     merged = store.upsert(stored, events.filter(C("ts") >= middle), ["user_id"], ["ts", "event_id"])
     stamped = store.prepare_content(merged.withColumn("rank", F.lit(1)), F.lit("v7"), _now())
     return stamped.select(
-        "user_id", "event_type", "value", "props", "event_id", C("_cache_version").alias("cache_version")
+        "user_id", "event_type", "value", "props", "event_id", C("_cache_version").alias("cache_version"),
+        F.date_format("_last_extracted", "yyyy-MM-dd'T'HH:mm:ss").alias("last_extracted"),
     )
 
 
-@R.add("content_lookup", """SELECT event_id, (event_id * 7) % 1500 AS doc_id, n_chars, source, lang
-FROM events LEFT JOIN documents ON doc_id = (event_id * 7) % 1500""")
+@R.add("content_lookup", """SELECT event_id, event_id AS doc_id, n_chars, source, lang
+FROM events LEFT JOIN documents ON doc_id = event_id""")
 def content_lookup(spark, sf):
-    keys = table(spark, sf, "events").select("event_id", ((C("event_id") * 7) % 1500).alias("doc_id"))
+    """Every event looks for the document of its number; there are more events than documents."""
+    keys = table(spark, sf, "events").select("event_id", C("event_id").alias("doc_id"))
     content = table(spark, sf, "documents").select("doc_id", "n_chars", "source", "lang")
     return store.lookup(keys, content, "doc_id")
 
 
 def _ranked_results(spark, sf):
     return status_log(spark, sf).select(
-        "search_key", "provider", (C("event_id") % 300).alias("doc_id"),
+        "search_key", "provider", (C("search_key") + C("event_id") % 3).alias("doc_id"),
         F.floor("value").cast("bigint").alias("rank"), "ts", "event_id",
     )
 
 
 RANKED_SQL = STATUS_SQL + """,
-results AS (SELECT search_key, provider, event_id % 300 AS doc_id, CAST(floor(value) AS BIGINT) AS rank,
+results AS (SELECT search_key, provider, search_key + event_id % 3 AS doc_id, CAST(floor(value) AS BIGINT) AS rank,
   ts, event_id FROM log)"""
 
 
@@ -329,15 +332,15 @@ def geo_terms(spark, sf):
 TOPICS = ["problem", "org", "geo"]
 SITE_A = UrlTemplate.from_config({"url_template": "https://a.example/find/{problem}/1"})
 SITE_B = UrlTemplate.from_config({
-    "url_template": "https://b.example/search?qb={{query}}",
-    "query": {"series": "TOPIC", "templates": ["{first}", "{other}"], "delimiter": ","},
-    "first": "%22Keywords{index}%22:%22{term}%22",
-    "other": "%22Text{index}%22:%22{term}%22",
+    "url_template": "https://b.example/find?f={{parts}}",
+    "parts": {"series": "TOPIC", "templates": ["{lead}", "{further}"], "delimiter": ";"},
+    "lead": "main.{index}={term}",
+    "further": "also.{index}={term}",
 })
 SITE_C = UrlTemplate.from_config({
-    "url_template": "https://c.example/?term={query}",
-    "query": {"series": "TOPIC", "templates": ["({topic})"], "delimiter": "+AND+"},
-    "topic": {"series": "TERM", "templates": ["{term}%5BAbstract%5D"], "delimiter": "+OR+"},
+    "url_template": "https://c.example/all/{every}",
+    "every": {"series": "TOPIC", "templates": ["!{any}!"], "delimiter": "~and~"},
+    "any": {"series": "TERM", "templates": ["body:{term}"], "delimiter": "~or~"},
 })
 
 
@@ -360,11 +363,11 @@ PROBLEM_SQL = "upper(left(c_mktsegment, 1)) || lower(c_mktsegment[2:])"
 ORG_SQL = QUOTE.format("CASE WHEN c_acctbal > 5000 THEN c_name || ' & Co' END")
 FROM_SQL = "FROM customer JOIN nation ON c_nationkey = n_nationkey"
 URL_A_SQL = f"'https://a.example/find/' || {QUOTE.format(PROBLEM_SQL)} || '/1'"
-URL_B_SQL = f"""'https://b.example/search?qb={{%22Keywords1%22:%22' || {QUOTE.format(PROBLEM_SQL)} || '%22,'
-  || coalesce('%22Text2%22:%22' || {ORG_SQL} || '%22,%22Text3%22:%22', '%22Text2%22:%22') || n_name || '%22}}'"""
-URL_C_SQL = f"""'https://c.example/?term=(' || {QUOTE.format(PROBLEM_SQL)} || '%5BAbstract%5D)+AND+'
-  || coalesce('(' || {ORG_SQL} || '%5BAbstract%5D)+AND+', '') || '(' || n_name || '%5BAbstract%5D+OR+N/'
-  || n_nationkey || '%5BAbstract%5D)'"""
+URL_B_SQL = f"""'https://b.example/find?f={{main.1=' || {QUOTE.format(PROBLEM_SQL)} || ';'
+  || coalesce('also.2=' || {ORG_SQL} || ';also.3=', 'also.2=') || n_name || '}}'"""
+URL_C_SQL = f"""'https://c.example/all/!body:' || {QUOTE.format(PROBLEM_SQL)} || '!~and~'
+  || coalesce('!body:' || {ORG_SQL} || '!~and~', '') || '!body:' || n_name || '~or~body:N/'
+  || n_nationkey || '!'"""
 
 
 def _urls(spark, sf, site):
@@ -476,12 +479,12 @@ def overall_status(spark, sf):
 
 
 @R.add("search_answers", f"""WITH {INFO_SQL}, {PLAN_SQL},
-results AS (SELECT search_key, event_id % 300 AS doc_id, CAST(floor(value) AS BIGINT) AS rank, ts, event_id FROM log),
+results AS (SELECT search_key, search_key + event_id % 3 AS doc_id, CAST(floor(value) AS BIGINT) AS rank, ts, event_id FROM log),
 idx AS (SELECT search_key, doc_id, last(rank ORDER BY ts, event_id) AS rank FROM results GROUP BY ALL),
 stat AS (SELECT search_key, CASE WHEN bool_and(ok) THEN 5 WHEN max(s) IS NULL THEN 3
     WHEN min(s) = 5 OR max(s) >= 4 THEN 4 ELSE max(s) END AS status, count(*) FILTER (WHERE NOT ok) AS n
   FROM (SELECT plan.search_key, status AS s, {REUSE_SQL} AS ok
-        FROM plan LEFT JOIN info USING (search_key, provider) WHERE plan.provider < 'p2') GROUP BY 1)
+        FROM plan LEFT JOIN info USING (search_key, provider)) GROUP BY 1)
 SELECT search_key, {LABEL_SQL} AS status, n AS outstanding, doc_id, rank, source
 FROM stat LEFT JOIN (SELECT * FROM idx LEFT JOIN documents USING (doc_id)) c
   ON c.search_key = stat.search_key AND status >= 4
@@ -494,9 +497,8 @@ def search_answers(spark, sf):
         _ranked_results(spark, sf), ["search_key"], "doc_id", "rank", ["ts", "event_id"]
     ).select("search_key", "doc_id", "rank")
     content = table(spark, sf, "documents").select("doc_id", "source")
-    planned = _plan(spark, sf).filter("provider < 'p2'")
     answers = answer_searches(
-        planned, _info(spark, sf), index, content, "search_key", "doc_id", _reuse()
+        _plan(spark, sf), _info(spark, sf), index, content, "search_key", "doc_id", _reuse()
     )
     return answers.select("search_key", "status", "outstanding", "doc_id", "rank", "source")
 
@@ -598,19 +600,19 @@ def one_per_group(spark, sf):
     return cardinality.one(table(spark, sf, "lineitem"), ["l_orderkey"], "l_partkey")
 
 
-@R.add("count_phrases", """SELECT o_custkey, CASE n WHEN 1 THEN '1 goose' ELSE n || ' geese' END AS plain,
-  CASE n WHEN 8 THEN 'exactly an octopus of 8' WHEN 11 THEN 'an 11-headed hydra' WHEN 12 THEN 'a 12-headed hydra'
-    WHEN 1 THEN 'an octopus' ELSE 'some octopodes' END AS special
+@R.add("count_phrases", """SELECT o_custkey, CASE n WHEN 1 THEN '1 leaf' ELSE n || ' leaves' END AS plain,
+  CASE n WHEN 8 THEN 'all of an orange in 8' WHEN 11 THEN 'an 11-part order' WHEN 12 THEN 'a 12-part order'
+    WHEN 1 THEN 'an orange' ELSE 'a few oranges' END AS special
 FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)""")
 def count_phrases(spark, sf):
     counted = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
     special = phrases.count_phrase(
-        C("n"), "octop/us/odes",
-        "8=exactly $a $thing of $n;11=$a $n-headed hydra;12=$a $n-headed hydra",
-        "1=$a $thing;n=some $things",
+        C("n"), "orange/s",
+        "8=all of $a $thing in $n;11=$a $n-part order;12=$a $n-part order",
+        "1=$a $thing;n=a few $things",
     )
     return counted.select(
-        "o_custkey", phrases.count_phrase(C("n"), "g/oose/eese").alias("plain"),
+        "o_custkey", phrases.count_phrase(C("n"), "lea/f/ves").alias("plain"),
         special.alias("special"),
     )
 

@@ -1,5 +1,7 @@
 """Element selection, field derivation and items, over the page table."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from gleanery.functions.records import ARTICLE, Field, Model
@@ -72,8 +74,8 @@ def find_id(spark, sf):
     pages = _listing(spark, sf)
     own_list = find_first(F.col("nodes"), "id", "list-<site>", lambda t: F.concat(
         F.lit("list-"), F.col("site").cast("string")))
-    rows = find_all(own_list, "tag_name", "tr")
-    shown = element_text(find_first(find_first(F.col("nodes"), "id", "pagination"), "tag_name", "span"))
+    rows = find_all(own_list, "tag_name", "li")
+    shown = element_text(find_first(find_first(F.col("nodes"), "id", "turn"), "tag_name", "span"))
     return pages.select("site", "page", big(F.size(rows)).alias("n_rows"), shown.alias("shown"))
 
 
@@ -82,9 +84,9 @@ SELECT DISTINCT c_nationkey::BIGINT AS site, page, 'Customers of ' || c_nationke
   'A' || c_nationkey || '; B' || page AS authors FROM listed""")
 def find_name(spark, sf):
     names = F.transform(
-        find_all(F.col("nodes"), "name", "DC.Contributor"), lambda e: element_attribute(e, "content")
+        find_all(F.col("nodes"), "name", "keeper"), lambda e: element_attribute(e, "content")
     )
-    title = element_attribute(find_first(F.col("nodes"), "name", "citation_title"), "content")
+    title = element_attribute(find_first(F.col("nodes"), "name", "heading"), "content")
     return _listing(spark, sf).select(
         "site", "page", title.alias("title"), F.array_join(names, "; ").alias("authors")
     )
@@ -355,26 +357,20 @@ LISTING = Provider.multi(
         "extract_sources": False,
         "cache_version": "2024-01-01",
         "pagination": {
-            "pages": 4,
+            "pages": 3,
             "page_size": 20,
-            "next_page_url": {
-                "xpath": "//div[contains(concat(' ', @id, ' '), ' pagination ')]/a[text()='>']",
-                "attribute": "href",
-            },
+            "next_page_url": {"css_selector": "nav#turn > a[rel=next]", "attribute": "href"},
         },
         "items": {
             "is_multiple": True,
-            "xpath": ".//table[contains(concat(' ', @class, ' '), ' table-useragents ')]/tbody/tr",
+            "css_selector": "ol.entries > li",
         },
         "content": {
-            "source_url": {
-                "xpath": "./td[contains(concat(' ', @class, ' '), ' useragent ')]/a",
-                "attribute": "href",
-            },
-            "user_agent": {"class_name": "useragent", "getattr": "text"},
-            "browser": {"xpath": "./td[2]", "attribute": "title", "parse": "{value} {}"},
-            "browser_version": {"xpath": "./td[2]", "attribute": "title", "parse": "{} {value}"},
-            "hardware_type": {"xpath": "./td[3]", "getattr": "text"},
+            "source_url": {"xpath": "./h3/a", "attribute": "href"},
+            "user_agent": {"tag_name": "h3", "getattr": "text"},
+            "browser": {"tag_name": "p", "attribute": "data-kind", "parse": "{value} {}"},
+            "browser_version": {"tag_name": "p", "attribute": "data-kind", "parse": "{} {value}"},
+            "hardware_type": {"tag_name": "em", "getattr": "text"},
         },
     },
 )
@@ -389,7 +385,7 @@ def _chain(pages):
 @R.add("page_chain", f"""WITH {LISTED_SQL}
 SELECT DISTINCT c_nationkey::BIGINT AS site, page,
   'https://list.example.com/list/' || c_nationkey || '/' || page AS url
-FROM listed WHERE page <= 4""")
+FROM listed WHERE page <= 3""")
 def page_chain(spark, sf):
     return _chain(listing_pages(spark, sf)).select("site", big("page").alias("page"), "url")
 
@@ -398,15 +394,13 @@ def page_chain(spark, sf):
 SELECT c_nationkey::BIGINT AS site, (page - 1) * 20 + idx AS rank, '/customer/' || c_custkey AS source_url,
   c_name AS user_agent, c_mktsegment AS browser, c_custkey::VARCHAR AS browser_version,
   'seg ' || c_mktsegment AS hardware_type, NULL::VARCHAR AS popularity
-FROM listed WHERE page <= 4""")
+FROM listed""")
 def agent_refresh(spark, sf):
-    """A reference table refreshed from its site: follow pages, extract, rank."""
+    """A reference table refreshed from all stored pages of its sites: extract and rank."""
     from gleanery.functions.records import AGENT
 
-    pages = listing_pages(spark, sf)
-    chain = _chain(pages).select("site", "page", "url")
-    stored = pages.select("url", "html")
-    items = extract_items(chain.join(stored, "url"), LISTING, AGENT)
+    pages = listing_pages(spark, sf).select("site", "page", "url", "html")
+    items = extract_items(pages, replace(LISTING, pages=1 << 62), AGENT)
     return items.select(
         "site", big("rank").alias("rank"), "source_url", "user_agent", "browser", "browser_version",
         "hardware_type", "popularity",

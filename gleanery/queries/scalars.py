@@ -328,7 +328,7 @@ def get_reference(spark, sf):
     )
 
 
-@R.add("render_references", r"""SELECT c_custkey, 'hot ' || c_name || ' by ' || c_mktsegment || '.' AS rendered,
+@R.add("render_references", r"""SELECT c_custkey, 'dear ' || c_name || ' by ' || c_mktsegment || '.' AS rendered,
   '<' || '>' AS blank, regexp_replace(c_name, '^.*#', '') AS parsed FROM customer""")
 def render_references(spark, sf):
     customers = table(spark, sf, "customer").withColumns(
@@ -339,7 +339,7 @@ def render_references(spark, sf):
     parsed = templates.parse_templates(C("c_name"), ["<prefix>{value}"], C)
     return customers.select(
         "c_custkey",
-        render("hot <c_name> by <c_mktsegment>.", C).alias("rendered"),
+        render("dear <c_name> by <c_mktsegment>.", C).alias("rendered"),
         F.concat(F.lit("<"), render("<missing>", C), F.lit(">")).alias("blank"),
         parsed.alias("parsed"),
     )

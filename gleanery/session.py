@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import uuid
@@ -48,13 +49,14 @@ def self_contained(module_name: str) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    Only a local-mode session, where driver and executors are one process, may
-    fall back to a temporary folder; on a cluster an unset folder is an error.
+    Only a session in local mode, where driver and executors are one process, may
+    do without the setting and gets a folder of its own; on a cluster, and so in
+    ``local-cluster`` mode, an unset folder is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     fallback = tempfile.mkdtemp(prefix="gleanery-")
     spark.conf.set("spark.checkpoint.dir", fallback)
@@ -74,14 +76,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Estimated bytes up to which a table is dealt anew over the cores.
+SMALL_SCAN = 256 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core when a file scan arrives in fewer splits than there are cores.
+    """Use every core for costly work on rows where a small scan has fewer splits than cores.
 
-    A large table has many more splits than cores and is returned untouched, so
-    raw pages are never shuffled at scale. For plain scans only: counting the
-    partitions of anything else would run its shuffles.
+    A table that the optimizer does not know to be small is returned untouched, so
+    raw pages are never shuffled at scale; there the size of splits is the user's
+    ``spark.sql.files.maxPartitionBytes``.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    spark = df.sparkSession
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(estimate)) > SMALL_SCAN:
         return df
-    return df.repartition(cores)
+    return df.repartition(spark.sparkContext.defaultParallelism)

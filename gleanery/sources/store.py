@@ -1,14 +1,16 @@
 """Keyed content store: field-wise upserts, ranked indexes, extraction info.
 
 The store is a log of batches in a shared folder. A batch is first reduced to one
-row per key, then written to its own ``batch=`` folder, so a repeated batch
-replaces itself and nothing is rewritten. Reading merges the log; since the
-newest non-null value per field wins, merging is one aggregation and can be
-folded back into the log at any time.
+row per key, then written to a folder named by its writer and its number, so a
+repeated batch replaces itself and no other writer's batch is touched. Reading
+merges the log; since the newest non-null value per field wins, merging is one
+aggregation and can be folded back into a log at any time.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -155,12 +157,12 @@ class KeyedStore:
             *[F.max_by(F.col(f), F.col(f)["at"]).alias(f) for f in self.fields],
         )
 
-    def append(self, rows: DataFrame, batch: int) -> None:
-        """Add a batch; adding the same batch again replaces it."""
-        self._write(self._merged(self._stamped(rows)), batch)
+    def append(self, rows: DataFrame, batch: int, writer: str = "direct") -> None:
+        """Add a writer's batch; the same writer adding the same batch again replaces it."""
+        self._write(self._merged(self._stamped(rows)), f"{writer}-{batch}")
 
-    def _write(self, merged: DataFrame, batch: int) -> None:
-        merged.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+    def _write(self, merged: DataFrame, name: str) -> None:
+        merged.write.mode("overwrite").parquet(f"{self.path}/batch={name}")
 
     def log(self) -> DataFrame:
         """Stored rows as written; none while nothing is stored."""
@@ -182,7 +184,7 @@ class KeyedStore:
         )
 
     def compact(self, path: str) -> KeyedStore:
-        """The merged rows as the first batch of a new log."""
+        """The merged rows as a batch of another log, under a name that no writer has."""
         store = KeyedStore(self.spark, path, self.keys, self.order, self.schema)
-        store._write(self._merged(self.log()), 0)
+        store._write(self._merged(self.log()), f"folded-{uuid.uuid4().hex}")
         return store

@@ -95,7 +95,10 @@ def payload_entries(payloads: DataFrame, body: str = "body", key: str = "payload
 
 
 def _parse_definition(raw: str | None) -> str | None:
-    """A definition as JSON, null unless it is a mapping; YAML only where installed."""
+    """A definition as JSON, null unless it is a mapping.
+
+    Without a YAML reader a file that is not JSON is an error, not a broken site.
+    """
     if raw is None:
         return None
     try:
@@ -103,8 +106,8 @@ def _parse_definition(raw: str | None) -> str | None:
     except ValueError:
         try:
             import yaml
-        except ImportError:
-            return None
+        except ImportError as missing:
+            raise RuntimeError("a site definition is not JSON and PyYAML is not installed here") from missing
         try:
             parsed = yaml.safe_load(raw)
         except yaml.YAMLError:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,10 @@ def stream_into(spark: SparkSession, source: str, schema, store: KeyedStore, che
                 files_per_batch: int = 1000, trigger: dict | None = None) -> StreamingQuery:
     """Read arriving parquet files and append every batch to the store.
 
-    The batch number names the batch's folder, so a batch replayed after a lost
-    driver or executor overwrites itself: each row counts once.
+    The stream's own id, which its checkpoint keeps, and the batch number name the
+    batch's folder. A batch replayed after a lost driver or executor overwrites
+    itself, so each row counts once, and another stream, or one with a renewed
+    checkpoint, adds its batches beside those already stored.
     """
     arriving = (
         spark.readStream.schema(schema)
@@ -24,8 +27,13 @@ def stream_into(spark: SparkSession, source: str, schema, store: KeyedStore, che
         .parquet(source)
     )
 
+    identity: list[str] = []
+
     def write(batch: DataFrame, number: int) -> None:
-        store.append(prepare(batch), number)
+        if not identity:
+            # Spark writes the id before the first batch.
+            identity.append(json.loads(spark.read.text(f"{checkpoint}/metadata").head()[0])["id"])
+        store.append(prepare(batch), number, identity[0])
 
     return (
         arriving.writeStream.foreachBatch(write)

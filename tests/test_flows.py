@@ -184,12 +184,44 @@ def test_answers(spark):
     }
 
 
+def test_routing_of_copied_urls(spark):
+    catalog = spark.createDataFrame(
+        [("a_com", True, True), ("a_com/en", True, False)], "directory string, has_source boolean, is_enabled boolean"
+    )
+    rows = spark.createDataFrame(
+        [(1, "https://a.com/en/1"), (2, "https://a.com/en/1"), (2, "https://a.com/en/1"), (3, "https://a.com/")],
+        "id int, url string",
+    )
+    by_url = sorted((r["url"], r["directory"]) for r in assemble.route(rows, catalog).collect())
+    assert by_url == [("https://a.com/", "a_com"), ("https://a.com/en/1", "a_com/en")]
+    by_id = sorted((r["id"], r["directory"]) for r in assemble.route(rows, catalog, key="id").collect())
+    assert by_id == [(1, "a_com/en"), (2, "a_com/en"), (3, "a_com")]
+    assert [r["id"] for r in assemble.routable(rows, catalog).collect()] == [3]
+
+
+def test_same_link_in_two_searches(spark):
+    from gleanery.functions.records import Field, Model
+    from gleanery.plans.extraction import combine
+
+    model = Model("Link", (Field("source_url"), Field("title")))
+    items = spark.createDataFrame(
+        [("s1", "/a", 1, "one", "http://h.org/p"), ("s2", "/a", 1, "two", "http://h.org/p"),
+         ("s2", "/a", 1, "zwei", "http://h.org/p")],
+        "search string, source_url string, rank int, title string, url string",
+    )
+    sources = spark.createDataFrame([], "source_url string, title string, url string")
+    found = combine(items, sources, model, within=("search",)).collect()
+    assert sorted((r["search"], r["title"]) for r in found) == [("s1", "one"), ("s2", "zwei")]
+    assert combine(items, sources, model).count() == 1
+
+
 def test_following_pages(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("b", "c"), ("c", "d"), ("x", "x")], "url string, next_url string")
     starts = spark.createDataFrame([(1, "a"), (2, "a"), (3, "x"), (4, "none")], "s int, url string")
     found = {(r["s"], r["page"], r["url"]) for r in follow_pages(starts, links, 3).collect()}
     expected = {(s, p, u) for s in (1, 2) for p, u in ((1, "a"), (2, "b"), (3, "c"))}
-    assert found == expected | {(3, 1, "x"), (3, 2, "x"), (3, 3, "x"), (4, 1, "none")}
+    # A page that leads back to itself is met once.
+    assert found == expected | {(3, 1, "x"), (4, 1, "none")}
 
 
 # --- status --------------------------------------------------------------------
@@ -268,13 +300,28 @@ def test_stream_counts_every_row_once(spark, tmp_path):
     assert {tuple(r) for r in kept.read().select("k", "s", "n").collect()} == {("a", "y", 7), ("b", "z", None)}
 
 
+def test_streams_and_folded_rows_do_not_replace_each_other(spark, tmp_path):
+    first = keyed(spark, str(tmp_path / "first"))
+    for batch, row in enumerate(WRITES[:3]):
+        first.append(spark.createDataFrame([row], first.schema), batch)
+    kept = first.compact(str(tmp_path / "store"))
+    kept.append(spark.createDataFrame([("c", 9, "direct", 1)], kept.schema), 0)
+    for n in range(2):
+        source = str(tmp_path / f"in{n}")
+        spark.createDataFrame([(f"s{n}", 1, "x", n)], kept.schema).write.parquet(source)
+        stream_into(spark, source, kept.schema, kept, str(tmp_path / f"progress{n}")).awaitTermination()
+    assert {r["k"] for r in kept.read().collect()} == {"a", "b", "c", "s0", "s1"}
+    again = kept.compact(str(tmp_path / "store"))
+    assert again.read().count() == 5
+
+
 def test_keys(value):
     data = F.array(
         pointers.topic("problem", F.array(F.lit("P"))), pointers.topic("org", F.lit(None).cast("array<string>")),
-        pointers.topic("geo", F.array(F.lit("Texas"), F.lit("TX"))),
+        pointers.topic("geo", F.array(F.lit("Ghent"), F.lit("GH"))),
     )
     assert value(store.info_key(data, F.lit("site"))) == (
-        "extraction\1info\1extractor\2site\1problem\2P\1org\2\0\1geo\2Texas\3TX"
+        "extraction\1info\1extractor\2site\1problem\2P\1org\2\0\1geo\2Ghent\3GH"
     )
     assert value(store.results_key(data)).startswith("extraction\1results\1problem\2P")
     assert value(store.content_key(F.lit("u"))) == "content\1source_url\2u"
@@ -348,55 +395,55 @@ def test_dictionary_files(spark, tmp_path):
 
 # --- pointers and search -------------------------------------------------------
 
-STAR = {"name": "Sun"}
+OWNER = {"name": "City"}
 PAYLOAD = {
-    "venus": {"name": "Venus", "star": STAR, "inner": None, "outer": "earth", "moons": []},
-    "earth": {"name": "Earth", "outer": "mars", "moons": ["moon"]},
-    "mars": {"name": "Mars", "outer": "jupiter", "moons": ["phobos", "lost", "deimos"]},
-    "moon": {"name": "Moon"}, "phobos": {"name": "Phobos"}, "deimos": {"name": "Deimos"},
+    "attic": {"name": "Attic", "owner": OWNER, "key": None, "below": "hall", "doors": []},
+    "hall": {"name": "Hall", "below": "cellar", "doors": ["oak"]},
+    "cellar": {"name": "Cellar", "below": "ground", "doors": ["iron", "bricked", "trap"]},
+    "oak": {"name": "Oak door"}, "iron": {"name": "Iron door"}, "trap": {"name": "Trap door"},
 }
 
 
 @pytest.fixture(scope="module")
-def planets(spark):
-    bodies = spark.createDataFrame([(1, json.dumps(PAYLOAD)), (2, json.dumps({"earth": {"outer": "mars"}}))], "payload_id int, body string")
+def rooms(spark):
+    bodies = spark.createDataFrame([(1, json.dumps(PAYLOAD)), (2, json.dumps({"hall": {"below": "cellar"}}))], "payload_id int, body string")
     return tables.payload_entries(bodies)
 
 
-def test_payload_order(planets):
-    found = planets.filter("payload_id = 1").orderBy("pos").collect()
+def test_payload_order(rooms):
+    found = rooms.filter("payload_id = 1").orderBy("pos").collect()
     assert [r["path"] for r in found] == list(PAYLOAD)
 
 
-def test_pointers(planets):
+def test_pointers(rooms):
     found = {}
-    for field in ("outer", "star", "inner", "nothing"):
-        for r in pointers.resolve_pointer(planets, field).collect():
+    for field in ("below", "owner", "key", "nothing"):
+        for r in pointers.resolve_pointer(rooms, field).collect():
             found[r["payload_id"], r["path"], field] = r["related"] and json.loads(r["related"])
-    assert found[1, "earth", "outer"] == PAYLOAD["mars"] and found[1, "venus", "star"] == STAR
-    assert found[1, "venus", "inner"] is None and found[1, "mars", "outer"] is None
-    assert found[1, "earth", "nothing"] is None
-    assert found[2, "earth", "outer"] is None  # the target is in another payload
+    assert found[1, "hall", "below"] == PAYLOAD["cellar"] and found[1, "attic", "owner"] == OWNER
+    assert found[1, "attic", "key"] is None and found[1, "cellar", "below"] is None
+    assert found[1, "hall", "nothing"] is None
+    assert found[2, "hall", "below"] is None  # the target is in another payload
 
 
-def test_strict_pointers(planets):
-    earth = planets.filter("payload_id = 1 and path in ('earth', 'mars')")
-    assert pointers.resolve_pointer(planets.filter("payload_id = 1 and path <> 'mars'"), "name", strict=False).count() == 5
+def test_strict_pointers(rooms):
+    two = rooms.filter("payload_id = 1 and path in ('hall', 'cellar')")
+    assert pointers.resolve_pointer(rooms.filter("payload_id = 1 and path <> 'cellar'"), "name", strict=False).count() == 5
     with pytest.raises(PySparkException):
-        pointers.resolve_pointer(earth, "outer", strict=True).collect()
+        pointers.resolve_pointer(two, "below", strict=True).collect()
     with pytest.raises(PySparkException):
-        pointers.resolve_pointer(planets, "nothing", strict=True).collect()
-    inline = planets.filter("path = 'venus'")
-    assert pointers.resolve_pointer(inline, "star", strict=True).count() == 1
-    assert pointers.resolve_pointer(inline, "inner", strict=True).head()["related"] is None
+        pointers.resolve_pointer(rooms, "nothing", strict=True).collect()
+    inline = rooms.filter("path = 'attic'")
+    assert pointers.resolve_pointer(inline, "owner", strict=True).count() == 1
+    assert pointers.resolve_pointer(inline, "key", strict=True).head()["related"] is None
 
 
-def test_pointer_lists(planets):
-    found = pointers.resolve_pointer_list(planets, "moons").orderBy("path", "pos").collect()
+def test_pointer_lists(rooms):
+    found = pointers.resolve_pointer_list(rooms, "doors").orderBy("path", "pos").collect()
     names = [(r["path"], json.loads(r["related"])["name"]) for r in found]
-    assert names == [("earth", "Moon"), ("mars", "Phobos"), ("mars", "Deimos")]
+    assert names == [("cellar", "Iron door"), ("cellar", "Trap door"), ("hall", "Oak door")]
     with pytest.raises(PySparkException):
-        pointers.resolve_pointer_list(planets, "moons", strict=True).collect()
+        pointers.resolve_pointer_list(rooms, "doors", strict=True).collect()
 
 
 def search(spark, **entries):
@@ -407,61 +454,61 @@ def search(spark, **entries):
 
 def test_search_terms(spark):
     community = {"problem": "/p", "org": None, "geo": "/g"}
-    geo = {"name": "Austin", "abbrev": "ATX", "levels": {"locality": 1}, "path_parent": "/t"}
-    entries = {"/c": community, "/p": {"name": "P"}, "/g": geo, "/t": {"name": "Texas", "abbrev": "TX"}, "root": "/c"}
-    pairs = ["Austin, Texas", "Austin, TX", "ATX, Texas", "ATX, TX"]
+    geo = {"name": "Bern", "abbrev": "BRN", "levels": {"locality": 1}, "path_parent": "/t"}
+    entries = {"/c": community, "/p": {"name": "P"}, "/g": geo, "/t": {"name": "Aare", "abbrev": "AA"}, "root": "/c"}
+    pairs = ["Bern, Aare", "Bern, AA", "BRN, Aare", "BRN, AA"]
     assert search(spark, **entries) == {"problem": ["P"], "org": None, "geo": pairs}
     top = dict(geo, levels={"subdivision1": 1, "country": 2})
-    assert search(spark, **dict(entries, **{"/g": top}))["geo"] == ["Austin", "ATX"]
-    alone = {"name": "Austin", "path_parent": "/none"}
-    assert search(spark, **dict(entries, **{"/g": alone}))["geo"] == ["Austin"]
-    bare_parent = dict(entries, **{"/t": {"name": "Texas", "abbrev": None}})
-    assert search(spark, **bare_parent)["geo"] == ["Austin, Texas", "ATX, Texas"]
+    assert search(spark, **dict(entries, **{"/g": top}))["geo"] == ["Bern", "BRN"]
+    alone = {"name": "Bern", "path_parent": "/none"}
+    assert search(spark, **dict(entries, **{"/g": alone}))["geo"] == ["Bern"]
+    bare_parent = dict(entries, **{"/t": {"name": "Aare", "abbrev": None}})
+    assert search(spark, **bare_parent)["geo"] == ["Bern, Aare", "BRN, Aare"]
     inline = dict(entries, root={"problem": {"name": "In"}})
     assert search(spark, **inline) == {"problem": ["In"], "org": None, "geo": None}
 
 
 TOPICS = ["problem", "org", "geo"]
 SERIES = {
-    "url_template": "https://x.org/?q={{query}}",
-    "query": {"series": "TOPIC", "templates": ["{first}", "{other}"], "delimiter": ","},
-    "first": "K{index}:{term}",
-    "other": "T{index}:{term}",
+    "url_template": "https://x.org/f?{{parts}}",
+    "parts": {"series": "TOPIC", "templates": ["{lead}", "{further}"], "delimiter": ";"},
+    "lead": "main{index}={term}",
+    "further": "also{index}={term}",
 }
 TERMS = {
-    "url_template": "https://x.org/{query}",
-    "query": {"series": "TOPIC", "templates": ["({topic})"], "delimiter": "+AND+"},
-    "topic": {"series": "TERM", "templates": ["{term}[A]", "{term}[{index}]"], "delimiter": "+OR+"},
+    "url_template": "https://x.org/{every}",
+    "every": {"series": "TOPIC", "templates": ["!{any}!"], "delimiter": "~and~"},
+    "any": {"series": "TERM", "templates": ["{term}.first", "{term}.{index}"], "delimiter": "~or~"},
 }
 
 
 def url(value, config, org=None):
     data = F.array(
-        pointers.topic("problem", F.array(F.lit("No home"))),
+        pointers.topic("problem", F.array(F.lit("Wet feet"))),
         pointers.topic("org", F.lit(None).cast("array<string>") if org is None else F.array(F.lit(org))),
-        pointers.topic("geo", F.array(F.lit("Texas"), F.lit("TX"), F.lit("t/x"))),
+        pointers.topic("geo", F.array(F.lit("Ghent"), F.lit("GH"), F.lit("g/h"))),
     )
     return value(UrlTemplate.from_config(config).column(F.col("d"), TOPICS), d=data)
 
 
 def test_urls(value):
     assert url(value, "https://x.org/") == "https://x.org/"
-    assert url(value, {"url_template": "https://x.org/{problem}/{geo}/{index}"}) == "https://x.org/No%20home/Texas/1"
+    assert url(value, {"url_template": "https://x.org/{problem}/{geo}/{index}"}) == "https://x.org/Wet%20feet/Ghent/1"
     assert url(value, {"url_template": "https://x.org/{org}"}) is None
-    assert url(value, SERIES) == "https://x.org/?q={K1:No%20home,T2:Texas}"
-    assert url(value, SERIES, "O") == "https://x.org/?q={K1:No%20home,T2:O,T3:Texas}"
-    assert url(value, TERMS) == "https://x.org/(No%20home[A])+AND+(Texas[A]+OR+TX[2]+OR+t/x[3])"
+    assert url(value, SERIES) == "https://x.org/f?{main1=Wet%20feet;also2=Ghent}"
+    assert url(value, SERIES, "O") == "https://x.org/f?{main1=Wet%20feet;also2=O;also3=Ghent}"
+    assert url(value, TERMS) == "https://x.org/!Wet%20feet.first!~and~!Ghent.first~or~GH.2~or~g/h.3!"
 
 
 @pytest.mark.parametrize(
     "config",
     [
         {}, {k: v for k, v in SERIES.items() if k != "url_template"},
-        *[{k: v for k, v in SERIES.items() if k != lost} for lost in ("query", "first", "other")],
-        *[dict(SERIES, query={k: v for k, v in SERIES["query"].items() if k != lost})
+        *[{k: v for k, v in SERIES.items() if k != lost} for lost in ("parts", "lead", "further")],
+        *[dict(SERIES, parts={k: v for k, v in SERIES["parts"].items() if k != lost})
           for lost in ("series", "templates", "delimiter")],
-        dict(SERIES, query=dict(SERIES["query"], series="TROPIC")), dict(SERIES, first=3),
-        dict(SERIES, query=dict(SERIES["query"], templates=["{term}"] * 4)),
+        dict(SERIES, parts=dict(SERIES["parts"], series="WORD")), dict(SERIES, lead=3),
+        dict(SERIES, parts=dict(SERIES["parts"], templates=["{term}"] * 4)),
     ],
 )
 def test_bad_url_templates(spark, config):
