@@ -19,10 +19,15 @@ ATTEMPTS = 10
 SELECTION_RATE = 0.393  # rate at which the first of a list is picked 32.5 % of the time
 
 
+def draw_bits(seed: int, *key: Column) -> Column:
+    """52 random-looking bits: the first digits of the MD5 of seed and key, which any engine can state."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in key])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
+
+
 def uniform(seed: int, *key: Column) -> Column:
     """Uniform draw in (0, 1) from a hash of the key."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *key), 12)
-    return (bits + 0.5) / float(1 << 52)
+    return (draw_bits(seed, *key) + 0.5) / float(1 << 52)
 
 
 def exponential(rate: float, seed: int, *key: Column) -> Column:
@@ -159,7 +164,7 @@ def popularity_order(rows: DataFrame, group: str, position: str, size: str, seed
 def random_per_group(rows: DataFrame, keys: list[str], identity: str, seed: int) -> DataFrame:
     """One row per group, each row equally likely; an aggregation, not a sort."""
     rest = [c for c in rows.columns if c not in keys]
-    draw = F.xxhash64(F.lit(seed), F.col(identity))
+    draw = draw_bits(seed, F.col(identity))
     return rows.groupBy(*keys).agg(
         F.max_by(F.struct(*rest), F.struct(draw, F.col(identity))).alias("_row")
     ).select(*keys, "_row.*")

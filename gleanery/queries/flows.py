@@ -182,6 +182,22 @@ def ranked_read(spark, sf):
     return store.ranked_content(index, content, "doc_id", "rank")
 
 
+@R.add("content_map", f"""WITH {RANKED_SQL},
+idx AS (SELECT search_key, doc_id, last(rank ORDER BY ts, event_id) AS rank FROM results GROUP BY ALL)
+SELECT search_key, doc_id, rank, source, source IS NULL AS missing
+FROM idx LEFT JOIN (SELECT * FROM documents WHERE doc_id % 10 > 0) USING (doc_id)""")
+def content_map(spark, sf):
+    """Index members with their content, and those whose content was never stored."""
+    index = store.rank_index(
+        _ranked_results(spark, sf), ["search_key"], "doc_id", "rank", ["ts", "event_id"]
+    ).select("search_key", "doc_id", "rank")
+    stored = table(spark, sf, "documents").filter("doc_id % 10 > 0").select("doc_id", "source")
+    present, missing = store.content_map(index, stored, "doc_id")
+    return present.withColumn("missing", F.lit(False)).unionByName(
+        missing.withColumn("source", F.lit(None).cast("string")).withColumn("missing", F.lit(True))
+    )
+
+
 def _info(spark, sf):
     writes = store.info_updates(status_log(spark, sf), "status", "ts", "version")
     return store.merge_fields(
@@ -740,10 +756,38 @@ def routable_urls(spark, sf):
     return assemble.routable(pages, _directories(spark, sf), key="page_id")
 
 
-# --- random draws: seeded, no SQL equivalent -----------------------------------
+# --- random draws: seeded, from digits of a hash --------------------------------
+
+
+def _uniform_sql(*key):
+    digits = f"substr(md5(concat_ws('|', '42', {', '.join(key)})), 1, 13)"
+    return f"((CAST('0x' || {digits} AS BIGINT) + 0.5) / 4503599627370496.0)"
+
+
+def _index_sql(rate, length, key):
+    tries = [f"-ln({_uniform_sql(str(i), key)}) / {rate}" for i in range(crawl.ATTEMPTS)]
+    hits = ", ".join(f"CASE WHEN {d} < {length} THEN CAST(floor({d}) AS BIGINT) END" for d in tries)
+    return f"coalesce({hits}, 0)"
+
+
+def _dwell_sql(settings, key):
+    low = (settings.minimum - settings.base) / settings.multiplier
+    high = (settings.maximum - settings.base) / settings.multiplier
+    hits = []
+    for i in range(crawl.ATTEMPTS):
+        radius, angle = (_uniform_sql(f"'{part}'", str(i), key) for part in ("radius", "angle"))
+        d = f"exp({settings.mu} + {settings.sigma} * (sqrt(-2 * ln({radius})) * cos(2 * pi() * {angle})))"
+        hits.append(f"CASE WHEN {d} BETWEEN {low} AND {high} THEN {d} END")
+    mode = f"exp({settings.mu} - {settings.sigma} * {settings.sigma})"
+    return f"round({settings.base} + coalesce({', '.join(hits)}, {mode}) * {settings.multiplier}, 6)"
+
+
+SITE_DWELL = crawl.Dwell.from_config({"base": 0, "multiplier": 2, "maximum": 4, "unread": 1})
 
 
-@R.add("random_per_group")
+@R.add("random_per_group", f"""SELECT s_nationkey, arg_max(s_suppkey, ({_uniform_sql('s_suppkey')}, s_suppkey)) AS s_suppkey,
+  arg_max(s_name, ({_uniform_sql('s_suppkey')}, s_suppkey)) AS s_name,
+  arg_max(s_acctbal, ({_uniform_sql('s_suppkey')}, s_suppkey)) AS s_acctbal FROM supplier GROUP BY 1""")
 def random_per_group(spark, sf):
     return crawl.random_per_group(table(spark, sf, "supplier"), ["s_nationkey"], "s_suppkey", 42)
 
@@ -756,16 +800,16 @@ def weighted_order(spark, sf):
     ).select("domain", "page_id", big("position").alias("position"), big("pick").alias("pick"))
 
 
-@R.add("exp_index")
+@R.add("exp_index", f"""SELECT o_orderkey, {_index_sql(crawl.SELECTION_RATE, 20, 'o_orderkey')} AS picked FROM orders""")
 def exp_index(spark, sf):
     index = crawl.exponential_index(crawl.SELECTION_RATE, F.lit(20), 42, C("o_orderkey"))
     return table(spark, sf, "orders").select("o_orderkey", index.alias("picked"))
 
 
-@R.add("dwell_times")
+@R.add("dwell_times", f"""SELECT page_id, {_dwell_sql(crawl.Dwell(), 'page_id')} AS default_dwell,
+  {_dwell_sql(SITE_DWELL, 'page_id')} AS site_dwell FROM pages""")
 def dwell_times(spark, sf):
-    settings = crawl.Dwell.from_config({"base": 0, "multiplier": 2, "maximum": 4, "unread": 1})
     return table(spark, sf, "pages").select(
-        "page_id", crawl.Dwell().column(42, C("page_id")).alias("default_dwell"),
-        settings.column(42, C("page_id")).alias("site_dwell"),
+        "page_id", F.round(crawl.Dwell().column(42, C("page_id")), 6).alias("default_dwell"),
+        F.round(SITE_DWELL.column(42, C("page_id")), 6).alias("site_dwell"),
     )
