@@ -27,6 +27,7 @@ ISO_FORMATS = {
 MONTHS = (
     "january february march april may june july august september october november december"
 ).split()
+WEEKDAYS = "monday tuesday wednesday thursday friday saturday sunday".split()
 DIRECTIVES = {
     "Y": r"(\d{4})",
     "y": r"(\d{2})",
@@ -38,6 +39,13 @@ DIRECTIVES = {
     "M": r"([0-5]\d|\d)",
     "S": r"([0-5]\d|\d)",
     "f": r"(\d{1,6})",
+    "I": r"(1[0-2]|0[1-9]|[1-9])",
+    "p": "(am|pm)",
+    "j": r"(36[0-6]|3[0-5]\d|[1-2]\d\d|0[1-9]\d|00[1-9]|[1-9]\d|0[1-9]|[1-9])",
+    "A": "(" + "|".join(WEEKDAYS) + ")",
+    "a": "(" + "|".join(d[:3] for d in WEEKDAYS) + ")",
+    "Z": "(utc|gmt)",
+    "z": r"([+-]\d\d:?[0-5]\d(?::?[0-5]\d(?:\.\d{1,6})?)?|z)",
 }
 OUTPUT = {
     "Y": "yyyy", "y": "yy", "B": "MMMM", "b": "MMM", "m": "MM", "d": "dd",
@@ -60,7 +68,10 @@ def _split_format(fmt: str) -> list[tuple[str, str]]:
 
 
 def _make(parts: dict[str, Column]) -> Column:
-    """Timestamp from text parts; null where they name no real date."""
+    """Timestamp from text parts; null where they name no real date.
+
+    Weekdays and zones must be well formed and change nothing: times are as written.
+    """
     year = parts.get("Y", F.lit("1900")).cast("int")
     if "y" in parts:
         short = parts["y"].cast("int")
@@ -73,7 +84,14 @@ def _make(parts: dict[str, Column]) -> Column:
             names = F.array(*[F.lit(m[:width]) for m in MONTHS])
             month = F.array_position(names, F.lower(parts[key])).cast("int")
     day = F.trim(parts["d"]).cast("int") if "d" in parts else F.lit(1)
+    if "j" in parts:
+        first = F.make_date(F.when(year.between(1, 9999), year), F.lit(1), F.lit(1))
+        date = F.date_add(first, parts["j"].cast("int") - 1)
+        year, month, day = F.year(date), F.month(date), F.dayofmonth(date)
     hour = parts["H"].cast("int") if "H" in parts else F.lit(0)
+    if "I" in parts:
+        half = parts["I"].cast("int") % 12
+        hour = F.when(F.lower(parts["p"]) == "pm", half + 12).otherwise(half) if "p" in parts else half
     minute = parts["M"].cast("int") if "M" in parts else F.lit(0)
     second = F.lit(Decimal(0))
     if "f" in parts:

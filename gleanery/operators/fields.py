@@ -466,7 +466,7 @@ def derive_fields(
         )
         try:
             value = compile_field(content[name], ctx)
-        except DefinitionError as problem:
+        except ValueError as problem:  # of the definition, a selector, a template or a date format
             value = Value(F.array(F.lit(None).cast("string")), "text", False,
                           F.lit(str(problem)))
         if value.many and not keep_lists:

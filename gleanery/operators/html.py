@@ -57,14 +57,17 @@ PARAGRAPH_SCOPE = ("table", "td", "th", "button")
 RAW_TEXT = ("script", "style", "title", "textarea")
 UNSHOWN = ("script", "style")
 
+# Every construct may also end with the page, so none is scanned to the end more than once. A
+# quote that is not closed belongs to a name; one inside an unquoted value belongs to the value.
 MARKUP = re.compile(
-    r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?\]\]>|[!?][^>]*>"
-    r"|/(?P<end>[a-zA-Z][^\s/>]*)[^>]*>"
-    r"|(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>)",
+    r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*+(?:>|\Z)"
+    r"|/(?P<end>[a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)"
+    r"|(?P<start>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[\s/=]++"
+    r"|[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]++)?+)?+)*+)(?:>|\Z))",
     re.S,
 )
 ATTRIBUTE = re.compile(
-    r"([^\s=/>\"'][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?"
+    r"([^\s=/>\"'][^\s=/>]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|((?![\"'])[^\s>]++)))?+"
 )
 ATTRIBUTE_REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*)(?:;|(?![=a-zA-Z0-9]))")
 RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW_TEXT}
@@ -94,6 +97,8 @@ class _TreeReader:
             if found.start() > at:
                 self._add("#text", text=unescape(html[at : found.start()]))
             at = found.end()
+            if found["start"] and html[at - 1] != ">":
+                break  # a tag that the page's end cuts off is nothing
             if found["start"]:
                 tag = found["start"].lower()
                 self._start(tag, found["attrs"])

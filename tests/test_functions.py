@@ -361,3 +361,30 @@ def test_counted_phrases(value, number, forms, specs, expected):
 def test_bad_phrase_spec():
     with pytest.raises(ValueError):
         phrases.parse_phrases("1=a=b")
+
+
+@pytest.mark.parametrize(
+    "text, fmt, expected",
+    [
+        ("Tue 3 Mar 2020 04:05 PM", "%a %d %b %Y %I:%M %p", "2020-03-03 16:05:00"),
+        ("12:30 am", "%I:%M %p", "1900-01-01 00:30:00"),
+        ("2020-060", "%Y-%j", "2020-02-29 00:00:00"),
+        ("Friday, 1 May 2020 UTC", "%A, %d %B %Y %Z", "2020-05-01 00:00:00"),
+        ("2020-05-01T10:11+02:30", "%Y-%m-%dT%H:%M%z", "2020-05-01 10:11:00"),
+        ("Fryday 2020", "%A %Y", None),
+    ],
+)
+def test_more_date_directives(value, text, fmt, expected):
+    from datetime import datetime
+
+    found = value(dates.strptime(F.lit(text), [fmt])["ts"].cast("string"))
+    assert found == expected
+    if expected:
+        assert datetime.strptime(text, fmt).replace(tzinfo=None) == datetime.fromisoformat(expected)
+
+
+def test_a_code_outside_the_enumeration_fails(spark):
+    rows = spark.createDataFrame([("a", 0), ("a", 1), ("a", 2), ("a", 4), ("a", 9)], "k string, c int")
+    small = enums.Enumeration.of("Small", LOW=0, MID=1, HIGH=2)
+    with pytest.raises(Exception):
+        small.consolidate(rows, ["k"], "c", lambda a, b: F.greatest(a, b)).collect()

@@ -83,7 +83,7 @@ def test_unclosed_tags_and_entities(page):
         ("<br/><img src='a>b'>c", [(1, "br", None), (1, "img", None), (1, "#text", "c")]),
         ("<ul><li>a<ul><li>b</ul>c<li>d", [(1, "ul", None), (2, "li", None), (3, "#text", "a"), (3, "ul", None),
          (4, "li", None), (5, "#text", "b"), (3, "#text", "c"), (2, "li", None), (3, "#text", "d")]),
-        ('<div class="open', [(1, "#text", '<div class="open')]),
+        ('x<div class="open', [(1, "#text", "x")]),
     ],
 )
 def test_tolerant_reading(spark, html, expected):
@@ -265,3 +265,39 @@ def test_typed_templates_are_refused(spark):
 
 def test_a_single_item_is_one_row(page):
     assert explode_items(page, {"is_multiple": True, "tag_name": "ul"}).count() == 1
+
+
+# --- damaged markup ------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    "html, tag, attribute, expected",
+    [
+        ('<p class=a">one</p>', "p", "class", ('a"', "one")),
+        ("<p class='a>one</p>", "p", "class", ("", "one")),
+        ('<a href=/x/y?z="1">two</a>', "a", "href", ('/x/y?z="1"', "two")),
+        ('<a href = "u" title=>three</a>', "a", "href", ("u", "three")),
+        ("<![CDATA[ hidden <p>four</p>", "p", "class", (None, None)),
+        ("<p>five</p", "p", "class", (None, "five")),
+    ],
+)
+def test_damaged_markup(spark, html, tag, attribute, expected):
+    from gleanery.operators.html import element_attribute, element_text, with_nodes
+    from gleanery.operators.select import find_first
+
+    found = find_first(F.col("nodes"), "tag_name", tag)
+    row = with_nodes(spark.createDataFrame([(html,)], "html string")).select(
+        element_attribute(found, attribute).alias("a"), element_text(found).alias("t")
+    ).head()
+    assert (row["a"], row["t"] or None) == expected
+
+
+@pytest.mark.parametrize("piece", ["<![CDATA[ x ", "</x ", "<a ", '<a b="', "<a b='x ", "<!-- ", "<p class=a\"> ", '"=\' <'])
+def test_damaged_markup_is_read_in_linear_time(piece):
+    import time
+
+    from gleanery.operators.html import _TreeReader
+
+    begin = time.process_time()
+    _TreeReader().read(piece * (5_000_000 // len(piece)))
+    assert time.process_time() - begin < 40
