@@ -1,5 +1,6 @@
 """Element selection, field derivation and items, over the page table."""
 
+import json
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -14,9 +15,10 @@ from gleanery.plans.extraction import (
     Provider, combine, extract_items, extract_sources, follow_pages, page_links,
 )
 from gleanery.queries.common import (
-    AD_SQL, H1_SQL, LINKS_SQL, LISTED_SQL, TITLE_SQL, Registry, big, listing_pages,
+    AD_SQL, H1_SQL, LINKS_SQL, LISTED_SQL, NOW, PAGE_SIZE, TITLE_SQL, Registry, big, listing_pages,
     parsed_pages, table, work_table,
 )
+from gleanery.session import scratch_path
 
 R = Registry()
 
@@ -409,6 +411,119 @@ def agent_refresh(spark, sf):
     )
 
 
+LISTED_SITES = {
+    "list_example_com/multi.yaml": {
+        "url": "https://list.example.com/list/{place}/1",
+        "cache_version": "v2",
+        "freshness_threshold": 20,
+        "pagination": {
+            "pages": 2, "page_size": PAGE_SIZE,
+            "next_page_url": {"css_selector": "nav#turn > a[rel=next]", "attribute": "href"},
+        },
+        "items": {"is_multiple": True, "css_selector": "ol.entries > li"},
+        "content": {
+            "source_url": {"xpath": "./h3/a", "attribute": "href"},
+            "title": {"tag_name": "h3", "getattr": "text"},
+            "publisher": {"tag_name": "b", "getattr": "text"},
+        },
+    },
+    "list_example_com/customer/source.yaml": {
+        "content": {
+            "title": {"tag_name": "h1", "getattr": "text"},
+            "summary": {"tag_name": "p", "getattr": "text"},
+        },
+    },
+    "short_example_com/multi.yaml": {
+        "url": "https://list.example.com/list/{place}/1",
+        "cache_version": "v1",
+        "extract_sources": False,
+        "items": {"is_multiple": True, "css_selector": "ol.entries > li"},
+        "content": {
+            "source_url": {"xpath": "./h3/a", "attribute": "href"},
+            "title": {"tag_name": "p", "attribute": "data-kind"},
+        },
+    },
+    "closed_example_com/multi.yaml": {
+        "url": "https://closed.example.com/", "is_enabled": False,
+        "items": {"tag_name": "li"}, "content": {},
+    },
+}
+REFRESH_SQL = f"""{LISTED_SQL},
+pairs AS (
+  SELECT s_suppkey, s_nationkey, unnest(['list_example_com', 'short_example_com']) AS provider FROM supplier),
+work AS (
+  SELECT * FROM pairs WHERE NOT (provider = 'list_example_com' AND s_suppkey % 3 = 0)),
+found AS (
+  SELECT work.s_suppkey, provider, c_custkey, c_name, c_mktsegment, pos
+  FROM work JOIN listed ON c_nationkey = s_nationkey
+  WHERE page <= CASE provider WHEN 'list_example_com' THEN 2 ELSE 1 END)"""
+
+
+def _refreshed(spark, sf):
+    """Suppliers as searches of their nation's listing, at sites read from definition files."""
+    from gleanery.functions.records import Field, Model
+    from gleanery.operators.pointers import topic
+    from gleanery.plans.refresh import load_sites, refresh
+
+    root = scratch_path(spark, "sites")
+    for path, definition in LISTED_SITES.items():
+        folder, name = path.rsplit("/", 1)
+        rows = spark.createDataFrame([(json.dumps(definition), folder)], "value string, directory string")
+        rows.select("value").coalesce(1).write.text(f"{root}/{name}/{folder}")
+    sites = load_sites(spark, f"{root}/multi.yaml", "*.txt", "*.none")
+    sites = replace(sites, source=load_sites(spark, f"{root}/source.yaml", "*.none", "*.txt").source)
+    suppliers = table(spark, sf, "supplier")
+    place = topic("place", F.array(F.col("s_nationkey").cast("string")))
+    searches = suppliers.select("s_suppkey", F.array(place).alias("search_data"))
+    now = F.lit(NOW).cast("timestamp_ntz")
+    # Stored before: a third of the searches lately, another third too long ago.
+    info = suppliers.filter("s_suppkey % 3 < 2").select(
+        "s_suppkey", F.lit("list_example_com").alias("provider"), F.lit(5).alias("status"),
+        (now - F.make_dt_interval(F.lit(10) + F.col("s_suppkey") % 3 * 15)).alias("last_extracted"),
+        F.lit("v2").alias("cache_version"),
+    )
+    customers = table(spark, sf, "customer")
+    sources = customers.filter("c_custkey % 2 = 0").select(
+        F.format_string("https://list.example.com/customer/%s", "c_custkey").alias("url"),
+        F.format_string("<h1>The %s</h1><p>of %s</p>", "c_name", "c_mktsegment").alias("html"),
+    )
+    model = Model("Entry", tuple(Field(n) for n in ("source_url", "title", "publisher", "summary")))
+    pages = listing_pages(spark, sf).select("url", "html")
+    return refresh(searches, sites, ["place"], info, pages, sources, model, now, "s_suppkey")
+
+
+@R.add("refresh_content", f"""WITH {REFRESH_SQL},
+kinds AS (SELECT c_custkey, c_name, c_mktsegment, bool_or(provider = 'list_example_com') AS long,
+            bool_or(provider = 'short_example_com') AS short FROM found GROUP BY ALL)
+SELECT 'https://list.example.com/customer/' || c_custkey AS source_url,
+  CASE WHEN short THEN c_mktsegment || ' ' || c_custkey
+       WHEN c_custkey % 2 = 0 THEN 'The ' || c_name ELSE c_name END AS title,
+  CASE WHEN long THEN c_mktsegment END AS publisher,
+  CASE WHEN long AND c_custkey % 2 = 0 THEN 'of ' || c_mktsegment END AS summary,
+  CASE WHEN short THEN 'v1' ELSE 'v2' END AS version
+FROM kinds""")
+def refresh_content(spark, sf):
+    """What a refresh of all searches stores for each source page."""
+    content = _refreshed(spark, sf).content
+    return content.select("source_url", "title", "publisher", "summary", F.col("_cache_version").alias("version"))
+
+
+@R.add("refresh_index", f"""WITH {REFRESH_SQL}
+SELECT s_suppkey, provider, 'https://list.example.com/customer/' || c_custkey AS source_url, pos AS rank FROM found""")
+def refresh_index(spark, sf):
+    """The ranked results that a refresh stores for each search and site."""
+    return _refreshed(spark, sf).index.select("s_suppkey", "provider", "source_url", big("rank").alias("rank"))
+
+
+@R.add("refresh_info", f"""WITH {REFRESH_SQL}
+SELECT s_suppkey, provider, CASE WHEN count(pos) > 0 THEN 5 ELSE 2 END AS status,
+  CASE provider WHEN 'list_example_com' THEN 'v2' ELSE 'v1' END AS cache_version
+FROM work LEFT JOIN found USING (s_suppkey, provider) GROUP BY 1, 2""")
+def refresh_info(spark, sf):
+    """The extraction info that a refresh stores: nothing for what was fresh."""
+    return _refreshed(spark, sf).info.select("s_suppkey", "provider", "status", "cache_version")
+
+
 @R.add("limit_per_provider", f"""WITH {LISTED_SQL}
 SELECT DISTINCT c_nationkey::BIGINT AS site, page FROM listed WHERE page <= 2""")
 def limit_per_provider(spark, sf):
