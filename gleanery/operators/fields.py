@@ -35,7 +35,10 @@ METHODS = {
     "transform": ("excise", "join", "split"),
 }
 SCOPES = ("page", "parent", "prior", "latest")
-ELEMENT = "array<struct<pre:int,post:int,parent:int,depth:int,tag:string,attrs:map<string,string>,text:string>>"
+ELEMENT = (
+    "array<struct<pre:int,post:int,parent:int,depth:int,nth:int,nth_any:int,"
+    "tag:string,attrs:map<string,string>,text:string>>"
+)
 NO_TEXT = "CAST(NULL AS STRING)"
 TYPES = {"element": ELEMENT, "text": "string", "date": dates.GRANULAR_TYPE}
 

@@ -1,8 +1,9 @@
 """Pages to element trees: one Arrow-batched pass over the raw HTML.
 
-Each page becomes ``array<struct<pre, post, parent, depth, tag, attrs, text>>``
+Each page becomes ``array<struct<pre, post, parent, depth, nth, nth_any, tag, attrs, text>>``
 in document order. ``pre`` is the position in the page (0 is the document),
-``post`` the last position inside the element, so a subtree is a slice. Text is
+``post`` the last position inside the element, so a subtree is a slice; ``nth`` and
+``nth_any`` are an element's place among its siblings of its tag and of any. Text is
 stored once, in its own ``#text`` node; script and style bodies are ``#data``.
 Everything after this pass is native column work.
 """
@@ -24,7 +25,7 @@ self_contained(__name__)
 
 NODE_TYPE = T.ArrayType(
     T.StructType(
-        [T.StructField(name, T.IntegerType()) for name in ("pre", "post", "parent", "depth")]
+        [T.StructField(name, T.IntegerType()) for name in ("pre", "post", "parent", "depth", "nth", "nth_any")]
         + [
             T.StructField("tag", T.StringType()),
             T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
@@ -79,12 +80,14 @@ class _TreeReader:
     def __init__(self) -> None:
         self.offsets = [0]
         self.pre, self.post, self.parent, self.depth = [], [], [], []
+        self.nth, self.nth_any = [], []
         self.tag, self.text = [], []
         self.attr_offsets, self.names, self.values = [0], [], []
 
     def read(self, html: str | None) -> None:
         self.base = len(self.pre)
         self.open: list[int] = []
+        self.siblings: dict[tuple[int, str], int] = {}
         if html is not None:
             self.open.append(self._add("#document"))
             self._read_markup(html)
@@ -125,6 +128,8 @@ class _TreeReader:
         self.post.append(position)
         self.parent.append(self.open[-1] if self.open else -1)
         self.depth.append(len(self.open))
+        self.nth.append(self._place(tag))
+        self.nth_any.append(self._place("*") if tag[0] != "#" else 0)
         self.tag.append(tag)
         self.text.append(text)
         if attrs:
@@ -132,6 +137,11 @@ class _TreeReader:
         self.attr_offsets.append(len(self.names))
         return position
 
+    def _place(self, tag: str) -> int:
+        key = (self.open[-1] if self.open else -1, tag)
+        self.siblings[key] = place = self.siblings.get(key, 0) + 1
+        return place
+
     def _add_attributes(self, attrs: str) -> None:
         seen = set()
         for name, double, single, bare in ATTRIBUTE.findall(attrs):
@@ -174,10 +184,10 @@ class _TreeReader:
             pa.array(self.names, pa.string()),
             pa.array(self.values, pa.string()),
         )
-        ints = [pa.array(c, pa.int32()) for c in (self.pre, self.post, self.parent, self.depth)]
+        ints = [pa.array(c, pa.int32()) for c in (self.pre, self.post, self.parent, self.depth, self.nth, self.nth_any)]
         nodes = pa.StructArray.from_arrays(
             [*ints, pa.array(self.tag, pa.string()), attrs, pa.array(self.text, pa.string())],
-            names=["pre", "post", "parent", "depth", "tag", "attrs", "text"],
+            names=["pre", "post", "parent", "depth", "nth", "nth_any", "tag", "attrs", "text"],
         )
         return pa.ListArray.from_arrays(pa.array(self.offsets, pa.int32()), nodes)
 

@@ -94,6 +94,8 @@ def _meets(step: Step, nodes: Column, node: Column, test: Column, upto: int | No
 
 def _place(step: Step, nodes: Column, node: Column, upto: int) -> Column:
     """Place of a node among its siblings that pass the earlier conditions."""
+    if not upto:
+        return node["nth_any"] if step.tag == "*" else node["nth"]
     siblings = F.filter(
         nodes,
         lambda m: _meets(
@@ -105,22 +107,41 @@ def _place(step: Step, nodes: Column, node: Column, upto: int) -> Column:
 
 
 def _apply(step: Step, nodes: Column, current: Column | None) -> Column:
-    """Nodes reached by one step; ``current`` None means the context element."""
+    """Nodes reached by one step; ``current`` None means the context element.
+
+    Children and descendants are looked for in each current node's own slice, so a step
+    costs what the slices hold and not their number times the page.
+    """
     if current is None:
         root = F.get(nodes, F.lit(0))["pre"]
         if step.axis == "child":
             related = lambda n: n["parent"] == root
         else:
             related = lambda n: n["pre"] > root
-    elif step.axis == "parent":
-        related = lambda n: F.exists(current, lambda c: c["parent"] == n["pre"])
-    elif step.axis == "child":
-        related = lambda n: F.exists(current, lambda c: c["pre"] == n["parent"])
-    else:
-        related = lambda n: F.exists(
-            current, lambda c: (n["pre"] > c["pre"]) & (n["pre"] <= c["post"])
+        return F.filter(nodes, lambda n: _meets(step, nodes, n, _has_tag(step, n) & related(n)))
+    if step.axis == "parent":
+        up = F.transform(current, lambda c: c["parent"])
+        places = F.array_sort(F.array_distinct(up))
+        return let(
+            F.filter(_nodes_at(nodes, places), lambda n: _is_element(n)),
+            lambda found: F.filter(found, lambda n: _meets(step, nodes, n, _has_tag(step, n))),
         )
-    return F.filter(nodes, lambda n: _meets(step, nodes, n, _has_tag(step, n) & related(n)))
+    base = F.get(nodes, F.lit(0))["pre"]
+
+    def below(c: Column) -> Column:
+        inside = F.slice(nodes, c["pre"] - base + 2, c["post"] - c["pre"])
+        own = (lambda n: n["parent"] == c["pre"]) if step.axis == "child" else (lambda n: F.lit(True))
+        met = F.filter(inside, lambda n: _meets(step, nodes, n, _has_tag(step, n) & own(n)))
+        return F.transform(met, lambda n: n["pre"])
+
+    places = F.flatten(F.transform(current, below))
+    # Nodes inside one another reach some nodes twice and out of order.
+    return let(F.array_sort(F.array_distinct(places)), lambda p: _nodes_at(nodes, p))
+
+
+def _nodes_at(nodes: Column, places: Column) -> Column:
+    base = F.get(nodes, F.lit(0))["pre"]
+    return F.transform(F.filter(places, lambda p: p >= base), lambda p: F.get(nodes, p - base))
 
 
 def _walk(nodes: Column, path: Path) -> Column:
