@@ -34,6 +34,31 @@ def resolve_pointer(objects: DataFrame, field: str, payload: str = "payload_id",
     return joined.withColumn(name, found).drop("_raw", "_kind", "_pointer", "_target")
 
 
+def resolve_pointers(objects: DataFrame, fields: list[str], payload: str = "payload_id",
+                     path: str = "path", obj: str = "obj") -> DataFrame:
+    """Objects that several fields point to, as ``payload, path, field, related`` rows, by one join.
+
+    As ``resolve_pointer`` without ``strict``: every object has a row for each field.
+    """
+    entries = F.array(
+        *[
+            F.struct(
+                F.lit(f).alias("field"), F.get_json_object(obj, f"$.{f}").alias("raw"),
+                json_kind(F.col(obj), f).alias("kind"),
+            )
+            for f in fields
+        ]
+    )
+    pointing = objects.select(payload, path, F.explode(entries).alias("_e")).withColumn(
+        "_pointer", F.when(F.col("_e.kind") == "STRING", F.col("_e.raw"))
+    )
+    targets = objects.select(payload, F.col(path).alias("_pointer"), F.col(obj).alias("_target"))
+    found = F.when(F.col("_e.kind") == "STRING", F.col("_target")).otherwise(F.col("_e.raw"))
+    return pointing.join(targets, [payload, "_pointer"], "left").select(
+        payload, path, F.col("_e.field").alias("field"), found.alias("related")
+    )
+
+
 def json_kind(obj: Column, field: str) -> Column:
     """JSON type of a field: STRING, ARRAY, OBJECT, NULL, ...; null when absent."""
     schema = F.schema_of_variant(F.try_variant_get(F.try_parse_json(obj), f"$.{field}", "variant"))
@@ -124,5 +149,5 @@ def topic(name: str, terms: Column) -> Column:
 
 __all__ = [
     "first_key", "geo_terms", "json_kind", "names_of", "resolve_pointer",
-    "resolve_pointer_list", "search_terms", "topic",
+    "resolve_pointer_list", "resolve_pointers", "search_terms", "topic",
 ]

@@ -1,5 +1,8 @@
 """Storage, status, search, ordering, routing and incremental queries."""
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import functions as F
 
 from gleanery.functions import phrases
@@ -299,13 +302,13 @@ def resolve_pointers(spark, sf):
         "payload_id", "path", "obj"
     )
 
-    def followed(field, prefix, base):
-        out = pointers.resolve_pointer(base, field).filter(C("path").startswith(prefix))
-        return out.select(
-            "payload_id", "path", F.lit(field).alias("field"), F.lit(0).cast("bigint").alias("pos"),
-            F.get_json_object("related", "$.name").alias("name"),
-        )
-
+    # Which objects each field is followed from.
+    bases = {"geo": "/communities/", "path_parent": "/geos/", "nowhere": "/communities/"}
+    from_base = reduce(or_, [(C("field") == f) & C("path").startswith(p) for f, p in bases.items()])
+    followed = pointers.resolve_pointers(objects, list(bases)).filter(from_base).select(
+        "payload_id", "path", "field", F.lit(0).cast("bigint").alias("pos"),
+        F.get_json_object("related", "$.name").alias("name"),
+    )
     # A list of pointers: the payload's problem and place, and one that leads nowhere.
     lists = objects.filter("path like '/geos/%' or path like '/problems/%'").groupBy("payload_id").agg(
         F.min(F.when(C("path").startswith("/problems"), C("path"))).alias("p"),
@@ -319,12 +322,7 @@ def resolve_pointers(spark, sf):
         "payload_id", "path", F.lit("members").alias("field"), big("pos").alias("pos"),
         F.get_json_object("related", "$.name").alias("name"),
     )
-    return assemble.union_all([
-        followed("geo", "/communities/", objects),
-        followed("path_parent", "/geos/", objects),
-        followed("nowhere", "/communities/", objects),
-        named,
-    ])
+    return followed.unionByName(named)
 
 
 @R.add("geo_terms", """SELECT n_nationkey, unnest(CASE WHEN r_regionkey = 0 THEN [n_name, 'N' || n_nationkey]

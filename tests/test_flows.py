@@ -424,6 +424,8 @@ def test_pointers(rooms):
     assert found[1, "attic", "key"] is None and found[1, "cellar", "below"] is None
     assert found[1, "hall", "nothing"] is None
     assert found[2, "hall", "below"] is None  # the target is in another payload
+    together = pointers.resolve_pointers(rooms, ["below", "owner", "key", "nothing"]).collect()
+    assert {(r["payload_id"], r["path"], r["field"]): r["related"] and json.loads(r["related"]) for r in together} == found
 
 
 def test_strict_pointers(rooms):
