@@ -12,31 +12,36 @@ from pyspark.sql import DataFrame, SparkSession
 from gleanery.llm import decontaminate, jaccard, packing, quality_rules, suffixes
 from gleanery.llm.queries import tokenizer_path
 from gleanery.queries.common import table
-from gleanery.session import cut_lineage
+from gleanery.session import cut_lineage, tune
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that keep to the rules and to their language's histograms."""
+    tune(spark)
     return quality_rules.keep(docs)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each class of similar ones."""
+    tune(spark)
     return jaccard.one_of_each(docs)
 
 
 def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier document holds."""
+    tune(spark)
     return suffixes.without_repeats(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    tune(spark)
     return decontaminate.keep(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of sequences that training reads, without their ids."""
+    tune(spark)
     return packing.pack(docs, tokenizer_path()).drop("ids")
 
 

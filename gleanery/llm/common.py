@@ -7,7 +7,8 @@ runs over a bounded number of bytes, whatever the partition holds.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
 #: Rows up to which a table counts as small enough to be sent to every executor.
 SMALL_ROWS = 1_000_000
 
@@ -26,11 +27,9 @@ def document_key(column: str = "doc_id") -> Column:
 
 
 def blocks(batches: Iterable[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Join small batches up to about ``limit`` bytes each."""
+    """Join small batches up to about ``limit`` bytes each, and cut larger ones between rows."""
     held, size = [], 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in (piece for whole in batches for piece in _pieces(whole, limit)):
         held.append(batch)
         size += batch.nbytes
         if size >= limit:
@@ -40,6 +39,38 @@ def blocks(batches: Iterable[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Itera
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def _pieces(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
+    step = max(1, batch.num_rows * limit // max(1, batch.nbytes))
+    for i in range(0, batch.num_rows, step):
+        yield batch.slice(i, step)
+
+
+def in_pieces(work: Callable[..., pa.Array], *columns: pa.Array) -> pa.Array:
+    """A column function over a bounded number of bytes at a time."""
+    rows = pa.RecordBatch.from_arrays(list(columns), names=[str(i) for i in range(len(columns))])
+    found = [work(*piece.columns) for piece in _pieces(rows, BLOCK_BYTES)]
+    return pa.concat_arrays(found) if found else work(*columns)
+
+
+def give_back() -> None:
+    """Return freed memory to the machine: Python workers stay, and wait, beside those at work."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+def mapped(rows: DataFrame, worker: Callable, schema: str) -> DataFrame:
+    """``rows.mapInArrow`` with a worker that leaves no memory behind."""
+
+    def run(batches):
+        yield from worker(batches)
+        give_back()
+
+    return rows.mapInArrow(run, schema)
+
+
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
     """All words of all texts in order, and each text's number of words. Null texts have none."""
     texts = pc.fill_null(texts, "")

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import blocks, hash_words, rolling, spans, split_words
+from gleanery.llm.common import blocks, hash_words, in_pieces, mapped, rolling, spans, split_words
 from gleanery.llm.text_stats import word_codes
 from gleanery.llm.token_ids import gathered
 
@@ -234,7 +234,7 @@ def hits(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     found = None
     for index in indexes(benchmark):
-        part = texts.mapInArrow(_searched(index, threshold), HITS)
+        part = mapped(texts, _searched(index, threshold), HITS)
         found = part if found is None else found.unionByName(part)
     return texts.sparkSession.createDataFrame([], HITS) if found is None else found
 
@@ -243,8 +243,7 @@ def leaks(benchmark: DataFrame, threshold: float = THRESHOLD):
     """A column function: whether a text holds an item."""
     known = indexes(benchmark)
 
-    @F.arrow_udf("boolean")
-    def leaking(texts: pa.Array) -> pa.Array:
+    def holding(texts: pa.Array) -> pa.Array:
         rows = pa.RecordBatch.from_arrays([pa.array(np.arange(len(texts))), texts], names=["doc_id", "text"])
         found = np.zeros(len(texts), bool)
         for index in known:
@@ -252,6 +251,10 @@ def leaks(benchmark: DataFrame, threshold: float = THRESHOLD):
                 found[part["doc_id"].to_numpy()] = True
         return pa.array(found)
 
+    @F.arrow_udf("boolean")
+    def leaking(texts: pa.Array) -> pa.Array:
+        return in_pieces(holding, texts)
+
     return leaking
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import attach_small, blocks, free_name, hash_words, mixed, rolling, signed, spans, split_words
+from gleanery.llm.common import attach_small, blocks, free_name, hash_words, mapped, mixed, rolling, signed, spans, split_words
 from gleanery.llm.components import components
 from gleanery.llm.suffixes import document_of
 from gleanery.llm.text_stats import word_codes
@@ -41,10 +41,8 @@ CELL = 512
 SKETCH = 512
 #: Shingles known to every executor as frequent, at most.
 FREQUENT = 1 << 20
-#: Bytes of text worked on at once.
-BLOCK = 4 << 20
 #: Shingles among which a task looks for those that several sets have.
-HELD = 3_000_000
+HELD = 2_000_000
 #: Texts in a block: a text's number and 48 bits of a shingle share one number.
 TEXTS = 1 << 15
 SETS = (
@@ -55,7 +53,7 @@ LISTED = "token long, node long, size int, place int"
 
 
 def _small_blocks(batches):
-    for block in blocks(batches, BLOCK):
+    for block in blocks(batches):
         for i in range(0, block.num_rows, TEXTS):
             yield block.slice(i, TEXTS)
 
@@ -260,7 +258,7 @@ def _cells(batches):
         a, b = zip(*out, strict=True) if out else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    for batch in blocks(batches, 4 << 20):
+    for batch in blocks(batches):
         rows = pa.Table.from_batches([batch])
         rows = rows if held is None else pa.concat_tables([held, rows])
         cell = rows["cell"].to_numpy()
@@ -276,7 +274,7 @@ def _in_cells(documents: DataFrame, members: DataFrame) -> DataFrame:
     """Links among the ``members`` (document, node, cell) of each cell."""
     texts = attach_small(documents, members, ["document"])
     met = texts.select("cell", "node", "text").repartition("cell").sortWithinPartitions("cell", "node")
-    return met.mapInArrow(_cells, "a long, b long")
+    return mapped(met, _cells, "a long, b long")
 
 
 def _cell(key: Column, node: Column, size: Column) -> Column:
@@ -357,7 +355,7 @@ def _by_pair(pairs: DataFrame) -> DataFrame:
 def classes(documents: DataFrame) -> DataFrame:
     """``document, doc_id, n_shingles, component_id, class`` of every document; the class of an empty set is null."""
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", document_of().alias("document"))
-    rows = cut_lineage(texts.mapInArrow(_sets, SETS))
+    rows = cut_lineage(mapped(texts, _sets, SETS))
     found = rows.filter(F.col("node").isNotNull())
     sets = cut_lineage(
         found.filter("n_shingles > 0").groupBy("node").agg(
@@ -371,7 +369,7 @@ def classes(documents: DataFrame) -> DataFrame:
     pairs_of_text = texts.select("document", "text")
     similar = cut_lineage(_in_cells(pairs_of_text, _by_key(sets)))
     known = components(similar).select("node", F.col("component").alias("class"))
-    listed = texts.select("text").mapInArrow(_listed(*frequent), LISTED)
+    listed = mapped(texts.select("text"), _listed(*frequent), LISTED)
     listed = attach_small(listed, known, ["node"], "left").withColumn("class", F.coalesce("class", "node"))
     pairs = cut_lineage(_pairs(_open_lists(listed, sets)))
     rest = cut_lineage(_in_cells(pairs_of_text, _by_pair(pairs)))

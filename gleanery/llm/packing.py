@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import attach_small, blocks
+from gleanery.llm.common import attach_small, blocks, mapped
 from gleanery.llm.token_ids import END, TokenIds
 from gleanery.session import cut_lineage
 
@@ -56,7 +56,7 @@ def id_stream(documents: DataFrame, tokenizer_path: str, end: int = END) -> Data
     rows = documents.select(
         F.spark_partition_id().alias("part"), F.col("doc_id").cast("bigint").alias("doc_id"), "text"
     )
-    return cut_lineage(rows.mapInArrow(_streamed(tokenizer_path, end), STREAM))
+    return cut_lineage(mapped(rows, _streamed(tokenizer_path, end), STREAM))
 
 
 def partition_starts(stream: DataFrame, size: str = "n") -> DataFrame:
@@ -100,7 +100,7 @@ def pack(documents: DataFrame, tokenizer_path: str, length: int = SEQUENCE, end:
     """The pieces of all sequences, each with its ids (little-endian unsigned 32-bit)."""
     stream = id_stream(documents, tokenizer_path, end)
     placed = attach_small(stream, cut_lineage(partition_starts(stream)), ["part"])
-    return placed.select("doc_id", "place", "before", "n", "ids").mapInArrow(_cut(length), PIECES)
+    return mapped(placed.select("doc_id", "place", "before", "n", "ids"), _cut(length), PIECES)
 
 
 def padded_sizes(pieces: DataFrame, length: int = SEQUENCE) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import blocks, split_words
+from gleanery.llm.common import blocks, in_pieces, mapped, split_words
 from gleanery.llm.text_stats import CLASSES, class_counts, quality_counts, word_codes
 
 #: A word is common in a language if it makes up this share of the language's words.
@@ -104,7 +104,7 @@ def _exact(candidates: dict[str | None, list[str]]):
 
 
 def _summed(documents: DataFrame, gather) -> DataFrame:
-    rows = documents.select("lang", "text").mapInArrow(gather, COUNTED)
+    rows = mapped(documents.select("lang", "text"), gather, COUNTED)
     return rows.groupBy("lang", "word", "class").agg(F.sum("n").alias("n"))
 
 
@@ -178,8 +178,7 @@ def judge(text: Column, lang: Column, known: dict[str | None, Reference]) -> Col
     """A struct of ``FIELDS`` for each document."""
     names = [part.split()[0] for part in FIELDS.split(", ")]
 
-    @F.arrow_udf(FIELDS)
-    def judged(texts: pa.Array, languages: pa.Array) -> pa.Array:
+    def fields(texts: pa.Array, languages: pa.Array) -> pa.Array:
         rows = pa.RecordBatch.from_arrays([texts, languages], names=["text", "lang"])
         encoded = rows["lang"].dictionary_encode(null_encoding="encode")
         codes = encoded.indices.to_numpy()
@@ -189,7 +188,12 @@ def judge(text: Column, lang: Column, known: dict[str | None, Reference]) -> Col
             found = _judged(texts.take(pa.array(at)), known.get(name, known.get("")))
             for field in names:
                 out.setdefault(field, np.zeros(len(texts), found[field].dtype))[at] = found[field]
-        return pa.StructArray.from_arrays([pa.array(out[f]) for f in names], names=names)
+        empty = np.zeros(0, bool)
+        return pa.StructArray.from_arrays([pa.array(out.get(f, empty)) for f in names], names=names)
+
+    @F.arrow_udf(FIELDS)
+    def judged(texts: pa.Array, languages: pa.Array) -> pa.Array:
+        return in_pieces(fields, texts, languages)
 
     return judged(text, lang)
 

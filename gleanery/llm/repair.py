@@ -33,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import attach_small, blocks
+from gleanery.llm.common import attach_small, blocks, mapped
 from gleanery.llm.packing import partition_starts
 from gleanery.llm.token_ids import END, TokenIds, gathered
 
 MAGIC, VERSION = b"RPID", 1
 HEADER = "<4sHHqqqq"
+#: Bytes of text encoded at once, some one and a half million ids.
+BLOCK = 4 << 20
 #: Ids in a shard, but for the rest of its last document.
 SHARD_IDS = 1 << 20
 #: Pairs met less often in a shard are left alone.
@@ -187,7 +189,7 @@ class Shard:
 def _sharded(tokenizer_path: str, end: int, shard_ids: int):
     def shards(batches):
         tokens, place = TokenIds.shared(tokenizer_path, end), 0
-        for block in blocks(batches):
+        for block in blocks(batches, BLOCK):
             ids, counts = tokens.encode(block["text"])
             ends = np.cumsum(counts)
             group = (ends - 1) // shard_ids
@@ -209,7 +211,7 @@ def write(documents: DataFrame, path: str, tokenizer_path: str, end: int = END,
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     placed = ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text")
-    shards = placed.mapInArrow(_sharded(tokenizer_path, end, shard_ids), SHARDS)
+    shards = mapped(placed, _sharded(tokenizer_path, end, shard_ids), SHARDS)
     shards.write.option("compression", "uncompressed").parquet(path)
 
 
@@ -233,6 +235,6 @@ def _opened(batches):
 def read(shards: DataFrame) -> DataFrame:
     """Every document of the written shards: its ids, and ``start``, the ids of all before it."""
     totals = partition_starts(shards.select("part", "n"))
-    return attach_small(shards.mapInArrow(_opened, DOCUMENTS), totals, ["part"]).select(
+    return attach_small(mapped(shards, _opened, DOCUMENTS), totals, ["part"]).select(
         "doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids_crc32", "ids"
     )

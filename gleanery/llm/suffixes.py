@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import attach_small, blocks, free_name, hash_words, rolling, signed, spans, split_words
+from gleanery.llm.common import attach_small, blocks, free_name, hash_words, mapped, rolling, signed, spans, split_words
 from gleanery.llm.text_stats import word_codes
 from gleanery.session import cut_lineage
 
@@ -255,9 +255,9 @@ def document_of(doc_id: str = "doc_id", text: str = "text") -> Column:
 def found_repeats(documents: DataFrame) -> DataFrame:
     """``REPEATS``: shared passages by word positions, with overlaps; ``later`` where an earlier document has them."""
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", document_of().alias("document"))
-    local = texts.mapInArrow(_local, FOUND)
+    local = mapped(texts, _local, FOUND)
     ordered = local.repartition("head").sortWithinPartitions("head", "doc_id", "document", "begin")
-    return ordered.mapInArrow(_across, REPEATS)
+    return mapped(ordered, _across, REPEATS)
 
 
 def _united(found: pa.Array) -> pa.Array:

@@ -18,7 +18,7 @@ from gleanery.llm.text_stats import word_codes
 
 END = 2
 #: Words a worker remembers from one block to the next.
-KNOWN_WORDS = 1_500_000
+KNOWN_WORDS = 800_000
 #: Words sent to the tokenizer as one text.
 JOINED = 256
 
@@ -26,7 +26,7 @@ JOINED = 256
 class TokenIds:
     """Ids of texts, each with the end id behind it.
 
-    Known words are held by a 64-bit hash: among 1.5 million words the chance that any two
+    Known words are held by a 64-bit hash: among that many words the chance that any two
     share one is below one in ten million.
     """
 

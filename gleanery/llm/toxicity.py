@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import blocks, hash_words, split_words
+from gleanery.llm.common import blocks, hash_words, in_pieces, mapped, split_words
 from gleanery.llm.preference import labelled_sample
 from gleanery.llm.text_stats import per_text, word_codes
 from gleanery.session import cut_lineage
@@ -166,7 +166,7 @@ def learn(documents: DataFrame, labels: DataFrame, chosen: Column, label: str =
     # At most 2 * SAMPLE ids: safe to send everywhere, and no text is shuffled.
     met = cut_lineage(texts.join(F.broadcast(sample), "doc_id").select("_label", "text", fold.alias("_fold")))
     expressions = cut_lineage(
-        met.mapInArrow(_counted, EXPRESSIONS).groupBy("expression", "fold", "toxic").agg(F.sum("n").alias("n"))
+        mapped(met, _counted, EXPRESSIONS).groupBy("expression", "fold", "toxic").agg(F.sum("n").alias("n"))
     )
     half = _evidence(expressions, [0])
 
@@ -175,7 +175,7 @@ def learn(documents: DataFrame, labels: DataFrame, chosen: Column, label: str =
             rows = half.inputs(block["text"])
             yield pa.RecordBatch.from_arrays([block["_label"], pa.array(list(rows), pa.list_(pa.float64()))], names=["label", "x"])
 
-    unseen = met.filter(F.col("_fold") == 1).mapInArrow(weighed, "label int, x array<double>")
+    unseen = mapped(met.filter(F.col("_fold") == 1), weighed, "label int, x array<double>")
     rows = unseen.orderBy("label", "x").toArrow()
     toxic = rows["label"].to_numpy().astype(float)
     if not 0 < toxic.sum() < len(toxic):
@@ -191,6 +191,6 @@ def score(text: Column, classifier: Classifier | None) -> Column:
     def scored(texts: pa.Array) -> pa.Array:
         if classifier is None:
             return pa.array(np.zeros(len(texts)))
-        return pa.array(classifier.score(texts))
+        return in_pieces(lambda own: pa.array(classifier.score(own)), texts)
 
     return scored(text)

@@ -98,3 +98,19 @@ def test_classes_of_the_smallest_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = jaccard.classes(spark.read.parquet(f"{SF}/documents.parquet"))
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == sorted(classes_of(rows))
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_take_awkward_and_empty_tables(spark, awkward, nothing, tmp_path, empty):
+    docs = nothing if empty else awkward
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        # Each stage sees the awkward rows themselves and what the stages before it left.
+        for given in (docs, nothing if empty else awkward):
+            after = stage(spark, given, SF)
+            if name != "packing":
+                assert after.columns == given.columns and after.dtypes == given.dtypes
+            path = str(tmp_path / f"{k}{given is docs}")
+            after.write.mode("overwrite").parquet(path)
+            assert empty == (spark.read.parquet(path).count() == 0)
+        if name != "packing":
+            docs = spark.read.parquet(str(tmp_path / f"{k}True"))
