@@ -108,6 +108,35 @@ def shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeats(table(spark, sf_dir, "documents")).drop("document")
 
 
-@R.add("op3_ngram_jaccard")
+SIMILARITY_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM words
+), tokens AS (
+  SELECT doc_id, unnest(s) AS t FROM sets
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n
+  FROM tokens a JOIN tokens b USING (t) WHERE a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM shared JOIN sets p ON p.doc_id = x JOIN sets q ON q.doc_id = y
+  WHERE 100 * n >= 80 * (len(p.s) + len(q.s) - n)
+), ways AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reached AS (
+  SELECT doc_id, doc_id AS other FROM sets
+  UNION SELECT reached.doc_id, ways.y FROM reached JOIN ways ON ways.x = reached.other
+)
+SELECT sets.doc_id, any_value(len(s)) AS n_shingles, min(other) AS component_id
+FROM sets JOIN reached USING (doc_id) GROUP BY sets.doc_id
+"""
+
+
+@R.add("op3_ngram_jaccard", SIMILARITY_SQL)
 def similarity_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents")).drop("document", "class")
