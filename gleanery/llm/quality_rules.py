@@ -1,10 +1,11 @@
 """Distribution divergence: documents against the histograms of their language.
 
-Two passes over all documents gather, for each language, the words that hold at least
-``COMMON_SHARE`` of its words with their exact counts, and the counts of
-character classes. A document's two histograms are then compared with those of its
-language by Jensen-Shannon distance (base 2, so 0 to 1). Texts with few words,
-whose histograms say little, are judged by the guards alone.
+Two passes over all documents that pass the guards gather, for each language, the words
+that hold at least ``COMMON_SHARE`` of its words with their exact counts, and the counts of
+character classes. Equal texts of a language weigh as one, however many copies there are.
+A document's two histograms are then compared with those of its language by
+Jensen-Shannon distance (base 2, so 0 to 1). Texts with few words, whose histograms say
+little, are judged by the guards alone.
 
 Defined cases: a null text has no words and fails; a null language is a language of its
 own; a language without a reference is compared with all languages together; empty tables
@@ -21,8 +22,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import blocks, in_pieces, mapped, split_words
-from gleanery.llm.text_stats import CLASSES, class_counts, quality_counts, word_codes
+from gleanery.llm.common import attach_small, blocks, in_pieces, mapped, split_words
+from gleanery.llm.text_stats import CLASSES, class_counts, per_text, quality_counts, repeated_word_mask, word_codes
+from gleanery.session import cut_lineage
 
 #: A word is common in a language if it makes up this share of the language's words.
 COMMON_SHARE = 0.002
@@ -40,7 +42,7 @@ FIELDS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "base_failed boolean, class_distance double, word_distance double, kept boolean"
 )
-COUNTED = "lang string, word string, class string, n long"
+COUNTED = "lang string, word string, class string, n double"
 
 
 @dataclass(frozen=True)
@@ -53,11 +55,26 @@ class Reference:
 
 
 def _by_language(block: pa.RecordBatch):
-    """The rows of each language in a block; the name of a missing language is null."""
+    """Texts and weights of each language in a block; the name of a missing language is null."""
     encoded = block["lang"].dictionary_encode(null_encoding="encode")
     codes, names = encoded.indices.to_numpy(), encoded.dictionary.to_pylist()
     for code, name in enumerate(names):
-        yield name, block["text"].take(pa.array(np.flatnonzero(codes == code)))
+        rows = pa.array(np.flatnonzero(codes == code))
+        yield name, block["text"].take(rows), block["weight"].take(rows).to_numpy()
+
+
+def _base_failed(n: np.ndarray, repeats: np.ndarray) -> np.ndarray:
+    return (n < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n)
+
+
+def _weighed(texts: pa.Array, weights: np.ndarray, guarded: bool):
+    """The words of the texts as codes with their weights, their dictionary, and the weight of each text."""
+    words, counts = split_words(texts)
+    codes, dictionary = word_codes(words)
+    if guarded:
+        repeats = per_text(repeated_word_mask(codes, counts).astype(np.int64), counts)
+        weights = np.where(_base_failed(counts, repeats), 0.0, weights)
+    return codes, np.repeat(weights, counts), dictionary, weights
 
 
 def _counted(language, words=(), classes=(), counts=()) -> pa.RecordBatch:
@@ -67,54 +84,79 @@ def _counted(language, words=(), classes=(), counts=()) -> pa.RecordBatch:
             pa.array([language] * len(names), pa.string()),
             pa.array(names, pa.string()),
             pa.array([*([None] * len(words)), *classes], pa.string()),
-            pa.array(counts, pa.int64()),
+            pa.array(counts, pa.float64()),
         ],
         names=["lang", "word", "class", "n"],
     )
 
 
-def _often(batches):
+def _often(guarded: bool):
     """Words with half the share in a block, and the block's number of words (as class ``words``)."""
-    for block in blocks(batches):
-        for language, texts in _by_language(block):
-            codes, dictionary = word_codes(split_words(texts)[0])
-            count = np.bincount(codes, minlength=len(dictionary))
-            rows = np.flatnonzero(count * 2 >= COMMON_SHARE * len(codes))
-            words = dictionary.take(pa.array(rows)).to_pylist()
-            yield _counted(language, words, ["words"], [*count[rows].tolist(), len(codes)])
+
+    def gather(batches):
+        for block in blocks(batches):
+            for language, texts, weights in _by_language(block):
+                codes, weight, dictionary, _ = _weighed(texts, weights, guarded)
+                count, total = np.bincount(codes, weight, len(dictionary)), float(weight.sum())
+                rows = np.flatnonzero((count > 0) & (count * 2 >= COMMON_SHARE * total))
+                words = dictionary.take(pa.array(rows)).to_pylist()
+                yield _counted(language, words, ["words"], [*count[rows].tolist(), total])
+
+    return gather
 
 
-def _exact(candidates: dict[str | None, list[str]]):
+def _exact(candidates: dict[str | None, list[str]], guarded: bool):
     """Counts of the candidate words of each language, and of character classes."""
 
     def gather(batches):
         for block in blocks(batches):
-            for language, texts in _by_language(block):
-                codes, dictionary = word_codes(split_words(texts)[0])
-                count = np.bincount(codes, minlength=len(dictionary) + 1)
+            for language, texts, weights in _by_language(block):
+                codes, weight, dictionary, weights = _weighed(texts, weights, guarded)
+                count = np.bincount(codes, weight, len(dictionary) + 1)
                 wanted = pa.array(candidates.get(language, []), dictionary.type)
                 at = pc.index_in(wanted, dictionary).fill_null(len(dictionary)).to_numpy()
-                classes = class_counts(texts).sum(axis=0).tolist()
+                classes = (class_counts(texts) * weights[:, None]).sum(axis=0).tolist()
                 yield _counted(
                     language, wanted.to_pylist(), ["words", *CLASSES],
-                    [*count[at].tolist(), len(codes), *classes],
+                    [*count[at].tolist(), float(weight.sum()), *classes],
                 )
 
     return gather
 
 
 def _summed(documents: DataFrame, gather) -> DataFrame:
-    rows = mapped(documents.select("lang", "text"), gather, COUNTED)
-    return rows.groupBy("lang", "word", "class").agg(F.sum("n").alias("n"))
+    rows = mapped(documents.select("lang", "text", "weight"), gather, COUNTED)
+    # Rounded, so that the order of the sums does not show.
+    return rows.groupBy("lang", "word", "class").agg(F.round(F.sum("n"), 6).alias("n"))
+
+
+def _once(documents: DataFrame) -> DataFrame:
+    """``lang``, ``text`` and ``weight``: copies of one text in one language share the weight of one.
+
+    Only hashes are shuffled, and those of texts with copies are joined back.
+    """
+    rows = documents.filter(F.col("text").isNotNull()).select("lang", "text", F.xxhash64("lang", "text").alias("key"))
+    copies = rows.groupBy("key").agg(F.count("*").alias("copies")).filter("copies > 1")
+    met = attach_small(rows, cut_lineage(copies), ["key"], "left")
+    return met.select("lang", "text", (F.lit(1.0) / F.coalesce("copies", F.lit(1))).alias("weight"))
+
+
+def sound_references(documents: DataFrame) -> dict[str | None, Reference]:
+    """``references`` of the documents that pass the guards, each text once."""
+    return _references(_once(documents), True)
 
 
 def references(documents: DataFrame) -> dict[str | None, Reference]:
-    """The reference of each language with enough words, and under ``""`` of all together.
+    """Over all rows as they are: the reference of each language with enough words, and under ``""`` of all together.
 
     A word that holds the share over all has at least half of its count in blocks where it holds half the share,
     so at most ``2 / COMMON_SHARE`` words a language come back from the first pass.
     """
-    first = _summed(documents, _often)
+    return _references(documents.select("lang", "text", F.lit(1.0).alias("weight")), False)
+
+
+def _references(rows: DataFrame, guarded: bool) -> dict[str | None, Reference]:
+    first = _summed(rows, _often(guarded))
     totals = first.filter(F.col("class") == "words").select(F.col("lang").alias("_lang"), F.col("n").alias("_all"))
     found = first.filter(F.col("word").isNotNull()).join(totals, F.col("lang").eqNullSafe(F.col("_lang")))
     found = found.filter(F.col("n") * 2 >= COMMON_SHARE * F.col("_all"))
@@ -123,7 +165,7 @@ def references(documents: DataFrame) -> dict[str | None, Reference]:
         candidates.setdefault(row["lang"], []).append(row["word"])
     words: dict[str | None, dict[str, int]] = {}
     classes: dict[str | None, dict[str, int]] = {}
-    for row in _summed(documents, _exact(candidates)).collect():
+    for row in _summed(rows, _exact(candidates, guarded)).collect():
         into, key = (words, "word") if row["word"] is not None else (classes, "class")
         for language in (row["lang"], ""):
             held = into.setdefault(language, {})
@@ -155,7 +197,7 @@ def distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
 def _judged(texts: pa.Array, reference: Reference | None) -> dict[str, np.ndarray]:
     found = quality_counts(texts)
     n, repeats = found["n_words"], found["n_repeat_words"]
-    found["base_failed"] = (n < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n)
+    found["base_failed"] = _base_failed(n, repeats)
     by_class, by_word = np.zeros(len(n)), np.zeros(len(n))
     if reference is not None:
         by_class = distance(found["classes"], reference.classes)
@@ -200,11 +242,11 @@ def judge(text: Column, lang: Column, known: dict[str | None, Reference]) -> Col
 
 def quality(documents: DataFrame) -> DataFrame:
     """``doc_id`` and the fields of ``judge`` for every document."""
-    found = judge(F.col("text"), F.col("lang"), references(documents))
+    found = judge(F.col("text"), F.col("lang"), sound_references(documents))
     return documents.select("doc_id", found.alias("_found")).select("doc_id", "_found.*")
 
 
 def keep(documents: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns."""
-    verdict = judge(F.col("text"), F.col("lang"), references(documents))
+    verdict = judge(F.col("text"), F.col("lang"), sound_references(documents))
     return documents.filter(verdict["kept"])

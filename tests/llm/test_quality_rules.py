@@ -48,3 +48,17 @@ def test_references_hold_exact_counts(spark):
     share = dict(zip(known["xx"].words, known["xx"].shares))
     assert abs(share["alpha"] - 0.15) < 1e-12 and abs(share["beta"] - 0.5) < 1e-12
     assert abs(known["xx"].shares.sum() - 1) < 1e-12 and set(known) == {"xx", ""}
+
+
+def test_copies_of_junk_do_not_become_the_reference(spark):
+    common = "the of and to in is was for that with".split()
+    mixed_in = lambda i, n: " ".join(w if k % 3 else f"{w} {common[(i + k) % 10]}" for k, w in enumerate(prose(i, n).split()))
+    clean = [(i, mixed_in(i, 150), "en", "s", 0) for i in range(200)]
+    repetitive = [(1000 + i, "buy cheap pills now at our big store today " * 30, "en", "s", 0) for i in range(100)]
+    one_text = [(2000 + i, " ".join(f"zz{k}" for k in range(200)), "en", "s", 0) for i in range(100)]
+    for junk in (repetitive, one_text):
+        rows = spark.createDataFrame(clean + junk, DOCUMENTS).repartition(4)
+        kept = {r.doc_id: r.kept for r in quality_rules.quality(rows).collect()}
+        assert sum(kept[i] for i in range(200)) == 200
+    alone, beside = (quality_rules.sound_references(spark.createDataFrame(r, DOCUMENTS))["en"] for r in (clean, clean + repetitive))
+    assert alone.words == beside.words and np.allclose(alone.shares, beside.shares)
