@@ -8,8 +8,9 @@ Jensen-Shannon distance (base 2, so 0 to 1). Texts with few words, whose histogr
 little, are judged by the guards alone.
 
 Defined cases: a null text has no words and fails; a null language is a language of its
-own; a language without a reference is compared with all languages together; empty tables
-give empty results; repeated documents are judged each for itself.
+own, and so is the empty string; a language without a reference has only its character
+classes compared, with those of all languages together, letters of any script in one class;
+empty tables give empty results; repeated documents are judged each for itself.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 #: Words of a language below which it has no reference of its own.
 MIN_REFERENCE_WORDS = 10_000
+#: Key of all languages together; names of languages are strings or null.
+MIXTURE = 0
 
 FIELDS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -47,11 +50,23 @@ COUNTED = "lang string, word string, class string, n double"
 
 @dataclass(frozen=True)
 class Reference:
-    """A language's common words with their shares (all other words last), and its class shares."""
+    """A language's common words with their shares (all other words last), and its class shares.
+
+    The ``mixed`` reference of all languages has no words, and its classes are those of ``_any_script``.
+    """
 
     words: list[str]
     shares: np.ndarray
     classes: np.ndarray
+    mixed: bool = False
+
+
+def _any_script(classes: np.ndarray) -> np.ndarray:
+    """Counts of classes with small letters and characters beyond ASCII together, as scripts differ in these."""
+    lower, beyond = CLASSES.index("lower"), CLASSES.index("beyond_ascii")
+    out = np.delete(classes, beyond, axis=-1)
+    out[..., lower] += classes[..., beyond]
+    return out
 
 
 def _by_language(block: pa.RecordBatch):
@@ -141,21 +156,23 @@ def _once(documents: DataFrame) -> DataFrame:
     return met.select("lang", "text", (F.lit(1.0) / F.coalesce("copies", F.lit(1))).alias("weight"))
 
 
-def sound_references(documents: DataFrame) -> dict[str | None, Reference]:
+def sound_references(documents: DataFrame) -> dict[str | int | None, Reference]:
     """``references`` of the documents that pass the guards, each text once."""
     return _references(_once(documents), True)
 
 
 def references(documents: DataFrame) -> dict[str | None, Reference]:
-    """Over all rows as they are: the reference of each language with enough words, and under ``""`` of all together.
+    """Over all rows as they are, with all languages together under ``""``; documents are not judged by these."""
+    known = _references(documents.select("lang", "text", F.lit(1.0).alias("weight")), False)
+    return {"" if k == MIXTURE else k: v for k, v in known.items()}
+
+
+def _references(rows: DataFrame, guarded: bool) -> dict[str | int | None, Reference]:
+    """The reference of each language with enough words, and under ``MIXTURE`` of all together.
 
     A word that holds the share over all has at least half of its count in blocks where it holds half the share,
     so at most ``2 / COMMON_SHARE`` words a language come back from the first pass.
     """
-    return _references(documents.select("lang", "text", F.lit(1.0).alias("weight")), False)
-
-
-def _references(rows: DataFrame, guarded: bool) -> dict[str | None, Reference]:
     first = _summed(rows, _often(guarded))
     totals = first.filter(F.col("class") == "words").select(F.col("lang").alias("_lang"), F.col("n").alias("_all"))
     found = first.filter(F.col("word").isNotNull()).join(totals, F.col("lang").eqNullSafe(F.col("_lang")))
@@ -163,23 +180,28 @@ def _references(rows: DataFrame, guarded: bool) -> dict[str | None, Reference]:
     candidates: dict[str | None, list[str]] = {}
     for row in found.select("lang", "word").collect():
         candidates.setdefault(row["lang"], []).append(row["word"])
-    words: dict[str | None, dict[str, int]] = {}
-    classes: dict[str | None, dict[str, int]] = {}
+    words: dict[str | None, dict[str, float]] = {}
+    classes: dict[str | int | None, dict[str, float]] = {}
     for row in _summed(rows, _exact(candidates, guarded)).collect():
-        into, key = (words, "word") if row["word"] is not None else (classes, "class")
-        for language in (row["lang"], ""):
-            held = into.setdefault(language, {})
-            held[row[key]] = held.get(row[key], 0) + row["n"]
-    out = {}
+        if row["word"] is not None:
+            words.setdefault(row["lang"], {})[row["word"]] = row["n"]
+            continue
+        for language in (row["lang"], MIXTURE):
+            held = classes.setdefault(language, {})
+            held[row["class"]] = held.get(row["class"], 0) + row["n"]
+    out: dict[str | int | None, Reference] = {}
     for language, counts in classes.items():
         total = counts.pop("words")
-        if language != "" and total < MIN_REFERENCE_WORDS:
+        by_class = np.array([counts.get(c, 0) for c in CLASSES], float)
+        by_class /= max(1.0, by_class.sum())
+        if language == MIXTURE:
+            out[MIXTURE] = Reference([], np.ones(1), _any_script(by_class), True)
+        if language == MIXTURE or total < MIN_REFERENCE_WORDS:
             continue
         common = {w: n for w, n in sorted(words.get(language, {}).items()) if n >= COMMON_SHARE * total}
         rest = max(0, total - sum(common.values()))
         shares = np.array([*common.values(), rest], float) / max(1, total)
-        by_class = np.array([counts.get(c, 0) for c in CLASSES], float)
-        out[language] = Reference(list(common), shares, by_class / max(1.0, by_class.sum()))
+        out[language] = Reference(list(common), shares, by_class)
     return out
 
 
@@ -200,7 +222,8 @@ def _judged(texts: pa.Array, reference: Reference | None) -> dict[str, np.ndarra
     found["base_failed"] = _base_failed(n, repeats)
     by_class, by_word = np.zeros(len(n)), np.zeros(len(n))
     if reference is not None:
-        by_class = distance(found["classes"], reference.classes)
+        classes = _any_script(found["classes"]) if reference.mixed else found["classes"]
+        by_class = distance(classes, reference.classes)
         place = np.full(len(found["dictionary"]) + 1, len(reference.words), np.int64)
         wanted = pa.array(reference.words, found["dictionary"].type)
         at = pc.index_in(wanted, found["dictionary"]).fill_null(len(found["dictionary"])).to_numpy()
@@ -216,7 +239,7 @@ def _judged(texts: pa.Array, reference: Reference | None) -> dict[str, np.ndarra
     return found | {"class_distance": by_class, "word_distance": by_word, "kept": ~(found["base_failed"] | far)}
 
 
-def judge(text: Column, lang: Column, known: dict[str | None, Reference]) -> Column:
+def judge(text: Column, lang: Column, known: dict[str | int | None, Reference]) -> Column:
     """A struct of ``FIELDS`` for each document."""
     names = [part.split()[0] for part in FIELDS.split(", ")]
 
@@ -227,7 +250,7 @@ def judge(text: Column, lang: Column, known: dict[str | None, Reference]) -> Col
         out: dict[str, np.ndarray] = {}
         for code, name in enumerate(encoded.dictionary.to_pylist()):
             at = np.flatnonzero(codes == code)
-            found = _judged(texts.take(pa.array(at)), known.get(name, known.get("")))
+            found = _judged(texts.take(pa.array(at)), known.get(name, known.get(MIXTURE)))
             for field in names:
                 out.setdefault(field, np.zeros(len(texts), found[field].dtype))[at] = found[field]
         empty = np.zeros(0, bool)

@@ -62,3 +62,20 @@ def test_copies_of_junk_do_not_become_the_reference(spark):
         assert sum(kept[i] for i in range(200)) == 200
     alone, beside = (quality_rules.sound_references(spark.createDataFrame(r, DOCUMENTS))["en"] for r in (clean, clean + repetitive))
     assert alone.words == beside.words and np.allclose(alone.shares, beside.shares)
+
+
+def test_rare_languages_are_not_judged_by_words_of_others(spark):
+    common = "the of and to in is was for that with".split()
+    often = [(i, " ".join(f"{w} {common[(i + k) % 10]}" for k, w in enumerate(prose(i, 150).split())), "en", "s", 0) for i in range(200)]
+    cyrillic = str.maketrans("abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстуввхуз")
+    rare = [(1000 + i, prose(1000 + i, 150), "xx", "s", 0) for i in range(20)]
+    rare += [(1100 + i, prose(1100 + i, 150).translate(cyrillic), "ru", "s", 0) for i in range(20)]
+    unnamed = [(1200 + i, prose(1200 + i, 150), "", "s", 0) for i in range(100)]
+    odd = [(2000, " ".join(str(i * 7919) for i in range(150)), "xx", "s", 0), (2001, prose(7, 150).upper(), "ru", "s", 0)]
+    rows = spark.createDataFrame(often + rare + unnamed + odd, DOCUMENTS).repartition(4)
+    known = quality_rules.sound_references(rows)
+    assert set(known) == {"en", "", quality_rules.MIXTURE}
+    alone = quality_rules.sound_references(spark.createDataFrame(unnamed, DOCUMENTS))[""]
+    assert known[""].words == alone.words and np.allclose(known[""].shares, alone.shares)
+    found = {r.doc_id: r.kept for r in quality_rules.quality(rows).collect()}
+    assert {i for i, kept in found.items() if not kept} == {2000, 2001}
