@@ -578,7 +578,7 @@ def _overlay_sides(spark, sf):
     )
     sources = pages.select(
         normalize_url(F.col("url")).alias("source_url"),
-        F.when(~F.col("url").contains("example.org"), F.upper(text("h1"))).alias("title"),
+        F.when(~F.col("url").contains("example.org"), F.concat(F.lit("page: "), text("h1"))).alias("title"),
         F.lit(None).cast("string").alias("publisher"),
         element_text(find_first(F.col("nodes"), "class_name", "ad")).alias("summary"),
     )
@@ -586,7 +586,7 @@ def _overlay_sides(spark, sf):
 
 
 @R.add("overlay_join", f"""SELECT url AS source_url,
-  CASE WHEN contains(url, 'example.org') THEN {TITLE_SQL} ELSE upper({H1_SQL}) END AS title,
+  CASE WHEN contains(url, 'example.org') THEN {TITLE_SQL} ELSE 'page: ' || {H1_SQL} END AS title,
   'site' AS publisher, {AD_SQL} AS summary FROM pages""")
 def overlay_join(spark, sf):
     from gleanery.operators.assemble import overlay
@@ -598,8 +598,8 @@ def overlay_join(spark, sf):
 
 
 @R.add("overlay_conflicts", f"""SELECT url AS source_url, 'title' AS field, {TITLE_SQL} AS item_value,
-  upper({H1_SQL}) AS source_value FROM pages
-WHERE NOT contains(url, 'example.org') AND {TITLE_SQL} <> upper({H1_SQL})""")
+  'page: ' || {H1_SQL} AS source_value FROM pages
+WHERE NOT contains(url, 'example.org') AND {TITLE_SQL} <> ('page: ' || {H1_SQL})""")
 def overlay_conflicts_query(spark, sf):
     from gleanery.operators.assemble import overlay_conflicts
 

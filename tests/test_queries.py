@@ -1,11 +1,13 @@
 """Every registered query against its SQL, on whole tables."""
 
+import os
+
 import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
