@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import decontaminate, fill_in_middle, jaccard, language_model, packing, preference, quality_rules, repair, suffixes, toxicity, url_filter
+from gleanery.llm import decontaminate, fill_in_middle, jaccard, language_model, license_scan, packing, preference, quality_rules, repair, suffixes, toxicity, url_filter
 from gleanery.llm.common import document_key
 from gleanery.queries.common import Registry, table
 from gleanery.session import scratch_path
@@ -179,3 +179,54 @@ def fill_in_middle_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
         digest(F.col("output")).alias("output_sha256"),
         digest(fill_in_middle.restore(F.col("output"), F.col("form"))).alias("restored_sha256"),
     )
+
+
+def _license_sql() -> str:
+    """The scan over the shipped templates: their k-grams are laid out as rows."""
+    rows, width = [], license_scan.WIDTH
+    named = [(*x, True) for x in license_scan.PHRASES] + [(*x, False) for x in license_scan.NOTICES]
+    for number, (label, text, phrase) in enumerate(named):
+        words = text.split()
+        k = min(width, len(words))
+        for i in range(len(words) - k + 1):
+            rows.append(f"({number}, '{label}', {phrase}, {len(words)}, {k}, {i}, '{' '.join(words[i:i + k])}')")
+    return rf"""
+WITH t(template, label, phrase, size, k, place, gram) AS (VALUES {", ".join(rows)}), texts AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents
+), grams AS (
+  SELECT r, k, i - 1 AS pos, array_to_string(w[i:i + k - 1], ' ') AS gram
+  FROM (SELECT r, w, ks.k, unnest(range(1, len(w) - ks.k + 2)) AS i FROM texts, (VALUES (2), (3)) ks(k))
+), hits AS (
+  SELECT r, template, label, phrase, size, k, place, pos, pos - place AS diagonal FROM grams JOIN t USING (k, gram)
+), diagonals AS (
+  SELECT r, template, label, phrase, size, k, diagonal, min(pos) AS b, max(pos) + k AS e, list(DISTINCT place) AS places
+  FROM hits GROUP BY r, template, label, phrase, size, k, diagonal
+), marked AS (
+  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal)
+    <= CASE WHEN phrase THEN 0 ELSE {license_scan.DRIFT} END THEN 0 ELSE 1 END AS apart
+  FROM diagonals
+), numbered AS (
+  SELECT *, sum(apart) OVER (PARTITION BY r, template ORDER BY diagonal) AS span FROM marked
+), found AS (
+  SELECT r, template, label, phrase, size, span, min(b) AS b, max(e) AS e, count(DISTINCT word) AS n
+  FROM (SELECT *, p + unnest(range(k)) AS word FROM (SELECT *, unnest(places) AS p FROM numbered)) GROUP BY ALL
+), judged AS (
+  SELECT *, phrase AND n = size AS base,
+    NOT phrase AND 100 * n >= {license_scan.SHARE} * size AND e - b <= {license_scan.STRETCH} * size AS notice
+  FROM found
+)
+SELECT any_value(doc_id) AS doc_id, any_value(len(w))::BIGINT AS n_words, count(*) FILTER (base) AS n_base,
+  min(b) FILTER (base) AS first_word, max(b) FILTER (base) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base OR notice), '') AS labels,
+  coalesce(max(n / size), 0)::DOUBLE AS score
+FROM texts LEFT JOIN judged USING (r) GROUP BY r
+"""
+
+
+@R.add("op12_license_scan", _license_sql())
+def license_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.templates(spark))
