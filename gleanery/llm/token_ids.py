@@ -7,6 +7,7 @@ encoded once; the words met most recently stay known to the worker.
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
@@ -19,6 +20,8 @@ from gleanery.llm.text_stats import word_codes
 END = 2
 #: Words a worker remembers from one block to the next.
 KNOWN_WORDS = 800_000
+#: Letters and digits that composing and lower-casing leave one letter or digit: ASCII's and those of European alphabets.
+ONE_LETTER = r"0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{17F}\x{391}-\x{3A1}\x{3A3}-\x{3A9}\x{3B1}-\x{3C9}\x{410}-\x{44F}"
 #: Words sent to the tokenizer as one text.
 JOINED = 256
 
@@ -38,8 +41,8 @@ class TokenIds:
         self.vocabulary = self._tokenizer.get_vocab_size(with_added_tokens=True)
         self.id_type = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         # Words may be lower-cased first, which makes more of them equal, if the tokenizer does so anyway.
-        probe = ["AN EXAMPLE Of Words", "an example of words"]
-        self._folds = len({tuple(e.ids) for e in self._encoded(probe)}) == 1
+        normalizer = json.loads(self._tokenizer.to_str())["normalizer"] or {}
+        self._folds = "Lowercase" in {n["type"] for n in normalizer.get("normalizers", [normalizer]) if n}
         self._closing = np.zeros(self.vocabulary, bool)
         for token, number in self._tokenizer.get_vocab(with_added_tokens=True).items():
             self._closing[number] = token.endswith("</w>")
@@ -118,8 +121,10 @@ class TokenIds:
         """Ids of distinct words end to end, and each one's number of ids.
 
         A full stop or comma behind a letter or digit is a token of its own; without it fewer words differ.
+        Only letters that stay one letter when the tokenizer normalises them may be cut off so: others can
+        end in a mark, which it joins with the stop. A word that is not cut is encoded whole.
         """
-        stops = [pc.and_(pc.ends_with(words, stop), pc.match_substring_regex(words, r"[\p{L}\p{N}].$")) for stop in ".,"]
+        stops = [pc.and_(pc.ends_with(words, stop), pc.match_substring_regex(words, f"[{ONE_LETTER}].$")) for stop in ".,"]
         stop = np.select([s.to_numpy(zero_copy_only=False) for s in stops], [1, 2], 0)
         bare = pc.if_else(pa.array(stop > 0), pc.utf8_slice_codeunits(words, 0, -1), words)
         encoded = pa.concat_arrays([bare, pa.array([".", ","], bare.type)]).dictionary_encode()

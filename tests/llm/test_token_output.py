@@ -28,6 +28,20 @@ def tokens():
     return TokenIds(PATH)
 
 
+def test_ids_of_every_character_before_a_stop():
+    """All code points but surrogates, unassigned planes and private use, and both stops."""
+    points = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xF900]
+    for stop in ".,":
+        texts = [f"{c}{stop} a{c}{stop}" for c in points]
+        found = TokenIds.shared(PATH)
+        for begin in range(0, len(texts), 20_000):
+            some = texts[begin:begin + 20_000]
+            ids, counts = found.encode(pa.array(some, pa.string()))
+            want = [[*e.ids, 2] for e in found._tokenizer.encode_batch(some, add_special_tokens=False)]
+            assert counts.tolist() == [len(w) for w in want]
+            assert ids.tolist() == [i for w in want for i in w]
+
+
 @given(st.lists(st.none() | st.text(max_size=30) | st.text(alphabet="aAb.,'s <|>\ńéİ", max_size=30), max_size=6))
 @settings(max_examples=200, deadline=None)
 def test_ids_equal_the_tokenizers(texts):
