@@ -87,25 +87,29 @@ KNOWN_KEYS = frozenset(
 )
 
 
-def extract_items(pages: DataFrame, provider: Provider, model: Model) -> DataFrame:
-    """Valid, ranked items of result pages (``html``, ``page`` and any key columns)."""
-    limited = limit_pages(pages, "page", provider.pages)
+def items_of(parsed: DataFrame, provider: Provider, model: Model) -> DataFrame:
+    """Ranked items of parsed result pages (``nodes``, ``page``), also those without a source, with their ``_errors``."""
     keep_page = any_needs_page(provider.content)
-    items = explode_items(with_nodes(limited), provider.items, keep_page=keep_page)
+    items = explode_items(limit_pages(parsed, "page", provider.pages), provider.items, keep_page=keep_page)
     items = items.withColumn("rank", rank_items(F.col("page"), provider.page_size, F.col("index")))
-    derived = derive_fields(
-        items, model, provider.content, page="nodes" if keep_page else None
-    )
-    return valid_items(derived.drop("element", "nodes"))
+    derived = derive_fields(items, model, provider.content, page="nodes" if keep_page else None)
+    return derived.drop("element", "nodes")
+
+
+def extract_items(pages: DataFrame, provider: Provider, model: Model) -> DataFrame:
+    """Valid, ranked items of result pages (``html``, ``page`` and any key columns)."""
+    return valid_items(items_of(with_nodes(limit_pages(pages, "page", provider.pages)), provider, model))
+
+
+def sources_of(parsed: DataFrame, provider: Provider, model: Model, url: str = "url") -> DataFrame:
+    """Fields of parsed source pages; the page's normalised address is their source URL."""
+    ready = parsed.withColumns({"source_url": normalize_url(F.col(url)), "rank": F.lit(None).cast("int")})
+    return derive_fields(ready, model, provider.content, "nodes", "nodes", None).drop("nodes")
 
 
 def extract_sources(pages: DataFrame, provider: Provider, model: Model, url: str = "url") -> DataFrame:
-    """Fields of source pages; the page's normalised address is their source URL."""
-    ready = with_nodes(pages).withColumns(
-        {"source_url": normalize_url(F.col(url)), "rank": F.lit(None).cast("int")}
-    )
-    derived = derive_fields(ready, model, provider.content, "nodes", "nodes", None)
-    return derived.drop("nodes")
+    """Fields of source pages (``html``)."""
+    return sources_of(with_nodes(pages), provider, model, url)
 
 
 def combine(items: DataFrame, sources: DataFrame, model: Model, page_url: str = "url",
@@ -137,30 +141,37 @@ def page_links(pages: DataFrame, provider: Provider, url: str = "url") -> DataFr
     ).filter("next_url is not null")
 
 
-def follow_pages(starts: DataFrame, links: DataFrame, limit: int, url: str = "url") -> DataFrame:
+def follow_pages(starts: DataFrame, links: DataFrame, limit: int, url: str = "url", within: tuple[str, ...] = ()) -> DataFrame:
     """Pages reached from each start by next-page links, with their page number.
 
-    A trail ends at a page it has met before. The links are written once, so pages are parsed once however many hops
-    follow. Each hop is one equi-join over distinct addresses, so a start that very
-    many searches share is followed once.
+    A trail ends at a page it has met before. Links are doubled: after ``k`` rounds a link leads 2^k pages
+    on and every trail is known for its first 2^k pages, so a chain of a thousand pages takes ten rounds. A page
+    keeps the smallest number at which its trail meets it, which ends loops of any length. Rounds stop when no
+    trail has grown. ``within`` names columns of both sides that tell separate sets of links apart. A start
+    that very many searches share is followed once.
     """
-    # Copies of a page are one link, or every hop would multiply by them.
-    single = links.groupBy(F.col("url").alias("_at")).agg(F.max("next_url").alias("next_url"))
-    links = cut_lineage(single)
-    trails = starts.select(F.col(url).alias("_start")).distinct()
-    trails = trails.withColumn("_trail", F.array("_start"))
-    for _ in range(limit - 1):
-        trails = trails.withColumn("_at", F.try_element_at("_trail", F.lit(-1)))
-        trails = trails.join(links, "_at", "left")
-        fresh = F.when(~F.array_contains("_trail", F.col("next_url")), F.col("next_url"))
-        trails = trails.select("_start", F.array_append("_trail", fresh).alias("_trail"))
-    reached = trails.select("_start", F.posexplode("_trail").alias("page", "_url")).filter(
-        F.col("_url").isNotNull()
-    )
-    return starts.withColumnRenamed(url, "_start").join(reached, "_start").select(
+    keys = list(within)
+    # Copies of a page are one link, or every round would multiply by them.
+    jumps = cut_lineage(links.groupBy(*keys, F.col("url").alias("_at")).agg(F.max("next_url").alias("_to")))
+    first = starts.select(*keys, F.col(url).alias("_start")).distinct()
+    reached = cut_lineage(first.select("*", F.col("_start").alias("_at"), F.lit(0).cast("bigint").alias("_hops")))
+    known, span = reached.count(), 1
+    while span < limit:
+        further = reached.join(jumps, [*keys, "_at"]).select(
+            *keys, "_start", F.col("_to").alias("_at"), (F.col("_hops") + span).alias("_hops")
+        )
+        longer = reached.unionByName(further.filter(F.col("_hops") < limit))
+        reached = cut_lineage(longer.groupBy(*keys, "_start", "_at").agg(F.min("_hops").alias("_hops")))
+        before, known, span = known, reached.count(), 2 * span
+        if known == before:
+            break
+        if span < limit:
+            onward = jumps.select(*keys, F.col("_at").alias("_to"), F.col("_to").alias("_on"))
+            jumps = cut_lineage(jumps.join(onward, [*keys, "_to"]).select(*keys, "_at", F.col("_on").alias("_to")))
+    return starts.withColumnRenamed(url, "_start").join(reached, [*keys, "_start"]).select(
         *[c for c in starts.columns if c != url],
-        (F.col("page") + 1).alias("page"),
-        F.col("_url").alias(url),
+        (F.col("_hops") + 1).cast("int").alias("page"),
+        F.col("_at").alias(url),
     )
 
 

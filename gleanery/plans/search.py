@@ -157,8 +157,11 @@ def search_plan(searches: DataFrame, providers: dict[str, UrlTemplate], topics:
     """Every search at every enabled provider, with its URL.
 
     The provider catalog is configuration held by the driver, so the fan-out is
-    an explode within the row.
+    an explode within the row. Without providers there is no plan.
     """
+    if not providers:
+        nothing = F.lit(None).cast("string")
+        return searches.select("*", nothing.alias("provider"), nothing.alias("url")).filter(F.lit(False))
     plans = F.array(
         *[
             F.struct(F.lit(name).alias("provider"), url.column(F.col(data), topics).alias("url"))

@@ -428,6 +428,7 @@ LISTED_SITES = {
         },
     },
     "list_example_com/customer/source.yaml": {
+        "cache_version": "s1",
         "content": {
             "title": {"tag_name": "h1", "getattr": "text"},
             "summary": {"tag_name": "p", "getattr": "text"},
@@ -448,30 +449,61 @@ LISTED_SITES = {
         "items": {"tag_name": "li"}, "content": {},
     },
 }
+# Sites of one kind, as a large catalog holds them, and three that go wrong.
+MANY_SITES = 3
+for _n in range(MANY_SITES):
+    LISTED_SITES[f"many{_n:02}_example_com/multi.yaml"] = {
+        "url": "https://list.example.com/list/{place}/1",
+        "extract_sources": False,
+        "items": {"is_multiple": True, "css_selector": "ol.entries > li"},
+        "content": {
+            "source_url": [{"xpath": "./h3/a", "attribute": "href"}, {"format": f"{{value}}?from={_n}"}],
+            "title": {"tag_name": "b", "getattr": "text"},
+            "publisher": f"Press {_n}",
+            "summary": {"tag_name": "p", "attribute": "data-kind"},
+        },
+    }
+LISTED_SITES |= {
+    f"{name}_example_com/multi.yaml": {"url": url, "extract_sources": False, "items": items, "content": content}
+    for name, url, items, content in (
+        ("gone", "https://gone.example.com/{place}", {"tag_name": "li"}, {"source_url": "https://a.example/"}),
+        ("bare", "https://list.example.com/list/{place}/1", {"is_multiple": True, "tag_name": "table"}, {"source_url": "https://a.example/"}),
+        ("broken", "https://list.example.com/list/{place}/1", {"is_multiple": True, "css_selector": "ol.entries > li"},
+         {"source_url": {"tag_name": "em", "attribute": "href"}, "title": {"tag_name": "b", "getattr": "text"}}),
+    )
+}
 REFRESH_SQL = f"""{LISTED_SQL},
-pairs AS (
-  SELECT s_suppkey, s_nationkey, unnest(['list_example_com', 'short_example_com']) AS provider FROM supplier),
+sites AS (
+  SELECT unnest(['list_example_com', 'short_example_com', 'gone_example_com', 'bare_example_com', 'broken_example_com']) AS provider,
+         NULL AS many
+  UNION ALL SELECT 'many' || lpad(i::VARCHAR, 2, '0') || '_example_com', i FROM (SELECT unnest(range({MANY_SITES})) AS i)),
+pairs AS (SELECT s_suppkey, s_nationkey, provider, many FROM supplier, sites),
 work AS (
   SELECT * FROM pairs WHERE NOT (provider = 'list_example_com' AND s_suppkey % 3 = 0)),
 found AS (
-  SELECT work.s_suppkey, provider, c_custkey, c_name, c_mktsegment, pos
+  SELECT work.s_suppkey, provider, many, c_custkey, c_name, c_mktsegment, pos,
+         'https://list.example.com/customer/' || c_custkey || coalesce('?from=' || many, '') AS source_url
   FROM work JOIN listed ON c_nationkey = s_nationkey
-  WHERE page <= CASE provider WHEN 'list_example_com' THEN 2 ELSE 1 END)"""
+  WHERE page <= CASE provider WHEN 'list_example_com' THEN 2 ELSE 1 END
+    AND (many IS NOT NULL OR provider IN ('list_example_com', 'short_example_com')))"""
 
 
 def _refreshed(spark, sf):
     """Suppliers as searches of their nation's listing, at sites read from definition files."""
     from gleanery.functions.records import Field, Model
     from gleanery.operators.pointers import topic
-    from gleanery.plans.refresh import load_sites, refresh
+    from gleanery.plans.refresh import refresh, sites_of
+    from gleanery.sources.tables import read_definitions
 
     root = scratch_path(spark, "sites")
-    for path, definition in LISTED_SITES.items():
-        folder, name = path.rsplit("/", 1)
-        rows = spark.createDataFrame([(json.dumps(definition), folder)], "value string, directory string")
-        rows.select("value").coalesce(1).write.text(f"{root}/{name}/{folder}")
-    sites = load_sites(spark, f"{root}/multi.yaml", "*.txt", "*.none")
-    sites = replace(sites, source=load_sites(spark, f"{root}/source.yaml", "*.none", "*.txt").source)
+    rows = [(json.dumps(definition), *path.rsplit("/", 1)) for path, definition in LISTED_SITES.items()]
+    files = spark.createDataFrame(rows, "value string, directory string, kind string").repartition("kind", "directory")
+    files.write.partitionBy("kind", "directory").text(root)
+    held = read_definitions(spark, root, "*.txt")
+    # The folder name is escaped by the writer, and its path once more.
+    name = F.url_decode(F.url_decode(F.regexp_extract("directory", "directory=(.*)$", 1)))
+    of_kind = lambda kind: held.filter(F.col("directory").startswith(f"kind={kind}/")).withColumn("directory", name)
+    sites = sites_of(of_kind("multi.yaml"), of_kind("source.yaml"))
     suppliers = table(spark, sf, "supplier")
     place = topic("place", F.array(F.col("s_nationkey").cast("string")))
     searches = suppliers.select("s_suppkey", F.array(place).alias("search_data"))
@@ -487,41 +519,75 @@ def _refreshed(spark, sf):
         F.format_string("https://list.example.com/customer/%s", "c_custkey").alias("url"),
         F.format_string("<h1>The %s</h1><p>of %s</p>", "c_name", "c_mktsegment").alias("html"),
     )
+    # Of the sources' content, a fifth was stored: lately, too long ago, or by an earlier version.
+    stored = customers.filter("c_custkey % 10 in (4, 5, 6)").select(
+        F.format_string("https://list.example.com/customer/%s", "c_custkey").alias("source_url"),
+        F.concat(F.lit("Kept "), "c_name").alias("title"),
+        (now - F.make_dt_interval(F.when(F.expr("c_custkey % 10 = 6"), 400).otherwise(40))).alias("_last_extracted"),
+        F.when(F.expr("c_custkey % 20 = 5"), "s0").otherwise("s1").alias("_cache_version"),
+    )
     model = Model("Entry", tuple(Field(n) for n in ("source_url", "title", "publisher", "summary")))
     pages = listing_pages(spark, sf).select("url", "html")
-    return refresh(searches, sites, ["place"], info, pages, sources, model, now, "s_suppkey")
+    return refresh(searches, sites, ["place"], info, pages, sources, model, now, "s_suppkey", stored)
+
+
+FRESH_SQL = "(c_custkey % 10 = 4 OR c_custkey % 20 = 15)"
 
 
 @R.add("refresh_content", f"""WITH {REFRESH_SQL},
-kinds AS (SELECT c_custkey, c_name, c_mktsegment, bool_or(provider = 'list_example_com') AS long,
+kinds AS (SELECT source_url, many, c_custkey, c_name, c_mktsegment, bool_or(provider = 'list_example_com' AND NOT {FRESH_SQL}) AS long,
             bool_or(provider = 'short_example_com') AS short FROM found GROUP BY ALL)
-SELECT 'https://list.example.com/customer/' || c_custkey AS source_url,
-  CASE WHEN short THEN c_mktsegment || ' ' || c_custkey
+SELECT source_url,
+  CASE WHEN many IS NOT NULL THEN c_mktsegment WHEN short THEN c_mktsegment || ' ' || c_custkey
        WHEN c_custkey % 2 = 0 THEN 'The ' || c_name ELSE c_name END AS title,
-  CASE WHEN long THEN c_mktsegment END AS publisher,
-  CASE WHEN long AND c_custkey % 2 = 0 THEN 'of ' || c_mktsegment END AS summary,
-  CASE WHEN short THEN 'v1' ELSE 'v2' END AS version
-FROM kinds""")
+  CASE WHEN many IS NOT NULL THEN 'Press ' || many WHEN long THEN c_mktsegment END AS publisher,
+  CASE WHEN many IS NOT NULL THEN c_mktsegment || ' ' || c_custkey WHEN long AND c_custkey % 2 = 0 THEN 'of ' || c_mktsegment END AS summary,
+  CASE WHEN many IS NOT NULL THEN NULL WHEN short THEN 'v1' WHEN c_custkey % 2 = 0 THEN 's1' ELSE 'v2' END AS version
+FROM kinds WHERE long OR short OR many IS NOT NULL""")
 def refresh_content(spark, sf):
-    """What a refresh of all searches stores for each source page."""
+    """What a refresh of all searches stores for each source page: nothing where the stored content was fresh."""
     content = _refreshed(spark, sf).content
     return content.select("source_url", "title", "publisher", "summary", F.col("_cache_version").alias("version"))
 
 
 @R.add("refresh_index", f"""WITH {REFRESH_SQL}
-SELECT s_suppkey, provider, 'https://list.example.com/customer/' || c_custkey AS source_url, pos AS rank FROM found""")
+SELECT s_suppkey, provider, source_url, pos AS rank FROM found""")
 def refresh_index(spark, sf):
     """The ranked results that a refresh stores for each search and site."""
     return _refreshed(spark, sf).index.select("s_suppkey", "provider", "source_url", big("rank").alias("rank"))
 
 
 @R.add("refresh_info", f"""WITH {REFRESH_SQL}
-SELECT s_suppkey, provider, CASE WHEN count(pos) > 0 THEN 5 ELSE 2 END AS status,
-  CASE provider WHEN 'list_example_com' THEN 'v2' ELSE 'v1' END AS cache_version
-FROM work LEFT JOIN found USING (s_suppkey, provider) GROUP BY 1, 2""")
+SELECT s_suppkey, provider,
+  CASE WHEN provider = 'gone_example_com' OR NOT bool_or(c.n > 0) THEN 3
+       WHEN provider = 'bare_example_com' THEN 2 WHEN provider = 'broken_example_com' THEN 1
+       WHEN provider = 'list_example_com' AND count_if(c_custkey % 2 = 1 AND NOT {FRESH_SQL}) > 0 THEN 4 ELSE 5 END AS status,
+  CASE provider WHEN 'list_example_com' THEN 'v2' WHEN 'short_example_com' THEN 'v1' END AS cache_version,
+  provider <> 'gone_example_com' AND bool_or(c.n > 0) AS dated
+FROM work LEFT JOIN found USING (s_suppkey, provider)
+LEFT JOIN (SELECT c_nationkey AS s_nationkey, count(*) AS n FROM customer GROUP BY 1) c USING (s_nationkey) GROUP BY 1, 2""")
 def refresh_info(spark, sf):
-    """The extraction info that a refresh stores: nothing for what was fresh."""
-    return _refreshed(spark, sf).info.select("s_suppkey", "provider", "status", "cache_version")
+    """The extraction info that a refresh stores: nothing for what was fresh, no time for what was not fetched."""
+    return _refreshed(spark, sf).info.select(
+        "s_suppkey", "provider", "status", "cache_version", F.col("last_extracted").isNotNull().alias("dated")
+    )
+
+
+@R.add("refresh_errors", f"""WITH {REFRESH_SQL},
+shown AS (
+  SELECT DISTINCT provider, many, c_custkey FROM work JOIN listed ON c_nationkey = s_nationkey
+  WHERE page <= CASE provider WHEN 'list_example_com' THEN 2 ELSE 1 END AND provider NOT IN ('gone_example_com', 'bare_example_com')),
+sourced AS (
+  SELECT DISTINCT c_custkey FROM found WHERE provider = 'list_example_com' AND c_custkey % 2 = 0 AND NOT {FRESH_SQL}),
+undefined AS (
+  SELECT provider, unnest(CASE provider WHEN 'list_example_com' THEN ['summary'] WHEN 'short_example_com' THEN ['publisher', 'summary']
+    WHEN 'broken_example_com' THEN ['publisher', 'summary'] ELSE [] END) AS field FROM shown
+  UNION ALL SELECT 'list_example_com/customer', 'publisher' FROM sourced)
+SELECT provider, field, 'no definition' AS reason, count(*) AS n FROM undefined GROUP BY ALL""")
+def refresh_errors(spark, sf):
+    """Fields that a refresh could not fill, with reasons."""
+    errors = _refreshed(spark, sf).errors
+    return errors.groupBy("provider", "field", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @R.add("limit_per_provider", f"""WITH {LISTED_SQL}
