@@ -81,7 +81,7 @@ class Refreshed:
     errors: DataFrame
 
 
-def _by_provider(providers: dict[str, Provider], value, kind: str, name: str = "provider") -> Column:
+def by_provider(providers: dict[str, Provider], value, kind: str, name: str = "provider") -> Column:
     """A value of the row's provider."""
     if not providers:
         return F.lit(None).cast(kind)
@@ -93,8 +93,8 @@ def stale(plan: DataFrame, info: DataFrame, providers: dict[str, Provider], sear
     """The planned pairs whose stored extraction cannot be used, by each provider's version and freshness."""
     reuse = reusable(
         F.col("status"), F.col("last_extracted"), F.col("cache_version"), now,
-        _by_provider(providers, lambda p: p.freshness_days, "double"),
-        _by_provider(providers, lambda p: p.cache_version, "string"),
+        by_provider(providers, lambda p: p.freshness_days, "double"),
+        by_provider(providers, lambda p: p.cache_version, "string"),
     )
     return outstanding(plan, info, [search, "provider"], reuse)
 
@@ -124,7 +124,7 @@ def page_chains(work: DataFrame, providers: dict[str, Provider], pages: DataFram
     paged = paged.withColumn("way", F.try_element_at(F.create_map(*pairs), F.col("provider")))
     most = max(providers[name].pages for name in way_of)
     chains = follow_pages(paged, next_links(pages, ways), most, within=("way",)).select("provider", "_first", "page", "url")
-    limit = _by_provider(providers, lambda p: p.pages, "bigint")
+    limit = by_provider(providers, lambda p: p.pages, "bigint")
     return single.unionByName(chains.filter(F.col("page") <= limit))
 
 
@@ -143,7 +143,7 @@ def parsed_for(wanted: DataFrame, pages: DataFrame, keys: list[str]) -> DataFram
     return pages.sparkSession.read.schema(parsed.schema).parquet(path)
 
 
-def _of_each(providers: dict[str, Provider], parsed: DataFrame, name: str, build) -> DataFrame:
+def extracted_by_each(providers: dict[str, Provider], parsed: DataFrame, name: str, build) -> DataFrame:
     """What every definition makes of its own folder, some definitions a job."""
     spark = parsed.sparkSession
     # Also without definitions the columns are those of the model.
@@ -159,7 +159,7 @@ def _of_each(providers: dict[str, Provider], parsed: DataFrame, name: str, build
 
 def found_items(chains: DataFrame, providers: dict[str, Provider], parsed: DataFrame, model: Model) -> DataFrame:
     """Items of all result pages, each page's once; also items without a source address."""
-    items = _of_each(providers, parsed, "provider", lambda rows, site: items_of(rows, site, model))
+    items = extracted_by_each(providers, parsed, "provider", lambda rows, site: items_of(rows, site, model))
     return items.withColumn("source_url", normalize_url(resolve_link(F.col("source_url"), F.col("url"))))
 
 
@@ -172,8 +172,8 @@ def routed_sources(urls: DataFrame, sites: Sites, stored: DataFrame | None, now:
     known = stored.select("source_url", "_last_extracted", "_cache_version")
     fresh = reusable_source(
         F.col("_last_extracted"), F.col("_cache_version"), now,
-        _by_provider(sites.source, lambda p: p.cache_version, "string", "directory"),
-        _by_provider(sites.source, lambda p: p.freshness_days, "double", "directory"),
+        by_provider(sites.source, lambda p: p.cache_version, "string", "directory"),
+        by_provider(sites.source, lambda p: p.freshness_days, "double", "directory"),
     )
     return routed.join(known, "source_url", "left").select("source_url", "directory", fresh.alias("fresh"))
 
@@ -193,8 +193,8 @@ def refresh(searches: DataFrame, sites: Sites, topics: list[str], info: DataFram
     """
     providers = {d: p for d, p in sites.multi.items() if p.is_enabled and p.url is not None}
     fields = [n for n in model.names() if n not in ("source_url", "rank")]
-    version = _by_provider(providers, lambda p: p.cache_version, "string")
-    looked_up = F.coalesce(_by_provider(providers, lambda p: p.extract_sources, "boolean"), F.lit(False))
+    version = by_provider(providers, lambda p: p.cache_version, "string")
+    looked_up = F.coalesce(by_provider(providers, lambda p: p.extract_sources, "boolean"), F.lit(False))
 
     plan = search_plan(searches, {d: p.url for d, p in providers.items()}, topics).drop("search_data")
     work = cut_lineage(stale(plan, info, providers, search, now))
@@ -208,7 +208,7 @@ def refresh(searches: DataFrame, sites: Sites, topics: list[str], info: DataFram
     routed = cut_lineage(routed_sources(valid.filter(looked_up), sites, stored, now))
     at_source = source_pages.withColumn("source_url", normalize_url(F.col("url")))
     wanted = at_source.select("url", "source_url").join(routed.filter(~F.col("fresh")), "source_url").select("url", "directory")
-    source_rows = _of_each(
+    source_rows = extracted_by_each(
         sites.source, parsed_for(wanted, source_pages, ["directory"]), "directory", lambda rows, site: sources_of(rows, site, model)
     )
     sources = source_rows.select("source_url", "url", *fields)
@@ -230,7 +230,7 @@ def refresh(searches: DataFrame, sites: Sites, topics: list[str], info: DataFram
     state = routed.select("source_url", F.col("fresh").alias("_fresh")).join(read, "source_url", "left")
     told = results.join(state, "source_url", "left")
     from_source = looked_up & F.col("_directory").isNotNull()
-    source_version = _by_provider(sites.source, lambda p: p.cache_version, "string", "_directory")
+    source_version = by_provider(sites.source, lambda p: p.cache_version, "string", "_directory")
     writes = told.filter(~(looked_up & F.coalesce("_fresh", F.lit(False))))
     stamped = prepare_content(
         writes.withColumn("_provider", F.col("provider")), F.when(from_source, source_version).otherwise(version), now

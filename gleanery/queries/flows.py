@@ -12,8 +12,8 @@ from gleanery.operators.ordered import id_chunk
 from gleanery.plans.extraction import KNOWN_KEYS, unknown_keys
 from gleanery.plans.search import UrlTemplate, search_plan
 from gleanery.queries.common import (
-    HOST_SQL, INFO_SQL, LABEL_SQL, LINKS_SQL, NOW, REUSE_SQL, STATUS_SQL, Registry, big, page_hosts,
-    status_log, table, work_table,
+    HOST_SQL, INFO_SQL, LABEL_SQL, LINKS_SQL, LISTED_SQL, NOW, REUSE_SQL, STATUS_SQL, Registry, big,
+    listing_pages, page_hosts, status_log, table, work_table,
 )
 from gleanery.session import scratch_path
 from gleanery.sources import store, tables
@@ -598,6 +598,74 @@ def stream_extraction(spark, sf):
     return kept.read().select("source_url", "title", "page_id")
 
 
+STREAM_SITES = {
+    "list": {
+        "url": "https://list.example.com/list/{place}/1", "cache_version": "v2",
+        "pagination": {"pages": 3, "page_size": 20, "next_page_url": {"tag_name": "a", "attribute": "href"}},
+        "items": {"is_multiple": True, "css_selector": "ol.entries > li"},
+        "content": {
+            "source_url": {"xpath": "./h3/a", "attribute": "href"}, "title": {"tag_name": "h3", "getattr": "text"},
+            "publisher": {"tag_name": "b", "getattr": "text"},
+        },
+    },
+    "bare": {"url": "https://list.example.com/list/{place}/1", "items": {"is_multiple": True, "tag_name": "table"},
+             "content": {"source_url": "https://a.example/"}},
+}
+STREAMED_SQL = f"""{LISTED_SQL}, found AS (SELECT c_nationkey::BIGINT AS search_key,
+  'https://list.example.com/customer/' || c_custkey AS source_url, c_name, c_mktsegment, pos, page FROM listed WHERE page <= 3)"""
+
+
+def _streamed(spark, sf):
+    """Every listing page arrives twice, for two sites, in several files; the stream stops half way and goes on."""
+    from gleanery.functions.records import Field, Model
+    from gleanery.plans.extraction import Provider
+    from gleanery.streaming.extraction import extraction_stores, stream_extraction
+
+    model = Model("Entry", tuple(Field(n) for n in ("source_url", "title", "publisher")))
+    sites = {name: Provider.multi(name, config) for name, config in STREAM_SITES.items()}
+    day = _now() + F.make_dt_interval(C("page").cast("int"))
+    pages = listing_pages(spark, sf).select(
+        C("site").alias("search_key"), F.explode(F.array(*map(F.lit, sites))).alias("provider"), C("page").cast("int").alias("page"),
+        "url", "html", day.alias("fetched_at"),
+    )
+    arriving, progress = scratch_path(spark, "arriving"), scratch_path(spark, "progress")
+    stores = extraction_stores(spark, scratch_path(spark, "stores"), model)
+    for part in (C("page") % 2 == 1, C("page") % 2 == 0):
+        pages.filter(part).repartition(2, "url").write.mode("append").parquet(arriving)
+        stream_extraction(spark, arriving, sites, model, stores, progress, 1).awaitTermination()
+    stores.fold()
+    return stores
+
+
+@R.add("stream_content", f"""WITH {STREAMED_SQL}
+SELECT source_url, c_name AS title, c_mktsegment AS publisher, 'v2' AS version, page FROM found""")
+def stream_content(spark, sf):
+    """What streamed extraction has stored of each address."""
+    content = _streamed(spark, sf).read("content")
+    return content.select("source_url", "title", "publisher", C("_cache_version").alias("version"), big("page").alias("page"))
+
+
+@R.add("stream_ranked", f"""WITH {STREAMED_SQL}
+SELECT search_key, unnest([NULL, 'list']) AS provider, source_url, pos AS rank FROM found""")
+def stream_ranked(spark, sf):
+    """Both ranked indexes of streamed extraction: over all providers, and of each."""
+    stores = _streamed(spark, sf)
+    overall = stores.read("search_index").withColumn("provider", F.lit(None).cast("string"))
+    columns = ["search_key", "provider", "source_url", "rank"]
+    return overall.select(*columns).unionByName(stores.read("provider_index").select(*columns))
+
+
+@R.add("stream_info", f"""WITH {LISTED_SQL}
+SELECT c_nationkey::BIGINT AS search_key, provider, CASE provider WHEN 'list' THEN 5 ELSE 2 END AS status,
+  CASE provider WHEN 'list' THEN 'v2' END AS cache_version,
+  CAST(TIMESTAMP '{NOW}' + to_days(CASE provider WHEN 'list' THEN least(max(page), 3) ELSE 1 END::INT) AS DATE)::VARCHAR AS last_day
+FROM listed, (SELECT unnest(['list', 'bare']) AS provider) GROUP BY 1, 2""")
+def stream_info(spark, sf):
+    """Extraction info of streamed extraction."""
+    info = _streamed(spark, sf).read("info")
+    return info.select("search_key", "provider", "status", "cache_version", C("last_extracted").cast("date").cast("string").alias("last_day"))
+
+
 # --- groups, order, routing ----------------------------------------------------
 
 

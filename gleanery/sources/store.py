@@ -164,9 +164,12 @@ class KeyedStore:
     def _write(self, merged: DataFrame, name: str) -> None:
         merged.write.mode("overwrite").parquet(f"{self.path}/batch={name}")
 
-    def log(self) -> DataFrame:
-        """Stored rows as written; none while nothing is stored."""
+    def log(self, batches: list[str] | None = None) -> DataFrame:
+        """Stored rows as written, of some batches by name or of all; none while nothing is stored."""
         stamped = self._stamped(self.spark.createDataFrame([], self.schema))
+        if batches is not None:
+            paths = [f"{self.path}/batch={name}" for name in batches]
+            return self.spark.read.schema(stamped.schema).parquet(*paths) if paths else stamped
         try:
             return self.spark.read.schema(stamped.schema).parquet(f"{self.path}/batch=*")
         except AnalysisException as problem:
@@ -174,15 +177,19 @@ class KeyedStore:
                 raise
             return stamped
 
-    def read(self) -> DataFrame:
+    def read(self, batches: list[str] | None = None) -> DataFrame:
         """One merged row per key."""
-        merged = self._merged(self.log())
+        merged = self._merged(self.log(batches))
         return merged.select(
             *self.keys,
             *[F.col(f)["value"].alias(f) for f in self.fields],
             *[F.col("_at")[o].alias(o) for o in self.order],
         )
 
+    def fold(self, batches: list[str], name: str) -> None:
+        """The merged rows of some batches as one more batch."""
+        self._write(self._merged(self.log(batches)), name)
+
     def compact(self, path: str) -> KeyedStore:
         """The merged rows as a batch of another log, under a name that no writer has."""
         store = KeyedStore(self.spark, path, self.keys, self.order, self.schema)
