@@ -346,15 +346,13 @@ def geo_terms(spark, sf):
 TOPICS = ["problem", "org", "geo"]
 SITE_A = UrlTemplate.from_config({"url_template": "https://a.example/find/{problem}/1"})
 SITE_B = UrlTemplate.from_config({
-    "url_template": "https://b.example/find?f={{parts}}",
-    "parts": {"series": "TOPIC", "templates": ["{lead}", "{further}"], "delimiter": ";"},
-    "lead": "main.{index}={term}",
-    "further": "also.{index}={term}",
+    "url_template": "https://b.example/{path}?again={path}",
+    "path": {"series": "TOPIC", "templates": ["p-{term}", "by/{term}", "{place}"], "delimiter": "/"},
+    "place": "in_{term}_{index}",
 })
 SITE_C = UrlTemplate.from_config({
-    "url_template": "https://c.example/all/{every}",
-    "every": {"series": "TOPIC", "templates": ["!{any}!"], "delimiter": "~and~"},
-    "any": {"series": "TERM", "templates": ["body:{term}"], "delimiter": "~or~"},
+    "url_template": "https://c.example/{problem}/places/{places}",
+    "places": {"series": "TERM", "templates": ["{geo}", "alt:{geo}"], "delimiter": "+"},
 })
 
 
@@ -377,11 +375,11 @@ PROBLEM_SQL = "upper(left(c_mktsegment, 1)) || lower(c_mktsegment[2:])"
 ORG_SQL = QUOTE.format("CASE WHEN c_acctbal > 5000 THEN c_name || ' & Co' END")
 FROM_SQL = "FROM customer JOIN nation ON c_nationkey = n_nationkey"
 URL_A_SQL = f"'https://a.example/find/' || {QUOTE.format(PROBLEM_SQL)} || '/1'"
-URL_B_SQL = f"""'https://b.example/find?f={{main.1=' || {QUOTE.format(PROBLEM_SQL)} || ';'
-  || coalesce('also.2=' || {ORG_SQL} || ';also.3=', 'also.2=') || n_name || '}}'"""
-URL_C_SQL = f"""'https://c.example/all/!body:' || {QUOTE.format(PROBLEM_SQL)} || '!~and~'
-  || coalesce('!body:' || {ORG_SQL} || '!~and~', '') || '!body:' || n_name || '~or~body:N/'
-  || n_nationkey || '!'"""
+PATH_B_SQL = f"""'p-' || {QUOTE.format(PROBLEM_SQL)} || '/'
+  || coalesce('by/' || {ORG_SQL} || '/in_' || {QUOTE.format('n_name')} || '_3', 'in_' || {QUOTE.format('n_name')} || '_2')"""
+URL_B_SQL = f"'https://b.example/' || {PATH_B_SQL} || '?again=' || {PATH_B_SQL}"
+URL_C_SQL = f"""'https://c.example/' || {QUOTE.format(PROBLEM_SQL)} || '/places/' || {QUOTE.format('n_name')}
+  || '+alt:N/' || n_nationkey"""
 
 
 def _urls(spark, sf, site):

@@ -472,15 +472,18 @@ def test_search_terms(spark):
 
 TOPICS = ["problem", "org", "geo"]
 SERIES = {
-    "url_template": "https://x.org/f?{{parts}}",
-    "parts": {"series": "TOPIC", "templates": ["{lead}", "{further}"], "delimiter": ";"},
-    "lead": "main{index}={term}",
-    "further": "also{index}={term}",
+    "url_template": "https://x.org/{path}?again={path}",
+    "path": {"series": "TOPIC", "templates": ["p-{term}", "by/{term}", "{place}"], "delimiter": "/"},
+    "place": "in_{term}_{index}",
 }
 TERMS = {
-    "url_template": "https://x.org/{every}",
-    "every": {"series": "TOPIC", "templates": ["!{any}!"], "delimiter": "~and~"},
-    "any": {"series": "TERM", "templates": ["{term}.first", "{term}.{index}"], "delimiter": "~or~"},
+    "url_template": "https://x.org/{problem}/{places}",
+    "places": {"series": "TERM", "templates": ["{geo}.first", "{geo}.{index}"], "delimiter": "+"},
+}
+NESTED = {
+    "url_template": "https://x.org/?{all}",
+    "all": {"series": "TOPIC", "templates": ["q={term}", "by={term}", "{names}"], "delimiter": "&"},
+    "names": {"series": "TERM", "templates": ["n={term}"], "delimiter": "&"},
 }
 
 
@@ -497,20 +500,23 @@ def test_urls(value):
     assert url(value, "https://x.org/") == "https://x.org/"
     assert url(value, {"url_template": "https://x.org/{problem}/{geo}/{index}"}) == "https://x.org/Wet%20feet/Ghent/1"
     assert url(value, {"url_template": "https://x.org/{org}"}) is None
-    assert url(value, SERIES) == "https://x.org/f?{main1=Wet%20feet;also2=Ghent}"
-    assert url(value, SERIES, "O") == "https://x.org/f?{main1=Wet%20feet;also2=O;also3=Ghent}"
-    assert url(value, TERMS) == "https://x.org/!Wet%20feet.first!~and~!Ghent.first~or~GH.2~or~g/h.3!"
+    path = "p-Wet%20feet/in_Ghent_2"
+    assert url(value, SERIES) == f"https://x.org/{path}?again={path}"
+    path = "p-Wet%20feet/by/O/in_Ghent_3"
+    assert url(value, SERIES, "O") == f"https://x.org/{path}?again={path}"
+    assert url(value, TERMS) == "https://x.org/Wet%20feet/Ghent.first+GH.2+g/h.3"
+    assert url(value, NESTED, "O") == "https://x.org/?q=Wet%20feet&by=O&n=Ghent&n=GH&n=g/h"
 
 
 @pytest.mark.parametrize(
     "config",
     [
         {}, {k: v for k, v in SERIES.items() if k != "url_template"},
-        *[{k: v for k, v in SERIES.items() if k != lost} for lost in ("parts", "lead", "further")],
-        *[dict(SERIES, parts={k: v for k, v in SERIES["parts"].items() if k != lost})
+        *[{k: v for k, v in SERIES.items() if k != lost} for lost in ("path", "place")],
+        *[dict(SERIES, path={k: v for k, v in SERIES["path"].items() if k != lost})
           for lost in ("series", "templates", "delimiter")],
-        dict(SERIES, parts=dict(SERIES["parts"], series="WORD")), dict(SERIES, lead=3),
-        dict(SERIES, parts=dict(SERIES["parts"], templates=["{term}"] * 4)),
+        dict(SERIES, path=dict(SERIES["path"], series="WORD")), dict(SERIES, place=3),
+        dict(SERIES, path=dict(SERIES["path"], templates=["{term}"] * 4)),
     ],
 )
 def test_bad_url_templates(spark, config):
