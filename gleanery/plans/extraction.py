@@ -161,13 +161,15 @@ def follow_pages(starts: DataFrame, links: DataFrame, limit: int, url: str = "ur
             *keys, "_start", F.col("_to").alias("_at"), (F.col("_hops") + span).alias("_hops")
         )
         longer = reached.unionByName(further.filter(F.col("_hops") < limit))
-        reached = cut_lineage(longer.groupBy(*keys, "_start", "_at").agg(F.min("_hops").alias("_hops")))
-        before, known, span = known, reached.count(), 2 * span
+        reached, span = longer.groupBy(*keys, "_start", "_at").agg(F.min("_hops").alias("_hops")), 2 * span
+        if span >= limit:  # the last round is read once only
+            break
+        reached = cut_lineage(reached)
+        before, known = known, reached.count()
         if known == before:
             break
-        if span < limit:
-            onward = jumps.select(*keys, F.col("_at").alias("_to"), F.col("_to").alias("_on"))
-            jumps = cut_lineage(jumps.join(onward, [*keys, "_to"]).select(*keys, "_at", F.col("_on").alias("_to")))
+        onward = jumps.select(*keys, F.col("_at").alias("_to"), F.col("_to").alias("_on"))
+        jumps = cut_lineage(jumps.join(onward, [*keys, "_to"]).select(*keys, "_at", F.col("_on").alias("_to")))
     return starts.withColumnRenamed(url, "_start").join(reached, [*keys, "_start"]).select(
         *[c for c in starts.columns if c != url],
         (F.col("_hops") + 1).cast("int").alias("page"),
