@@ -536,6 +536,75 @@ def status_transitions(spark, sf):
     ).select("event_id", "search_key", "provider", "status", "previous", "legal")
 
 
+_AGEING = {"patience": 2, "retry": 1, "reopen": 3}
+
+
+@R.add("status_ageing", f"""WITH RECURSIVE {STATUS_SQL},
+seq AS (SELECT search_key, provider, event_id, status, value >= 20 AS answered, epoch_us(ts) AS t,
+  row_number() OVER (PARTITION BY search_key, provider ORDER BY ts, event_id) AS rn FROM log WHERE status IS NOT NULL),
+walk AS (
+  SELECT search_key, provider, 0::BIGINT AS rn, NULL::BIGINT AS event_id, NULL::BIGINT AS t, NULL::INT AS status, NULL::INT AS previous,
+    NULL::BIGINT AS deadline, NULL::INT AS aged, NULL::BOOLEAN AS taken,
+    NULL::INT AS held, 0::BIGINT AS since, false AS told FROM seq WHERE rn = 1
+  UNION ALL
+  SELECT search_key, provider, rn, event_id, t, status, before, deadline, aged, taken,
+    CASE WHEN taken THEN status ELSE before END, CASE WHEN taken THEN t ELSE start END,
+    CASE WHEN taken THEN answered OR coalesce(before = 3 AND status = 3 AND told, false) ELSE told END
+  FROM (SELECT *, coalesce(before IS NULL AND status = 3 OR before = status
+      OR before IN (1, 2) AND status = 3 AND t - start >= {_AGEING["retry"]} * 86400000000
+      OR before = 3 AND status IN (4, 1, 2) OR before = 4 AND status = 5
+      OR before = 5 AND status = 4 AND t - start >= {_AGEING["reopen"]} * 86400000000, false) AS taken
+    FROM (SELECT s.*, CASE WHEN w.gone THEN w.given ELSE w.held END AS before,
+        CASE WHEN w.gone THEN w.since + {_AGEING["patience"]} * 86400000000 ELSE w.since END AS start,
+        CASE WHEN w.gone THEN w.since + {_AGEING["patience"]} * 86400000000 END AS deadline,
+        CASE WHEN w.gone THEN w.given END AS aged, w.told AND NOT w.gone AS told
+      FROM (SELECT walk.*, seq.t AS next, coalesce(held = 3 AND since + {_AGEING["patience"]} * 86400000000 <= seq.t, false) AS gone,
+          CASE WHEN told THEN 2 ELSE 1 END AS given
+        FROM walk JOIN seq ON seq.search_key = walk.search_key AND seq.provider = walk.provider AND seq.rn = walk.rn + 1) w
+      JOIN seq s ON s.search_key = w.search_key AND s.provider = w.provider AND s.rn = w.rn + 1))),
+ends AS (SELECT search_key, provider, last(held ORDER BY rn) AS held, last(since ORDER BY rn) AS since, last(told ORDER BY rn) AS told
+  FROM walk GROUP BY 1, 2)
+SELECT search_key, provider, event_id, t AS at_micros, status, previous, CASE WHEN taken THEN 'accepted' ELSE 'refused' END AS kind FROM walk WHERE rn > 0
+UNION ALL SELECT search_key, provider, NULL, deadline, aged, 3, 'aged' FROM walk WHERE aged IS NOT NULL
+UNION ALL SELECT search_key, provider, NULL, since + {_AGEING["patience"]} * 86400000000, CASE WHEN told THEN 2 ELSE 1 END, 3, 'aged'
+FROM ends WHERE held = 3""")
+def status_ageing(spark, sf):
+    """Status writes arrive in three parts, up to four hours out of order; starts without an answer are given up.
+
+    The stream is stopped after each part and goes on from its checkpoint. A last row without a status
+    moves the clock beyond every deadline.
+    """
+    from gleanery.streaming.ageing import Ageing, aged_statuses
+
+    day = 86_400_000_000
+    rules = Ageing(**{name: days * day for name, days in _AGEING.items()})
+    arriving, progress, out = (scratch_path(spark, n) for n in ("arriving", "progress", "aged"))
+    log = status_log(spark, sf).select(
+        "search_key", "provider", "event_id", C("ts").cast("timestamp").alias("ts"), "status", (C("value") >= 20).alias("answered")
+    )
+    arrival = F.unix_micros("ts") + F.pmod("event_id", F.lit(5)) * 3_600_000_000
+    ends = log.agg(F.min(arrival).alias("lo"), F.max(arrival).alias("hi")).head()
+    parts = []
+    if ends["lo"] is not None:
+        borders = [ends["lo"] + (ends["hi"] - ends["lo"]) * k // 3 for k in (1, 2)]
+        part = F.when(arrival < borders[0], 0).when(arrival < borders[1], 1).otherwise(2)
+        parts = [log.filter(part == k) for k in range(3)]
+        beyond = ends["hi"] + rules.patience + 2 * day
+        parts.append(spark.range(1).select(
+            F.lit(None).cast("bigint").alias("search_key"), F.lit(None).cast("string").alias("provider"), F.lit(None).cast("bigint").alias("event_id"),
+            F.timestamp_micros(F.lit(beyond)).alias("ts"), F.lit(None).cast("int").alias("status"), F.lit(None).cast("boolean").alias("answered"),
+        ))
+    schema = "search_key bigint, provider string, event_id bigint, at_micros bigint, status int, previous int, kind string"
+    for rows in parts:
+        rows.write.mode("append").parquet(arriving)
+        stream = spark.readStream.schema(log.schema).parquet(arriving)
+        followed = aged_statuses(stream, ["search_key", "provider"], rules, "6 hours")
+        named = followed.select("search_key", "provider", "event_id", F.unix_micros("ts").alias("at_micros"), "status", "previous", "kind")
+        query = named.writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).trigger(availableNow=True).start()
+        query.awaitTermination()
+    return spark.read.schema(schema).parquet(out) if parts else spark.createDataFrame([], schema)
+
+
 @R.add("stream_upsert", """SELECT user_id, last(event_type ORDER BY ts, event_id) AS event_type,
   last(value ORDER BY ts, event_id) FILTER (WHERE value >= 20) AS value,
   last(event_id ORDER BY ts, event_id) AS event_id FROM events GROUP BY 1""")

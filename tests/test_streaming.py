@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from gleanery.functions.records import Field, Model
 from gleanery.plans.extraction import Provider
 from gleanery.sources.commits import StoreGroup
+from gleanery.streaming.ageing import Ageing, Held, aged_statuses
 from gleanery.streaming.extraction import ARRIVING, extracted, extraction_stores, stream_extraction
 
 MODEL = Model("Entry", tuple(Field(n) for n in ("source_url", "title", "publisher")))
@@ -105,3 +106,63 @@ def test_commits(spark, tmp_path):
     group.fold()
     assert sorted(tuple(r) for r in group.read("a").collect()) == [(1, "x", 3), (2, "y", 3)]
     assert not group.commit({"a": frame((1, "late", 9)), "b": frame()}, 0), "a replaced batch stays known"
+
+
+HOUR = 3_600_000_000
+RULES = Ageing(patience=10 * HOUR, retry=4 * HOUR, reopen=6 * HOUR)
+
+
+@pytest.mark.parametrize("writes, expected", [
+    ([(0, 3)], [(0, 3, None, "accepted"), (10, 1, 3, "aged")]),
+    ([(0, 4)], [(0, 4, None, "refused")]),
+    ([(0, 3, True)], [(0, 3, None, "accepted"), (10, 2, 3, "aged")]),
+    # A repeated start renews the time and keeps that pages were read; a deadline comes before a write of its moment.
+    ([(0, 3, True), (9, 3)], [(0, 3, None, "accepted"), (9, 3, 3, "accepted"), (19, 2, 3, "aged")]),
+    ([(0, 3), (10, 4)], [(0, 3, None, "accepted"), (10, 1, 3, "aged"), (10, 4, 1, "refused")]),
+    ([(0, 3), (9, 4), (30, 5)], [(0, 3, None, "accepted"), (9, 4, 3, "accepted"), (30, 5, 4, "accepted")]),
+    # Starts wait after a failure, and finished work before it re-opens.
+    ([(0, 3), (1, 1), (4, 3), (5, 3), (6, 2)],
+     [(0, 3, None, "accepted"), (1, 1, 3, "accepted"), (4, 3, 1, "refused"), (5, 3, 1, "accepted"), (6, 2, 3, "accepted")]),
+    ([(0, 3), (1, 4), (2, 5), (7, 4), (8, 4), (9, 3)],
+     [(0, 3, None, "accepted"), (1, 4, 3, "accepted"), (2, 5, 4, "accepted"), (7, 4, 5, "refused"), (8, 4, 5, "accepted"), (9, 3, 4, "refused")]),
+])
+def test_rules_of_ageing(writes, expected):
+    rows = [(w[0] * HOUR, n, w[1], len(w) > 2) for n, w in enumerate(writes)]
+    _, found = RULES.walk(Held(), rows, 100 * HOUR)
+    assert [(ts // HOUR, status, before, kind) for _, ts, status, before, kind in found] == expected
+    # Cut anywhere, and with time passing at the cut, the outcome is the same.
+    for cut in range(len(rows)):
+        held, first = RULES.walk(Held(), rows[:cut], rows[cut][0] - 1)
+        _, rest = RULES.walk(held, rows[cut:], 100 * HOUR)
+        assert first + rest == found
+
+
+def test_ageing_depends_on_no_batch(spark, tmp_path):
+    schema = "search bigint, provider string, event_id bigint, at bigint, status int, answered boolean, text string"
+    rows = []
+    for n in range(240):
+        status = [3, 4, 5, 4, None, 3, 1, 3, 2, 9][n * 7 % 10]
+        rows.append((None if n % 9 == 0 else n % 4, None if n % 11 == 0 else f"p{n % 3}", n, (n + 1) * HOUR // 2, status, [True, False, None][n % 3], "x"))
+    rows += rows[-1:]
+
+    def run(name, parts):
+        arriving, out, progress = (str(tmp_path / f"{name}-{k}") for k in ("in", "out", "progress"))
+        for part in [*parts, [(None, None, None, 2000 * HOUR, None, None, None)]]:
+            logged = spark.createDataFrame(part, schema).withColumn("ts", F.timestamp_micros("at")).drop("at")
+            logged.write.mode("append").parquet(arriving)
+            stream = aged_statuses(spark.readStream.schema(logged.schema).parquet(arriving), ["search", "provider"], RULES, "3 hours")
+            options = {"path": out, "checkpointLocation": progress}
+            stream.writeStream.format("parquet").options(**options).trigger(availableNow=True).start().awaitTermination()
+        return sorted(map(str, spark.read.parquet(out).collect()))
+
+    whole = run("whole", [rows])
+    # Up to 2.5 hours out of order, in four parts, each by a stream started anew.
+    late = sorted(rows, key=lambda r: r[3] + (r[2] % 6) * HOUR // 2)
+    assert run("parts", [late[k:k + 61] for k in range(0, len(late), 61)]) == whole
+    expected, groups = [], {}
+    for search, provider, n, at, status, answered, _ in rows:
+        if status is not None:
+            groups.setdefault((search, provider), []).append((at, n, status, bool(answered)))
+    for writes in groups.values():
+        expected += RULES.walk(Held(), sorted(writes), 1997 * HOUR)[1]
+    assert len(whole) == len(expected) and sum("aged" in r for r in whole) == sum(f[4] == "aged" for f in expected) > 0
