@@ -8,12 +8,19 @@ from __future__ import annotations
 
 import math
 from dataclasses import asdict, dataclass
+from functools import reduce
+from operator import and_
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleanery.operators.ordered import id_chunk, row_positions, running_max, running_sum
-from gleanery.session import cut_lineage
+from gleanery.operators.ordered import id_chunk, row_positions, running_sum
+from gleanery.session import cut_lineage, self_contained
+
+self_contained(__name__)
 
 ATTEMPTS = 10
 SELECTION_RATE = 0.393  # rate at which the first of a list is picked 32.5 % of the time
@@ -98,66 +105,109 @@ def schedule(urls: DataFrame, domain: str, position: str, gap: Column, name: str
     ).drop("_gap")
 
 
+#: An entry of a list of those passed over: a place in the group, or below 0 one carried into the chunk.
+WALKED = "_chunk long, _t long, _slot long, _ref long"
+
+
+def _walk_chunk(times: np.ndarray, draws: np.ndarray, first: int) -> tuple[list[int], list[int]]:
+    """What each pick of a chunk takes, and what it leaves passed over.
+
+    ``first`` is the first place that no pick before the chunk has reached. The entries passed over
+    before are not known here: the ``i``-th of them is written ``-1 - i``.
+    """
+    left = [-1 - i for i in range(first - int(times[0]))]
+    taken = []
+    for t, j in zip(times.tolist(), draws.tolist(), strict=True):
+        if j < len(left):
+            taken.append(left.pop(j))
+        else:
+            left.extend(range(first, j + t))
+            taken.append(j + t)
+            first = j + t + 1
+    return taken, left
+
+
+def _same(left: DataFrame, right: DataFrame, group: str, *pairs: tuple[str, str]) -> Column:
+    """Join condition; null groups meet."""
+    return reduce(and_, [left[a] == right[b] for a, b in pairs], left[group].eqNullSafe(right["_group"]))
+
+
+def _followed(carried: DataFrame, group: str) -> DataFrame:
+    """Replace entries that were carried into a chunk by their places, following them back by doubled links."""
+    while not carried.filter(F.col("_from").isNotNull()).isEmpty():
+        back = carried.select(
+            F.col(group).alias("_group"), *[F.col(c).alias(f"_back{c}") for c in ("_chunk", "_slot", "_at", "_from", "_there")]
+        )
+        open_, done = carried.filter(F.col("_from").isNotNull()), carried.filter(F.col("_from").isNull())
+        met = open_.join(back, _same(open_, back, group, ("_from", "_back_chunk"), ("_there", "_back_slot")))
+        carried = cut_lineage(done.unionByName(met.select(
+            group, "_chunk", "_slot", F.col("_back_at").alias("_at"), F.col("_back_from").alias("_from"), F.col("_back_there").alias("_there")
+        )))
+    return carried
+
+
 def popularity_order(rows: DataFrame, group: str, position: str, size: str, seed: int,
                      rate: float = SELECTION_RATE, name: str = "pick",
-                     chunk_rows: int = 1 << 18) -> DataFrame:
+                     chunk_rows: int | None = None) -> DataFrame:
     """Order in which a person would pick from each group's ranked list.
 
-    Pick ``t`` takes the ``j``-th of the entries left, ``j`` an exponential index.
-    The entries passed over after pick ``t`` number ``max(j_s + s) - t`` over all
-    picks ``s`` so far; where that is zero the list so far is used up and the next
-    stretch is independent. So the running maximum cuts every group, however
-    large, into short stretches, and each stretch is picked apart on its own.
-    ``position`` is the 1-based place within the group, without gaps, and ``size``
-    the group's row count. Each step reads its input twice (rows and borders), so
-    the lineage is cut between steps.
-
-    A stretch averages 16 entries at the default rate and some 600 at 0.2; below
-    that stretches, and with them tasks, would grow without a useful bound.
+    Pick ``t`` takes the ``j``-th of the entries left, ``j`` an exponential index. All picks
+    before ``t`` reach up to place ``max(j_s + s)``, and of the places up to there those not
+    picked are passed over. So the number of entries passed over before a chunk of picks
+    follows from a running maximum, and each chunk is picked apart on its own, with numbered
+    stand-ins for the entries carried into it. A chunk's stand-ins are looked up in the list
+    that the chunk before leaves, which is chained back by doubled links.
+
+    The order is that of one pick after the other, at any rate above 0. A list carried between
+    chunks is no longer than the largest index drawn, at most 37 / ``rate``; by default a chunk is longer than
+    that. ``position`` is the 1-based place within the group, without gaps, and ``size`` the group's row count.
+    Null groups are a group.
     """
-    if rate < 0.2:
-        raise ValueError("a selection rate below 0.2 is not supported")
-    steps = rows.withColumn("_t", F.col(position).cast("bigint") - 1)
+    if not rate > 0:
+        raise ValueError("the selection rate must be above 0")
+    chunk_rows = chunk_rows or max(1 << 16, math.ceil(64 / rate))
+    rows = cut_lineage(rows)
+    t = F.col(position).cast("bigint") - 1
     index = exponential_index(rate, F.col(size) - F.col("_t"), seed, F.col(group), F.col("_t"))
-    steps = cut_lineage(
-        steps.withColumn("_j", index).withColumn("_reach", F.col("_j") + F.col("_t"))
+    steps = rows.select(group, t.alias("_t"), F.col(size)).select(
+        group, "_t", index.alias("_j"), id_chunk(F.col("_t"), chunk_rows).alias("_chunk")
     )
-    order, chunk = [F.col("_t")], id_chunk(F.col("_t"), chunk_rows)
-    steps = running_max(steps, [group], order, chunk, "_reach", "_front")
-    # A stretch ends at a pick that leaves nothing passed over.
-    steps = cut_lineage(
-        steps.withColumn("_next", F.when(F.col("_front") == F.col("_t"), F.col("_t") + 1))
+    reached = steps.groupBy(group, "_chunk").agg(F.max(F.col("_j") + F.col("_t")).alias("_top"))
+    before = W.partitionBy(group).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    borders = reached.select(
+        F.col(group).alias("_group"), F.col("_chunk").alias("_of"), (F.coalesce(F.max("_top").over(before), F.lit(-1)) + 1).alias("_first")
     )
-    steps = running_max(steps, [group], order, chunk, "_next", "_stretch", including_row=False)
-    payload = [c for c in rows.columns if c != group]
-    stretch = (
-        steps.withColumn("_stretch", F.coalesce("_stretch", F.lit(0).cast("bigint")))
-        .groupBy(group, "_stretch")
-        .agg(F.array_sort(F.collect_list(F.struct("_t", "_j", F.struct(*payload).alias("_row"))))
-             .alias("_entries"))
+    steps = steps.join(borders, _same(steps, borders, group, ("_chunk", "_of"))).select(group, "_chunk", "_t", "_j", "_first")
+
+    def walk(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("_t")
+        taken, left = _walk_chunk(frame["_t"].to_numpy(), frame["_j"].to_numpy(), int(frame["_first"].iloc[0]))
+        out = pd.DataFrame({
+            "_chunk": np.full(len(taken) + len(left), int(key[1])),
+            "_t": pd.array([*frame["_t"].tolist(), *[None] * len(left)], dtype="Int64"),
+            "_slot": pd.array([*[None] * len(taken), *range(len(left))], dtype="Int64"),
+            "_ref": np.array(taken + left, np.int64),
+        })
+        out.insert(0, group, pd.Series([key[0]] * len(out), dtype=object))
+        return out
+
+    kind = rows.schema[group].dataType.simpleString()
+    walked = cut_lineage(steps.groupBy(group, "_chunk").applyInPandas(walk, f"`{group}` {kind}, {WALKED}"))
+    known, slot = F.col("_ref") >= 0, -1 - F.col("_ref")
+    linked = walked.select(
+        group, "_chunk", "_t", "_slot", F.when(known, F.col("_ref")).alias("_at"),
+        F.when(~known, F.col("_chunk") - 1).alias("_from"), F.when(~known, slot).alias("_there"),
     )
-    picked = F.aggregate(
-        F.transform("_entries", lambda e: e["_j"].cast("int")),
-        F.struct(
-            F.transform(F.sequence(F.lit(0), F.size("_entries") - 1), lambda i: i).alias("left"),
-            F.array().cast("array<int>").alias("out"),
-        ),
-        lambda acc, j: F.struct(
-            F.concat(
-                F.slice(acc["left"], F.lit(1), j), F.slice(acc["left"], j + 2, F.size("_entries"))
-            ).alias("left"),
-            F.concat(acc["out"], F.array(F.get(acc["left"], j))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return (
-        stretch.select(group, "_stretch", "_entries", F.posexplode(picked).alias("_i", "_at"))
-        .select(
-            group,
-            F.get("_entries", F.col("_at"))["_row"].alias("_row"),
-            (F.col("_stretch") + F.col("_i") + 1).alias(name),
-        )
-        .select(group, "_row.*", name)
+    carried = _followed(linked.filter(F.col("_slot").isNotNull()).drop("_t"), group)
+    picks = linked.filter(F.col("_t").isNotNull())
+    unknown = picks.filter(F.col("_from").isNotNull()).drop("_at")
+    lists = carried.select(F.col(group).alias("_group"), F.col("_chunk").alias("_of"), F.col("_slot").alias("_place"), "_at")
+    met = unknown.join(lists, _same(unknown, lists, group, ("_from", "_of"), ("_there", "_place")))
+    placed = picks.filter(F.col("_from").isNull()).select(group, "_t", "_at").unionByName(met.select(group, "_t", "_at"))
+    placed = placed.select(F.col(group).alias("_group"), (F.col("_at") + 1).alias("_position"), (F.col("_t") + 1).alias("_pick"))
+    payload = [F.col(c) for c in rows.columns if c != group]
+    return rows.join(placed, _same(rows, placed, group, (position, "_position"))).select(
+        group, *payload, F.col("_pick").alias(name)
     )
 
 

@@ -897,8 +897,8 @@ def _uniform_sql(*key):
     return f"((CAST('0x' || {digits} AS BIGINT) + 0.5) / 4503599627370496.0)"
 
 
-def _index_sql(rate, length, key):
-    tries = [f"-ln({_uniform_sql(str(i), key)}) / {rate}" for i in range(crawl.ATTEMPTS)]
+def _index_sql(rate, length, *key):
+    tries = [f"-ln({_uniform_sql(str(i), *key)}) / {rate}" for i in range(crawl.ATTEMPTS)]
     hits = ", ".join(f"CASE WHEN {d} < {length} THEN CAST(floor({d}) AS BIGINT) END" for d in tries)
     return f"coalesce({hits}, 0)"
 
@@ -925,14 +925,34 @@ def random_per_group(spark, sf):
     return crawl.random_per_group(table(spark, sf, "supplier"), ["s_nationkey"], "s_suppkey", 42)
 
 
-@R.add("weighted_order")
-def weighted_order(spark, sf):
+def _order_sql(rate):
+    return f"""WITH RECURSIVE lists AS (SELECT {HOST_SQL} AS domain, list(page_id ORDER BY page_id) AS pages FROM pages GROUP BY 1),
+walk AS (
+  SELECT domain, CAST(0 AS BIGINT) AS pick, len(pages) AS n, range(1, len(pages) + 1) AS rest, CAST(NULL AS BIGINT) AS position FROM lists
+  UNION ALL
+  SELECT domain, pick + 1, n, rest[:j] || rest[j + 2:], rest[j + 1]
+  FROM (SELECT *, {_index_sql(rate, '(n - pick)', 'domain', 'pick')} AS j FROM walk WHERE pick < n))
+SELECT domain, pages[position] AS page_id, position, pick FROM walk JOIN lists USING (domain) WHERE pick > 0"""
+
+
+def _picked(spark, sf, rate):
     queued = crawl.urls_by_domain(page_hosts(spark, sf), "domain", "page_id", size="size")
     return crawl.popularity_order(
-        queued.select("domain", "page_id", "position", "size"), "domain", "position", "size", 42
+        queued.select("domain", "page_id", "position", "size"), "domain", "position", "size", 42, rate
     ).select("domain", "page_id", big("position").alias("position"), big("pick").alias("pick"))
 
 
+@R.add("weighted_order", _order_sql(crawl.SELECTION_RATE))
+def weighted_order(spark, sf):
+    return _picked(spark, sf, crawl.SELECTION_RATE)
+
+
+@R.add("weighted_order_patient", _order_sql(0.05))
+def weighted_order_patient(spark, sf):
+    """A reader who looks far down a list: hardly any pick uses up those passed over."""
+    return _picked(spark, sf, 0.05)
+
+
 @R.add("exp_index", f"""SELECT o_orderkey, {_index_sql(crawl.SELECTION_RATE, 20, 'o_orderkey')} AS picked FROM orders""")
 def exp_index(spark, sf):
     index = crawl.exponential_index(crawl.SELECTION_RATE, F.lit(20), 42, C("o_orderkey"))

@@ -4,6 +4,7 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -70,9 +71,9 @@ def brute_order(draws, size):
     return out
 
 
-@pytest.mark.parametrize("rate", [0.393, 0.786])
+@pytest.mark.parametrize("rate", [0.393, 0.786, 0.05, 0.004, 2.0])
 def test_popularity_order_is_the_sequential_one(spark, rate):
-    sizes = {"a": 1, "b": 2, "c": 400, "d": 37}
+    sizes = {"a": 1, "b": 2, "c": 400, "d": 37, None: 90}
     listed = spark.createDataFrame(
         [(g, p, n, f"{g}{p}") for g, n in sizes.items() for p in range(1, n + 1)],
         "g string, position long, size long, url string",
@@ -88,6 +89,8 @@ def test_popularity_order_is_the_sequential_one(spark, rate):
     for g, n in sizes.items():
         expected = [p + 1 for p in brute_order(draws[g], n)]
         assert [picks[g, t] for t in range(1, n + 1)] == expected
+    if rate < 0.1:
+        return
     # Popular entries come early, but not in plain order.
     order = [picks["c", t] for t in range(1, 401)]
     assert order != sorted(order)
@@ -95,9 +98,26 @@ def test_popularity_order_is_the_sequential_one(spark, rate):
     assert means == sorted(means)
 
 
-def test_low_rates_are_refused(spark):
-    with pytest.raises(ValueError):
-        crawl.popularity_order(spark.range(1), "id", "id", "id", 1, rate=0.1)
+@pytest.mark.parametrize("rate", [0.05, 0.393, 2.0])
+def test_a_chunk_needs_not_know_what_is_carried_into_it(rate):
+    draw = random.Random(5)
+    size, width = 3000, 70
+    draws = [min(int(draw.expovariate(rate)), size - t - 1) for t in range(size)]
+    order, left, first = [], [], 0
+    for start in range(0, size, width):
+        times = np.arange(start, min(start + width, size))
+        taken, over = crawl._walk_chunk(times, np.array(draws)[times], first)
+        order += [left[-1 - r] if r < 0 else r for r in taken]
+        left = [left[-1 - r] if r < 0 else r for r in over]
+        first = max(first, *(draws[t] + t + 1 for t in times))
+        assert len(left) <= max(draws)
+    assert order == brute_order(draws, size) and not left
+
+
+def test_rates_above_zero_only(spark):
+    for rate in (0, -1.0):
+        with pytest.raises(ValueError):
+            crawl.popularity_order(spark.range(1), "id", "id", "id", 1, rate=rate)
 
 
 def test_draws(spark):
