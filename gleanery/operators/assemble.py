@@ -28,8 +28,8 @@ def keep_last(items: DataFrame, key: str | list[str], order: list[str],
     return picked.select(*keys, "_last.*", first_name)
 
 
-def collisions(items: DataFrame, key: str, order: list[str], chunk: Column,
-               columns: list[str]) -> DataFrame:
+def collisions(items: DataFrame, key: str, order: list[str], columns: list[str],
+               chunk: Column | None = None) -> DataFrame:
     """Every row that replaces an earlier row of its key, with the row it replaces."""
     paired = previous_row(items, [key], order, chunk, columns, "old")
     return paired.filter("old is not null")

@@ -94,7 +94,7 @@ class Dwell:
 def urls_by_domain(urls: DataFrame, domain: str, order: str, name: str = "position",
                    size: str | None = None) -> DataFrame:
     """URLs numbered within their domain: the group as rows, however large it is."""
-    return row_positions(urls, [domain], [F.col(order)], id_chunk(F.col(order)), name, size)
+    return row_positions(urls, [domain], [F.col(order)], None, name, size)
 
 
 def schedule(urls: DataFrame, domain: str, position: str, gap: Column, name: str = "start") -> DataFrame:

@@ -121,7 +121,7 @@ def is_legal(before: Column, after: Column) -> Column:
     return F.coalesce(test | (before == after), F.lit(False))
 
 
-def status_changes(log: DataFrame, keys: list[str], order: list[str], chunk: Column,
+def status_changes(log: DataFrame, keys: list[str], order: list[str], chunk: Column | None = None,
                    status: str = "status") -> DataFrame:
     """Each log entry with the status before it and whether the step is legal."""
     paired = previous_row(log, keys, order, chunk, [status], "_previous")

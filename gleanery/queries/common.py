@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.urls import derive_domain
 from gleanery.operators.html import with_nodes
-from gleanery.operators.ordered import id_chunk, row_positions
+from gleanery.operators.ordered import row_positions
 from gleanery.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,7 +86,7 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     customers = table(spark, sf_dir, "customer")
     placed = row_positions(
-        customers, ["c_nationkey"], [F.col("c_custkey")], id_chunk(F.col("c_custkey")), "pos", "n"
+        customers, ["c_nationkey"], [F.col("c_custkey")], None, "pos", "n"
     )
     paged = placed.withColumns(
         {

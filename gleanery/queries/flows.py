@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from gleanery.functions import phrases
 from gleanery.functions.records import AGENT
 from gleanery.operators import assemble, cardinality, crawl, pointers, status
-from gleanery.operators.ordered import id_chunk
 from gleanery.plans.extraction import KNOWN_KEYS, unknown_keys
 from gleanery.plans.search import UrlTemplate, search_plan
 from gleanery.queries.common import (
@@ -530,9 +529,8 @@ SELECT event_id, search_key, provider, status, previous, coalesce(
   false) AS legal FROM steps""")
 def status_transitions(spark, sf):
     log = status_log(spark, sf).select("event_id", "search_key", "provider", "status", "ts")
-    minutes = F.floor(F.unix_micros(C("ts").cast("timestamp")) / 60_000_000)
     return status.status_changes(
-        log, ["search_key", "provider"], ["ts", "event_id"], minutes
+        log, ["search_key", "provider"], ["ts", "event_id"]
     ).select("event_id", "search_key", "provider", "status", "previous", "legal")
 
 
@@ -824,7 +822,7 @@ def dedup_keep_last(spark, sf):
 def collisions(spark, sf):
     pages = page_hosts(spark, sf)
     pairs = assemble.collisions(
-        pages, "domain", ["page_id"], id_chunk(C("page_id")), ["page_id", "url"]
+        pages, "domain", ["page_id"], ["page_id", "url"]
     )
     return pairs.select("page_id", "domain", C("url").alias("new_url"), C("old.url").alias("old_url"))
 

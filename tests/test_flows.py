@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gleanery.operators import assemble, crawl, ordered, pointers, status
@@ -34,10 +35,39 @@ def by_key():
 
 
 def chunk(width):
-    return ordered.id_chunk(F.col("i"), width)
+    return width and ordered.id_chunk(F.col("i"), width)
 
 
-@pytest.mark.parametrize("width", [1, 7, 1 << 20])
+@pytest.fixture(params=["one range", "many ranges"])
+def ranges(spark, request):
+    """Ranges of small tables are put together unless that is switched off."""
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(request.param == "one range").lower())
+    yield
+    spark.conf.set(setting, before)
+
+
+def test_sparse_orders_and_hot_keys_are_cut_into_ranges(spark, ranges):
+    """One key, a burst of times, 64-bit ids far apart: no chunk follows from any of them."""
+    table = spark.range(4000).select(
+        F.when(F.col("id") % 10 == 0, F.concat(F.lit("k"), F.col("id") % 30)).otherwise("hot").alias("k"),
+        F.timestamp_micros(F.lit(10**15) + F.col("id") % 7).alias("ts"), F.xxhash64("id").alias("i"), F.col("id").alias("v"),
+    )
+    chunks = ordered._chunked(table, ["k"], [F.col("ts"), F.col("i")], None)
+    sizes = [r["count"] for r in chunks.groupBy("_chunk").count().collect()]
+    if spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "false":
+        assert len(sizes) > 4 and max(sizes) < 2 * 4000 / len(sizes)
+    plain = Window.partitionBy("k").orderBy("ts", "i")
+    expected = table.select("k", "i", F.row_number().over(plain).alias("p"), F.sum("v").over(plain).alias("s"), F.lag("i").over(plain).alias("o"))
+    order = [F.col("ts"), F.col("i")]
+    found = ordered.row_positions(table, ["k"], order, None, "p")
+    found = ordered.running_sum(found, ["k"], order, None, "v", "s")
+    found = ordered.previous_row(found, ["k"], ["ts", "i"], None, ["i"], "old").select("k", "i", "p", "s", F.col("old.i").alias("o"))
+    assert found.exceptAll(expected).isEmpty() and found.count() == 4000
+
+
+@pytest.mark.parametrize("width", [1, 7, 1 << 20, None])
 def test_positions_do_not_depend_on_chunks(rows, width):
     found = ordered.row_positions(rows, ["k"], [F.col("i")], chunk(width), "p", "n")
     expected = {
@@ -46,7 +76,7 @@ def test_positions_do_not_depend_on_chunks(rows, width):
     assert {(r["i"], r["p"], r["n"]) for r in found.collect()} == expected
 
 
-@pytest.mark.parametrize("width", [1, 7, 1 << 20])
+@pytest.mark.parametrize("width", [1, 7, 1 << 20, None])
 def test_running_values_do_not_depend_on_chunks(rows, width):
     order = [F.col("i")]
     sums = ordered.running_sum(rows, ["k"], order, chunk(width), "v", "s")
