@@ -26,13 +26,17 @@ RULES = "verdict string, rule_host string, rule_path string"
 PREFIX_BYTES = 4
 
 
+def _lowered(host: Column) -> Column:
+    """A-Z lower-cased, and nothing else."""
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path of a URL; both empty where there is no ``://``."""
     rest = F.when(F.instr(url, "://") > 0, F.substring(url, F.instr(url, "://") + 3, F.length(url)))
     host = F.regexp_extract(rest, r"^[^/?#]*", 0)
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
-    lowered = F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.coalesce(lowered, F.lit("")), F.coalesce(path, F.lit(""))
+    return F.coalesce(_lowered(host), F.lit("")), F.coalesce(path, F.lit(""))
 
 
 def _host_suffixes(host: Column) -> Column:
@@ -64,7 +68,7 @@ def _short(digest: Column) -> Column:
 def prepared(rules: DataFrame) -> DataFrame:
     """Rules with their expression's short prefix and full digest."""
     path = F.coalesce("rule_path", F.lit(""))
-    host = F.lower(F.coalesce("rule_host", F.lit("")))
+    host = _lowered(F.coalesce("rule_host", F.lit("")))
     once = rules.select(host.alias("rule_host"), path.alias("rule_path"), "verdict")
     once = once.groupBy("rule_host", "rule_path").agg(F.max(F.col("verdict") == "block").alias("_blocks"))
     digest = _digest(F.col("rule_host"), F.regexp_extract("rule_path", "^(.*/)?", 0))

@@ -48,3 +48,10 @@ def test_ties_nulls_and_empty_tables(spark):
     assert [(r.rule, r.verdict) for r in url_filter.judge(pages, rules).collect()] == [("a.b/c", "block")] * 2
     assert {r.verdict for r in url_filter.judge(pages, rules.limit(0)).collect()} == {"allow"}
     assert url_filter.judge(pages.limit(0), rules).count() == 0
+
+
+def test_hosts_of_rules_and_pages_are_lowered_alike(spark):
+    rules = spark.createDataFrame([("block", "BÜcher.ORG", "/"), ("allow", "İ.Net", "/")], url_filter.RULES)
+    pages = spark.createDataFrame([(1, "http://a.bÜCHER.org/x"), (2, "http://bücher.org/x"), (3, "http://İ.net/")], "page_id long, url string")
+    found = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(pages, rules, "other").collect()}
+    assert found == {1: ("bÜcher.org/", "block"), 2: (None, "other"), 3: ("İ.net/", "allow")}
