@@ -109,6 +109,27 @@ def normalize_url(spark, sf):
     )
 
 
+#: A host beyond ASCII and a path, as found and in normal form.
+FOREIGN = [
+    ("b\u00fccher", "xn--bcher-kva", "%7euser/%41", "~user/A"),
+    ("M\u00dcNCHEN", "xn--mnchen-3ya", "\u00e9", "%C3%A9"),
+    ("\u043f\u0440\u0438\u043c\u0435\u0440", "xn--e1afmkfd", "a%2fb", "a%2Fb"),
+    ("fa\u00df", "xn--fa-hia", "100%", "100%25"),
+    ("plain", "plain", "a b", "a%20b"),
+]
+_FORMS = " ".join(f"WHEN {i} THEN '{host}.' || host || '/{path}/' || page_id" for i, (_, host, _, path) in enumerate(FOREIGN))
+
+
+@R.add("normalize_foreign", f"""SELECT page_id, 'https://' || CASE page_id % {len(FOREIGN)} {_FORMS} END AS normal
+FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages)""")
+def normalize_foreign(spark, sf):
+    """Addresses with hosts beyond ASCII and escapes in several spellings."""
+    host, number = F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1), F.pmod("page_id", F.lit(len(FOREIGN)))
+    found = [F.concat(F.lit(f"HTTPS://{a}."), host, F.lit(f":443/{b}/"), C("page_id").cast("string")) for a, _, b, _ in FOREIGN]
+    spelled = F.get(F.array(*found), number.cast("int"))
+    return table(spark, sf, "pages").select("page_id", urls.normalize_url(spelled).alias("normal"))
+
+
 @R.add("url_quote", """SELECT p_partkey, replace(url_encode(
   p_name || '/' || p_brand || ' *~(' || p_type || ')&=+é'), '%2F', '/') AS quoted FROM part""")
 def url_quote(spark, sf):

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -95,6 +97,37 @@ def test_normal_form(value, text, expected):
     assert value(urls.normalize_url(F.lit(text).cast("string"))) == expected
 
 
+def test_hosts_beyond_ascii(spark):
+    draw = random.Random(3)
+    letters = "abcxyz0189-\u00fc\u00e9\u00df\u0131\u03b1\u0436\u05d0\u3042\u4f8b\u6f22\U0001f600\U00020000"
+    labels = ["b\u00fccher", "\u4f8b\u3048", "\u0444\u044b\u0432\u0430", "\u00fc", "\u00fc" * 40, *[
+        "".join(draw.choice(letters) for _ in range(draw.randint(1, 30))) for _ in range(300)
+    ]]
+    rows = spark.createDataFrame([(v, f"www.{v}.org") for v in labels], "label string, host string")
+    for label, host in rows.select("label", urls.ascii_host(F.col("host"))).collect():
+        low = label.lower()
+        expected = low if low.isascii() else "xn--" + low.encode("punycode").decode()
+        assert host == f"www.{expected}.org"
+
+
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        ("https://B\u00dcCHER.de/%7ea/%7Eb/~c", "https://xn--bcher-kva.de/~a/~b/~c"),
+        ("https://xn--bcher-kva.de/~a/~b/~c", "https://xn--bcher-kva.de/~a/~b/~c"),
+        ("https://b\u00fccher\u3002de:443", "https://xn--bcher-kva.de/"),
+        ("https://h.org/a%2fb?q=%c3%a9%41#%zz", "https://h.org/a%2Fb?q=%C3%A9A#%25zz"),
+        ("https://h.org/\u00e9 \U0001f600?a b=%", "https://h.org/%C3%A9%20%F0%9F%98%80?a%20b=%25"),
+        ("https://h.org/x%2e/%2E%2e/y", "https://h.org/y"),
+        ("https://h.org/%", "https://h.org/%25"),
+        ("https://h.org/%25", "https://h.org/%25"),
+    ],
+)
+def test_normal_form_beyond_ascii(value, text, expected):
+    assert value(urls.normalize_url(F.lit(text))) == expected
+    assert value(urls.normalize_url(F.lit(expected))) == expected
+
+
 def test_links(value):
     page = F.lit("https://h.org/a/b?q=1")
     link = lambda t: value(urls.resolve_link(F.lit(t), page))
