@@ -165,6 +165,9 @@ links AS (
            AS idx
   FROM pages)"""
 
+# A link's path in the normal form of addresses: what is beyond ASCII is escaped, slashes and commas stay.
+HREF_SQL = "replace(replace(url_encode(href), '%2F', '/'), '%2C', ',')"
+
 STATUS_SQL = """
 log AS (
   SELECT event_id, ts, user_id AS search_key, 'p' || (k % 8) AS provider,

@@ -11,7 +11,7 @@ from gleanery.operators import assemble, cardinality, crawl, pointers, status
 from gleanery.plans.extraction import KNOWN_KEYS, unknown_keys
 from gleanery.plans.search import UrlTemplate, search_plan
 from gleanery.queries.common import (
-    HOST_SQL, INFO_SQL, LABEL_SQL, LINKS_SQL, LISTED_SQL, NOW, REUSE_SQL, STATUS_SQL, Registry, big,
+    HOST_SQL, HREF_SQL, INFO_SQL, LABEL_SQL, LINKS_SQL, LISTED_SQL, NOW, REUSE_SQL, STATUS_SQL, Registry, big,
     listing_pages, page_hosts, status_log, table, work_table,
 )
 from gleanery.session import scratch_path
@@ -624,7 +624,7 @@ def stream_upsert(spark, sf):
 
 
 @R.add("stream_extraction", f"""WITH {LINKS_SQL},
-items AS (SELECT regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href AS source_url, txt, page_id, idx FROM links)
+items AS (SELECT regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || {HREF_SQL} AS source_url, txt, page_id, idx FROM links)
 SELECT source_url, last(txt ORDER BY page_id, idx) AS title, last(page_id ORDER BY page_id, idx) AS page_id
 FROM items GROUP BY 1""")
 def stream_extraction(spark, sf):

@@ -15,7 +15,7 @@ from gleanery.plans.extraction import (
     Provider, combine, extract_items, extract_sources, follow_pages, page_links,
 )
 from gleanery.queries.common import (
-    AD_SQL, H1_SQL, LINKS_SQL, LISTED_SQL, NOW, PAGE_SIZE, TITLE_SQL, Registry, big, listing_pages,
+    AD_SQL, H1_SQL, HREF_SQL, LINKS_SQL, LISTED_SQL, NOW, PAGE_SIZE, TITLE_SQL, Registry, big, listing_pages,
     parsed_pages, table, work_table,
 )
 from gleanery.session import scratch_path
@@ -613,7 +613,7 @@ PAGE_SITE = Provider.source(
 
 
 @R.add("site_extraction", f"""WITH {LINKS_SQL},
-origin AS (SELECT page_id, idx, txt, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href AS source_url
+origin AS (SELECT page_id, idx, txt, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || {HREF_SQL} AS source_url
            FROM links),
 kept AS (SELECT source_url, max(page_id * 6 + idx) AS rank,
            arg_max(txt, page_id * 6 + idx) AS title, min(page_id * 6 + idx) AS position
