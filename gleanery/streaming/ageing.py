@@ -30,7 +30,13 @@ from gleanery.session import self_contained
 self_contained(__name__)
 
 ACCEPTED, REFUSED, AGED = "accepted", "refused", "aged"
-STATE = "status int, since long, answered boolean, ts array<long>, id array<long>, code array<int>, read array<boolean>"
+#: Groups that keys are dealt over by hash. One state holds a group's keys, so what a call costs is shared by many keys;
+#: what a group takes grows with the keys a group has. A stream keeps the number it began with.
+BUCKETS = 2048
+HELD = "name array<string>, status array<int>, since array<long>, answered array<boolean>"
+STATE = HELD + ", owner array<string>, ts array<long>, id array<long>, code array<int>, read array<boolean>"
+#: Keys are written as JSON inside the state, whole to the microsecond.
+TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 #: Steps that wait: an extraction starts again.
 RESTARTS = {(FAILURE, INITIATED), (EMPTY, INITIATED)}
 REOPENS = {(COMPLETED, PRELIMINARY)}
@@ -96,51 +102,68 @@ class Ageing:
         return age(held, now), found
 
 
-def aged_statuses(log: DataFrame, keys: list[str], rules: Ageing, delay: str, order: str = "event_id") -> DataFrame:
+def aged_statuses(log: DataFrame, keys: list[str], rules: Ageing, delay: str, order: str = "event_id",
+                  buckets: int = BUCKETS) -> DataFrame:
     """Follow a stream of status writes ``ts, <order>, status, answered``.
 
     Returns a row for each write and each start given up: the keys, ``<order>`` (null where time alone
     passed), ``ts``, ``status``, ``previous`` (the status held) and ``kind``. Rows come when the watermark,
-    ``delay`` behind the latest ``ts``, has passed them; a key's state holds one status and the rows within the delay.
+    ``delay`` behind the latest ``ts``, has passed them; of a key are held one status and the rows within the delay.
     """
     fields = {f.name: f.dataType.simpleString() for f in log.schema.fields}
-    named = [(k, fields[k]) for k in keys]
-    schema = ", ".join(f"`{n}` {t}" for n, t in [*named, (order, "bigint"), ("ts", "timestamp"), ("status", "int"), ("previous", "int"), ("kind", "string")])
+    schema = f"_name string, `{order}` bigint, _at bigint, status int, previous int, kind string"
 
-    def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, waiting = Held(), []
+    def follow(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held: dict[str, Held] = {}
+        waiting: dict[str, list[Row]] = {}
         if state.exists:
-            status, since, answered, *columns = state.get
-            held, waiting = Held(status, since, answered), list(zip(*columns, strict=True))
+            names, status, since, answered, owners, *columns = state.get
+            held = {n: Held(*h) for n, *h in zip(names, status, since, answered, strict=True)}
+            for owner, row in zip(owners, zip(*columns, strict=True), strict=True):
+                waiting.setdefault(owner, []).append(row)
         if not state.hasTimedOut:
             for frame in frames:
                 frame = frame[frame["_code"].notna()]
-                waiting += [(int(t), int(n), int(c), bool(r)) for t, n, c, r in zip(frame["_at"], frame["_id"], frame["_code"], frame["_read"], strict=True)]
+                for owner, t, n, c, r in zip(*(frame[k].tolist() for k in ("_name", "_at", "_id", "_code", "_read")), strict=True):
+                    waiting.setdefault(owner, []).append((int(t), int(n), int(c), bool(r)))
         watermark = state.getCurrentWatermarkMs()
         now = watermark * 1000
-        waiting.sort()
-        ready = [row for row in waiting if row[0] <= now]
-        waiting = waiting[len(ready):]
-        held, found = rules.walk(held, ready, now)
-        pending = [row[0] for row in waiting[:1]] + [d for d in [rules.deadline(held)] if d is not None]
-        if held.status is None and not waiting:
+        found, pending, after, rest = [], [], [], []
+        for name in {**held, **waiting}:
+            rows = sorted(waiting.get(name, ()))
+            ready = [row for row in rows if row[0] <= now]
+            now_held, steps = rules.walk(held.get(name, Held()), ready, now)
+            found += [(name, *step) for step in steps]
+            if now_held.status is not None:
+                after.append((name, now_held.status, now_held.since, now_held.answered))
+            rest += [(name, *row) for row in rows[len(ready):]]
+            pending += [row[0] for row in rows[len(ready):len(ready) + 1]]
+            pending += [d for d in [rules.deadline(now_held)] if d is not None]
+        if not after and not rest:
             if state.exists:
                 state.remove()
         else:
-            columns = [list(c) for c in zip(*waiting, strict=True)] if waiting else [[], [], [], []]
-            state.update((held.status, held.since, held.answered, *columns))
+            columns = [list(c) for c in zip(*after, strict=True)] if after else [[] for _ in range(4)]
+            columns += [list(c) for c in zip(*rest, strict=True)] if rest else [[] for _ in range(5)]
+            state.update(tuple(columns))
             if pending:
                 state.setTimeoutTimestamp(max(-(-min(pending) // 1000), watermark + 1))
         if found:
-            out = pd.DataFrame(found, columns=[order, "ts", "status", "previous", "kind"])
-            out = out.astype({order: "Int64", "status": "Int64", "previous": "Int64"})
-            out["ts"] = pd.to_datetime(out["ts"], unit="us", utc=True)
-            for place, name in enumerate(keys):
-                out.insert(place, name, pd.Series([key[place]] * len(out), dtype=object))
-            yield out
+            whole = {order: "Int64", "status": "Int64", "previous": "Int64"}
+            names = ["_name", order, "_at", "status", "previous", "kind"]
+            yield pd.DataFrame({n: pd.Series(list(c), dtype=whole.get(n)) for n, c in zip(names, zip(*found, strict=True), strict=True)})
 
+    code = F.col("status").cast("int")
     rows = log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).select(
-        *keys, "ts", F.unix_micros("ts").alias("_at"), F.col(order).cast("long").alias("_id"),
-        F.col("status").cast("int").alias("_code"), F.coalesce(F.col("answered"), F.lit(False)).alias("_read"),
+        F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("_bucket"),
+        F.to_json(F.struct(*keys), {**TIMES, "ignoreNullFields": "false"}).alias("_name"),
+        "ts", F.unix_micros("ts").alias("_at"), code.alias("_code"),
+        # Rows that only move the clock may lack an id; a null among ids would make all of them floating.
+        F.when(code.isNull(), 0).otherwise(F.col(order).cast("long")).alias("_id"),
+        F.coalesce(F.col("answered"), F.lit(False)).alias("_read"),
+    )
+    followed = rows.groupBy("_bucket").applyInPandasWithState(follow, schema, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    named = F.from_json("_name", ", ".join(f"`{k}` {fields[k]}" for k in keys), TIMES)
+    return followed.withColumn("_key", named).select(
+        *[F.col("_key")[k].alias(k) for k in keys], order, F.timestamp_micros("_at").alias("ts"), "status", "previous", "kind"
     )
-    return rows.groupBy(*keys).applyInPandasWithState(follow, schema, STATE, "append", GroupStateTimeout.EventTimeTimeout)

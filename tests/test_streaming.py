@@ -166,3 +166,28 @@ def test_ageing_depends_on_no_batch(spark, tmp_path):
     for writes in groups.values():
         expected += RULES.walk(Held(), sorted(writes), 1997 * HOUR)[1]
     assert len(whole) == len(expected) and sum("aged" in r for r in whole) == sum(f[4] == "aged" for f in expected) > 0
+
+
+def test_ageing_keeps_many_keys_in_one_state(spark, tmp_path):
+    """Keys share states, so that a stream's cost does not go by keys; their times and ids stay exact."""
+    first = 2**60 + 1
+    rows = [(None if n % 40 == 39 else n % 40, f'k"{n % 3}\\', first + n, (n + 1) * HOUR // 4, [3, 4, 1][n // 120], n % 2 == 0) for n in range(360)]
+    rows.append((None, None, None, 2000 * HOUR, None, None))
+    schema = "search bigint, provider string, event_id bigint, at bigint, status int, answered boolean"
+    logged = spark.createDataFrame(rows, schema).withColumn("since", F.timestamp_micros(F.col("search") + 1)).withColumn("ts", F.timestamp_micros("at"))
+    arriving, out, progress = (str(tmp_path / name) for name in ("in", "out", "progress"))
+    logged = logged.drop("at")
+    logged.write.parquet(arriving)
+    stream = aged_statuses(spark.readStream.schema(logged.schema).parquet(arriving), ["search", "since", "provider"], RULES, "3 hours", buckets=5)
+    options = {"path": out, "checkpointLocation": progress}
+    query = stream.writeStream.format("parquet").options(**options).trigger(availableNow=True).start()
+    query.awaitTermination()
+    held = max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"])
+    assert 0 < held <= 5
+    found = spark.read.parquet(out).select("search", F.unix_micros("since"), "provider", "event_id", F.unix_micros("ts"), "status", "previous", "kind")
+    expected, groups = [], {}
+    for search, provider, n, at, status, answered in rows[:-1]:
+        groups.setdefault((search, None if search is None else search + 1, provider), []).append((at, n, status, answered))
+    for key, writes in groups.items():
+        expected += [(*key, *step) for step in RULES.walk(Held(), sorted(writes), 1997 * HOUR)[1]]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, expected))
