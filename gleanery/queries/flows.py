@@ -353,6 +353,13 @@ SITE_C = UrlTemplate.from_config({
     "url_template": "https://c.example/{problem}/places/{places}",
     "places": {"series": "TERM", "templates": ["{geo}", "alt:{geo}"], "delimiter": "+"},
 })
+# The same places, and every term of every topic: a term series within a topic series.
+SITE_TERMS = UrlTemplate.from_config({
+    "url_template": "https://c.example/{problem}/places/{places}?all={every}",
+    "places": {"series": "TERM", "templates": ["{geo}", "alt:{geo}"], "delimiter": "+"},
+    "every": {"series": "TOPIC", "templates": ["!{any}!"], "delimiter": "~and~"},
+    "any": {"series": "TERM", "templates": ["body:{term}"], "delimiter": "~or~"},
+})
 
 
 def _searches(spark, sf):
@@ -379,6 +386,8 @@ PATH_B_SQL = f"""'p-' || {QUOTE.format(PROBLEM_SQL)} || '/'
 URL_B_SQL = f"'https://b.example/' || {PATH_B_SQL} || '?again=' || {PATH_B_SQL}"
 URL_C_SQL = f"""'https://c.example/' || {QUOTE.format(PROBLEM_SQL)} || '/places/' || {QUOTE.format('n_name')}
   || '+alt:N/' || n_nationkey"""
+URL_TERMS_SQL = f"""{URL_C_SQL} || '?all=!body:' || {QUOTE.format(PROBLEM_SQL)} || '!~and~'
+  || coalesce('!body:' || {ORG_SQL} || '!~and~', '') || '!body:' || {QUOTE.format('n_name')} || '~or~body:N/' || n_nationkey || '!'"""
 
 
 def _urls(spark, sf, site):
@@ -395,9 +404,9 @@ def build_urls_topics(spark, sf):
     return _urls(spark, sf, SITE_B)
 
 
-@R.add("build_urls_terms", f"SELECT c_custkey, {URL_C_SQL} AS url {FROM_SQL}")
+@R.add("build_urls_terms", f"SELECT c_custkey, {URL_TERMS_SQL} AS url {FROM_SQL}")
 def build_urls_terms(spark, sf):
-    return _urls(spark, sf, SITE_C)
+    return _urls(spark, sf, SITE_TERMS)
 
 
 @R.add("search_plan", f"""SELECT c_custkey, 'a' AS provider, {URL_A_SQL} AS url {FROM_SQL}

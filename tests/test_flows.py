@@ -593,3 +593,16 @@ def test_provider_definitions():
         with pytest.raises(ValueError):
             Provider.multi("d", dict(config, pagination={"page_size": 5, **ways}))
     assert Provider.source("d", {"content": {}}).freshness_days == 365.0
+
+
+def test_terms_of_all_topics_in_search_urls(spark, tmp_path):
+    """Every set topic's terms are in the address, those of the organisation too."""
+    from gleanery.queries.flows import build_urls_terms
+
+    customers = [(1, "Ann Lee", 0, 9000.0, "BUILDING"), (2, "Bo", 0, 10.0, "MACHINERY")]
+    spark.createDataFrame(customers, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(0, "New Land")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    found = dict(build_urls_terms(spark, str(tmp_path)).collect())
+    place = "New%20Land+alt:N/0?all="
+    assert found[1] == f"https://c.example/Building/places/{place}!body:Building!~and~!body:Ann%20Lee%20%26%20Co!~and~!body:New%20Land~or~body:N/0!"
+    assert found[2] == f"https://c.example/Machinery/places/{place}!body:Machinery!~and~!body:New%20Land~or~body:N/0!"
