@@ -29,7 +29,7 @@ from gleanery.plans.extraction import Provider, combine, follow_pages, items_of,
 from gleanery.plans.search import search_plan
 from gleanery.sources.store import info_updates, merge_fields, prepare_content, rank_index
 from gleanery.sources.tables import read_definitions
-from gleanery.session import cut_lineage, scratch_path
+from gleanery.session import cut_lineage, dealt, scratch_path
 
 #: Site definitions that one driver holds.
 MOST_SITES = 10_000
@@ -220,10 +220,11 @@ def refresh(searches: DataFrame, sites: Sites, topics: list[str], info: DataFram
         )
 
     found = cut_lineage(pairs.join(chains, ["provider", "_first"]).join(items, ["provider", "url", "page"]).drop("_errors", "_first"))
-    results = valid_items(found)
+    # Many searches find the same items, so both files hold far more rows than their bytes tell.
+    results = dealt(valid_items(found))
     own = combine(results.filter(~looked_up), sources.limit(0), model, within=(search, "provider"))
     overlaid = combine(results.filter(looked_up), sources, model, within=(search, "provider"))
-    results = cut_lineage(own.unionByName(overlaid))
+    results = dealt(cut_lineage(own.unionByName(overlaid)))
 
     # A source page's content carries its own definition's version; a stored one that was used stays as it is.
     read = source_rows.select("source_url", "directory").groupBy("source_url").agg(F.max("directory").alias("_directory"))

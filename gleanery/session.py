@@ -76,6 +76,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt anew in partitions of about ``advisoryPartitionSizeInBytes``, before they are sorted or held.
+
+    Rows that repeat each other take so little in a file that one split may hold any number of them; partitions
+    after an exchange go by the bytes of rows.
+    """
+    return df.hint("rebalance")
+
+
 #: Estimated bytes up to which a table is dealt anew over the cores.
 SMALL_SCAN = 256 << 20
 

@@ -137,3 +137,19 @@ def test_definitions_of_tables(spark):
     rows = [("a", json.dumps({"url": "https://a.example/", "items": {"tag_name": "li"}, "content": {}})), ("b", None)]
     multi = spark.createDataFrame(rows, "directory string, definition string")
     assert list(plan.sites_of(multi, multi.limit(0)).multi) == ["a"]
+
+
+def test_repeated_rows_of_a_small_file_are_dealt(spark, tmp_path):
+    """Rows that a file holds in few bytes come in one split; sorted or held, they go by the bytes of rows."""
+    from gleanery.session import dealt
+
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.range(200_000, numPartitions=1).selectExpr("id % 7 AS k", "repeat('x', 50) AS text").write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64KB")
+    try:
+        assert rows.rdd.getNumPartitions() == 1
+        sizes = dealt(rows).groupBy(F.spark_partition_id()).count().collect()
+        assert len(sizes) > 1 and sum(r["count"] for r in sizes) == 200_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
