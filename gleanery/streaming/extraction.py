@@ -61,8 +61,12 @@ def extracted(pages: DataFrame, providers: dict[str, Provider], model: Model) ->
     equal ones the latest. Pages of unknown providers are left out.
     """
     known = pages.filter(F.col("provider").isin(sorted(providers)))
+    # A page beyond its site's last holds no items and is no visit: it is not parsed.
+    known = known.filter(F.col("page") <= by_provider(providers, lambda p: p.pages, "bigint"))
     path = scratch_path(pages.sparkSession, "arrived")
-    parsed = with_nodes(known.hint("rebalance", "provider"))
+    # Parsing costs by the page, not by the bytes shuffled: few sites are cut so that every core has pages of some.
+    cuts = -(-2 * pages.sparkSession.sparkContext.defaultParallelism // max(1, len(providers)))
+    parsed = with_nodes(known.repartition("provider", F.pmod(F.xxhash64("url"), F.lit(cuts))))
     parsed.write.partitionBy("provider").parquet(path)
     parsed = pages.sparkSession.read.schema(parsed.schema).parquet(path)
     items = extracted_by_each(providers, parsed, "provider", lambda rows, site: items_of(rows, site, model))
@@ -75,8 +79,7 @@ def extracted(pages: DataFrame, providers: dict[str, Provider], model: Model) ->
     found = items.groupBy("search_key", "provider", "page", "url", "fetched_at").agg(
         F.max(F.when(F.coalesce(F.col("source_url"), F.lit("")) != "", 2).otherwise(1)).alias("_found")
     )
-    visits = parsed.filter(F.col("page") <= by_provider(providers, lambda p: p.pages, "bigint"))
-    visits = visits.select("search_key", "provider", "page", "url", "fetched_at").distinct()
+    visits = parsed.select("search_key", "provider", "page", "url", "fetched_at").distinct()
     seen = visits.join(found, ["search_key", "provider", "page", "url", "fetched_at"], "left").withColumn("found", F.coalesce("_found", F.lit(0)))
     status: Column = F.when(F.col("found") == 2, COMPLETED).when(F.col("found") == 1, FAILURE).otherwise(EMPTY)
     info = seen.select(

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleanery.functions.records import Field, Model
+from gleanery.operators.html import with_nodes
 from gleanery.plans.extraction import Provider
 from gleanery.sources.commits import StoreGroup
 from gleanery.streaming.ageing import Ageing, Held, aged_statuses
@@ -191,3 +192,14 @@ def test_ageing_keeps_many_keys_in_one_state(spark, tmp_path):
     for key, writes in groups.items():
         expected += [(*key, *step) for step in RULES.walk(Held(), sorted(writes), 1997 * HOUR)[1]]
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, expected))
+
+
+def test_pages_beyond_the_last_are_not_parsed(spark, tmp_path, monkeypatch):
+    """What no item or visit can come of is left out before the markup is read."""
+    from gleanery.streaming import extraction
+
+    read = []
+    monkeypatch.setattr(extraction, "with_nodes", lambda rows: read.append(rows) or with_nodes(rows))
+    rows = extracted(pages(spark).unionByName(pages(spark).limit(1).withColumn("page", F.lit(None).cast("int"))), SITES, MODEL)
+    assert {r["page"] for r in read[0].select("page").distinct().collect()} == {1, 2, 3, 4, 5}
+    assert {r["page"] for r in rows["content"].select("page").distinct().collect()} == {1, 2, 3}
