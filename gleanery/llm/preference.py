@@ -3,10 +3,11 @@
 A document's worth is a weighted sum of features of its text. The weights come from
 preference pairs, a document marked good over one marked bad, by logistic loss on the
 difference of their features. A document is accepted if its worth lies above a quantile of
-the worths of the labelled sample: the share of bad documents in it.
+the worths of all labelled rows: the share of bad documents among the labels.
 
-Only the weights are fitted on a sample, of at most ``SAMPLE`` rows of each label, taken in the order of a hash;
-all documents are scored whole.
+Every labelled row that has a document takes part in the features' means, the pairs and the quantile. Pairs go by
+places in the order of a hash: each row of the more frequent label meets at least ``ROUNDS`` rows of the other, which
+are met equally often. Rows and pairs stay distributed; a step of the fit brings one row of sums a task to the driver.
 
 Defined cases: null and empty texts have all features 0 and are scored like any other; a
 null label is no label; without documents of both labels every score is ``ACCEPT``;
@@ -15,7 +16,9 @@ repeated documents get equal scores.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +27,12 @@ from pyspark.sql import functions as F
 
 from gleanery.llm.common import blocks, in_pieces, mapped
 from gleanery.llm.text_stats import per_text, quality_counts
+from gleanery.operators.ordered import row_positions, running_sum
+from gleanery.session import cut_lineage
 
-SAMPLE = 8_000
+#: Pairs of each row of the more frequent label: at least the first, more up to the second where there are few rows.
+ROUNDS, MOST_ROUNDS = 4, 64
+#: Pairs that a small table is filled up to.
 PAIRS = 60_000
 PENALTY = 1e-3
 ACCEPT = 0.3
@@ -66,7 +73,7 @@ class Ranking:
     cut: float
 
     def worth(self, rows: np.ndarray) -> np.ndarray:
-        return np.clip((rows - self.mean) / self.spread, -6, 6) @ self.weights
+        return standard(rows, self.mean, self.spread) @ self.weights
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         """Between 0 and 1; ``ACCEPT`` at the cut, and there by the log-odds of being preferred to it."""
@@ -74,21 +81,38 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
-def fit(rows: np.ndarray, good: np.ndarray, bad_share: float) -> Ranking:
-    """Weights from pairs of a good and a bad row; ``bad_share`` is the quantile of the cut."""
-    draw = np.random.default_rng(7)
-    mean, spread = rows.mean(axis=0), rows.std(axis=0) + 1e-6
-    x = np.clip((rows - mean) / spread, -6, 6)
-    pairs = x[draw.choice(np.flatnonzero(good), PAIRS)] - x[draw.choice(np.flatnonzero(~good), PAIRS)]
-    weights = np.zeros(x.shape[1])
+def standard(rows: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    return np.clip((rows - mean) / spread, -6, 6)
+
+
+def _slopes(pairs: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Number, slope and curvature of the logistic loss of pairs, summed, in one row."""
+    lost = 1 / (1 + np.exp(np.clip(pairs @ weights, -30, 30)))
+    curve = (pairs * (lost * (1 - lost))[:, None]).T @ pairs
+    return np.concatenate([[len(pairs)], pairs.T @ lost, curve.ravel()])
+
+
+def _newton(width: int, sums: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Weights of the least loss; ``sums`` gives ``_slopes`` over all pairs at some weights."""
+    weights = np.zeros(width)
     for _ in range(25):
-        lost = 1 / (1 + np.exp(np.clip(pairs @ weights, -30, 30)))
-        slope = pairs.T @ lost / len(pairs) - PENALTY * weights
-        curve = (pairs * (lost * (1 - lost))[:, None]).T @ pairs / len(pairs) + PENALTY * np.eye(len(weights))
+        found = sums(weights)
+        slope = found[1:width + 1] / found[0] - PENALTY * weights
+        curve = found[width + 1:].reshape(width, width) / found[0] + PENALTY * np.eye(width)
         step = np.linalg.solve(curve, slope)
-        weights += step
+        weights = weights + step
         if np.abs(step).max() < 1e-6:
             break
+    return weights
+
+
+def fit(rows: np.ndarray, good: np.ndarray, bad_share: float) -> Ranking:
+    """Weights from pairs of a good and a bad row of one block; ``bad_share`` is the quantile of the cut."""
+    draw = np.random.default_rng(7)
+    mean, spread = rows.mean(axis=0), rows.std(axis=0) + 1e-6
+    x = standard(rows, mean, spread)
+    pairs = x[draw.choice(np.flatnonzero(good), PAIRS)] - x[draw.choice(np.flatnonzero(~good), PAIRS)]
+    weights = _newton(x.shape[1], lambda weights: _slopes(pairs, weights))
     worth = x @ weights
     # The sample holds each label in its own share: weigh its rows back before taking the quantile.
     weigh = np.where(good, (1 - bad_share) / good.sum(), bad_share / (~good).sum())
@@ -99,40 +123,106 @@ def fit(rows: np.ndarray, good: np.ndarray, bad_share: float) -> Ranking:
     return Ranking(mean, spread, weights, float((worth[order[k]] + worth[order[k + 1]]) / 2))
 
 
-def labelled_sample(labels: DataFrame, label: str, chosen: Column, limit: int = SAMPLE) -> tuple[DataFrame, dict[int, int]]:
-    """At most ``limit`` ids of each label, in the order of a hash, and how many there are in all."""
+def labelled(labels: DataFrame, label: str, chosen: Column) -> tuple[DataFrame, dict[int, int]]:
+    """Ids with their label, one row for each id, and how many there are of each label."""
     rows = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & chosen)
     rows = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("_label"))
     rows = rows.groupBy("doc_id").agg(F.max("_label").alias("_label"))
+    return rows, {row["_label"]: row["n"] for row in rows.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def labelled_sample(labels: DataFrame, label: str, chosen: Column, limit: int) -> tuple[DataFrame, dict[int, int]]:
+    """At most ``limit`` ids of each label, in the order of a hash, and how many there are in all."""
+    rows, counts = labelled(labels, label, chosen)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     parts = [rows.filter(F.col("_label") == k).orderBy(*order).limit(limit) for k in (0, 1)]
-    counts = {row["_label"]: row["n"] for row in rows.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
     return parts[0].unionByName(parts[1]), counts
 
 
 def _with_features(batches):
     for block in blocks(batches):
         x = pa.array(list(features(block["text"])), pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([block["doc_id"], block["_label"], x], names=["doc_id", "label", "x"])
+        yield pa.RecordBatch.from_arrays([block["doc_id"], x], names=["doc_id", "x"])
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _summed(rows: DataFrame, value: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """What ``value`` makes of blocks of ``x``, summed over all rows."""
+
+    def add(batches):
+        total = 0
+        for batch in batches:
+            if batch.num_rows:
+                total = total + value(_matrix(batch["x"]))
+        if np.ndim(total):
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["total"])
+
+    return np.sum([row["total"] for row in mapped(rows.select("x"), add, "total array<double>").collect()], axis=0)
+
+
+def _pairs(rows: DataFrame, met: dict[int, int], mean: np.ndarray, spread: np.ndarray) -> DataFrame:
+    """``x``: standard features of a good row less those of a bad one."""
+    many = int(met[1] >= met[0])
+    few = met[1 - many]
+    rounds = min(MOST_ROUNDS, max(ROUNDS, -(-PAIRS // met[many])))
+    placed = row_positions(rows, ["label"], [F.xxhash64("doc_id"), F.col("doc_id")], None, "_place")
+    other = placed.filter(F.col("label") == 1 - many).select((F.col("_place") - 1).alias("_other"), F.col("x").alias("_x"))
+    each = placed.filter(F.col("label") == many).select("x", "_place", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("_round"))
+    partner = F.pmod(F.col("_place") + F.col("_round") * (few // rounds + 1), F.lit(few)).cast("long")
+    joined = each.withColumn("_other", partner).join(other.withColumn("_other", F.col("_other").cast("long")), "_other")
+    sign = 1 if many else -1
+
+    def less(batches):
+        for batch in batches:
+            own, met_row = (standard(_matrix(batch[c]), mean, spread) for c in ("x", "_x"))
+            yield pa.RecordBatch.from_arrays([pa.array(list(sign * (own - met_row)), pa.list_(pa.float64()))], names=["x"])
+
+    return mapped(joined.select("x", "_x"), less, "x array<double>")
+
+
+def _cut(rows: DataFrame, ranking: Ranking, counts: dict[int, int], met: dict[int, int]) -> float:
+    """The worth between the last row that the share of bad labels covers and the next one."""
+
+    def told(batches):
+        for batch in batches:
+            worth = pa.array(ranking.worth(_matrix(batch["x"])))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], worth], names=["doc_id", "label", "worth"])
+
+    # Labels may lack a document: rows are weighed to the labels' own shares, in whole numbers.
+    weigh = [F.lit(Decimal(counts[0] * met[1])), F.lit(Decimal(counts[1] * met[0]))]
+    weighed = mapped(rows, told, "doc_id long, label int, worth double").select(
+        F.lit(0).alias("_all"), "worth", "doc_id", F.when(F.col("label") == 1, weigh[1]).otherwise(weigh[0]).cast("decimal(38,0)").alias("_weight")
+    )
+    below = cut_lineage(running_sum(weighed, ["_all"], [F.col("worth"), F.col("doc_id")], None, "_weight", "_below").select("worth", "_below"))
+    covered = F.lit(Decimal(counts[0] * met[0] * met[1])).cast("decimal(38,0)")
+    two = below.filter(F.col("_below") >= covered).orderBy("_below").limit(2).collect()
+    if len(two) < 2:
+        two = below.orderBy(F.desc("_below")).limit(2).collect()
+    return float(two[0]["worth"] + two[1]["worth"]) / 2
 
 
 def learn(documents: DataFrame, labels: DataFrame, chosen: Column, label: str = "quality") -> Ranking | None:
-    """Fit on the labelled rows that ``chosen`` (over ``doc_id``) admits."""
-    sample, counts = labelled_sample(labels, label, chosen)
+    """Fit on all labelled rows that ``chosen`` (over ``doc_id``) admits."""
+    named, counts = labelled(labels, label, chosen)
     if not counts.get(0) or not counts.get(1):
         return None
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    # At most 2 * SAMPLE ids: safe to send everywhere, and no text is shuffled.
-    met = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "_label", "text")
-    found = mapped(met, _with_features, "doc_id long, label int, x array<double>")
-    # One row for each id of the sample, however often the id is repeated.
-    rows = found.groupBy("doc_id", "label").agg(F.min("x").alias("x")).toArrow()
-    good = rows["label"].to_numpy() == 1
-    if good.all() or not good.any():
+    # Features meet the labels, so that no text is shuffled. One row for each id, however often the id is repeated.
+    found = mapped(texts, _with_features, "doc_id long, x array<double>").join(named, "doc_id")
+    rows = cut_lineage(found.groupBy("doc_id", F.col("_label").alias("label")).agg(F.min("x").alias("x")))
+    met = {row["label"]: row["n"] for row in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not met.get(0) or not met.get(1):
         return None
-    x = np.array(rows["x"].to_pylist())
-    order = np.lexsort(np.column_stack([x, good]).T)
-    return fit(x[order], good[order], counts[0] / (counts[0] + counts[1]))
+    n = met[0] + met[1]
+    mean = _summed(rows, lambda x: x.sum(axis=0)) / n
+    spread = np.sqrt(_summed(rows, lambda x: ((x - mean) ** 2).sum(axis=0)) / n) + 1e-6
+    pairs = cut_lineage(_pairs(rows, met, mean, spread))
+    # Sums differ in their last digits with the partitions; the rest of the digits are those of any run.
+    weights = np.round(_newton(len(mean), lambda weights: _summed(pairs, lambda x: _slopes(x, weights))), 9)
+    return Ranking(mean, spread, weights, _cut(rows, Ranking(mean, spread, weights, 0.0), counts, met))
 
 
 def score(text: Column, ranking: Ranking | None) -> Column:

@@ -167,3 +167,24 @@ def test_awkward_rows(spark, awkward, nothing):
         assert none is None and awkward.select(kind.score(F.col("text"), none)).count() == awkward.count()
         assert kind.learn(nothing, labels, F.lit(True), name) is None
         assert nothing.select(kind.score(F.col("text"), model)).count() == 0
+
+
+def test_every_labelled_row_takes_part(spark):
+    """Means, spreads and the cut are those of all labelled rows, each of which is in pairs."""
+    documents, labels, rows = corpus(spark)
+    ranking = preference.learn(documents, labels.filter("doc_id < 390").unionByName(labels.limit(1).withColumn("doc_id", F.lit(9999).cast("long"))), F.lit(True))
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    x = preference.features(pa.array([texts[i] for i in range(390)]))
+    good = np.array([bool(q) for _, q, _ in rows[:390]])
+    assert np.allclose(ranking.mean, x.mean(axis=0)) and np.allclose(ranking.spread, x.std(axis=0) + 1e-6)
+    worth = np.sort(ranking.worth(x))
+    # One more label (bad, without a document) weighs on the cut: bad rows count 79/78, good ones 1 of 312.
+    weigh = np.where(good, 312 / 312, 79 / 78)[np.argsort(ranking.worth(x), kind="stable")]
+    k = int(np.searchsorted(np.cumsum(weigh), 79 - 1e-9))
+    assert np.isclose(ranking.cut, (worth[k] + worth[k + 1]) / 2)
+    rowed = spark.createDataFrame([(i, int(good[i]), x[i].tolist()) for i in range(390)], "doc_id long, label int, x array<double>")
+    pairs = preference._pairs(rowed, {0: 78, 1: 312}, np.zeros(x.shape[1]), np.ones(x.shape[1]))
+    assert pairs.count() == 312 * preference.MOST_ROUNDS
+    marked = rowed.select("doc_id", "label", F.array(F.when(F.col("label") == 1, F.col("doc_id") / 1000).otherwise(0), F.when(F.col("label") == 0, F.col("doc_id") / 1000).otherwise(0)).cast("array<double>").alias("x"))
+    held = np.array([r.x for r in preference._pairs(marked, {0: 78, 1: 312}, np.zeros(2), np.ones(2)).collect()])
+    assert len(np.unique(held[:, 0].round(6))) == 312 and len(np.unique(held[:, 1].round(6))) == 78
