@@ -12,7 +12,7 @@ texts; after it the weights are computed and every node knows its predictions; t
 The share falls as the corpus grows, without a floor, so the tree grows with it. Every context that reaches the share
 gets a node, and others with half of it may: at most ``2 / share`` of a depth, which is the size of the tree that is
 sent to the executors. Positions whose context has no node of its own are counted together, as one more child of
-the deepest node that they reach.
+the deepest node that they reach. ``full_tree`` has a node for every context instead.
 """
 
 from __future__ import annotations
@@ -204,7 +204,7 @@ def _following(tree: Tree, depth: int):
     return count
 
 
-def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Logarithm of the Krichevsky-Trofimov probability of any sequence with these counts."""
     return _lgamma(zeros + 0.5) + _lgamma(ones + 0.5) - _lgamma(zeros + ones + 1.0) - np.log(np.pi)
 
@@ -288,10 +288,10 @@ class Nodes:
         for ids in reversed(self._levels):
             for part, splits in self._parts(ids):
                 counts = self._counts(part, splits)
-                mixed = _log_kt(*self._split(counts))
+                mixed = log_kt(*self._split(counts))
                 if splits:
                     # What stays at a node with children is one more child, a leaf.
-                    divided = self.below[part] + _log_kt(*self._split(self._following[part]))
+                    divided = self.below[part] + log_kt(*self._split(self._following[part]))
                     both = np.logaddexp(mixed, divided) - np.log(2)
                     self._weight[part] = np.exp(mixed - np.log(2) - both)
                     mixed = both

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from gleanery.llm import ctw, language_model
+from gleanery.llm import ctw, full_tree, language_model
 from gleanery.llm.common import document_key, split_words
 
 from .conftest import DOCUMENTS, prose
@@ -173,3 +173,64 @@ def test_lumpy_context_at_the_share_has_a_node(spark, monkeypatch):
     rows = spark.createDataFrame(spark.sparkContext.parallelize([(t,) for t in texts], 10), "text string")
     tree = ctw.train(rows, 10_000, 1).tree
     assert tree.child[0, tree.column[ord("q")]] < tree.states
+
+
+def all_contexts(texts, depth):
+    data = [bytes([ctw.END] * depth) + normal(t) + bytes([ctw.END]) for t in texts]
+    return {tuple(d[i - j] for j in range(1, k + 1)) for d in data for i in range(depth, len(d)) for k in range(1, depth + 1)}
+
+
+def scores(rows, depth):
+    found = language_model.score(rows, F.col("doc_id") % 10 == 0, depth).collect()
+    return {r.doc_id: r.score / math.log10(2) for r in found}
+
+
+def test_every_context_has_a_node(spark, monkeypatch):
+    texts = {1: "abba ab", 2: "b a abab", 3: "Abba  ba", 4: "c\u00e9 ab", 10: "bab aab cz\u00e9", 20: None, 30: "\u4e2d zzz zzz"}
+    rows = spark.createDataFrame([(i, t, None, None, 0) for i, t in texts.items()], DOCUMENTS)
+    training = [t for i, t in texts.items() if i % 10]
+    plain = PlainTree(training, all_contexts(training, 3), 3)
+    # The same on one part with all grams known, on many parts, and with no gram known.
+    for part, known in ((1 << 18, 1 << 21), (4, 8), (1, 0)):
+        monkeypatch.setattr(full_tree, "PART", part)
+        monkeypatch.setattr(full_tree, "KNOWN", known)
+        monkeypatch.setattr(full_tree, "PLACES", 16 if known < 9 else 1 << 20)
+        monkeypatch.setattr(full_tree, "HELD", 16 if known < 9 else 1 << 20)
+        got = scores(rows, 3)
+        for i, text in texts.items():
+            assert abs(got[i] - plain.log2(text or "")) < 1e-4
+
+
+def test_contexts_below_the_share_count(spark):
+    """On 700 KB a context met fewer than six times was held together with others."""
+    # Each number stands in three or four texts.
+    texts = [" ".join([prose(i, 1_200), *(str(i % 30 * 7919 + j * 104729) for j in range(20))]) for i in range(101)]
+    rows = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], DOCUMENTS)
+    training, depth = [t for i, t in enumerate(texts) if i % 10], 4
+    found = pa.Table.from_batches(ctw._contexts(0.0, depth)(iter([pa.RecordBatch.from_pydict({"text": training})])))
+    level, codes = found["depth"].to_numpy(), found["context"].to_numpy().view(np.uint64)
+    tree = ctw.grow(level[level > 0], codes[level > 0], depth, np.sort(codes[level < 0]).astype(np.int64))
+    following = np.zeros((tree.states, tree.width), np.int64)
+    for part in ctw._following(tree, depth)(iter([pa.RecordBatch.from_pydict({"text": training})])):
+        following.ravel()[part["cell"].to_numpy()] += part["n"].to_numpy()
+    whole = ctw.Model(tree, ctw.predictions(tree, following), depth)
+    want = whole.score(*split_words(pa.array(texts), lower=True))[0]
+    got = scores(rows, depth)
+    assert np.allclose([got[i] for i in range(len(texts))], want, rtol=1e-5)
+
+
+def test_grams_that_begin_alike_keep_their_own_probabilities():
+    """Whatever the order of the spread numbers, each place gets its own gram's probability, or is handed out."""
+    texts = pa.array([prose(i, 300) for i in range(3)])
+    words, counts = split_words(texts)
+    gram, size = full_tree.grams(ctw.normal_texts(words, counts), 6)
+    own = np.unique(gram)[::2]
+    spread = full_tree._spread(own)
+    order = np.argsort(spread)
+    held = full_tree.Known(spread[order], (own % np.uint64(97)).astype(np.float32)[order], 6)
+    total, places, (owner, far, times) = held.score(words, counts)
+    known = np.isin(gram, own)
+    text = np.repeat(np.arange(3), size)
+    assert np.allclose(total, np.bincount(text, np.where(known, (gram % np.uint64(97)).astype(float), 0)))
+    want = collections.Counter(zip(text[~known].tolist(), gram[~known].tolist()))
+    assert want == dict(zip(zip(owner.tolist(), far.tolist()), times.tolist())) and (places == size).all()
