@@ -33,10 +33,12 @@ from gleanery.session import cut_lineage
 PART = 1 << 17
 #: Grams known to every executor, at most.
 KNOWN = 1 << 21
-#: Places sorted at once, and grams held before they are sent.
-PLACES, HELD = 1 << 23, 3 << 20
-#: An odd factor below 2 ** 56: grams times it are as many numbers, spread evenly.
-SPREAD, PIECE = np.uint64(0x9E3779B97F4A7C15 >> 8 | 1), 21
+#: Places and grams held at once, and grams from which on they are sent.
+PLACES, HELD = 1 << 22, 3 << 20
+#: Places that a number holds beside its gram, and numbers put together or sent at once.
+MOST, PIECE_ROWS = 255, 1 << 17
+#: An odd factor below 2 ** 56: grams times it are as many numbers, spread evenly; bits of the number of places looked up at once.
+SPREAD, PIECE = np.uint64(0x9E3779B97F4A7C15 >> 8 | 1), 19
 
 
 def grams(texts: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -44,9 +46,13 @@ def grams(texts: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
     data, counted, size = stream(texts, depth)
     # Read as little-endian numbers, the latest byte of a context is on top and the byte that follows above it.
     read = np.ndarray(len(counted), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))[counted]
-    bits = np.uint64(8 * depth)
-    read &= np.uint64((1 << (8 * depth + 8)) - 1)
-    return ((read << np.uint64(8)) | (read >> bits)) & np.uint64((1 << (8 * depth + 8)) - 1), size
+    whole = np.uint64((1 << (8 * depth + 8)) - 1)
+    read &= whole
+    following = read >> np.uint64(8 * depth)
+    read <<= np.uint64(8)
+    read |= following
+    read &= whole
+    return read, size
 
 
 def _first(values: np.ndarray) -> np.ndarray:
@@ -54,52 +60,60 @@ def _first(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([np.ones(min(1, len(values)), bool), values[1:] != values[:-1]]))
 
 
-def _summed(found: list) -> pa.RecordBatch:
-    """What is held of the grams and their numbers, put together; nothing is held afterwards."""
-    gram, n = np.concatenate([g for g, _ in found]), np.concatenate([n for _, n in found])
-    found.clear()
-    order = np.argsort(gram, kind="stable")
-    gram, n = gram[order], n[order]
+def _put_together(held: np.ndarray) -> int:
+    """Sorts numbers and puts those of a gram together, as far as a number holds their places; how many are left, in front."""
+    held.sort()
+    size = 0
+    for i in range(0, len(held), PIECE_ROWS):
+        gram, n = _counted(held[i:i + PIECE_ROWS])
+        numbers = np.maximum(1, -(-n // MOST))
+        last = np.cumsum(numbers)
+        places = np.full(last[-1], MOST, np.uint64)
+        places[last - 1] = n - MOST * (numbers - 1)
+        held[size:size + len(places)] = (np.repeat(gram, numbers) << np.uint64(8)) | places
+        size += len(places)
+    return size
+
+
+def _counted(held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of some sorted numbers, each once, and their places."""
+    gram = held >> np.uint64(8)
     first = _first(gram)
-    gram, n = gram[first], np.add.reduceat(n, first, dtype=np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n)], names=["gram", "n"])
+    return gram[first], np.add.reduceat((held & np.uint64(MOST)).view(np.int64), first)
 
 
-def _met(depth: int):
-    """Grams of all texts, with their places in training texts."""
+def _rows(held: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sorted numbers as rows, in batches that take little beside other tasks'."""
+    for i in range(0, len(held), PIECE_ROWS):
+        gram, n = _counted(held[i:i + PIECE_ROWS])
+        yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n)], names=["gram", "n"])
 
-    def count(batches):
-        places, size, found = np.empty(PLACES, np.uint64), 0, []
 
-        def sort() -> None:
-            keys = places[:size]
-            keys.sort()
-            first = _first(keys)
-            # Two keys for a gram: the even one of training texts.
-            key, n = keys[first], np.diff(first, append=size)
-            gram = key >> np.uint64(1)
-            n[(key & np.uint64(1)) == 1] = 0
-            first = _first(gram)
-            found.append((gram[first], np.add.reduceat(n, first).astype(np.int32)))
+def _met(depth: int):
+    """Grams of all texts, with their places in training texts; one may come several times.
+
+    They are held in one array as numbers, a gram and below it up to ``MOST`` of its places. It is sorted and put together
+    in itself whenever it is full, so that a task takes the same memory however many texts it gets.
+    """
 
+    def count(batches):
+        held, size = np.empty(PLACES, np.uint64), 0
         for block in blocks(batches, BLOCK):
             words, counts = split_words(block["text"], lower=True)
-            gram, sizes = grams(normal_texts(words, counts), depth)
-            held_out = block["held_out"].fill_null(True).to_numpy(zero_copy_only=False).astype(np.uint64)
-            keys = (gram << np.uint64(1)) | np.repeat(held_out, sizes)
-            while len(keys):
-                piece, keys = keys[:PLACES - size], keys[PLACES - size:]
-                places[size:size + len(piece)] = piece
+            numbers, sizes = grams(normal_texts(words, counts), depth)
+            numbers <<= np.uint64(8)
+            numbers |= np.repeat(~block["held_out"].fill_null(True).to_numpy(zero_copy_only=False), sizes)
+            while len(numbers):
+                piece, numbers = numbers[:PLACES - size], numbers[PLACES - size:]
+                held[size:size + len(piece)] = piece
                 size += len(piece)
                 if size == PLACES:
-                    sort()
-                    size = 0
-                    if sum(len(gram) for gram, _ in found) >= HELD:
-                        yield _summed(found)
-        if size:
-            sort()
-        if found:
-            yield _summed(found)
+                    size = _put_together(held)
+                    if size >= min(HELD, PLACES // 4 * 3):
+                        yield from _rows(held[:size])
+                        size = 0
+        size = _put_together(held[:size])
+        yield from _rows(held[:size])
 
     return count
 
@@ -243,7 +257,8 @@ def _predicted(depth: int, shared: list[np.ndarray], above: dict[int, list[tuple
 def predictions(texts: DataFrame, depth: int) -> DataFrame:
     """``gram, n, log2`` for every gram of ``texts`` (``text``, ``held_out``); what is not held out is learned from."""
     found = mapped(texts.select("text", "held_out"), _met(depth), "gram long, n long")
-    counted = cut_lineage(found.groupBy("gram").agg(F.sum("n").alias("n")))
+    # Tasks have put together what they met; another sum over it before the shuffle would take memory for few rows less.
+    counted = cut_lineage(found.repartition("gram").groupBy("gram").agg(F.sum("n").alias("n")))
     parts = max(1, -(-counted.count() // PART))
     dealt = counted.withColumn("context", F.shiftright("gram", 8)).repartitionByRange(parts, "context")
     dealt = cut_lineage(dealt.select(F.spark_partition_id().alias("part"), "gram", "n"))
@@ -267,9 +282,8 @@ class Known:
         """Each text's log2 probability in known grams, its bytes with the end, and texts, grams and times of the others."""
         gram, size = grams(normal_texts(words, counts), self.depth)
         value, far = np.zeros(len(gram)), np.zeros(len(gram), bool)
-        spread = _spread(gram)
         for i in range(0, len(gram), 1 << PIECE):
-            part = spread[i:i + (1 << PIECE)]
+            part = _spread(gram[i:i + (1 << PIECE)])
             # Numbers that begin alike become neighbours; those apart by chance are looked up more than once.
             keys = (part >> np.uint64(56 + PIECE - 64) << np.uint64(PIECE)) | np.arange(len(part), dtype=np.uint64)
             keys.sort()

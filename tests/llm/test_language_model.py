@@ -1,6 +1,7 @@
 import collections
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -234,3 +235,45 @@ def test_grams_that_begin_alike_keep_their_own_probabilities():
     assert np.allclose(total, np.bincount(text, np.where(known, (gram % np.uint64(97)).astype(float), 0)))
     want = collections.Counter(zip(text[~known].tolist(), gram[~known].tolist()))
     assert want == dict(zip(zip(owner.tolist(), far.tolist()), times.tolist())) and (places == size).all()
+
+
+def met(texts, held_out, depth):
+    rows = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string()), "held_out": pa.array(held_out, pa.bool_())})
+    return full_tree._met(depth)(iter([rows.slice(i, 1) for i in range(len(texts))]))
+
+
+def test_places_are_counted_in_bounded_memory():
+    """Grams that hardly repeat: one array, and batches that the other side can hold beside its own rows."""
+    draw = np.random.default_rng(7)
+    texts = ["".join(map(chr, draw.integers(ord("a"), ord("z") + 1, 500_000))) for _ in range(18)]
+    want = np.concatenate([full_tree.grams(pa.array([t]), 6)[0] for t in texts])
+    want, places = int(want.sum()), len(want)
+    tracemalloc.start()
+    total, n, largest = 0, 0, 0
+    for batch in met(texts, [False] * 18, 6):
+        own = batch["n"].to_numpy()
+        total += int((batch["gram"].to_numpy().view(np.uint64) * own.astype(np.uint64)).sum())
+        n, largest = n + int(own.sum()), max(largest, batch.nbytes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (total % (1 << 64), n) == (want, places)
+    assert largest <= 4 << 20 and peak < 200 << 20
+
+
+def test_places_beyond_one_number_and_none(monkeypatch):
+    """Frequent grams take several numbers, grams of held-out texts alone none of the places, on any borders."""
+    texts = ["ab" * 700, "x" * 1_300, None, "ab" * 40, "", "ba yes", "ab" * 300]
+    held_out = [False, False, False, True, False, True, None]
+    want = collections.Counter()
+    for text, out in zip(texts, held_out):
+        for gram in full_tree.grams(pa.array([normal(text).decode()]), 3)[0].tolist():
+            want[gram] += 0 if out is not False else 1
+    for places, held, rows in ((1 << 12, 1 << 11, 1 << 17), (256, 16, 7), (64, 64, 1)):
+        for name, value in (("PLACES", places), ("HELD", held), ("PIECE_ROWS", rows)):
+            monkeypatch.setattr(full_tree, name, value, raising=False)
+        got = collections.Counter()
+        for batch in met(texts, held_out, 3):
+            assert 0 < batch.num_rows <= rows
+            for gram, n in zip(batch["gram"].to_pylist(), batch["n"].to_pylist()):
+                got[gram] += n
+        assert dict(got) == dict(want)
