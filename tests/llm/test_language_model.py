@@ -277,3 +277,20 @@ def test_places_beyond_one_number_and_none(monkeypatch):
             for gram, n in zip(batch["gram"].to_pylist(), batch["n"].to_pylist()):
                 got[gram] += n
         assert dict(got) == dict(want)
+
+
+def test_places_outside_the_known_grams_take_bounded_memory():
+    """Where hardly a gram is known, a block's places are handed out by text and gram in little more than they take."""
+    draw = np.random.default_rng(8)
+    texts = ["".join(map(chr, draw.integers(ord("a"), ord("z") + 1, n))) for n in [4_000] * 500]
+    words, counts = split_words(pa.array([*texts, None, "aaaaaaaaaaaa " * 3]))
+    held = full_tree.Known(np.zeros(0, np.uint64), np.zeros(0, np.float32), 6)
+    tracemalloc.start()
+    total, size, (owner, far, times) = held.score(words, counts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    gram, places = full_tree.grams(ctw.normal_texts(words, counts), 6)
+    want = collections.Counter(zip(np.repeat(np.arange(502), places).tolist(), gram.tolist()))
+    assert list(zip(owner.tolist(), far.tolist(), times.tolist())) == [(*k, n) for k, n in sorted(want.items())]
+    assert not total.any() and (size == places).all()
+    assert peak < 150 << 20, peak >> 20
